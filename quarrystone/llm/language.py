@@ -107,8 +107,8 @@ def fitted(docs: DataFrame, train: int = TRAIN) -> Model:
     sample = usable.where(order < int(share * (1 << 30))).select("text", F.col("lang").alias("lang_"), order.alias("order_"))
     rows = append_columns(sample, kernel, T.StructType([T.StructField("bits_", T.BinaryType())])).drop("text").collect()
     rows.sort(key=lambda r: (r["order_"], r["lang_"], r["bits_"]))
-    bits = np.array([np.frombuffer(r["bits_"], np.uint8) for r in rows], np.uint8).reshape(len(rows), -1)
-    return Model.fit(np.unpackbits(bits, axis=1).astype(bool) if len(rows) else np.zeros((0, 1 << BITS), bool), [r["lang_"] for r in rows])
+    bits = np.array([np.frombuffer(r["bits_"], np.uint8) for r in rows], np.uint8).reshape(len(rows), (1 << BITS) // 8)
+    return Model.fit(np.unpackbits(bits, axis=1).astype(bool), [r["lang_"] for r in rows])
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:

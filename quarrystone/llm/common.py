@@ -128,6 +128,7 @@ class Words:
         up, down = powers(len(raw) + 1)
         total = np.zeros(len(raw) + 1, np.uint64)
         np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+        self._total, self._down = total, down
         self.hash = mixed((total[self.end] - total[self.start]) * down[self.start])
         self.doc = np.searchsorted(self.doc_start, self.start, "right") - 1
 
@@ -138,6 +139,11 @@ class Words:
         number = np.cumsum(new) - 1
         return number, self.doc[new], self.start[new]
 
+    def prefix(self, which: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the first k bytes of some words, which must be that long."""
+        at = self.start[which]
+        return mixed((self._total[at + k] - self._total[at]) * self._down[at])
+
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Karp-Rabin hashes of all windows of k words inside one document, and the first word of each."""
         return grams(self.hash, self.doc, k)

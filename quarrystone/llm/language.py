@@ -26,7 +26,7 @@ BITS = 15
 TRAIN, LANDMARKS, RIDGE = 3000, 96, 1e-3
 UNKNOWN = "und"
 #: Below this score a text is in none of the learned languages; the pipeline lets such texts go.
-LEAST_SCORE = 0.25
+LEAST_SCORE = 0.1
 _LETTER = re.compile(r"[^\W\d_]")
 
 

@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's score is a logistic function of its hashed words; the document's score is
-their noisy-or, 1 - prod(1 - p). Only documents have labels: the likelihood of the noisy-or is what is trained, so the
+A document is a bag of sentences. A sentence's score is a logistic function of its words and their beginnings, hashed; the
+document's score is their noisy-or, 1 - prod(1 - p). Only documents have labels: the likelihood of the noisy-or is what is trained, so the
 sentences' scores are learned through it, and afterwards they locate the offending sentences.
 
 Fitted on a bounded sample of labelled rows (about ``TRAIN`` of either label, a parameter; repeated labels of a document
@@ -16,31 +16,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.llm.common import Words, append_columns, read
+from quarrystone.llm.common import Words, append_columns, mixed, read
 
 BITS = 18
-TRAIN, ROUNDS, RATE, DECAY = 3000, 120, 0.3, 2e-4
-#: A word counts if so many documents of the sample have it.
-LEAST_DOCS = 3
+TRAIN, ROUNDS, RATE, DECAY = 2000, 150, 0.2, 1e-3
+#: Besides whole words, their first so many bytes are features. A feature is used if so many documents of the sample
+#: have it and its shares in the two labels differ by so many standard errors.
+PREFIXES = (4, 6)
+LEAST_DOCS, LEAST_Z = 3, 4.0
 #: Sentences from this score on are offending ones.
 OFFENDING = 0.3
 
 
 def features(texts: list[str | None], bits: int = BITS):
-    """Distinct (sentence, hashed word) pairs; of each sentence its document and first byte; the Words."""
+    """(sentence, hashed feature) pairs, repeats included; of each sentence its document and first byte; the Words."""
     words = Words(texts)
     number, doc, start = words.sentences()
-    pairs = np.unique((number.astype(np.int64) << bits) | (words.hash >> np.uint64(64 - bits)).astype(np.int64))
-    return pairs >> bits, pairs & ((1 << bits) - 1), doc, start, words
+    shift = np.uint64(64 - bits)
+    pairs = [(number, words.hash >> shift)]
+    for k in PREFIXES:
+        long = np.flatnonzero(words.end - words.start >= k)
+        pairs.append((number[long], mixed(words.prefix(long, k) + np.uint64(k)) >> shift))
+    return np.concatenate([s for s, _ in pairs]).astype(np.int64), np.concatenate([w for _, w in pairs]).astype(np.int64), doc, start, words
+
+
+def distinct(sentence: np.ndarray, word: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    pairs = np.unique((sentence << bits) | word)
+    return pairs >> bits, pairs & ((1 << bits) - 1)
 
 
 class Model:
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), float(bias)
 
-    def sentences(self, sentence: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(sentence, self.weights[word], minlength=n) + self.bias
-
     @classmethod
     def empty(cls) -> Model:
         return cls(np.zeros(1 << BITS), -np.inf)
@@ -58,9 +66,12 @@ class Model:
         sentence = np.concatenate([s.astype(np.int64) + o for (s, _, _), o in zip(bags, offsets)])
         word = np.concatenate([w.astype(np.int64) for _, w, _ in bags])
         doc = np.repeat(np.arange(len(bags)), np.diff(offsets))
-        known = np.unique(np.stack([doc[sentence], word]), axis=1)
-        counts = np.bincount(known[1], minlength=1 << BITS)
-        names = np.flatnonzero(counts >= LEAST_DOCS)
+        known = np.unique((doc[sentence] << BITS) | word)
+        n_docs = [np.bincount(known[labels[known >> BITS] == y] & ((1 << BITS) - 1), minlength=1 << BITS) for y in (0, 1)]
+        (n0, n1), both = ((labels == y).sum() for y in (0, 1)), n_docs[0] + n_docs[1]
+        even = both / len(labels)
+        z = (n_docs[1] / n1 - n_docs[0] / n0) / np.sqrt(np.maximum(even * (1 - even), 1e-12) * (1 / n0 + 1 / n1))
+        names = np.flatnonzero((both >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
         place = np.full(1 << BITS, -1)
         place[names] = np.arange(len(names))
         keep = place[word] >= 0
@@ -79,14 +90,16 @@ class Model:
             gradient = np.append(np.bincount(word, g[sentence], minlength=n), g.sum())
             m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
             w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - DECAY * RATE * 10)
+            w[:-1] = np.sign(w[:-1]) * np.maximum(0, np.abs(w[:-1]) - DECAY * RATE)
         weights = np.zeros(1 << BITS)
         weights[names] = w[:-1]
         return cls(weights, w[-1])
 
     def score(self, texts: list[str | None]) -> dict[str, list]:
         sentence, word, doc, start, words = features(texts)
-        z = self.sentences(sentence, word, len(doc)) if len(doc) else np.zeros(0)
+        used = self.weights[word] != 0
+        sentence, word = distinct(sentence[used], word[used])
+        z = np.bincount(sentence, self.weights[word], minlength=len(doc)) + self.bias
         with np.errstate(over="ignore", invalid="ignore"):
             soft = np.logaddexp(0, z)
             own = 1 - np.exp(-soft)
@@ -124,7 +137,7 @@ def fitted(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Model:
         out = []
         for t in texts:
             sentence, word, *_ = features([t])
-            out.append(np.stack([sentence, word]).astype("<u4").tobytes())
+            out.append(np.stack(distinct(sentence, word)).astype("<u4").tobytes())
         return {"pairs_": out}
 
     rows = append_columns(docs.select("doc_id", "text").join(picked, "doc_id"), kernel, T.StructType([T.StructField("pairs_", T.BinaryType())])).select("doc_id", "toxic", "pairs_").collect()

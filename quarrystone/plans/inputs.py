@@ -20,16 +20,16 @@ class Tables:
     def points(self) -> DataFrame:
         return self.read("orders").selectExpr(
             "o_orderkey AS point_id", "CAST(o_custkey % 100 AS DOUBLE) + CAST(o_orderkey % 10 AS DOUBLE) / 10 AS x", "CAST(o_custkey div 15 AS DOUBLE) AS y", "o_totalprice / 10000 AS z",
-            "CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 6 ELSE 5 END AS cls", "CAST(o_orderkey % 1000 AS INT) AS intensity", "o_orderdate AS at",
+            "CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 6 ELSE 5 END AS cls", "CAST(o_orderkey % 1000 AS INT) AS intensity", "o_orderdate AS observed",
         )
 
     @cached_property
     def epoch_a(self) -> DataFrame:
-        return self.points.where("at < timestamp'1998-04-01' AND x >= 10")
+        return self.points.where("observed < timestamp'1998-04-01' AND x >= 10")
 
     @cached_property
     def epoch_b(self) -> DataFrame:
-        return self.points.where("at >= timestamp'1998-04-01' AND x < 90")
+        return self.points.where("observed >= timestamp'1998-04-01' AND x < 90")
 
     @cached_property
     def cells_old(self) -> DataFrame:
@@ -137,9 +137,9 @@ _ROWS = [
 _NAMES = ("row", "at", "key", "text", "number", "boolean", "units", "table", "where")
 
 CTES = {
-    "points": "SELECT o_orderkey AS point_id, CAST(o_custkey % 100 AS DOUBLE) + CAST(o_orderkey % 10 AS DOUBLE) / 10 AS x, CAST(o_custkey // 15 AS DOUBLE) AS y, o_totalprice / 10000 AS z, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 6 ELSE 5 END AS cls, CAST(o_orderkey % 1000 AS INT) AS intensity, o_orderdate AS at FROM orders",
-    "epoch_a": "SELECT * FROM points WHERE at < TIMESTAMP '1998-04-01' AND x >= 10",
-    "epoch_b": "SELECT * FROM points WHERE at >= TIMESTAMP '1998-04-01' AND x < 90",
+    "points": "SELECT o_orderkey AS point_id, CAST(o_custkey % 100 AS DOUBLE) + CAST(o_orderkey % 10 AS DOUBLE) / 10 AS x, CAST(o_custkey // 15 AS DOUBLE) AS y, o_totalprice / 10000 AS z, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 6 ELSE 5 END AS cls, CAST(o_orderkey % 1000 AS INT) AS intensity, o_orderdate AS observed FROM orders",
+    "epoch_a": "SELECT * FROM points WHERE observed < TIMESTAMP '1998-04-01' AND x >= 10",
+    "epoch_b": "SELECT * FROM points WHERE observed >= TIMESTAMP '1998-04-01' AND x < 90",
     "cells_old": "SELECT * FROM points WHERE x >= 10",
     "cells_new": "SELECT * REPLACE (CASE WHEN x >= 20 AND x < 40 THEN z + 1 ELSE z END AS z) FROM points WHERE x < 90",
     "elements": "SELECT *, express_id AS element_row FROM (SELECT CAST(1000000 + r_regionkey AS BIGINT) AS express_id, 'R' || r_regionkey AS global_id, 'Region' AS class, r_name AS name, CAST(NULL AS BIGINT) AS parent_express_id, CAST(NULL AS VARCHAR) AS storey FROM region UNION ALL SELECT CAST(2000000 + n_nationkey AS BIGINT), 'N' || n_nationkey, 'Nation', n_name, CAST(1000000 + n_regionkey AS BIGINT), NULL FROM nation UNION ALL SELECT 3000000 + c_custkey, 'C' || c_custkey, 'Customer', CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_name END, CAST(2000000 + c_nationkey AS BIGINT), c_mktsegment FROM customer)",

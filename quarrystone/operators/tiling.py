@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +10,6 @@ from quarrystone.functions import geodesy as G
 
 #: Octree and budget limits.
 MAX_POINTS, MAX_DEPTH, MIN_EXTENT, LEAST_STEP, MOST_STEP, MAX_SPLATS = 20_000, 20, 0.01, 8, 64, 32_768
-_OCT = "octant"
 
 
 def bounds(points: DataFrame) -> tuple[list[float], list[float]]:
@@ -20,19 +17,6 @@ def bounds(points: DataFrame) -> tuple[list[float], list[float]]:
     return [float(v) for v in row[:3]], [float(v) for v in row[3:]]
 
 
-def octant_path(depth: int, low: list[float], high: list[float]) -> Column:
-    """The digits of the octants that hold a point down to a depth; a place on a centre belongs to the upper side."""
-    digits = []
-    lo, hi = [F.lit(v) for v in low], [F.lit(v) for v in high]
-    for _ in range(depth):
-        mid = [(a + b) / 2 for a, b in zip(lo, hi)]
-        up = [F.col(a) >= m for a, m in zip("xyz", mid)]
-        digits.append(sum((F.when(u, 1 << k).otherwise(0) for k, u in enumerate(up)), F.lit(0)).cast("string"))
-        lo = [F.when(u, m).otherwise(a) for u, m, a in zip(up, mid, lo)]
-        hi = [F.when(u, b).otherwise(m) for u, m, b in zip(up, mid, hi)]
-    return F.concat(*digits) if digits else F.lit("")
-
-
 def octree(points: DataFrame, max_points: int = MAX_POINTS, max_depth: int = MAX_DEPTH, min_extent: float = MIN_EXTENT, key: str = "point_id") -> DataFrame:
     """Points with the path of their leaf.
 
@@ -213,10 +197,6 @@ def section_rings(segments: DataFrame) -> DataFrame:
     return segments.groupBy("mesh_id").applyInPandas(one, "mesh_id string, n_points long, closed boolean, area double")
 
 
-def ring_area(xs: list[Column]) -> Column:
-    return reduce(Column.__add__, xs)
-
-
 def splat_score(opacity: Column, scales: list[Column]) -> Column:
     """The logarithm of opacity times area; scales are logarithms, the two largest span the area."""
     by_size = F.array_sort(F.array(*scales))
@@ -239,7 +219,7 @@ def simplified(triangles: DataFrame, cell: float) -> DataFrame:
 
 def validated(tilesets: DataFrame) -> DataFrame:
     """Tileset JSON texts with the list of what is wrong in each."""
-    t = F.from_json("json", "asset struct<version:string>, geometricError double, root struct<boundingVolume:struct<box:array<double>,region:array<double>,sphere:array<double>>,geometricError double,refine string>".replace("geometricError double,refine", "geometricError:double,refine").replace("refine string", "refine:string"))
+    t = F.from_json("json", "asset struct<version:string>, geometricError double, root struct<boundingVolume:struct<box:array<double>,region:array<double>,sphere:array<double>>,geometricError:double,refine:string>")
     volume = F.col("t.root.boundingVolume")
     tests = [
         (F.col("t.asset.version").isNull(), "asset.version"),

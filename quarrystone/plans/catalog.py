@@ -1,4 +1,4 @@
 """All queries of the library."""
 
-from quarrystone.plans import change, elements, operations, spatial  # noqa: F401
+from quarrystone.plans import change, elements, operations, spatial, tiling  # noqa: F401
 from quarrystone.plans.registry import QUERIES, SQL  # noqa: F401

@@ -1,13 +1,14 @@
 """Token ids of whole texts by the tokenizers library.
 
-Texts are cut before single spaces, where the vocabulary's byte-level pattern always begins a new piece, and every
-distinct cut is encoded once per worker; a cut that is one word, or a word and marks after it, goes to the library's BPE
-model as those pieces, any other cut to its whole pipeline. That changes no id and saves most of the work. Texts with
+Texts are cut before single spaces and line feeds, where the vocabulary's byte-level pattern always begins a new piece, and
+every distinct cut is encoded once per worker; a cut that is one word, or a word and marks after it, goes to the library's
+BPE model as those pieces, any other cut to its whole pipeline. That changes no id and saves most of the work. Texts with
 runs of white space where a cut could matter are encoded whole.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -15,11 +16,11 @@ from array import array
 import numpy as np
 
 END_ID = 0
-#: A worker keeps so many distinct cuts, and so many pieces, at most; then it starts anew.
-CACHE = 600_000
-#: White space other than line feeds and spaces, before a space: needs the whole text, as two spaces in a row do.
-_RUN = re.compile(r"[^\S\n ] ")
-_MARKS = ",.!?;:*#%$&"
+#: A worker keeps so many distinct cuts at most; then it starts anew.
+CACHE = 900_000
+#: White space before a space or line feed: where a run of it is cut could matter.
+_RUN = re.compile(r"[^\S\n ][ \n]")
+_MARKS = ",.!?;:*#%$&|"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -49,8 +50,9 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.cuts: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.starts: dict[str, bytes] = {}
         self.end = np.uint32(END_ID).astype("<u4").tobytes()
+        (self.line,) = self.ids(["\n"])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -58,61 +60,84 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """One bytes object of ids per text; null counts as empty."""
+        collects = gc.isenabled()
+        gc.disable()  # the many small objects of this hold no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.cuts) > CACHE:
             self.cuts.clear()
-        if len(self.known) > CACHE:
-            self.known.clear()
-        plans, whole, heads, new = [], [], [], set()
+        if len(self.starts) > CACHE // 4:
+            self.starts.clear()
+        plans, whole, new = [], [], set()
         get = self.cuts.get
         for text in texts:
             if not text:
                 plans.append(())
-            elif text[-1] == " " or "  " in text or "\n " in text or _RUN.search(text):
+            elif text[0].isspace() or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or _RUN.search(text):
                 plans.append(None)
                 whole.append(text)
             else:
-                head, *rest = text.split(" ")
-                heads.append(head)
-                found = list(map(get, rest))
+                # the text after a line feed; cuts after spaces are held without the space
+                cuts = ("\n" + text).replace("\n", " \n").split(" ")
+                del cuts[0]
+                found = list(map(get, cuts))
                 if None in found:
-                    new.update(x for x, y in zip(rest, found) if y is None)
-                    plans.append((head, rest, None))
+                    new.update([x for x, y in zip(cuts, found) if y is None])
+                    plans.append((cuts, None))
                 else:
-                    plans.append((head, None, found))
+                    plans.append((None, found))
         self._learn(new)
-        first = iter(self.ids(heads))
         wholes = iter(self.ids(whole))
-        out = []
+        out, skip = [], len(self.line)
         for plan in plans:
             if plan is None:
                 out.append(next(wholes) + self.end)
             elif not plan:
                 out.append(self.end)
             else:
-                _, rest, found = plan
-                out.append(next(first) + b"".join(found if rest is None else map(self.cuts.__getitem__, rest)) + self.end)
+                cuts, found = plan
+                out.append((b"".join(map(self.cuts.__getitem__, cuts) if found is None else found) + self.end)[skip:])
         return out
 
     def _learn(self, new: set[str]) -> None:
-        """Encodes cuts, each with the space before it."""
-        known, plain, other = self.known, [], []
+        """Encodes cuts: those that begin with a line feed as they are, the others with the space before them."""
+        cuts, starts, words, firsts, marked, other = self.cuts, self.starts, [], set(), [], []
+        inner = set()
         for cut in new:
+            if cut.isalpha():
+                words.append(cut)
+                continue
             core = cut.rstrip(_MARKS)
             if core.isalpha():
-                plain.append((cut, core, "\n" + cut[len(core) :]))
+                marked.append((cut, core))
+                if core not in cuts and core not in new:
+                    inner.add(core)
+            elif core[:1] == "\n" and core[1:].isalpha():
+                marked.append((cut, core))
+                if core[1:] not in starts:
+                    firsts.add(core[1:])
             else:
                 other.append(cut)
-        self._pieces({c for _, c, _ in plain if c not in known}, " ")
-        self._pieces({m for _, _, m in plain if m not in known}, "")
-        self.cuts.update([(cut, known[core] + known[marks]) for cut, core, marks in plain])
-        self.cuts.update(zip(other, self.ids([" " + x for x in other])))
-
-    def _pieces(self, words: set[str], before: str) -> None:
-        """Encodes pieces of the pattern by the library's BPE model. A line feed marks those without a space before."""
-        tokenize, own = self.model.tokenize, list(words)
-        line = ("\0" + before).join(["", *own]).replace("\n", "")
-        for word, piece in zip(own, line.encode().decode("latin-1").translate(_LETTERS).split(_LETTERS[0])[1:]):
-            self.known[word] = array("I", [t.id for t in tokenize(piece)]).tobytes() if piece else b""
+        words += inner
+        cuts.update(zip(words, self._pieces(words, " ")))
+        starts.update(zip(own := list(firsts), self._pieces(own, "")))
+        marks = list({cut[len(core) :] for cut, core in marked if len(core) < len(cut)})
+        ends = dict(zip(marks, self._pieces(marks, "")), **{"": b""})
+        for cut, core in marked:
+            base = self.line + starts[core[1:]] if core[0] == "\n" else cuts[core]
+            cuts[cut] = base + ends[cut[len(core) :]]
+        cuts.update(zip(other, self.ids([x if x[0] == "\n" else " " + x for x in other])))
+
+    def _pieces(self, words: list[str], before: str) -> list[bytes]:
+        """Encodes pieces of the pattern, all with the same text before them, by the library's BPE model."""
+        tokenize = self.model.tokenize
+        line = ("\0" + before).join(["", *words]).encode().decode("latin-1").translate(_LETTERS)
+        return [array("I", [t.id for t in tokenize(piece)]).tobytes() for piece in line.split(_LETTERS[0])[1:]]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -17,16 +17,22 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = _checksum(edges)
     if not before[0]:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return _rooted(edges)
     for _ in range(most_rounds):
         edges = written(_small_star(_large_star(edges)))
         after = _checksum(edges)
         if after == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            return _rooted(edges)
         before = after
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _rooted(stars: DataFrame) -> DataFrame:
+    """Nodes with their roots; the roots, which no edge begins with, too."""
+    roots = stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+
+
 def _checksum(edges: DataFrame) -> tuple[int, int | None]:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 

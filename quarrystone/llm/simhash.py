@@ -7,6 +7,11 @@ a tile pair bit planes stand vertically, 64 fingerprints to a machine word: one
 updates 64 distances, and words in which all distances are over the radius are abandoned. A tile pair reports a spanning
 forest of its links, which loses no component and never lists all pairs.
 
+Given a similarity (the pipeline: five-word shingles, 0.8), texts are also linked by wide fingerprints of 256 bits, whose
+distance estimates that similarity well: a 64-bit SimHash of word pairs deals texts into buckets by random choices of its
+bits, as many as are needed for a recall of 0.99 there, and compares them bit-sliced; pairs that are near by it are held
+against each other by their wide fingerprints.
+
 Defined cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other; fewer words
 than a shingle count as one shingle; repeated rows share a fingerprint and so a component; null doc_ids never become a
 component's id unless a component has no other; an empty table gives an empty result.
@@ -15,6 +20,8 @@ component's id unless a component has no other; an empty table gives an empty re
 from __future__ import annotations
 
 import math
+import random
+from collections.abc import Iterable
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -24,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.llm.common import append_columns, read, written
+from quarrystone.llm.common import Words, append_columns, grams, mixed, read, written
 from quarrystone.llm.components import connected_components
 
 SEED = 42
@@ -104,15 +111,10 @@ def bit_sliced(left: np.ndarray, right: np.ndarray, radius: int):
         yield at + row[keep][k], word[keep][k] * 64 + bit
 
 
-def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node) that connect what links within ``left``, or between ``left`` and ``right``, connect."""
-    both = np.unique(left if right is None else np.concatenate([left, right]))
-    at_left = np.searchsorted(both, left)
-    at_right = at_left if right is None else np.searchsorted(both, right)
-    label = np.arange(len(both))
-    other = (left if right is None else right).view(np.uint64)
-    for i, j in bit_sliced(left.view(np.uint64), other, radius):
-        i, j = at_left[i], at_right[j]
+def labels(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Of n nodes the smallest one each is connected to, by blocks of linked index arrays."""
+    label = np.arange(n)
+    for i, j in pairs:
         while True:
             low = np.minimum(label[i], label[j])
             new = label.copy()
@@ -124,6 +126,15 @@ def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.
             label = new
     while not (label[label] == label).all():
         label = label[label]
+    return label
+
+
+def forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node) that connect what links within ``left``, or between ``left`` and ``right``, connect."""
+    right = left if right is None else right
+    both = np.unique(np.concatenate([left, right]))
+    at_left, at_right = np.searchsorted(both, left), np.searchsorted(both, right)
+    label = labels(len(both), ((at_left[i], at_right[j]) for i, j in bit_sliced(left.view(np.uint64), right.view(np.uint64), radius)))
     moved = np.flatnonzero(label != np.arange(len(both)))
     return both[moved], both[label[moved]]
 
@@ -160,14 +171,7 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET,
             shift += size
         keys.append(F.struct(F.lit(k).alias("band"), value.alias("key")))
     rows = prints.select("simhash", F.explode(F.array(*keys)).alias("k")).select("simhash", "k.band", "k.key")
-    sizes = rows.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
-    own = F.pmod(F.xxhash64("simhash", "band"), F.col("tiles")).cast("int")
-    dealt = (
-        rows.join(sizes, ["band", "key"])
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("simhash", "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    )
+    dealt = _tile_pairs(rows, ["simhash"], "simhash", tile)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
@@ -181,24 +185,143 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET,
     return dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = WORDS_PER_SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_hash (xxhash64), simhash, component_id (smallest doc_id reachable)."""
-    base = fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), words_per_shingle).drop("text")
-    base = written(base)
-    prints = base.groupBy("simhash").agg(F.min("doc_id").alias("first_id"))
+WIDE_WORDS, WIDE_SHINGLE, BROAD_SHINGLE, RECALL = 4, 5, 2, 0.99
+
+
+def _prints(words: Words, k: int, n: int) -> np.ndarray:
+    """Per document n 64-bit SimHashes of its distinct windows of k words (all words, if fewer); zeros without words."""
+    h, at = words.grams(k)
+    doc = words.doc[at]
+    sizes = np.bincount(words.doc, minlength=words.n_docs)
+    short = np.flatnonzero((sizes > 0) & (sizes < k))
+    if len(short):
+        first = np.searchsorted(words.doc, short)
+        own = [grams(words.hash[a : a + m], np.zeros(m, np.int8), m)[0][0] for a, m in zip(first.tolist(), sizes[short].tolist())]
+        h, doc = np.concatenate([h, np.array(own, np.uint64)]), np.concatenate([doc, short])
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = h[new], doc[new]
+    out = np.zeros((words.n_docs, n), np.uint64)
+    if not len(h):
+        return out
+    starts = np.flatnonzero(np.diff(doc, prepend=-1))
+    total = np.diff(np.append(starts, len(h)))
+    for seed in range(n):
+        bits = np.unpackbits(mixed(h + np.uint64(seed)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        out[doc[starts], seed] = np.packbits(2 * ones > total[:, None], axis=1).view(">u8").ravel()
+    return out
+
+
+def wide_fingerprints(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``broad`` (64 bits of word pairs) and ``wide`` (256 bits of five-word shingles), null without words."""
+
+    def kernel(texts):
+        words = Words(texts)
+        known = np.bincount(words.doc, minlength=len(texts)) > 0
+        broad, wide = _prints(words, BROAD_SHINGLE, 1)[:, 0].view(np.int64), _prints(words, WIDE_SHINGLE, WIDE_WORDS)
+        return {"broad": [int(b) if k else None for b, k in zip(broad, known)], "wide": [w.tobytes() if k else None for w, k in zip(wide, known)]}
+
+    return append_columns(docs, kernel, T.StructType([T.StructField("broad", T.LongType()), T.StructField("wide", T.BinaryType())]))
+
+
+def wide_limits(similarity: float) -> tuple[int, int, float]:
+    """For a Jaccard similarity of five-word shingles: the largest distance of wide prints (its mean and a standard
+    deviation), of broad prints (its mean and three), and the chance that a bit of the broad prints agrees.
+
+    A shingle survives with chance 2s / (1 + s), so a word with the fifth root of that, and a pair with its square.
+    """
+    alive = 2 * similarity / (1 + similarity)
+    far = lambda cosine, n, more: n * (t := math.acos(cosine) / math.pi) + more * math.sqrt(n * t * (1 - t))
+    pair = alive ** (BROAD_SHINGLE / WIDE_SHINGLE)
+    return int(far(alive, 64 * WIDE_WORDS, 1)), int(far(pair, 64, 3)), 1 - math.acos(pair) / math.pi
+
+
+def wide_links(texts: DataFrame, n: int, similarity: float, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) over ``texts`` (node, broad, wide), n of them, whose wide prints are near."""
+    most_wide, most_broad, agree = wide_limits(similarity)
+    bits = min(40, max(0, math.ceil(math.log2(max(1, n / bucket)))))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**bits)) if bits else 1
+    keys = []
+    for k in range(tables):
+        value = F.lit(0).cast("long")
+        for place, bit in enumerate(sorted(random.Random(k).sample(range(64), bits))):
+            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned("broad", bit).bitwiseAND(F.lit(1)), place))
+        keys.append(F.struct(F.lit(k).alias("band"), value.alias("key")))
+    rows = texts.where("wide is not null").select("node", "broad", "wide", F.explode(F.array(*keys)).alias("k")).select("node", "broad", "wide", "k.band", "k.key")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        i, j, side = int(group["i"].iloc[0]), int(group["j"].iloc[0]), group["own"].to_numpy()
+        node, broad = group["node"].to_numpy(), group["broad"].to_numpy().view(np.uint64)
+        wide = np.frombuffer(b"".join(map(bytes, group["wide"])), np.uint64).reshape(-1, WIDE_WORDS)
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+
+        def near():
+            for a, b in bit_sliced(broad[left], broad[right], most_broad):
+                a, b = left[a], right[b]
+                keep = a < b if i == j else slice(None)
+                a, b = a[keep], b[keep]
+                far = np.zeros(len(a), np.int64)
+                for w in range(WIDE_WORDS):
+                    far += np.bitwise_count(wide[a, w] ^ wide[b, w])
+                yield a[far <= most_wide], b[far <= most_wide]
+
+        label = labels(len(node), near())
+        moved = np.flatnonzero(label != np.arange(len(node)))
+        return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
+
+    dealt = _tile_pairs(rows, ["node", "broad", "wide"], "node", tile)
+    return dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _tile_pairs(rows: DataFrame, columns: list[str], node: str, tile: int) -> DataFrame:
+    """Rows of buckets (band, key) that have two rows or more, dealt to pairs (i, j) of tiles; own is a row's tile."""
+    sizes = rows.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
+    own = F.pmod(F.xxhash64(node, "band"), F.col("tiles")).cast("int")
+    return (
+        rows.join(sizes, ["band", "key"])
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        .select(*columns, "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+    )
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = WORDS_PER_SHINGLE, similarity: float | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash (xxhash64), simhash, component_id (smallest doc_id reachable).
+
+    With a similarity, texts near by their wide fingerprints are linked besides.
+    """
+    base = fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), words_per_shingle)
+    base = written((base if similarity is None else wide_fingerprints(base)).drop("text"))
+    prints = base.groupBy("simhash").agg(F.min("doc_id").alias("first_id"), F.count_distinct("text_hash").alias("texts"))
     edges = links(prints.select("simhash"), prints.count(), radius)
-    nodes = written(connected_components(edges))
-    ids = nodes.join(prints, nodes.node == prints.simhash).select("node", "root", "first_id")
-    root_ids = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    merged = nodes.join(root_ids, "root").select(F.col("node").alias("simhash"), "component_id")
-    final = prints.join(merged, "simhash", "left").select("simhash", F.coalesce("component_id", "first_id").alias("component_id"))
-    return base.join(final, "simhash").select("doc_id", "text_hash", "simhash", "component_id")
+    if similarity is None:
+        nodes = written(connected_components(edges))
+        ids = nodes.join(prints, nodes.node == prints.simhash).select("node", "root", "first_id")
+        root_ids = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        merged = nodes.join(root_ids, "root").select(F.col("node").alias("simhash"), "component_id")
+        final = prints.join(merged, "simhash", "left").select("simhash", F.coalesce("component_id", "first_id").alias("component_id"))
+        return base.join(final, "simhash").select("doc_id", "text_hash", "simhash", "component_id")
+    texts = written(base.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.first("simhash").alias("simhash"), F.first("broad").alias("broad"), F.first("wide").alias("wide")))
+    edges = written(edges)
+    linked = edges.select(F.col("a").alias("simhash")).union(edges.select("b")).union(prints.where("texts > 1").select("simhash")).distinct()
+    # texts and fingerprints are nodes of one graph; both are 64-bit hashes
+    of_prints = texts.join(linked, "simhash").select(F.col("text_hash").alias("a"), F.col("simhash").alias("b"))
+    of_texts = wide_links(texts.select(F.col("text_hash").alias("node"), "broad", "wide"), texts.count(), similarity)
+    nodes = written(connected_components(edges.union(of_prints).union(of_texts)))
+    rooted = nodes.join(texts.select(F.col("text_hash").alias("node"), "first_id"), "node")
+    root_ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    merged = rooted.join(root_ids, "root").select(F.col("node").alias("text_hash"), "component_id")
+    final = texts.join(merged, "text_hash", "left").select("text_hash", F.coalesce("component_id", "first_id").alias("component_id"))
+    return base.join(final, "text_hash").select("doc_id", "text_hash", "simhash", "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = WORDS_PER_SHINGLE) -> DataFrame:
+def deduplicated(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = WORDS_PER_SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the document with the smallest doc_id (of repeated
     doc_ids the smallest text hash) stays, once."""
-    found = near_duplicates(docs, radius, words_per_shingle)
+    found = near_duplicates(docs, radius, words_per_shingle, similarity)
     keep = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k"))
     keep = keep.select(F.col("k.doc_id").alias("kept_id_"), F.col("k.text_hash").alias("kept_hash_"))
     joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.xxhash64("text") == F.col("kept_hash_")))

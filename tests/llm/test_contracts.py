@@ -26,6 +26,9 @@ def odd_rows():
         "1 2 3 4 5 6 7 8 9 0 " * 300, "a" * 3000 + "@", "ſecret token: ſſſſſſſſſſſſſ Kelvin apiKey=ABCDEFGHIJKL", long, long, "a  b \n c <|endoftext|> \t d　 e ", "TOKEN=aaaaaaaaaaaa" * 3,
     ]
     rows = [(k, t, None if k % 3 else "en", "s", len(t) if t is not None else None) for k, t in enumerate(texts, 1000)]
+    words = [rng.choice(["river", "stone", "lamp", "bread", "cloud"]) + str(rng.randrange(300)) for _ in range(1200)]
+    for k in (3, 0, 2, 1, 4):  # near copies of one text, in no order of their ids
+        rows.append((1100 + k, " ".join(w if n % 400 or n // 400 >= k else "changed" for n, w in enumerate(words)), "en", "s", None))
     return [*rows, rows[7], rows[16], (None, "no id here at all", None, None, None), (-5, "negative identifier", "de", "s", 3)]
 
 
@@ -356,6 +359,8 @@ def test_simhash(spark, folder, docs):
             least[root(k)].append(doc_id)
     want = Counter((doc_id, f"{prints[k]:016x}", min(least[root(k)], default=None)) for k, (doc_id, _) in enumerate(docs))
     assert Counter(rows_of(simhash.query(spark, folder))) == want
+    near = {(f, c) for i, f, c in want if i is not None and 1100 <= i < 1200}
+    assert len({f for f, _ in near}) > 1 and len({c for _, c in near}) == 1  # links between different texts are among them
 
 
 @pytest.mark.parametrize("n,radius,bucket,tile", [(3000, 3, 64, 50), (3000, 3, 4, 4096), (500, 5, 16, 30), (400, 3, 512, 4096)])
@@ -387,6 +392,7 @@ def test_links_lose_no_component(spark, n, radius, bucket, tile):
         label = new
     df = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "simhash long").repartition(4)
     got = {r["node"]: r["root"] for r in connected_components(simhash.links(df, len(values), radius, bucket, tile)).collect()}
+    assert set(got.values()) <= set(got) and set(got) == {int(v) for pair in close for v in values.view(np.int64)[pair]}
     groups, wanted = defaultdict(set), defaultdict(set)
     for v, w in zip(values.view(np.int64).tolist(), label.tolist()):
         groups[got.get(v, v)].add(v)
@@ -404,6 +410,33 @@ def test_deduplication_keeps_one(spark, folder):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter(groups)
 
 
+def test_wide_prints_link_similar_texts(spark):
+    """Texts with few words changed are one group, others are alone; the stage keeps one of each."""
+    from quarrystone.llm import simhash
+
+    rng = random.Random(9)
+    rows, k = [], 0
+    for _ in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 500))]
+        rows.append((k, " ".join(words)))
+        for _ in range(3):
+            k += 1
+            at = rng.sample(range(len(words)), max(1, len(words) // 80))
+            rows.append((k, " ".join(w if n not in at else "new" + w for n, w in enumerate(words))))
+        k += 1
+    df = spark.createDataFrame([*rows, (9001, None), (9002, ""), (9003, "one two three"), (9004, "one two three four")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df, similarity=0.8).collect()}
+    assert np.mean([got[i] == i // 4 * 4 for i, _ in rows]) > 0.9
+    assert all(got[i] // 4 == i // 4 for i, _ in rows)
+    assert got[9003] == 9003 and got[9004] == 9004 and got[9001] == got[9002] == 9001
+    kept = {r["doc_id"] for r in simhash.deduplicated(df, similarity=0.8).collect()}
+    assert kept == set(got.values())
+    n = 0
+    for a, b in zip(range(60), range(1, 60)):
+        n += got[4 * a] == got[4 * b]
+    assert n == 0
+
+
 def test_toxicity(spark, folder):
     from quarrystone.llm import toxicity
 

@@ -188,3 +188,23 @@ def upserted(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The latest row of each key."""
     rest = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*")
+
+
+def lockouts(attempts: DataFrame, most: int = 5, seconds: int = 900) -> DataFrame:
+    """Replays login attempts (user, seq, ts, ok): in, refused or locked. Sequential in time, so each user is one group."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq")
+        failures, until, out = 0, 0.0, []
+        for at, ok in zip(rows["ts"].astype("int64") / 1e9, rows["ok"]):
+            if at < until:
+                out.append("locked")
+                continue
+            failures = 0 if ok else failures + 1
+            out.append("in" if ok else "refused")
+            if failures >= most:
+                failures, until = 0, at + seconds
+        return pd.DataFrame({"user": rows["user"], "seq": rows["seq"], "result": out})
+
+    rows = attempts.select("user", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "ok")
+    return rows.groupBy("user").applyInPandas(one, "user long, seq long, result string")

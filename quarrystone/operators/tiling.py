@@ -243,3 +243,37 @@ def css_colour(text: Column) -> Column:
     """A hexadecimal colour of 3 or 6 digits in lower case, else an empty text."""
     low = F.lower(F.trim(text))
     return F.when(low.rlike("^#([0-9a-f]{3}|[0-9a-f]{6})$"), low).otherwise("")
+
+
+def shape_keys(triangles: DataFrame) -> DataFrame:
+    """Per mesh a key that copies of one shape share: triangles, and mean edge lengths in centimetres."""
+    length = lambda p, q: F.sqrt(sum((F.pow(F.col(p + a) - F.col(q + a), 2) for a in "yz"), F.pow(F.col(p + "x") - F.col(q + "x"), 2)))
+    return triangles.groupBy("mesh_id").agg(F.count("*").alias("triangles"), F.round(F.avg(length("u", "v")), 2).alias("uv"), F.round(F.avg(length("u", "w")), 2).alias("uw"))
+
+
+def at_or_below(triangles: DataFrame, height: float) -> DataFrame:
+    """Triangles cut by z <= height: the polygon that is left, as an array of x, y, z (Sutherland-Hodgman)."""
+    parts = []
+    for p, q in (("u", "v"), ("v", "w"), ("w", "u")):
+        keep = F.col(p + "z") <= height
+        f = (height - F.col(p + "z")) / F.nullif(F.col(q + "z") - F.col(p + "z"), F.lit(0.0))
+        cut = F.struct(*[(F.col(p + a) + f * (F.col(q + a) - F.col(p + a))).alias(a) for a in "xy"], F.lit(float(height)).alias("z"))
+        parts += [F.when(keep, F.struct(*[F.col(p + a).alias(a) for a in "xyz"])), F.when(keep != (F.col(q + "z") <= height), cut)]
+    return triangles.withColumn("polygon", F.filter(F.array(*parts), lambda x: x.isNotNull())).where(F.size("polygon") >= 3)
+
+
+def extruded(buildings: DataFrame) -> DataFrame:
+    """Walls of buildings (id, ring, height): two triangles an edge as corner coordinates; the roof is the ring."""
+    n = F.size("ring")
+    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.get("ring", k).alias("p"), F.get("ring", (k + 1) % n).alias("q")))
+    rows = buildings.select("id", "height", F.posexplode(edges).alias("edge", "e"))
+    low, high = F.lit(0.0), F.col("height")
+    corner = lambda k, z: F.struct(F.col(f"e.{k}.x").alias("x"), F.col(f"e.{k}.y").alias("y"), z.alias("z"))
+    two = F.array(F.array(corner("p", low), corner("q", low), corner("q", high)), F.array(corner("p", low), corner("q", high), corner("p", high)))
+    return rows.select("id", "edge", F.explode(two).alias("triangle"))
+
+
+def mesh_tiles(triangles: DataFrame, budget: int) -> DataFrame:
+    """Triangles with the path of their tile: an octree of centroids, split until a tile has the budget or less."""
+    own = triangle_stats(triangles).selectExpr("*", "mx AS x", "my AS y", "mz AS z")
+    return octree(own, budget, key="tri_id").drop("x", "y", "z")

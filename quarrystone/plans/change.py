@@ -132,3 +132,10 @@ SELECT base, version, keep AS kept FROM g UNION ALL SELECT base, version, false
 )
 def retention(t):
     return D.retained(_model_versions(t), 5, 9000)
+
+
+@query("d12_element_properties", f"SELECT element_row, string_agg(key || '=' || v, ';' ORDER BY key) AS properties FROM (SELECT element_row, key, max_by(coalesce(value_text, CAST(value_boolean AS VARCHAR), CAST(CAST(value_number AS DECIMAL(18,2)) AS VARCHAR)), property_row) AS v FROM properties GROUP BY 1, 2) GROUP BY 1")
+def element_properties(t):
+    text = F.coalesce("value_text", F.col("value_boolean").cast("string"), F.col("value_number").cast("decimal(18,2)").cast("string"))
+    last = t.properties.groupBy("element_row", "key").agg(F.max_by(text, "property_row").alias("v"))
+    return last.groupBy("element_row").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "key", "v"))), ";").alias("properties"))

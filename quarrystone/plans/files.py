@@ -184,3 +184,42 @@ def export_obj(t):
 @query("k13_las_scale", "SELECT cls, round(greatest(max(x) - min(x), 1) / 2e9 * 1e9, 6) AS scale, min(x) AS low FROM points GROUP BY 1")
 def las_scale(t):
     return t.points.groupBy("cls").agg(F.round(F.greatest(F.max("x") - F.min("x"), F.lit(1.0)) / 2e9 * 1e9, 6).alias("scale"), F.min("x").alias("low"))
+
+
+def _texts(t, text: str):
+    return t.read("nation").selectExpr("CAST(n_nationkey AS STRING) AS path", f"{text} AS text")
+
+
+@query("s10_usgs_dem", "SELECT CAST(n_nationkey AS VARCHAR) AS path, 1 AS profile, CAST(i AS INT) AS place, CASE WHEN i < 2 THEN CAST(n_nationkey + i AS DOUBLE) END AS v FROM nation, range(3) t(i)")
+def usgs(t):
+    block = "concat(lpad('1', 6), lpad('1', 6), lpad('3', 6), lpad('1', 6), repeat(' ', 120), lpad(CAST(n_nationkey AS STRING), 6), lpad(CAST(n_nationkey + 1 AS STRING), 6), '-32767')"
+    return S.usgs_dem(_texts(t, f"rpad(concat(repeat(' ', 1024), {block}), 2048)"))
+
+
+@query("s16_collada", "SELECT CAST(n_nationkey AS VARCHAR) AS path, 'p' AS source, CAST(n_nationkey + 6 AS DOUBLE) AS total FROM nation")
+def collada(t):
+    rows = S.collada_meshes(_texts(t, """concat('<source><float_array id="p" count="4">', n_nationkey, ' 1 2 3</float_array></source>')"""))
+    return rows.select("path", "source", F.aggregate("numbers", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("s18_citygml", "SELECT CAST(n_nationkey AS VARCHAR) AS path, 0 AS ring, CAST(4 AS BIGINT) AS n, CAST(n_nationkey AS DOUBLE) AS x1 FROM nation")
+def citygml(t):
+    rows = S.citygml_rings(_texts(t, "concat('<bldg:Building><gml:exterior><gml:LinearRing><gml:posList>0 0 0 ', n_nationkey, ' 0 0 1 1 0 0 0 0</gml:posList></gml:LinearRing></gml:exterior></bldg:Building>')"))
+    return rows.select("path", "ring", F.size("places").cast("long").alias("n"), F.col("places")[1]["x"].alias("x1"))
+
+
+@query("s32_crs", "SELECT CAST(n_nationkey AS VARCHAR) AS path, CASE WHEN n_nationkey % 2 = 0 THEN CAST(32600 + n_nationkey AS INT) END AS epsg FROM nation")
+def crs(t):
+    return S.detected_crs(_texts(t, """CASE WHEN n_nationkey % 2 = 0 THEN concat('PROJCS["x",GEOGCS["y",AUTHORITY["EPSG","4326"]],AUTHORITY["EPSG","', 32600 + n_nationkey, '"]]') ELSE 'LOCAL_CS["z"]' END"""))
+
+
+@query("s34_world_files", "SELECT CAST(n_nationkey AS VARCHAR) AS path, CAST(0.5 AS DOUBLE) AS size_x, CAST(n_nationkey AS DOUBLE) AS x FROM nation")
+def world(t):
+    return S.world_files(_texts(t, "concat('0.5\\n0\\n0\\n-0.5\\n', n_nationkey, '\\n50\\n')")).select("path", "size_x", "x")
+
+
+@query("k02_tileset")
+def tileset_document(t):
+    low, high = C.bounds(t.points)
+    nodes = [(r["node"], r["is_leaf"]) for r in C.node_table(_tree(t)).collect()]  # as many as there are tiles
+    return t.spark.createDataFrame([("tileset.json", K.tileset_json(nodes, low, high))], "path string, text string")

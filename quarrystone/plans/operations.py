@@ -180,3 +180,9 @@ def expire(t):
 @query("k19_upsert_topics", "SELECT user, action, max(id) AS id, max_by(resource, id) AS resource FROM audit GROUP BY 1, 2")
 def upsert(t):
     return I.upserted(t.audit.select("user", "action", "id", "resource"), ["user", "action"], "id")
+
+
+@query("i10_lockouts")
+def lockouts(t):
+    attempts = t.read("events").selectExpr("user_id AS user", "event_id AS seq", "ts", "event_type <> 'error' AS ok")
+    return I.lockouts(attempts, 3, 86_400)

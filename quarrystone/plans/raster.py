@@ -338,3 +338,43 @@ def pixels(t):
 def limits(t):
     col = lambda lon: F.floor((lon + 180) / 360 * 64)
     return _boxes(t).select("id", col(F.col("w")).alias("min_col"), col(F.col("w") + F.col("size")).alias("max_col"))
+
+
+_GRIDSQL = "SELECT CAST(a AS BIGINT) * 16 + b AS id, 3 + a * 2.5::DOUBLE AS fr, 2 + b * 2.2::DOUBLE AS fc FROM range(16) t(a), range(16) u(b)"
+
+
+@query("f09_dem_over_bbox", "SELECT id, CASE WHEN count(*) FILTER (r.v IS NULL) = 0 THEN round(sum(coalesce(r.v, 0) * w), 6) END AS v FROM (" + " UNION ALL ".join(f"SELECT id, floor(fr) + {r} AS row, floor(fc) + {c} AS col, ({'fr - floor(fr)' if r else '1 - (fr - floor(fr))'}) * ({'fc - floor(fc)' if c else '1 - (fc - floor(fc))'}) AS w FROM ({_GRIDSQL})" for r in (0, 1) for c in (0, 1)) + ") k LEFT JOIN raster r ON r.row = k.row AND r.col = k.col GROUP BY 1")
+def dem_over_bbox(t):
+    grid = t.spark.range(256).selectExpr("id", "3 + (id div 16) * 2.5D AS fr", "2 + (id % 16) * 2.2D AS fc")
+    return R.sampled(grid, t.raster).withColumn("v", F.round("v", 6))
+
+
+@query("f27_reproject")
+def reproject(t):
+    cells = t.spark.range(400).selectExpr("id", "CAST(id div 20 AS DOUBLE) AS r", "CAST(id % 20 AS DOUBLE) AS c")
+    lat, lon = G.from_mercator(F.col("c") * 200_000, F.col("r") * 200_000)
+    return R.sampled(cells.select("id", F.abs(lat).alias("fr"), F.abs(lon).alias("fc")), t.raster, ignore_weightless=True).withColumn("v", F.round("v", 6))
+
+
+@query("f41_level_for", "SELECT p_partkey, CAST(coalesce(max(l), 0) AS INT) AS level FROM part LEFT JOIN range(6) t(l) ON pow(2, l) <= p_size / 4.0::DOUBLE GROUP BY 1")
+def level_for(t):
+    levels = t.read("part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("l"))
+    return levels.groupBy("p_partkey").agg(F.coalesce(F.max(F.when(F.pow(F.lit(2.0), "l") <= F.col("p_size") / 4, F.col("l"))), F.lit(0)).alias("level"))
+
+
+@query("f47_level_scales", "SELECT p_partkey, CAST(l AS INT) AS level, round(p_retailprice / ceil(p_retailprice / pow(2, l)), 6) AS scale FROM part, range(4) t(l)")
+def level_scales(t):
+    rows = t.read("part").select("p_partkey", "p_retailprice", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("level"))
+    return rows.select("p_partkey", "level", F.round(F.col("p_retailprice") / F.ceil(F.col("p_retailprice") / F.pow(F.lit(2.0), "level")), 6).alias("scale"))
+
+
+@query("k08_terrain_pyramid", "SELECT CAST(z AS INT) AS z, CAST(col // CAST(pow(2, 5 - z) AS INT) AS INT) AS x, CAST(row // CAST(pow(2, 5 - z) AS INT) AS INT) AS y, count(v) AS cells, round(avg(v), 6) AS mean FROM raster, range(6) t(z) GROUP BY 1, 2, 3")
+def pyramid(t):
+    rows = t.raster.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    side = F.pow(F.lit(2.0), 5 - F.col("z"))
+    return rows.groupBy("z", F.floor(F.col("col") / side).cast("int").alias("x"), F.floor(F.col("row") / side).cast("int").alias("y")).agg(F.count("v").alias("cells"), F.round(F.avg("v"), 6).alias("mean"))
+
+
+@query("k09_dem_bundle_level", "SELECT CAST(min(l) AS INT) AS deepest FROM range(24) t(l) WHERE 180 / pow(2, l) / 64 <= 0.01")
+def bundle_level(t):
+    return t.spark.range(24).where(180 / F.pow(F.lit(2.0), "id") / 64 <= 0.01).agg(F.min("id").cast("int").alias("deepest"))

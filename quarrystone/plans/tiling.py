@@ -255,3 +255,39 @@ def thumbnail(t):
 def terrain_bases(t):
     corners = t.samples.select("id", (F.floor("y").cast("int") % 20).alias("row"), F.explode(F.array(F.floor("x").cast("int"), F.floor("x").cast("int") + 1)).alias("col"))
     return corners.join(t.raster, ["row", "col"]).groupBy("id").agg(F.round(F.min("v"), 6).alias("base"))
+
+
+@query("c09_mesh_tiles")
+def mesh_tiles(t):
+    return C.mesh_tiles(t.triangles, 100).groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("c14_repeated_geometry", "SELECT triangles, uv, uw, count(*) AS meshes, min(mesh_id) AS first FROM (SELECT mesh_id, count(*) AS triangles, round(avg(sqrt(pow(ux - vx, 2) + pow(uy - vy, 2) + pow(uz - vz, 2))), 2) AS uv, round(avg(sqrt(pow(ux - wx, 2) + pow(uy - wy, 2) + pow(uz - wz, 2))), 2) AS uw FROM triangles GROUP BY 1) GROUP BY 1, 2, 3")
+def repeated(t):
+    return C.shape_keys(t.triangles).groupBy("triangles", "uv", "uw").agg(F.count("*").alias("meshes"), F.min("mesh_id").alias("first"))
+
+
+@query("c23_extrude", "SELECT s_suppkey AS id, CAST(8 AS BIGINT) AS triangles, round(CAST(10 + s_suppkey % 5 AS DOUBLE), 6) AS top FROM supplier")
+def extrude(t):
+    p = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
+    b = t.read("supplier").select(F.col("s_suppkey").alias("id"), (10 + F.col("s_suppkey") % 5).cast("double").alias("height"), F.array(p("0D", "0D"), p("4D", "0D"), p("4D", "3D"), p("0D", "3D")).alias("ring"))
+    walls = C.extruded(b)
+    return walls.groupBy("id").agg(F.count("*").alias("triangles"), F.round(F.max(F.col("triangle")[2]["z"]), 6).alias("top"))
+
+
+@query("c30_largest_rings")
+def largest_rings(t):
+    rings = C.section_rings(C.plane_cut(t.triangles, 9.55))
+    return rings.groupBy("mesh_id").agg(F.count("*").alias("chains"), F.sum(F.col("closed").cast("long")).alias("closed"), F.max(F.abs("area")).alias("largest"))
+
+
+@query("c33_half_space", "SELECT tri_id, CAST((uz <= 9.5)::INT + (vz <= 9.5)::INT + (wz <= 9.5)::INT + ((uz <= 9.5) <> (vz <= 9.5))::INT + ((vz <= 9.5) <> (wz <= 9.5))::INT + ((wz <= 9.5) <> (uz <= 9.5))::INT AS INT) AS corners FROM triangles WHERE uz <= 9.5 OR vz <= 9.5 OR wz <= 9.5")
+def half_space(t):
+    return C.at_or_below(t.triangles, 9.5).select("tri_id", F.size("polygon").alias("corners"))
+
+
+@query("c40_placement")
+def placement(t):
+    own = t.points.select("point_id", (F.col("x") + 500_000).alias("east"), (F.col("y") + 5_300_000).alias("north"), "z")
+    centre = G.utm(F.lit(47.85), F.lit(9.0), 32)
+    return own.select("point_id", F.round(F.col("east") - centre[0], 3).alias("e"), F.round(F.col("north") - centre[1], 3).alias("n"), F.round("z", 3).alias("u"))

@@ -235,3 +235,45 @@ def ifc_properties(entities: DataFrame) -> DataFrame:
     flag = F.when(inner.isin(".T.", ".F."), inner == ".T.")
     value = F.when(number.isNull() & flag.isNull(), plain(inner))
     return rows.select("path", "express_id", F.concat_ws(".", "set", "name").alias("key"), value.alias("value_text"), number.alias("value_number"), flag.alias("value_boolean"))
+
+
+def citygml_rings(files: DataFrame) -> DataFrame:
+    """Exterior rings of CityGML texts (path, text) by their position lists: path, ring number, array of x, y, z."""
+    lists = F.regexp_extract_all("text", F.lit(r"<gml:exterior>(?s).*?<gml:posList[^>]*>([^<]*)</gml:posList>"), F.lit(1))
+    rows = files.select("path", F.posexplode(lists).alias("ring", "list")).withColumn("v", _numbers("list"))
+    place = lambda k: F.struct(*[F.get("v", 3 * k + j).alias(a) for j, a in enumerate("xyz")])
+    return rows.select("path", "ring", F.transform(F.sequence(F.lit(0), (F.size("v") / 3).cast("int") - 1), place).alias("places"))
+
+
+def collada_meshes(files: DataFrame) -> DataFrame:
+    """Position arrays of COLLADA texts (path, text): path, source id, array of numbers."""
+    found = F.regexp_extract_all("text", F.lit(r'<float_array id="([^"]*)"[^>]*>([^<]*)</float_array>'), F.lit(0))
+    rows = files.select("path", F.explode(found).alias("a"))
+    return rows.select("path", F.regexp_extract("a", 'id="([^"]*)"', 1).alias("source"), _numbers(F.regexp_extract("a", r">([^<]*)<", 1)).alias("numbers"))
+
+
+def detected_crs(files: DataFrame) -> DataFrame:
+    """EPSG codes of WKT texts (path, text), as of .prj files: the outermost authority; null if there is none."""
+    codes = F.regexp_extract_all("text", F.lit(r'(?:AUTHORITY\["EPSG",\s*"?|ID\["EPSG",\s*)([0-9]+)'), F.lit(1))
+    return files.select("path", F.when(F.size(codes) > 0, F.element_at(codes, -1).cast("int")).alias("epsg"))
+
+
+def world_files(files: DataFrame) -> DataFrame:
+    """World files (path, text): pixel sizes, rotations and the centre of the first pixel; texts without six numbers are null."""
+    v = _numbers(F.col("text"))
+    names = ("size_x", "rotation_y", "rotation_x", "size_y", "x", "y")
+    return files.select("path", *[F.when(F.size(v) == 6, F.get(v, F.lit(k))).alias(n) for k, n in enumerate(names)])
+
+
+def usgs_dem(files: DataFrame) -> DataFrame:
+    """USGS DEM texts (path, text): profiles of B records as path, profile, place, v; -32767 is null.
+
+    An A record has 1024 characters; every B record starts at a multiple of that with its row and column numbers and the
+    count of heights, which follow from character 144 in fields of six (146 in the first block, 170 in later ones).
+    """
+    blocks = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.ceil(F.length("text") / 1024).cast("int") - 1), lambda k: F.struct(k.alias("k"), F.substring("text", k * 1024 + 1, F.lit(1024)).alias("b")))).alias("r")).select("path", "r.k", "r.b")
+    head = lambda a: F.trim(F.substring("b", a, 6)).try_cast("int")
+    rows = blocks.select("path", "k", head(7).alias("profile"), head(13).alias("n"), "b").where("n between 1 and 146 and profile is not null")
+    heights = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.trim(F.substring("b", 145 + 6 * i, F.lit(6))).try_cast("double"))
+    out = rows.select("path", "profile", F.posexplode(heights).alias("place", "v"))
+    return out.withColumn("v", F.when(F.col("v") != -32767, F.col("v")))

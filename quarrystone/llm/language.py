@@ -13,8 +13,6 @@ result; other columns pass through and are never inputs.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +25,10 @@ TRAIN, LANDMARKS, RIDGE = 3000, 96, 1e-3
 UNKNOWN = "und"
 #: Below this score a text is in none of the learned languages; the pipeline lets such texts go.
 LEAST_SCORE = 0.1
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    return next(filter(str.isalpha, text or ""), None) is not None
 
 
 def presence(texts: list[str | None], bits: int = BITS) -> np.ndarray:
@@ -80,7 +81,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> dict[str, list]:
         languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        known = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        known = [k for k, t in enumerate(texts) if has_letter(t)] if self.languages else []
         for at in range(0, len(known), 128):
             part = known[at : at + 128]
             values = self.kernel(presence([texts[k] for k in part])) @ self.weights

@@ -189,7 +189,9 @@ def write_shards(docs: DataFrame, folder: str, n_shards: int, vocabulary: str) -
 
     The shards of a task that runs twice have the same name and the same bytes.
     """
-    ranged = docs.select("doc_id", "text").repartitionByRange(n_shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # the texts' hashes let an identifier with very many rows spread over several shards
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
+    ranged = docs.select("doc_id", "text").repartitionByRange(n_shards, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

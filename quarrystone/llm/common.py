@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Kernels get slices of an Arrow batch of about so many bytes of text (one longer text is a slice of its own).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Arrow batches of texts get so many rows where the session has Spark's default, which is meant for small rows.
+BATCH_ROWS, DEFAULT_ROWS = 2000, "10000"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +38,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches: executors then hold less outside the heap."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == DEFAULT_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of a batch, each with at most about ``most`` bytes in ``column``."""
     if not batch.num_rows:
@@ -71,7 +81,7 @@ def append_columns(
                     names=[*part.schema.names, *arrow],
                 )
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
+    return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
 
 
 def _arrow_type(kind: T.DataType) -> pa.DataType:

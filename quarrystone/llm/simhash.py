@@ -186,6 +186,8 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET,
 
 
 WIDE_WORDS, WIDE_SHINGLE, BROAD_SHINGLE, RECALL = 4, 5, 2, 0.99
+#: Comparing is cheap beside moving rows: with larger buckets fewer tables reach the recall.
+WIDE_BUCKET = 4096
 
 
 def _prints(words: Words, k: int, n: int) -> np.ndarray:
@@ -239,7 +241,7 @@ def wide_limits(similarity: float) -> tuple[int, int, float]:
     return int(far(alive, 64 * WIDE_WORDS, 1)), int(far(pair, 64, 3)), 1 - math.acos(pair) / math.pi
 
 
-def wide_links(texts: DataFrame, n: int, similarity: float, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
+def wide_links(texts: DataFrame, n: int, similarity: float, bucket: int = WIDE_BUCKET, tile: int = TILE) -> DataFrame:
     """Edges (a, b) over ``texts`` (node, broad, wide), n of them, whose wide prints are near."""
     most_wide, most_broad, agree = wide_limits(similarity)
     bits = min(40, max(0, math.ceil(math.log2(max(1, n / bucket)))))
@@ -291,7 +293,8 @@ def _tile_pairs(rows: DataFrame, columns: list[str], node: str, tile: int) -> Da
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = WORDS_PER_SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash (xxhash64), simhash, component_id (smallest doc_id reachable).
 
-    With a similarity, texts near by their wide fingerprints are linked besides.
+    With a similarity, texts near by their wide fingerprints are linked besides. The last join is of two tables as read,
+    so that Spark may split the partition of a fingerprint or text that very many rows share.
     """
     base = fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), words_per_shingle)
     base = written((base if similarity is None else wide_fingerprints(base)).drop("text"))
@@ -302,7 +305,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: in
         ids = nodes.join(prints, nodes.node == prints.simhash).select("node", "root", "first_id")
         root_ids = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
         merged = nodes.join(root_ids, "root").select(F.col("node").alias("simhash"), "component_id")
-        final = prints.join(merged, "simhash", "left").select("simhash", F.coalesce("component_id", "first_id").alias("component_id"))
+        final = written(prints.join(merged, "simhash", "left").select("simhash", F.coalesce("component_id", "first_id").alias("component_id")))
         return base.join(final, "simhash").select("doc_id", "text_hash", "simhash", "component_id")
     texts = written(base.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.first("simhash").alias("simhash"), F.first("broad").alias("broad"), F.first("wide").alias("wide")))
     edges = written(edges)
@@ -314,7 +317,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: in
     rooted = nodes.join(texts.select(F.col("text_hash").alias("node"), "first_id"), "node")
     root_ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     merged = rooted.join(root_ids, "root").select(F.col("node").alias("text_hash"), "component_id")
-    final = texts.join(merged, "text_hash", "left").select("text_hash", F.coalesce("component_id", "first_id").alias("component_id"))
+    final = written(texts.join(merged, "text_hash", "left").select("text_hash", F.coalesce("component_id", "first_id").alias("component_id")))
     return base.join(final, "text_hash").select("doc_id", "text_hash", "simhash", "component_id")
 
 

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.llm.common import read, shared_dir, slices
+from quarrystone.llm.common import read, shared_dir, slices, small_batches
 from quarrystone.llm.tokens import default_path, encoder
 
 MAGIC = b"SSTIDS01"
@@ -191,7 +191,7 @@ def write_shards(docs: DataFrame, folder: str, n_shards: int, vocabulary: str) -
     """
     # the texts' hashes let an identifier with very many rows spread over several shards
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    ranged = docs.select("doc_id", "text").repartitionByRange(n_shards, *order).sortWithinPartitions(*order)
+    ranged = small_batches(docs).select("doc_id", "text").repartitionByRange(n_shards, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

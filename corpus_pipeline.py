@@ -29,8 +29,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences."""
-    return packing.packed(docs)
+    """Pieces of the documents with their places in sequences; a small cache, as workers hold earlier stages' memory."""
+    return packing.packed(docs, cache=200_000)
 
 
 STAGES = [

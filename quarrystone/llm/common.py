@@ -80,6 +80,7 @@ def append_columns(
                     [*part.columns, *(pa.array(got[n], type=t) for n, t in arrow.items())],
                     names=[*part.schema.names, *arrow],
                 )
+        pa.default_memory_pool().release_unused()  # the worker goes on to other stages
 
     return small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *added.fields]))
 

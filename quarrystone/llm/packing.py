@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import read, slices, small_batches, written
-from quarrystone.llm.tokens import default_path, encoder
+from quarrystone.llm.tokens import CACHE, default_path, encoder
 
 CAPACITY = 2048
 
@@ -176,11 +176,14 @@ def slots(sequences: list[tuple[int, list[int]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32. Documents over the capacity are cut, the rest coming first."""
+def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32. Documents over the capacity are cut, the rest coming first.
+
+    A smaller cache takes less memory and more time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, cache)
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
@@ -194,9 +197,9 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
     """Per piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = written(pieces(docs, vocabulary or default_path(), capacity))
+    cut = written(pieces(docs, vocabulary or default_path(), capacity, cache))
     n = cut.count()
     salts = max(64, n // 200_000)
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))

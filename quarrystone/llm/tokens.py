@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 END_ID = 0
-#: A worker keeps so many distinct cuts at most; then it starts anew.
+#: A worker keeps so many distinct cuts at most; then it starts anew. That many take about 200 MB.
 CACHE = 900_000
 #: White space before a space or line feed: where a run of it is cut could matter.
 _RUN = re.compile(r"[^\S\n ][ \n]")
@@ -42,13 +42,13 @@ def default_path() -> str:
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, the end id appended to each."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        self.model, self.cache = self.tokenizer.model, cache
         self.cuts: dict[str, bytes] = {}
         self.starts: dict[str, bytes] = {}
         self.end = np.uint32(END_ID).astype("<u4").tobytes()
@@ -69,9 +69,9 @@ class Encoder:
                 gc.enable()
 
     def _encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cuts) > CACHE:
+        if len(self.cuts) > self.cache:
             self.cuts.clear()
-        if len(self.starts) > CACHE // 4:
+        if len(self.starts) > self.cache // 4:
             self.starts.clear()
         plans, whole, new = [], [], set()
         get = self.cuts.get
@@ -143,8 +143,9 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """This worker's encoder for a vocabulary file."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].cache = cache
     return _encoders[path]

@@ -7,10 +7,10 @@ a tile pair bit planes stand vertically, 64 fingerprints to a machine word: one
 updates 64 distances, and words in which all distances are over the radius are abandoned. A tile pair reports a spanning
 forest of its links, which loses no component and never lists all pairs.
 
-Given a similarity (the pipeline: five-word shingles, 0.8), texts are also linked by wide fingerprints of 256 bits, whose
-distance estimates that similarity well: a 64-bit SimHash of word pairs deals texts into buckets by random choices of its
-bits, as many as are needed for a recall of 0.99 there, and compares them bit-sliced; pairs that are near by it are held
-against each other by their wide fingerprints.
+Given a similarity (the pipeline: 0.8), texts are also linked whose distinct five-word shingles have that Jaccard
+similarity. Wide fingerprints of 256 bits only find candidates: random choices of their bits deal texts into buckets, as
+many as the whole chain needs for a recall of 0.99 there, and near ones become candidates. Inside each component of
+candidates the shingles themselves are compared, in tile pairs, and only pairs that are alike by them are linked.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and is linked like any other; fewer words
 than a shingle count as one shingle; repeated rows share a fingerprint and so a component; null doc_ids never become a
@@ -27,7 +27,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,7 +171,7 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET,
             shift += size
         keys.append(F.struct(F.lit(k).alias("band"), value.alias("key")))
     rows = prints.select("simhash", F.explode(F.array(*keys)).alias("k")).select("simhash", "k.band", "k.key")
-    dealt = _tile_pairs(rows, ["simhash"], "simhash", tile)
+    dealt = _tile_pairs(rows, ["simhash"], "simhash", F.ceil(F.count("*") / F.lit(tile)))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         i, j = int(group["i"].iloc[0]), int(group["j"].iloc[0])
@@ -185,13 +185,15 @@ def links(prints: DataFrame, n: int, radius: int = RADIUS, bucket: int = BUCKET,
     return dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-WIDE_WORDS, WIDE_SHINGLE, BROAD_SHINGLE, RECALL = 4, 5, 2, 0.99
+WIDE_WORDS, WIDE_SHINGLE, RECALL = 4, 5, 0.99
 #: Comparing is cheap beside moving rows: with larger buckets fewer tables reach the recall.
 WIDE_BUCKET = 4096
+#: A tile of a component of candidates has about so many shingles on average (8 bytes each).
+TILE_SHINGLES = 1 << 21
 
 
-def _prints(words: Words, k: int, n: int) -> np.ndarray:
-    """Per document n 64-bit SimHashes of its distinct windows of k words (all words, if fewer); zeros without words."""
+def _shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct windows of k words (all words, if fewer), as hashes, and their documents; sorted by document and hash."""
     h, at = words.grams(k)
     doc = words.doc[at]
     sizes = np.bincount(words.doc, minlength=words.n_docs)
@@ -204,83 +206,152 @@ def _prints(words: Words, k: int, n: int) -> np.ndarray:
     h, doc = h[order], doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new]
+    return h[new], doc[new]
+
+
+def _prints(words: Words, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per document n 64-bit SimHashes of its distinct windows of k words, zeros without words; and how many it has."""
+    h, doc = _shingles(words, k)
     out = np.zeros((words.n_docs, n), np.uint64)
     if not len(h):
-        return out
+        return out, np.zeros(words.n_docs, np.int64)
     starts = np.flatnonzero(np.diff(doc, prepend=-1))
     total = np.diff(np.append(starts, len(h)))
     for seed in range(n):
         bits = np.unpackbits(mixed(h + np.uint64(seed)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         out[doc[starts], seed] = np.packbits(2 * ones > total[:, None], axis=1).view(">u8").ravel()
-    return out
+    return out, np.bincount(doc, minlength=words.n_docs)
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``broad`` (64 bits of word pairs) and ``wide`` (256 bits of five-word shingles), null without words."""
+    """``docs`` with ``wide`` (256 bits of five-word shingles, null without words) and ``shingles``, how many those are."""
 
     def kernel(texts):
-        words = Words(texts)
-        known = np.bincount(words.doc, minlength=len(texts)) > 0
-        broad, wide = _prints(words, BROAD_SHINGLE, 1)[:, 0].view(np.int64), _prints(words, WIDE_SHINGLE, WIDE_WORDS)
-        return {"broad": [int(b) if k else None for b, k in zip(broad, known)], "wide": [w.tobytes() if k else None for w, k in zip(wide, known)]}
+        wide, sizes = _prints(Words(texts), WIDE_SHINGLE, WIDE_WORDS)
+        return {"wide": [w.tobytes() if n else None for w, n in zip(wide, sizes)], "shingles": sizes}
+
+    return append_columns(docs, kernel, T.StructType([T.StructField("wide", T.BinaryType()), T.StructField("shingles", T.LongType())]))
+
 
-    return append_columns(docs, kernel, T.StructType([T.StructField("broad", T.LongType()), T.StructField("wide", T.BinaryType())]))
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """``texts`` (node, text) as node and ``sets``, the sorted hashes of the distinct five-word shingles (8 bytes each)."""
+
+    def kernel(part):
+        h, doc = _shingles(Words(part), WIDE_SHINGLE)
+        cuts = np.searchsorted(doc, np.arange(len(part) + 1))
+        return {"sets": [h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]}
+
+    return append_columns(texts, kernel, T.StructType([T.StructField("sets", T.BinaryType())])).drop("text")
 
 
 def wide_limits(similarity: float) -> tuple[int, int, float]:
-    """For a Jaccard similarity of five-word shingles: the largest distance of wide prints (its mean and a standard
-    deviation), of broad prints (its mean and three), and the chance that a bit of the broad prints agrees.
+    """For a Jaccard similarity of shingles: the largest distance of wide prints (its mean and three standard deviations),
+    of their first 64 bits (its mean and four), and the chance that a bit differs. Each is a filter; none decides."""
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    far = lambda n, more: int(n * differ + more * math.sqrt(n * differ * (1 - differ)))
+    return far(64 * WIDE_WORDS, 3), far(64, 4), differ
 
-    A shingle survives with chance 2s / (1 + s), so a word with the fifth root of that, and a pair with its square.
-    """
-    alive = 2 * similarity / (1 + similarity)
-    far = lambda cosine, n, more: n * (t := math.acos(cosine) / math.pi) + more * math.sqrt(n * t * (1 - t))
-    pair = alive ** (BROAD_SHINGLE / WIDE_SHINGLE)
-    return int(far(alive, 64 * WIDE_WORDS, 1)), int(far(pair, 64, 3)), 1 - math.acos(pair) / math.pi
+
+def wide_recall(similarity: float, bits: int, tables: int) -> float:
+    """The chance that a pair of that similarity shares one of the tables' buckets and passes both limits."""
+    most_wide, most_first, differ = wide_limits(similarity)
+    n = 64 * WIDE_WORDS
+    chance = lambda n, d: math.comb(n, d) * differ**d * (1 - differ) ** (n - d)
+    met = sum(chance(n, d) * (1 - (1 - math.comb(n - d, bits) / math.comb(n, bits)) ** tables) for d in range(most_wide + 1))
+    return met - sum(chance(64, d) for d in range(most_first + 1, 65))
 
 
-def wide_links(texts: DataFrame, n: int, similarity: float, bucket: int = WIDE_BUCKET, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) over ``texts`` (node, broad, wide), n of them, whose wide prints are near."""
-    most_wide, most_broad, agree = wide_limits(similarity)
+def wide_tables(similarity: float, n: int, bucket: int = WIDE_BUCKET) -> tuple[int, int]:
+    """For n texts: the bits of a bucket's key, and the fewest tables that give the recall."""
     bits = min(40, max(0, math.ceil(math.log2(max(1, n / bucket)))))
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**bits)) if bits else 1
+    tables = 1
+    while bits and wide_recall(similarity, bits, tables) < RECALL:
+        tables += 1
+    return bits, tables
+
+
+def _near(wide: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, most_wide: int, most_first: int):
+    """Yields index arrays of the pairs of ``left`` and ``right`` whose wide prints are near."""
+    for a, b in bit_sliced(wide[left, 0], wide[right, 0], most_first):
+        a, b = left[a], right[b]
+        keep = a < b if same else slice(None)
+        a, b = a[keep], b[keep]
+        far = np.zeros(len(a), np.int64)
+        for w in range(WIDE_WORDS):
+            far += np.bitwise_count(wide[a, w] ^ wide[b, w])
+        yield a[far <= most_wide], b[far <= most_wide]
+
+
+def _sides(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Of a tile pair: nodes, wide prints, the rows of either tile, and whether it is one tile with itself."""
+    i, j, side = int(group["i"].iloc[0]), int(group["j"].iloc[0]), group["own"].to_numpy()
+    wide = np.frombuffer(b"".join(map(bytes, group["wide"])), np.uint64).reshape(-1, WIDE_WORDS)
+    return group["node"].to_numpy(), wide, np.flatnonzero(side == i), np.flatnonzero(side == j), i == j
+
+
+def wide_candidates(texts: DataFrame, n: int, similarity: float, bucket: int = WIDE_BUCKET, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) over ``texts`` (node, wide), n of them, as a forest per tile pair of those whose wide prints are near."""
+    most_wide, most_first, _ = wide_limits(similarity)
+    bits, tables = wide_tables(similarity, n, bucket)
     keys = []
     for k in range(tables):
         value = F.lit(0).cast("long")
-        for place, bit in enumerate(sorted(random.Random(k).sample(range(64), bits))):
-            value = value.bitwiseOR(F.shiftleft(F.shiftrightunsigned("broad", bit).bitwiseAND(F.lit(1)), place))
+        for place, bit in enumerate(sorted(random.Random(k).sample(range(64 * WIDE_WORDS), bits))):
+            value = value.bitwiseOR(F.shiftleft(F.shiftright(f"part{bit // 32}", bit % 32).bitwiseAND(F.lit(1)), place))
         keys.append(F.struct(F.lit(k).alias("band"), value.alias("key")))
-    rows = texts.where("wide is not null").select("node", "broad", "wide", F.explode(F.array(*keys)).alias("k")).select("node", "broad", "wide", "k.band", "k.key")
+    parts = [F.conv(F.hex(F.substring("wide", 4 * k + 1, 4)), 16, 10).cast("long").alias(f"part{k}") for k in range(2 * WIDE_WORDS)]
+    rows = texts.where("wide is not null").select("node", "wide", *parts).select("node", "wide", F.explode(F.array(*keys)).alias("k")).select("node", "wide", "k.band", "k.key")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j, side = int(group["i"].iloc[0]), int(group["j"].iloc[0]), group["own"].to_numpy()
-        node, broad = group["node"].to_numpy(), group["broad"].to_numpy().view(np.uint64)
-        wide = np.frombuffer(b"".join(map(bytes, group["wide"])), np.uint64).reshape(-1, WIDE_WORDS)
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-
-        def near():
-            for a, b in bit_sliced(broad[left], broad[right], most_broad):
-                a, b = left[a], right[b]
-                keep = a < b if i == j else slice(None)
-                a, b = a[keep], b[keep]
-                far = np.zeros(len(a), np.int64)
-                for w in range(WIDE_WORDS):
-                    far += np.bitwise_count(wide[a, w] ^ wide[b, w])
-                yield a[far <= most_wide], b[far <= most_wide]
-
-        label = labels(len(node), near())
+        node, wide, left, right, same = _sides(group)
+        label = labels(len(node), _near(wide, left, right, same, most_wide, most_first))
         moved = np.flatnonzero(label != np.arange(len(node)))
         return pd.DataFrame({"a": node[moved], "b": node[label[moved]]})
 
-    dealt = _tile_pairs(rows, ["node", "broad", "wide"], "node", tile)
+    dealt = _tile_pairs(rows, ["node", "wide"], "node", F.ceil(F.count("*") / F.lit(tile)))
     return dealt.groupBy("band", "key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
 
 
-def _tile_pairs(rows: DataFrame, columns: list[str], node: str, tile: int) -> DataFrame:
-    """Rows of buckets (band, key) that have two rows or more, dealt to pairs (i, j) of tiles; own is a row's tile."""
-    sizes = rows.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have at least that Jaccard similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) < similarity * len(b) - 1e-9:
+        return False
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum())
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def wide_links(texts: DataFrame, docs: DataFrame, n: int, similarity: float, bucket: int = WIDE_BUCKET, tile: int = TILE, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """Edges (a, b) over ``texts`` (node, wide, shingles), n of them, whose shingles have that Jaccard similarity, as a
+    forest per tile pair; ``docs`` (node, text, repeated at will) has the texts."""
+    most_wide, most_first, _ = wide_limits(similarity)
+    found = written(connected_components(wide_candidates(texts, n, similarity, bucket, tile)))
+    sets = shingle_sets(docs.groupBy("node").agg(F.first("text").alias("text")).join(found.select("node"), "node", "left_semi"))
+    rows = written(sets).join(texts, "node").join(found, "node").select("node", "wide", "sets", "shingles", F.lit(0).alias("band"), F.col("root").alias("key"))
+
+    def confirm(group: pd.DataFrame) -> pd.DataFrame:
+        node, wide, left, right, same = _sides(group)
+        sets = [np.frombuffer(s, np.uint64) for s in group["sets"]]
+        label, out = np.arange(len(node)), []
+        for a, b in _near(wide, left, right, same, most_wide, most_first):
+            for row in np.unique(a).tolist():
+                own = b[a == row]
+                for other in own[label[own] != label[row]].tolist():
+                    if label[other] != label[row] and alike(sets[row], sets[other], similarity):
+                        label[label == label[other]] = label[row]
+                        out.append((node[row], node[other]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    dealt = _tile_pairs(rows, ["node", "wide", "sets"], "node", F.ceil(F.greatest(F.count("*") / F.lit(tile), F.sum("shingles") / F.lit(tile_shingles))))
+    return dealt.groupBy("band", "key", "i", "j").applyInPandas(confirm, "a long, b long").distinct()
+
+
+def _tile_pairs(rows: DataFrame, columns: list[str], node: str, tiles: Column) -> DataFrame:
+    """Rows of buckets (band, key) that have two rows or more, dealt to pairs (i, j) of so many tiles; own is a row's tile."""
+    sizes = rows.groupBy("band", "key").agg(tiles.cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
     own = F.pmod(F.xxhash64(node, "band"), F.col("tiles")).cast("int")
     return (
         rows.join(sizes, ["band", "key"])
@@ -293,7 +364,7 @@ def _tile_pairs(rows: DataFrame, columns: list[str], node: str, tile: int) -> Da
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = WORDS_PER_SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash (xxhash64), simhash, component_id (smallest doc_id reachable).
 
-    With a similarity, texts near by their wide fingerprints are linked besides. The last join is of two tables as read,
+    With a similarity, texts whose five-word shingles are that alike are linked besides. The last join is of two tables as read,
     so that Spark may split the partition of a fingerprint or text that very many rows share.
     """
     base = fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), words_per_shingle)
@@ -307,12 +378,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: in
         merged = nodes.join(root_ids, "root").select(F.col("node").alias("simhash"), "component_id")
         final = written(prints.join(merged, "simhash", "left").select("simhash", F.coalesce("component_id", "first_id").alias("component_id")))
         return base.join(final, "simhash").select("doc_id", "text_hash", "simhash", "component_id")
-    texts = written(base.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.first("simhash").alias("simhash"), F.first("broad").alias("broad"), F.first("wide").alias("wide")))
+    texts = written(base.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.first("simhash").alias("simhash"), F.first("wide").alias("wide"), F.first("shingles").alias("shingles")))
     edges = written(edges)
     linked = edges.select(F.col("a").alias("simhash")).union(edges.select("b")).union(prints.where("texts > 1").select("simhash")).distinct()
     # texts and fingerprints are nodes of one graph; both are 64-bit hashes
     of_prints = texts.join(linked, "simhash").select(F.col("text_hash").alias("a"), F.col("simhash").alias("b"))
-    of_texts = wide_links(texts.select(F.col("text_hash").alias("node"), "broad", "wide"), texts.count(), similarity)
+    sources = docs.select(F.xxhash64("text").alias("node"), "text")
+    of_texts = wide_links(texts.select(F.col("text_hash").alias("node"), "wide", "shingles"), sources, texts.count(), similarity)
     nodes = written(connected_components(edges.union(of_prints).union(of_texts)))
     rooted = nodes.join(texts.select(F.col("text_hash").alias("node"), "first_id"), "node")
     root_ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))

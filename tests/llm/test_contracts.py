@@ -437,6 +437,43 @@ def test_wide_prints_link_similar_texts(spark):
     assert n == 0
 
 
+def test_similar_texts_are_confirmed_by_their_shingles(spark):
+    """Of pairs with scattered and block edits, those 0.8 alike are linked (recall 0.99 at 0.8), others never."""
+    from quarrystone.llm import simhash
+
+    def sets(t):
+        words = t.split()
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    rng = random.Random(5)
+    rows, far, close = [], [], []
+    for k in range(600):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 400))]
+        want = rng.uniform(0.7, 0.75) if k % 2 else rng.uniform(0.8, 0.85)
+        other, n = list(words), 0
+        places, start = rng.sample(range(len(words)), len(words)), rng.randrange(len(words) // 2)
+        while True:  # one more word changes, as long as the pair stays as alike as wanted
+            more = list(other)
+            more[start + n if k % 4 < 2 else places[n]] = f"new{n}"
+            a, b = sets(" ".join(words)), sets(" ".join(more))
+            if len(a & b) / len(a | b) < want:
+                break
+            other, n = more, n + 1
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        a, b = sets(rows[-2][1]), sets(rows[-1][1])
+        (close if len(a & b) / len(a | b) >= 0.8 else far).append(k)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    texts = simhash.wide_fingerprints(df.select(F.xxhash64("text").alias("node"), "text")).drop("text").cache()
+    docs = df.select(F.xxhash64("text").alias("node"), "text")
+    ids = {r["node"]: r["doc_id"] for r in df.select(F.xxhash64("text").alias("node"), "doc_id").collect()}
+    # buckets of 75 texts give four bits and several tables; tiles of 40 and of few shingles give pairs of tiles
+    for bucket, tile, shingles in ((4096, 4096, 1 << 21), (75, 40, 300)):
+        got = {tuple(sorted((ids[r["a"]], ids[r["b"]]))) for r in simhash.wide_links(texts, docs, len(rows), 0.8, bucket, tile, shingles).collect()}
+        assert got <= {(2 * k, 2 * k + 1) for k in close}
+        assert len(got) >= 0.98 * len(close)
+    assert len(far) > 250 and len(close) > 250
+
+
 def test_toxicity(spark, folder):
     from quarrystone.llm import toxicity
 

@@ -362,7 +362,8 @@ def _tile_pairs(rows: DataFrame, columns: list[str], node: str, tiles: Column) -
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = WORDS_PER_SHINGLE, similarity: float | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text_hash (xxhash64), simhash, component_id (smallest doc_id reachable).
+    """One row per row of ``docs``: doc_id, text_hash (xxhash64), simhash, component_id (smallest doc_id reachable), root
+    (the component's own name: its root node, or a lone text's or fingerprint's; unlike doc_ids never null or shared).
 
     With a similarity, texts whose five-word shingles are that alike are linked besides. The last join is of two tables as read,
     so that Spark may split the partition of a fingerprint or text that very many rows share.
@@ -375,9 +376,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: in
         nodes = written(connected_components(edges))
         ids = nodes.join(prints, nodes.node == prints.simhash).select("node", "root", "first_id")
         root_ids = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
-        merged = nodes.join(root_ids, "root").select(F.col("node").alias("simhash"), "component_id")
-        final = written(prints.join(merged, "simhash", "left").select("simhash", F.coalesce("component_id", "first_id").alias("component_id")))
-        return base.join(final, "simhash").select("doc_id", "text_hash", "simhash", "component_id")
+        merged = nodes.join(root_ids, "root").select(F.col("node").alias("simhash"), "root", "component_id")
+        final = written(prints.join(merged, "simhash", "left").select("simhash", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "simhash").alias("root")))
+        return base.join(final, "simhash").select("doc_id", "text_hash", "simhash", "component_id", "root")
     texts = written(base.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.first("simhash").alias("simhash"), F.first("wide").alias("wide"), F.first("shingles").alias("shingles")))
     edges = written(edges)
     linked = edges.select(F.col("a").alias("simhash")).union(edges.select("b")).union(prints.where("texts > 1").select("simhash")).distinct()
@@ -388,16 +389,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: in
     nodes = written(connected_components(edges.union(of_prints).union(of_texts)))
     rooted = nodes.join(texts.select(F.col("text_hash").alias("node"), "first_id"), "node")
     root_ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    merged = rooted.join(root_ids, "root").select(F.col("node").alias("text_hash"), "component_id")
-    final = written(texts.join(merged, "text_hash", "left").select("text_hash", F.coalesce("component_id", "first_id").alias("component_id")))
-    return base.join(final, "text_hash").select("doc_id", "text_hash", "simhash", "component_id")
+    merged = rooted.join(root_ids, "root").select(F.col("node").alias("text_hash"), "root", "component_id")
+    final = written(texts.join(merged, "text_hash", "left").select("text_hash", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "text_hash").alias("root")))
+    return base.join(final, "text_hash").select("doc_id", "text_hash", "simhash", "component_id", "root")
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = WORDS_PER_SHINGLE, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each group the document with the smallest doc_id (of repeated
     doc_ids the smallest text hash) stays, once."""
     found = near_duplicates(docs, radius, words_per_shingle, similarity)
-    keep = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k"))
+    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k"))
     keep = keep.select(F.col("k.doc_id").alias("kept_id_"), F.col("k.text_hash").alias("kept_hash_"))
     joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.xxhash64("text") == F.col("kept_hash_")))
     return joined.dropDuplicates(["kept_id_", "kept_hash_"]).select(*docs.columns)

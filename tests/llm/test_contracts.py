@@ -437,6 +437,19 @@ def test_wide_prints_link_similar_texts(spark):
     assert n == 0
 
 
+@pytest.mark.parametrize("similarity", [None, 0.8])
+def test_deduplication_keeps_texts_of_null_and_repeated_ids(spark, similarity):
+    """Different texts stay, whatever their doc_ids; copies go."""
+    from quarrystone.llm import simhash
+
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (9, texts[4]), (None, texts[4]), (7, texts[5]), (7, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter(rows_of(simhash.deduplicated(df, similarity=similarity)))
+    assert kept == Counter([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (7, texts[5])])
+
+
 def test_similar_texts_are_confirmed_by_their_shingles(spark):
     """Of pairs with scattered and block edits, those 0.8 alike are linked (recall 0.99 at 0.8), others never."""
     from quarrystone.llm import simhash

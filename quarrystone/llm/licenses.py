@@ -1,7 +1,8 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
-The index holds, for every word of the licence templates, the templates and places where it stands. In each file the
-licence words with the highest inverse document frequency (counted over all documents) are looked up; a posting at place p
+The index holds, for each template's words with the highest inverse document frequency (counted over all documents), the
+templates and places where they stand. In each file these words of all templates whose key phrases stand in it are looked
+up, however many other templates' words it has; a posting at place p
 of a template and a word at place w of the file point to a copy that begins at w - p. A template whose rare words agree
 about one beginning is a candidate, and it counts if all of its mandatory key phrases stand in the file.
 
@@ -47,7 +48,7 @@ HINTS = ("license", "permission", "redistribution", "cc", "creative", "unencumbe
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: The rarest licence words of a file that are looked up, and the share of a template's rare words there that must agree.
+#: The rarest words of a template that are looked up, and the share of those that stand in the file that must agree.
 RARE, AGREE = 12, 0.5
 
 
@@ -95,6 +96,7 @@ def licensed(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     counts, total = document_frequencies(docs)
     by_rarity = sorted(counts, key=lambda w: (-math.log((1 + total) / (1 + counts[w])), w))
+    rarest = [[w for w in by_rarity if w in t.split()][:RARE] for _, t, _ in TEMPLATES]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = rows.withColumn("n_words", count).withColumn("w", F.when(_hinted(F.col("text")), _words(F.col("text"))))
@@ -111,11 +113,12 @@ def licensed(docs: DataFrame) -> DataFrame:
     line = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
     verified = F.filter(F.array(*[F.when(_all([F.contains(line, F.lit(f" {p} ")) for p in phrases]), F.lit(n)) for n, (_, _, phrases) in enumerate(TEMPLATES)]), lambda x: x.isNotNull())
     files = files.withColumn("verified", verified).where(F.size("verified") > 0)
-    files = files.withColumn("rare", F.slice(F.array_intersect(F.array(*map(F.lit, by_rarity)), F.col("w")), 1, RARE))
+    own_words = F.array(*[F.array(*map(F.lit, own)) for own in rarest])
+    files = files.withColumn("rare", F.array_intersect(F.flatten(F.transform("verified", lambda n: F.get(own_words, n))), F.col("w")))
     marked = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(F.col("rare"), x["word"]))
     hits = files.select("doc_id", "h", "verified", "rare", F.explode(marked).alias("hit")).select("doc_id", "h", "verified", "rare", "hit.word", "hit.at")
     # A fixed table of a few hundred postings.
-    postings = spark.createDataFrame([(w, n, p, sorted(set(t.split()))) for n, (_, t, _) in enumerate(TEMPLATES) for p, w in enumerate(t.split())], "word string, template int, place int, own array<string>")
+    postings = spark.createDataFrame([(w, n, p, rarest[n]) for n, (_, t, _) in enumerate(TEMPLATES) for p, w in enumerate(t.split()) if w in rarest[n]], "word string, template int, place int, own array<string>")
     met = hits.join(F.broadcast(postings), "word").where(F.array_contains("verified", F.col("template")))
     looked_up = F.size(F.array_intersect("own", "rare"))
     copies = met.groupBy("doc_id", "h", "template", (F.col("at") - F.col("place")).alias("begin")).agg((F.count_distinct("word") / F.first(looked_up)).alias("share"))

@@ -208,6 +208,18 @@ def test_licenses(spark, folder, docs):
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
 
 
+def test_licenses_of_a_file_with_all_templates(spark):
+    """Every template that stands in a file is found, whatever other licence words the file has."""
+    from quarrystone.llm.licenses import TEMPLATES, licensed
+
+    every = "\n".join(t for _, t, _ in TEMPLATES)
+    others = " ".join(sorted({w for _, t, _ in TEMPLATES for w in t.split()}))
+    rows = [(1, every), (2, f"{others} . {every} . {others}"), *((10 + n, f"{others} . {t}") for n, (_, t, _) in enumerate(TEMPLATES))]
+    got = {r["doc_id"]: set(r["labels"]) for r in licensed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] >= {label for label, _, _ in TEMPLATES} and got[2] >= {label for label, _, _ in TEMPLATES}
+    assert all(label in got[10 + n] for n, (label, _, _) in enumerate(TEMPLATES))
+
+
 def test_language(spark, folder):
     from quarrystone.llm import language
 

@@ -3,7 +3,10 @@
 Texts are cut before single spaces and line feeds, where the vocabulary's byte-level pattern always begins a new piece, and
 every distinct cut is encoded once per worker; a cut that is one word, or a word and marks after it, goes to the library's
 BPE model as those pieces, any other cut to its whole pipeline. That changes no id and saves most of the work. Texts with
-runs of white space where a cut could matter are encoded whole.
+runs of white space where a cut could matter, and texts that hold an added token of the vocabulary (such as
+``<|endoftext|>``, which the library makes one id), are encoded whole by the library.
+
+Defined cases: null and empty texts have no ids; ids are those of the library with ``add_special_tokens=False``.
 """
 
 from __future__ import annotations
@@ -16,8 +19,8 @@ from array import array
 import numpy as np
 
 END_ID = 0
-#: A worker keeps so many distinct cuts at most; then it starts anew. That many take about 200 MB.
-CACHE = 900_000
+#: A worker keeps so many distinct cuts, of so many characters at most; then it starts anew. That many take about 200 MB.
+CACHE, LONGEST_CUT = 900_000, 64
 #: White space before a space or line feed: where a run of it is cut could matter.
 _RUN = re.compile(r"[^\S\n ][ \n]")
 _MARKS = ",.!?;:*#%$&|"
@@ -47,8 +50,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.cache = self.tokenizer.model, cache
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cuts: dict[str, bytes] = {}
         self.starts: dict[str, bytes] = {}
         self.end = np.uint32(END_ID).astype("<u4").tobytes()
@@ -78,7 +81,7 @@ class Encoder:
         for text in texts:
             if not text:
                 plans.append(())
-            elif text[0].isspace() or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or _RUN.search(text):
+            elif any(map(text.__contains__, self.added)) or text[0].isspace() or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or _RUN.search(text):
                 plans.append(None)
                 whole.append(text)
             else:
@@ -92,6 +95,8 @@ class Encoder:
                 else:
                     plans.append((None, found))
         self._learn(new)
+        # cuts of texts without spaces may be whole lines; they serve this slice only
+        long = [x for x in new if len(x) > LONGEST_CUT]
         wholes = iter(self.ids(whole))
         out, skip = [], len(self.line)
         for plan in plans:
@@ -102,6 +107,10 @@ class Encoder:
             else:
                 cuts, found = plan
                 out.append((b"".join(map(self.cuts.__getitem__, cuts) if found is None else found) + self.end)[skip:])
+        for x in long:
+            self.cuts.pop(x, None)
+            self.cuts.pop(x.rstrip(_MARKS), None)
+            self.starts.pop(x.rstrip(_MARKS)[1:], None)
         return out
 
     def _learn(self, new: set[str]) -> None:

@@ -243,7 +243,6 @@ def test_packing(spark, folder, docs):
     from quarrystone.llm.tokens import default_path
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     want = Counter()
     for doc_id, text in docs:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
@@ -265,6 +264,23 @@ def test_packing(spark, folder, docs):
     assert len(sequences) <= -(-sum(r[3] for r in rows) // 2048) * 1.02 + 1
 
 
+def test_ids_are_the_librarys():
+    """Texts with added tokens, odd spaces, marks, long runs and several scripts, against the unaltered library."""
+    from tokenizers import Tokenizer
+
+    from quarrystone.llm.tokens import LONGEST_CUT, Encoder, default_path
+
+    t, own = Tokenizer.from_file(default_path()), Encoder(default_path(), 50)
+    rng = random.Random(8)
+    parts = ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "\n\n", "\t", "\u3000", "word", "Wort,", "don't", "x" * 200, "日本語" * 40, "1234", "#", "é", "😀", "a-b", "\r\n", "\u00a0"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)] + [" ".join(rng.choices(parts, k=9)) for _ in range(1000)]
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        want = [np.array([*x.ids, 0], "<u4").tobytes() for x in t.encode_batch(part, add_special_tokens=False)]
+        assert own.encode(part) == want
+    assert all(len(x) <= LONGEST_CUT for x in own.cuts)
+
+
 def exact_bins(items, capacity):
     """The fewest bins, by trying everything."""
     best = [len(items)]
@@ -541,7 +557,6 @@ def test_sstable(spark, folder, docs, tmp_path):
     from quarrystone.llm.tokens import default_path
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     coded = [(doc_id, np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()) for doc_id, text in docs]
     rows = rows_of(sstable.query(spark, folder))
     assert Counter((r[0], r[2], r[3]) for r in rows) == Counter((i, len(x) // 4, zlib.crc32(x)) for i, x in coded)

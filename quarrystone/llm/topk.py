@@ -3,15 +3,18 @@
 Vectors are quantised to integers; the score is their inner product. With one more component, the root of M - |x|^2 (M:
 the largest squared norm), every candidate has the same norm, so the largest product is the smallest distance, and
 distances obey the triangle inequality: for pivots p, max |d(q, p) - d(x, p)| is a lower bound of d(q, x). The distances
-of all candidates to the pivots are computed once. For each query the candidates are taken in the order of their bounds,
-and the search stops as soon as the next bound is over the k-th distance found, which is exact.
+of all candidates to the pivots are computed once. Each query starts with the k-th best score in a bounded sample, which
+its result can't be below; the candidates are taken in the order of their bounds, and the search stops as soon as the next
+bound is over the distance of the k-th score known, which is exact.
 
 Candidates and queries are packed into blocks; every block of queries meets every block of candidates in a task of its
-own, and the best of each block are merged by Spark. Nothing but the pivots is broadcast.
+own, gives only what isn't below the queries' first scores, and Spark merges that. Nothing but the pivots and the sample is
+broadcast. Inside a task's part of the table, rows near the same pivot lie in the same block, so whole blocks fall out.
 
-Defined cases: vectors that are null or hold a null or non-finite component, or whose length isn't the commonest, take no
-part; a null vec_id takes no part; rows with the query's vec_id are its own; repeated rows of another vec_id are all
-candidates; repeated queries count once; ties go to the smaller vec_id; an empty table gives an empty result.
+Defined cases: vectors that are null or hold a null or non-finite component take no part; a null vec_id takes no part; of
+vectors of unlike length the shorter one counts as filled with zeros; rows with the query's vec_id are its own; repeated
+rows of another vec_id are all candidates; of queries with the same vec_id the one whose vector sorts first counts; ties go
+to the smaller vec_id; scores beyond 64 bits become the nearest 64-bit number; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,9 +37,24 @@ def quantised(vectors: DataFrame) -> DataFrame:
     """vec_id and q, floor(1024 * x) of every component, of the vectors that take part."""
     x = F.col("embedding").cast("array<double>")
     fine = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * SCALE).cast("long")).alias("q"))
-    size = rows.groupBy(F.size("q").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("q") == (size[0]["n"] if size else 0))
+    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * SCALE).cast("long")).alias("q"))
+
+
+def matrix(rows: list | np.ndarray, width: int | None = None) -> np.ndarray:
+    """Vectors as rows of a matrix, the shorter ones filled with zeros."""
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    out = np.zeros((len(rows), max(1, sizes.max(initial=0)) if width is None else width), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.concatenate([*rows, []]).astype(np.int64) if len(rows) else 0
+    return out
+
+
+def products(x: np.ndarray, q: np.ndarray, exact: bool) -> np.ndarray:
+    """Inner products of the rows of x with q, the shorter side filled with zeros; not ``exact``: they may pass 64 bits."""
+    d = min(x.shape[1], q.shape[-1])
+    if exact:
+        return x[:, :d] @ q[:d]
+    big = x[:, :d].astype(object) @ q[:d].astype(object)
+    return np.array([max(-(1 << 63), min((1 << 63) - 1, int(v))) for v in big], np.int64)
 
 
 def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
@@ -52,83 +70,103 @@ def choose_pivots(sample: np.ndarray, n: int = PIVOTS) -> np.ndarray:
 
 def lifted_distances(x: np.ndarray, pivots: np.ndarray, top: float, lift: bool) -> np.ndarray:
     """Distances to the pivots (which are lifted candidates), of candidates (lifted) or queries (last component 0)."""
-    x = x.astype(np.float64)
+    x, d = x.astype(np.float64), min(x.shape[1], pivots.shape[1])
     last = np.sqrt(np.maximum(0, top - (x**2).sum(1))) if lift else np.zeros(len(x))
     p_last = np.sqrt(np.maximum(0, top - (pivots**2).sum(1)))
-    squared = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * x @ pivots.T + (last[:, None] - p_last[None, :]) ** 2
+    squared = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * x[:, :d] @ pivots[:, :d].T + (last[:, None] - p_last[None, :]) ** 2
     return np.sqrt(np.maximum(0, squared))
 
 
-def search(queries: np.ndarray, q_ids: np.ndarray, q_far: np.ndarray, rows: np.ndarray, ids: np.ndarray, far: np.ndarray, top: float, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Per query: its number, and the vec_ids and scores of its k best of these candidates, best first."""
-    bounds = np.zeros((len(queries), len(rows)))
-    for p in range(far.shape[1]):
-        np.maximum(bounds, np.abs(q_far[:, p, None] - far[None, :, p]), out=bounds)
+def first_scores(queries: np.ndarray, q_ids: np.ndarray, sample: np.ndarray, ids: np.ndarray, k: int, exact: bool) -> np.ndarray:
+    """Per query the k-th best score in a sample of the candidates, or the smallest number where the sample has fewer."""
+    out = np.full(len(queries), -(1 << 63), np.int64)
+    for n in range(len(queries)):
+        own = products(sample[ids != q_ids[n]], queries[n], exact)
+        if len(own) >= k:
+            out[n] = np.partition(own, len(own) - k)[len(own) - k]
+    return out
+
+
+def search(
+    queries: np.ndarray, q_ids: np.ndarray, q_far: np.ndarray, first: np.ndarray, rows: np.ndarray, ids: np.ndarray, far: np.ndarray, top: float, k: int, exact: bool = True
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per query: its number, and the vec_ids and scores of its k best of these candidates, best first, none below ``first``."""
     norms = (queries.astype(np.float64) ** 2).sum(1)
+    low, high = far.min(axis=0), far.max(axis=0)
+    # no row of the block can be nearer than its interval of pivot distances allows
+    least = np.maximum(np.maximum(low - q_far, q_far - high).max(axis=1), 0)
     for n in range(len(queries)):
-        allowed = np.flatnonzero(ids != q_ids[n])
-        order = allowed[np.argsort(bounds[n, allowed], kind="stable")]
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        worst, best_ids, best = int(first[n]), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # what has the score ``worst`` or a better one lies within this distance
+        reach = lambda: np.sqrt(max(0.0, norms[n] + top - 2 * float(worst))) * (1 + 1e-9) + 1e-6  # noqa: B023, E731
+        if least[n] > reach():
+            continue
+        bounds = np.abs(q_far[n] - far).max(axis=1)
+        allowed = np.flatnonzero((ids != q_ids[n]) & (bounds <= reach()))
+        order = allowed[np.argsort(bounds[allowed], kind="stable")]
         at, step = 0, 128
-        while at < len(order):
-            if len(best) == k:  # what is left is at this distance at least
-                reach = np.sqrt(max(0.0, norms[n] + top - 2 * float(best[-1]))) * (1 + 1e-9) + 1e-6
-                if bounds[n, order[at]] > reach:
-                    break
+        while at < len(order) and bounds[order[at]] <= reach():
             part = order[at : at + step]
-            best = np.concatenate([best, rows[part] @ queries[n]])
+            best = np.concatenate([best, products(rows[part], queries[n], exact)])
             best_ids = np.concatenate([best_ids, ids[part]])
-            keep = np.lexsort((best_ids, -best))[:k]
+            keep = np.lexsort((best_ids, -best))[:k] if exact else np.array(sorted(range(len(best)), key=lambda i: (-int(best[i]), best_ids[i]))[:k])
             best, best_ids, at, step = best[keep], best_ids[keep], at + step, min(4 * step, 2048)
-        yield n, best_ids, best
+            if len(best) == k:
+                worst = max(worst, int(best[-1]))
+        good = best >= first[n]
+        if good.any():
+            yield n, best_ids[good], best[good]
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = 100, n_pivots: int = PIVOTS) -> DataFrame:
     """For each row whose vec_id is divisible by ``every``: query_id, rank (from 1), vec_id, score of its k best."""
     rows = written(quantised(vectors))
-    square = F.aggregate("q", F.lit(0).cast("long"), lambda a, v: a + v * v)
+    square = F.aggregate("q", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
     n, top = rows.agg(F.count("*"), F.max(square)).first()
     schema = "query_id long, rank int, vec_id long, score long"
     if not n:
         return vectors.sparkSession.createDataFrame([], schema)
     share = int(min(1.0, SAMPLE / n) * (1 << 30))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= share).sort("vec_id").limit(2 * SAMPLE).collect()
-    pivots = choose_pivots(np.array([r["q"] for r in sample], np.float64), n_pivots)
-    top = float(top)
+    sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) <= share).sort("vec_id", "q").limit(2 * SAMPLE).collect()
+    known, known_ids = matrix([r["q"] for r in sample]), np.array([r["vec_id"] for r in sample], np.int64)
+    pivots = choose_pivots(known.astype(np.float64), n_pivots) if len(sample) else np.zeros((1, 1))
+    top = max(float(top), float((pivots**2).sum(1).max()))
+    exact = top < 2.0**62  # by the inequality of Cauchy and Schwarz no product is larger
 
-    def blocks(size: int, lift: bool):
+    def blocks(size: int, asks: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             held_ids, held, part = [], [], TaskContext.get().partitionId()
 
             def flush():
-                ids, x = np.concatenate(held_ids), np.concatenate(held)
+                ids, x = np.concatenate(held_ids), matrix(held)
+                far = lifted_distances(x, pivots, top, not asks)
+                near = np.lexsort((far.min(axis=1), far.argmin(axis=1)))
                 for at in range(0, len(ids), size):
-                    own = x[at : at + size]
-                    far = lifted_distances(own, pivots, top, lift)
-                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids[at : at + size], own, far)] + [pa.array([part], pa.int64())], names=["ids", "rows", "far", "g"])
+                    own = near[at : at + size]
+                    first = first_scores(x[own], ids[own], known, known_ids, k, exact) if asks else np.zeros(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids[own], x[own], far[own], first)] + [pa.array([part], pa.int64())], names=["ids", "rows", "far", "first", "g"])
 
             for batch in batches:
-                if batch.num_rows:
-                    held_ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64))
-                    held.append(batch.column("q").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, -1))
-                if sum(map(len, held_ids)) >= size:
+                held_ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64))
+                held += [x.values.to_numpy(zero_copy_only=False) for x in batch.column("q")]
+                if len(held) >= 2 * size:
                     yield from flush()
                     held_ids, held = [], []
-            if held_ids:
+            if held:
                 yield from flush()
 
         return run
 
-    shape = "ids binary, rows binary, far binary, g long"
+    shape = "ids binary, rows binary, far binary, first binary, g long"
     parts = max(1, -(-n // CANDIDATES))
-    candidates = written(rows.repartition(parts, "vec_id").mapInArrow(blocks(CANDIDATES, True), shape))
-    asked = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = written(asked.repartition(max(1, -(-n // every // QUERIES)), "vec_id").mapInArrow(blocks(QUERIES, False), shape))
+    candidates = written(rows.repartition(parts, F.xxhash64("vec_id", "q")).mapInArrow(blocks(CANDIDATES, False), shape))
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
+    queries = written(asked.repartition(max(1, -(-n // every // QUERIES)), "vec_id").mapInArrow(blocks(QUERIES, True), shape))
     # g is the part of the table that a block of candidates comes from; each block of queries is dealt to every part.
     last = candidates.agg(F.max("g")).first()[0]
-    dealt = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "far")], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("g"))
+    dealt = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "far", "first")], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("g"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -136,10 +174,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, n_pivots: int = PIVO
                 ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
                 x, q = (np.frombuffer(v, np.int64).reshape(len(i), -1) for v, i in ((r.rows, ids), (r.q_rows, q_ids)))
                 far, q_far = (np.frombuffer(v, np.float64).reshape(len(i), -1) for v, i in ((r.far, ids), (r.q_far, q_ids)))
-                found = [(np.full(len(s), q_ids[m]), v, s) for m, v, s in search(q, q_ids, q_far, x, ids, far, top, k)]
-                yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*found)))))
+                found = [(np.full(len(s), q_ids[m]), v, s) for m, v, s in search(q, q_ids, q_far, np.frombuffer(r.q_first, np.int64), x, ids, far, top, k, exact)]
+                if found:
+                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*found)))))
 
-    near = candidates.join(dealt, "g").mapInPandas(compare, "query_id long, vec_id long, score long")
+    near = candidates.drop("first").join(dealt, "g").mapInPandas(compare, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -153,9 +192,12 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), a AS (
+  SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, CASE WHEN least(len(a.q), len(b.q)) = 0 THEN 0 ELSE
+    CAST(list_inner_product(a.q[1:least(len(a.q), len(b.q))], b.q[1:least(len(a.q), len(b.q))]) AS BIGINT) END AS score
+  FROM a JOIN v b ON a.vec_id <> b.vec_id
 )
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 10

@@ -40,7 +40,8 @@ def folder(spark, tmp_path_factory):
     read("documents").select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(odd_rows(), SCHEMA)).repartition(3).write.parquet(f"{at}/documents.parquet")
     vectors = read("embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
     nan = [float("nan")] + [0.5] * 63
-    odd = spark.createDataFrame([(9000, None), (9100, nan), (9200, [None] + [0.5] * 63), (9300, [0.25] * 64), (9301, [0.25] * 64), (9302, [0.25] * 64), (9300, [0.25] * 64), (9400, [float("inf")] * 64)], "vec_id long, embedding array<float>")
+    odd = spark.createDataFrame([(9000, None), (9100, nan), (9200, [None] + [0.5] * 63), (9300, [0.25] * 64), (9301, [0.25] * 64), (9302, [0.25] * 64), (9300, [0.25] * 64), (9400, [float("inf")] * 64),
+                                 (9500, [0.9] * 3), (9500, [-0.1] * 70), (9600, []), (9601, [1.5] * 65)], "vec_id long, embedding array<float>")
     vectors.union(odd).write.parquet(f"{at}/embeddings.parquet")
     for t in ("benchmark", "labels"):
         read(t).write.parquet(f"{at}/{t}.parquet")
@@ -108,10 +109,36 @@ def test_topk(spark, folder):
     good = [(i, np.floor(1024 * np.array(v, np.float64)).astype(np.int64)) for i, v in table if v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
     for i in sorted({i for i, _ in good if i % 100 == 0}):
-        q = next(v for j, v in good if j == i)
-        best = sorted((-int(q @ v), j) for j, v in good if j != i)[:10]
+        q = np.array(min(v.tolist() for j, v in good if j == i), np.int64)
+        best = sorted((-int(sum(a * b for a, b in zip(q.tolist(), v.tolist()))), j) for j, v in good if j != i)[:10]
         want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     assert sorted(rows_of(topk.query(spark, folder))) == sorted(want)
+    import duckdb
+
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    assert sorted(duck.sql(topk.SQL).fetchall()) == sorted(want)
+
+
+def test_topk_of_many_blocks_and_large_numbers(spark, monkeypatch):
+    """Several blocks of either side, clusters, fewer rows than k, and products beyond 64 bits."""
+    from quarrystone.llm import topk
+
+    monkeypatch.setattr(topk, "CANDIDATES", 50)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    monkeypatch.setattr(topk, "SAMPLE", 40)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.1, (200, 6)) for c in (0, 3, -3)])
+    for scale in (1.0, 1e15):
+        rows = [(k, [float(y * scale) for y in v], "clash") for k, v in enumerate(x)]
+        got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, q string"), 7, 50).collect())
+        q, want = [[int(np.floor(1024 * y)) for y in v] for _, v, _ in rows], []
+        for i in range(0, len(rows), 50):
+            best = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q[i], v)))), j) for j, v in enumerate(q) if j != i)[:7]
+            want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+        assert got == want
+    few = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (100, [0.5])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r)[:3] for r in topk.top_k(few).collect()) == [(0, 1, 1), (0, 2, 100), (100, 1, 1), (100, 2, 0)]
 
 
 def test_pivots_stop_early():
@@ -121,8 +148,9 @@ def test_pivots_stop_early():
     x = np.concatenate([rng.normal(c, 3, (300, 8)) for c in (0, 400, -400)]).astype(np.int64)
     ids, top = np.arange(len(x)), float((x**2).sum(1).max())
     pivots = choose_pivots(x.astype(float), 12)
-    q = x[:20]
-    for n, got, scores in search(q, ids[:20], lifted_distances(q, pivots, top, False), x, ids, lifted_distances(x, pivots, top, True), top, 5):
+    q, none = x[:20], np.full(20, -(1 << 63), np.int64)
+    far = lifted_distances(x, pivots, top, True)
+    for n, got, scores in search(q, ids[:20], lifted_distances(q, pivots, top, False), none, x, ids, far, top, 5):
         want = sorted((-int(q[n] @ x[j]), j) for j in ids if j != n)[:5]
         assert [(-s, j) for j, s in zip(got.tolist(), scores.tolist())] == want
 

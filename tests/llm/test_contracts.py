@@ -84,13 +84,38 @@ def test_secrets(spark, folder, docs):
 
 
 def test_markov_ratio_on_held_out_samples():
-    from quarrystone.llm.secrets import MarkovRatio, identifiers, random_strings
+    """Fresh random strings are found, with or without digits and inside paths; fresh identifiers are left alone."""
+    from quarrystone.llm.secrets import MIN_RUN, MarkovRatio, fillers, identifiers, random_strings
+
+    rng = random.Random(3)
+    vocabulary = "configuration handler request buffer index value object manager internal session database parser stream writer reader cache token user account service factory builder context thread local remote queue event message state machine".split()
+    draw = lambda n: [" ".join(rng.choices(vocabulary, k=4)) for _ in range(n)]
+    model = MarkovRatio.fit([(t, 1) for t in random_strings(2000)] + [(t, 0) for t in identifiers(draw(2000)) + fillers()])
+    fresh = [t for t in random_strings(2600)[2000:] if len(t) >= MIN_RUN]
+    assert np.mean([bool(model.spans(t)) for t in fresh]) > 0.93
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", k=32)) for _ in range(300)]
+    assert np.mean([bool(model.spans(t)) for t in letters]) > 0.93
+    ordinary = [t for t in identifiers(draw(2000)) if len(t) >= MIN_RUN]
+    assert len(ordinary) > 1000 and np.mean([bool(model.spans(t)) for t in ordinary]) < 0.01
+    path = "configuration/production/service/internal/session/database="
+    for key in fresh[:100]:
+        for _, a, b in model.spans(path + key):
+            assert b > len(path) and a > len(path) - 8
+    assert np.mean([bool(model.spans(path + key)) for key in fresh]) > 0.9
+    assert all(model.spans(c * 3000) == [] for c in "aZ0-=_") and model.spans("") == []
+
+
+def test_secret_sample_reads_whole_texts(spark):
+    """Identifiers come from all over a text, not from its beginning; extra columns do no harm."""
+    from quarrystone.llm import secrets
 
-    words = ["configuration handler request buffer index value object manager internal session database"] * 50
-    model = MarkovRatio.fit([(t, 1) for t in random_strings(2000)] + [(t, 0) for t in identifiers(words)])
-    fresh = random_strings(2600)[2000:]
-    assert np.mean([model.score(t) > model.threshold for t in fresh]) > 0.9
-    assert not any(model.score(t) > model.threshold for t in ("requestHandlerBufferManager", "internal_session_value_index", "database-object-configuration-7"))
+    text = " ".join(["first"] * 30000 + ["second"] * 30000)
+    df = spark.createDataFrame([(1, text, 5), (2, None, None), (2, "", None)], "doc_id long, text string, Secret_Spans int")
+    places = secrets.sample_places(df)
+    assert any("first" in p for p in places) and any("second" in p for p in places)
+    model = secrets.fitted(df)
+    assert secrets.scanned(df, model).columns == ["doc_id", "text", "secret_spans"]
+    assert secrets.redacted(df, model).columns == df.columns
 
 
 def test_redaction_keeps_clean_text(spark):

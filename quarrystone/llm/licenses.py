@@ -1,10 +1,12 @@
 """Licence scans by a positional rare-token index, in DataFrame functions only.
 
 The index holds, for each template's words with the highest inverse document frequency (counted over all documents), the
-templates and places where they stand. In each file these words of all templates whose key phrases stand in it are looked
-up, however many other templates' words it has; a posting at place p
-of a template and a word at place w of the file point to a copy that begins at w - p. A template whose rare words agree
-about one beginning is a candidate, and it counts if all of its mandatory key phrases stand in the file.
+templates and places where they stand. These words of a file, all of them, are looked up; a posting at place p of a
+template and a word at place w of the file point to a copy that begins at w - p. A template whose rare words agree about one
+beginning is a candidate, and it counts if all of its mandatory key phrases stand in the file.
+
+Texts are taken apart once: a written table holds every file's number of words and which licence words it has, and the
+words in a line of the files that have a hint word, without which no key phrase and no phrase of the base can stand.
 
 Base labels come from three fixed phrases and stay whatever the index says.
 
@@ -19,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import read
+from quarrystone.llm.common import read, written
 
 #: The phrases of the base labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -42,28 +44,25 @@ TEMPLATES = [
     ("cc-by-nc-4.0", "licensed under a creative commons attribution noncommercial 4 0 international license", ["creative commons attribution noncommercial 4 0"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["free and unencumbered software"]),
     ("bsl-1.0", "boost software license version 1 0", ["boost software license"]),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ["apache license", "version 2 0", "in compliance with the license"]),
+    ("gpl-3.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", ["gnu general public license", "version 3 of the license"]),
+    ("gpl-2.0", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", ["gnu general public license", "version 2 of the license"]),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["endorse or promote products", "prior written permission"]),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ["without any express or implied warranty", "authors be held liable"]),
+    ("epl-2.0", "made available under the terms of the eclipse public license v 2 0", ["eclipse public license"]),
+    ("cc0-1.0", "dedicated the work to the public domain by waiving all of his or her rights to the work", ["dedicated the work to the public domain"]),
 ]
-#: Every key phrase, and every phrase of the base, has one of these.
-HINTS = ("license", "permission", "redistribution", "cc", "creative", "unencumbered")
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Every template has one of these words in its key phrases, and every phrase of the base has.
+HINTS = ("license", "permission", "redistribution", "cc", "creative", "unencumbered", "warranty", "dedicated")
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rarest words of a template that are looked up, and the share of those that stand in the file that must agree.
 RARE, AGREE = 12, 0.5
 
 
-def _words(text: Column) -> Column:
-    """The words of a text, A-Z as a-z."""
-    cleaned = F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), GAP, " "))
-    return F.when(cleaned == "", F.array().cast("array<string>")).otherwise(F.split(cleaned, " "))
-
-
-def _hinted(text: Column) -> Column:
-    low = F.lower(text)
-    found = F.lit(False)
-    for h in HINTS:
-        found = found | F.contains(low, F.lit(h))
-    return found
+def _line(text: Column) -> Column:
+    """The words of a text, A-Z as a-z, between single spaces."""
+    return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), GAP, " "))
 
 
 def _places(words: Column, phrase: str) -> Column:
@@ -81,54 +80,72 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(starts, stands)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[dict[str, int], int]:
+def taken_apart(docs: DataFrame) -> DataFrame:
+    """A written table: doc_id, h (a hash of the text), n_words, own (its licence words), line (its words, where one of them
+    is a hint)."""
+    names = sorted({w for _, t, phrases in TEMPLATES for w in " ".join([t, *phrases, *BASE]).split()})
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), _line(F.col("text")).alias("line"))
+    rows = rows.withColumn("words", F.split("line", " "))
+    rows = rows.select("doc_id", "h", "line", F.when(F.col("line") == "", 0).otherwise(F.size("words")).cast("long").alias("n_words"), F.array_intersect("words", F.array(*map(F.lit, names))).alias("own"))
+    hinted = F.arrays_overlap("own", F.array(*map(F.lit, HINTS)))
+    return written(rows.select("doc_id", "h", "n_words", "own", F.when(hinted, F.col("line")).alias("line")))
+
+
+def document_frequencies(table: DataFrame) -> tuple[dict[str, int], int]:
     """How many documents hold each licence word, over all of them; as many numbers as there are licence words."""
-    names = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
-    own = F.array_intersect(_words(F.col("text")), F.array(*map(F.lit, names)))
-    rows = docs.select(F.explode(F.concat(own, F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    rows = table.select(F.explode(F.concat("own", F.array(F.lit("")))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
     counts = {r["w"]: int(r["n"]) for r in rows}
     total = counts.pop("", 0)
-    return {w: counts.get(w, 0) for w in names}, total
+    return counts, total
+
+
+def postings(counts: dict[str, int], total: int) -> list[tuple[str, int, int, list[str]]]:
+    """The index: (word, template, place, the template's rare words), a fixed table of a few hundred rows."""
+    rarity = lambda w: (-math.log((1 + total) / (1 + counts.get(w, 0))), w)
+    rows = []
+    for n, (_, template, _) in enumerate(TEMPLATES):
+        rare = sorted(set(template.split()), key=rarity)[:RARE]
+        rows += [(w, n, place, rare) for place, w in enumerate(template.split()) if w in rare]
+    return rows
 
 
 def licensed(docs: DataFrame) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score (0 to 1)."""
-    spark = docs.sparkSession
-    counts, total = document_frequencies(docs)
-    by_rarity = sorted(counts, key=lambda w: (-math.log((1 + total) / (1 + counts[w])), w))
-    rarest = [[w for w in by_rarity if w in t.split()][:RARE] for _, t, _ in TEMPLATES]
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = rows.withColumn("n_words", count).withColumn("w", F.when(_hinted(F.col("text")), _words(F.col("text"))))
+    table = taken_apart(docs)
+    index = postings(*document_frequencies(table))
+    padded = F.concat(F.lit(" "), F.col("line"), F.lit(" "))
+    files = table.where("line is not null").select("doc_id", "h", F.split("line", " ").alias("w"), padded.alias("line")).dropDuplicates(["doc_id", "h"])
+    holds = lambda p: F.contains(F.col("line"), F.lit(f" {p} "))
     empty = F.array().cast("array<int>")
-    for k, phrase in enumerate(BASE):
-        rows = rows.withColumn(f"p{k}", F.when(F.col("w").isNotNull(), _places(F.col("w"), phrase)).otherwise(empty))
-    every = F.concat(*[f"p{k}" for k in range(len(BASE))])
-    base = rows.select(
-        "doc_id", "h", "n_words", F.size(every).cast("long").alias("n_base"), F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"),
-        F.filter(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(v)) for k, v in enumerate(BASE.values())]), lambda x: x.isNotNull()).alias("base_labels"),
-    )
+    places = [F.when(holds(phrase), _places(F.col("w"), phrase)).otherwise(empty).alias(f"p{k}") for k, phrase in enumerate(BASE)]
+    verified = F.filter(F.array(*[F.when(_all([holds(p) for p in phrases]), F.lit(n)) for n, (_, _, phrases) in enumerate(TEMPLATES)]), lambda x: x.isNotNull())
+    words = sorted({w for w, *_ in index})
+    hits = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: x["word"].isin(words))
+    # small rows: of a file only places, hits and the numbers of the templates whose phrases stand in it
+    files = written(files.select("doc_id", "h", *places, verified.alias("verified"), hits.alias("hits")))
+
+    met = files.select("doc_id", "h", F.explode("hits").alias("hit")).select("doc_id", "h", "hit.word", "hit.at")
+    met = met.join(F.broadcast(docs.sparkSession.createDataFrame(index, "word string, template int, place int, rare array<string>")), "word")
+    begun = met.groupBy("doc_id", "h", "template", (F.col("at") - F.col("place")).alias("begin")).agg(F.collect_set("word").alias("agreeing"), F.first("rare").alias("rare"))
+    best = begun.groupBy("doc_id", "h", "template").agg(F.max(F.size("agreeing")).alias("most"), F.size(F.array_distinct(F.flatten(F.collect_set("agreeing")))).alias("present"))
+    candidates = best.where(F.col("most") / F.col("present") >= AGREE).groupBy(F.col("doc_id").alias("doc"), F.col("h").alias("hash")).agg(F.collect_list(F.struct("template", (F.col("most") / F.col("present")).alias("share"))).alias("candidates"))
 
-    files = docs.select("doc_id", F.xxhash64("text").alias("h"), F.when(_hinted(F.col("text")), _words(F.col("text"))).alias("w")).where("w is not null")
-    line = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
-    verified = F.filter(F.array(*[F.when(_all([F.contains(line, F.lit(f" {p} ")) for p in phrases]), F.lit(n)) for n, (_, _, phrases) in enumerate(TEMPLATES)]), lambda x: x.isNotNull())
-    files = files.withColumn("verified", verified).where(F.size("verified") > 0)
-    own_words = F.array(*[F.array(*map(F.lit, own)) for own in rarest])
-    files = files.withColumn("rare", F.array_intersect(F.flatten(F.transform("verified", lambda n: F.get(own_words, n))), F.col("w")))
-    marked = F.filter(F.transform("w", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(F.col("rare"), x["word"]))
-    hits = files.select("doc_id", "h", "verified", "rare", F.explode(marked).alias("hit")).select("doc_id", "h", "verified", "rare", "hit.word", "hit.at")
-    # A fixed table of a few hundred postings.
-    postings = spark.createDataFrame([(w, n, p, rarest[n]) for n, (_, t, _) in enumerate(TEMPLATES) for p, w in enumerate(t.split()) if w in rarest[n]], "word string, template int, place int, own array<string>")
-    met = hits.join(F.broadcast(postings), "word").where(F.array_contains("verified", F.col("template")))
-    looked_up = F.size(F.array_intersect("own", "rare"))
-    copies = met.groupBy("doc_id", "h", "template", (F.col("at") - F.col("place")).alias("begin")).agg((F.count_distinct("word") / F.first(looked_up)).alias("share"))
+    every = F.concat(*[f"p{k}" for k in range(len(BASE))])
     names = F.create_map(*[x for n, (label, _, _) in enumerate(TEMPLATES) for x in (F.lit(n), F.lit(label))])
-    found = copies.where(F.col("share") >= AGREE).groupBy("doc_id", "h").agg(F.collect_set(names[F.col("template")]).alias("more"), F.max("share").alias("share"))
-    found = found.select(F.col("doc_id").alias("id_"), F.col("h").alias("h_"), "more", "share")
-    both = base.join(found, base.doc_id.eqNullSafe(found.id_) & (base.h == found.h_), "left")
-    labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))))
-    score = F.when(F.size("base_labels") > 0, F.lit(1.0)).otherwise(F.coalesce(F.round("share", 6), F.lit(0.0)))
-    return both.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_sort("base_labels").alias("base_labels"), labels.alias("labels"), score.alias("score"))
+    base_labels = F.filter(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(v)) for k, v in enumerate(BASE.values())]), lambda x: x.isNotNull())
+    found = files.join(candidates, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("hash")), "left")
+    found = found.select(F.col("doc_id").alias("id_"), F.col("h").alias("h_"), every.alias("every"), base_labels.alias("base"), F.filter("candidates", lambda c: F.array_contains("verified", c["template"])).alias("counted"))
+    none = F.array().cast("array<string>")
+    found = found.select(
+        "id_", "h_", "every", "base", F.coalesce(F.transform("counted", lambda c: names[c["template"]]), none).alias("more"), F.coalesce(F.array_max(F.transform("counted", lambda c: c["share"])), F.lit(0.0)).alias("share")
+    )
+    both = table.select("doc_id", "h", "n_words").join(found, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("h") == F.col("h_")), "left")
+    labels = F.array_sort(F.array_distinct(F.concat(F.coalesce("base", none), F.coalesce("more", none))))
+    score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.round("share", 6), F.lit(0.0)))
+    return both.select(
+        "doc_id", "n_words", F.coalesce(F.size("every"), F.lit(0)).cast("long").alias("n_base"), F.array_min("every").cast("long").alias("first_word"), F.array_max("every").cast("long").alias("last_word"),
+        F.array_sort(F.coalesce("base", none)).alias("base_labels"), labels.alias("labels"), score.alias("score"),
+    )
 
 
 def _all(conditions: list[Column]) -> Column:

@@ -263,16 +263,51 @@ def test_licenses(spark, folder, docs):
 
 def test_licenses_of_a_file_with_all_templates(spark):
     """Every template that stands in a file is found, whatever other licence words the file has."""
-    from quarrystone.llm.licenses import TEMPLATES, licensed
+    from quarrystone.llm.licenses import BASE, HINTS, TEMPLATES, licensed
 
     every = "\n".join(t for _, t, _ in TEMPLATES)
     others = " ".join(sorted({w for _, t, _ in TEMPLATES for w in t.split()}))
     rows = [(1, every), (2, f"{others} . {every} . {others}"), *((10 + n, f"{others} . {t}") for n, (_, t, _) in enumerate(TEMPLATES))]
-    got = {r["doc_id"]: set(r["labels"]) for r in licensed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(set(HINTS) & set(" ".join(p).split()) for p in [*([x] for x in BASE), *(p for _, _, p in TEMPLATES)])
+    got = {r["doc_id"]: set(r["labels"]) for r in licensed(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, Labels int")).collect()}
     assert got[1] >= {label for label, _, _ in TEMPLATES} and got[2] >= {label for label, _, _ in TEMPLATES}
     assert all(label in got[10 + n] for n, (label, _, _) in enumerate(TEMPLATES))
 
 
+def test_license_labels_against_brute_force(spark):
+    """Labels beside the base: the index's candidates by counting agreeing beginnings by hand, then the key phrases."""
+    from quarrystone.llm import licenses
+
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        words = [rng.choice(["alpha", "license", "software", "the", "public", "cc", "by", "4", "0", "permission"]) for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.randint(0, 3)):
+            template = rng.choice(licenses.TEMPLATES)[1].split()
+            cut = rng.randrange(len(template))
+            words += rng.choice([template, template[cut:], template[: cut + 1], rng.sample(template, len(template))]) + ["gap"]
+        rows.append((k, " ".join(words)))
+    docs = [t.split() for _, t in rows]
+    counts = Counter(w for own in docs for w in set(own))
+    want = {}
+    for (k, text), own in zip(rows, docs):
+        labels = set()
+        for label, template, phrases in licenses.TEMPLATES:
+            parts = template.split()
+            rare = sorted(set(parts), key=lambda w: (counts[w], w))[: licenses.RARE]
+            votes = defaultdict(set)
+            for p, w in enumerate(parts):
+                for at, x in enumerate(own):
+                    if w == x and w in rare:
+                        votes[at - p].add(w)
+            present = set().union(*votes.values()) if votes else set()
+            if present and max(map(len, votes.values())) / len(present) >= licenses.AGREE and all(f" {p} " in f" {text} " for p in phrases):
+                labels.add(label)
+        want[k] = labels
+    got = {r["doc_id"]: set(r["labels"]) - set(licenses.BASE.values()) for r in licenses.licensed(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: v - set(licenses.BASE.values()) for k, v in want.items()} and sum(map(bool, got.values())) > 30
+
+
 def test_language(spark, folder):
     from quarrystone.llm import language
 
@@ -411,6 +446,35 @@ def test_boosting_learns_and_calibrates(spark):
     assert pii.boosted([]).trees == []
 
 
+def test_pii_candidates_of_fresh_samples(spark):
+    """Precision and recall of what the trees add, on samples made from another seed and on sentences of our own."""
+    from quarrystone.llm import pii
+
+    model = pii.fitted(spark)
+    samples = pii.made_samples(3000, 77)
+    df = spark.createDataFrame([(k, t, "x") for k, t, _, _ in samples], "doc_id long, text string, Spans string")
+    added = {r["doc_id"]: [s for s in r["spans"] if s["kind"] not in pii.KINDS] for r in pii.detected(df, model).collect()}
+    based = {r["doc_id"] for r in pii.detected(df, model).collect() if r["base"]}
+    hit = [(k, a, b, s) for k, _, a, b in samples for s in added[k]]
+    right = [s["start"] < b and a < s["end"] for _, a, b, s in hit]
+    assert np.mean(right) > 0.9
+    wanted = [k for k, _, a, _ in samples if a >= 0 and k not in based]
+    assert len(wanted) > 500 and np.mean([bool(added[k]) for k in wanted]) > 0.75
+    own = [(1, "You may phone (269) 555-3296 at night, 2021-04-05 was a Monday"), (2, "anna at posteo dot de"), (3, "it cost 12 500 EUR on 03.04.2019"), (4, None), (5, "SSN: 123-45-6789 and a.b@c.de")]
+    got = {r["doc_id"]: r["text"] for r in pii.redacted(spark.createDataFrame(own, "doc_id long, text string"), model).collect()}
+    assert got == {1: "You may phone [PII] at night, 2021-04-05 was a Monday", 2: "[PII]", 3: own[2][1], 4: None, 5: "SSN: [PII] and [PII]"}
+
+
+def test_pii_of_very_many_matches(spark):
+    """Chunks of matches are put together in order, and overlaps are found across them."""
+    from quarrystone.llm import pii
+
+    text = " ".join(f"m{k}@example.com (269) 555-{k % 10000:04d}" for k in range(1000))
+    row = pii.detected(spark.createDataFrame([(1, text)], "doc_id long, text string"), pii.fitted(spark)).first()
+    assert [(s["kind"], s["start"], s["end"]) for s in row["base"]] == brute_pii(text)
+    assert len([s for s in row["spans"] if s["kind"] == "number"]) == 1000 and len([s for s in row["spans"] if s["kind"] in ("mail", "spelled")]) == 0
+
+
 def test_simhash(spark, folder, docs):
     from quarrystone.llm import simhash
 

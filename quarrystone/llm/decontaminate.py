@@ -1,16 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
 Seeds: Karp-Rabin hashes of windows of words that a document and a benchmark item share. Pairs that share a seed are
-tiled: the longest common run of unmarked words is marked, again and again, until none reaches the minimum; tiles may
-stand in any order, so reordered passages are caught. An item's coverage is the share of its words that lie in tiles; a
-document whose best coverage reaches the threshold is contaminated.
+tiled by running Karp-Rabin: windows of a search length over the unmarked words are hashed, the longest common run is
+marked, again and again, and when none is left the search length is halved, down to the minimum. Tiles may stand in any order,
+so reordered passages are caught. An item's coverage is the share of its words that lie in tiles; a document whose best
+coverage reaches the threshold is contaminated.
 
 A benchmark whose measured size is below ``BROADCAST_BYTES`` goes to the tasks that read the documents, which then need
 no shuffle. A larger one is joined by seed with Spark's own joins. Both ways give the same rows.
 
 Defined cases: null and empty texts, and those without words, have coverage 0 and no item; items with fewer words than the
 minimum count if all their words stand in a row; equal coverages go to the smaller item_id; null items take no part;
-repeated rows are judged alike; empty tables give no contamination; other columns pass through.
+repeated rows are judged alike; empty tables give no contamination; other columns pass through, except those named as an
+added one, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,52 +27,82 @@ from quarrystone.llm.common import Words, append_columns, grams, read, written
 MIN_MATCH = 5
 THRESHOLD = 0.5
 BROADCAST_BYTES = 32 << 20
+#: So many pairs of equal windows of a document and an item are held at a time.
+MOST_PAIRS = 1 << 21
 _ADDED = T.StructType([T.StructField("coverage", T.DoubleType()), T.StructField("item_id", T.LongType())])
 
 
+def _windows(words: np.ndarray, free: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of k unmarked words, and where they begin."""
+    h, at = grams(words, np.zeros(len(words), np.int8), k)
+    if len(h):
+        marked = np.concatenate([[0], np.cumsum(~free)])
+        whole = marked[at + k] == marked[at]
+        h, at = h[whole], at[whole]
+    return h, at
+
+
+def _longest(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, k: int) -> tuple[int, list[tuple[int, int]]]:
+    """The length of the longest common runs of unmarked words, if that is k at least, and their places in order.
+
+    Windows that follow each other on a diagonal are one run. Very many equal windows (a word over and over) are taken one
+    window of the item at a time, so memory stays in proportion to the document.
+    """
+    (a, at_a), (b, at_b) = _windows(doc, free_doc, k), _windows(item, free_item, k)
+    near = np.isin(a, b)
+    a, at_a = a[near], at_a[near]
+    if not len(a):
+        return 0, []
+    order = np.argsort(b, kind="stable")
+    first, last = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
+    count = last - first
+    if int(count.sum()) > MOST_PAIRS:
+        return _longest_by_rows(len(doc), a, at_a, b, at_b, k)
+    i = np.repeat(at_a, count)
+    j = at_b[order[np.repeat(first, count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)]]
+    line = np.lexsort((i, i - j))
+    i, j = i[line], j[line]
+    new = np.ones(len(i), bool)
+    new[1:] = ((i - j)[1:] != (i - j)[:-1]) | (i[1:] != i[:-1] + 1)
+    begin = np.flatnonzero(new)
+    sizes = np.diff(np.append(begin, len(i)))
+    best = begin[sizes == sizes.max()]
+    return int(sizes.max()) + k - 1, sorted(zip(i[best].tolist(), j[best].tolist()))
+
+
+def _longest_by_rows(n: int, a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, k: int) -> tuple[int, list[tuple[int, int]]]:
+    """The same with one row of a dynamic programme at a time; one place of the longest runs is given."""
+    row, best, where, before = np.zeros(n + 1, np.int64), 0, (0, 0), -2
+    for h, j in zip(b.tolist(), at_b.tolist()):
+        new = np.zeros(n + 1, np.int64)
+        same = at_a[a == np.uint64(h)]
+        new[same + 1] = (row[same] if j == before + 1 else 0) + 1
+        if new.max() > best:
+            best = int(new.max())
+            where = (int(new.argmax()) - best, j - best + 1)
+        row, before = new, j
+    return best + k - 1, [where]
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy string tiling of two sequences of word hashes: (place in doc, place in item, words), longest first."""
-    k = min(min_match, len(item))
-    if not k or len(doc) < k:
+    least = min(min_match, len(item))
+    if not least or len(doc) < least:
         return []
-    (doc_grams, _), (item_grams, _) = (grams(x, np.zeros(len(x), np.int8), k) for x in (doc, item))
-    places: dict[int, list[int]] = {}
-    for j, h in enumerate(item_grams.tolist()):
-        places.setdefault(h, []).append(j)
-    seeds = np.flatnonzero(np.isin(doc_grams, item_grams)).tolist()
-    hashes = doc_grams.tolist()
-    a, b = doc.tolist(), item.tolist()
-    free_a, free_b = bytearray(b"\1") * len(a), bytearray(b"\1") * len(b)
+    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
     found: list[tuple[int, int, int]] = []
-    # A seed that continues the run of the seed before it can't begin a longer one, so each run is measured once a round.
-    pairs = [(i, j) for i in seeds for j in places.get(hashes[i], ())]
-    while pairs:
-        best, at, measured, left = k - 1, [], set(), []
-        for i, j in pairs:
-            if not (free_a[i] and free_b[j]):
-                continue
-            left.append((i, j))
-            if (i - 1, j - 1) in measured and free_a[i - 1] and free_b[j - 1]:
-                measured.add((i, j))
-                continue
-            n = 0
-            while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                n += 1
-            if n >= k:
-                measured.add((i, j))
-            if n > best:
-                best, at = n, [(i, j)]
-            elif n == best and n >= k:
-                at.append((i, j))
-        if not at:
-            break
-        for i, j in at:
-            if all(free_a[i : i + best]) and all(free_b[j : j + best]):
-                free_a[i : i + best] = free_b[j : j + best] = bytes(best)
+    length = max(least, min(len(item), len(doc)) // 2)
+    while free_item.any():
+        best, places = _longest(doc, item, free_doc, free_item, length)
+        if not places:
+            if length == least:
+                break
+            length = max(least, length // 2)
+            continue
+        for i, j in places:
+            if free_doc[i : i + best].all() and free_item[j : j + best].all():
+                free_doc[i : i + best] = free_item[j : j + best] = False
                 found.append((i, j, best))
-        pairs = left
-        if not any(free_b):
-            break
     return found
 
 
@@ -148,9 +180,12 @@ def _joined_coverage(docs: DataFrame, items: DataFrame, min_match: int) -> DataF
 
     keyed = docs.withColumn("key_", F.xxhash64("text"))
     texts = keyed.select("key_", "text").where("text is not null").dropDuplicates(["key_"])
-    lengths = list(range(1, min_match + 1))
+    item_sizes = append_columns(items, lambda texts: {"n_": [len(Words([t]).hash) for t in texts]}, T.StructType([T.StructField("n_", T.LongType())]))
+    # at most ``min_match`` numbers: which seed lengths there are
+    lengths = sorted(int(r["n"]) for r in item_sizes.select(F.least("n_", F.lit(min_match)).alias("n")).distinct().collect() if r["n"])
     doc_seeds = append_columns(texts, seeds_of(lengths), kinds).select("key_", F.explode("seeds_").alias("seed"))
     item_seeds = append_columns(items, seeds_of(None), kinds).select("item_id", F.col("text").alias("item"), F.explode("seeds_").alias("seed"))
+    # a seed of very many documents or items: adaptive execution splits it, as nothing but the join follows its exchanges
     pairs = written(doc_seeds.join(item_seeds.select("item_id", "seed"), "seed").select("key_", "item_id").distinct())
     both = pairs.join(texts, "key_").join(items.withColumnRenamed("text", "item"), "item_id")
 

@@ -5,18 +5,24 @@ document's score is their noisy-or, 1 - prod(1 - p). Only documents have labels:
 sentences' scores are learned through it, and afterwards they locate the offending sentences.
 
 Fitted on a bounded sample of labelled rows (about ``TRAIN`` of either label, a parameter; repeated labels of a document
-count once, the larger). Defined cases: null and empty texts, and those without words, score 0; repeated rows score alike;
-without labels every score is 0; an empty table gives an empty result; other columns pass through and are never inputs.
+count once, the larger, and of the texts of a repeated doc_id the one with the smallest hash). Features are screened by Spark:
+how many documents of either label have each is a grouped count, and only the telling features of the sample's sentences
+reach the driver. Defined cases: null and empty texts, and those without words, score 0; repeated rows score alike; without
+labels every score is 0; an empty table gives an empty result; other columns pass through and are never inputs, except
+those named as an added one, which are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarrystone.llm.common import Words, append_columns, mixed, read
+from quarrystone.llm.common import Words, append_columns, mixed, read, written
 
 BITS = 18
 TRAIN, ROUNDS, RATE, DECAY = 2000, 150, 0.2, 1e-3
@@ -54,24 +60,19 @@ class Model:
         return cls(np.zeros(1 << BITS), -np.inf)
 
     @classmethod
-    def fit(cls, bags: list[tuple[np.ndarray, np.ndarray, int]], positive_share: float) -> Model:
-        """bags: per document the sentence and word of its pairs, and its label. Labels are weighted to their share.
+    def fit(cls, bags: list[tuple[np.ndarray, np.ndarray, int]], names: np.ndarray, positive_share: float, sentences: list[int] | None = None) -> Model:
+        """bags: per document the sentence and word of its pairs, and its label; names: the telling features, ascending, the
+        only ones that are used; sentences: how many each document has. Labels are weighted to their share.
 
         Adam on the likelihood of the noisy-or, with decay that draws useless words to zero.
         """
         labels = np.array([y for _, _, y in bags], float)
         if not len(labels) or labels.min() == labels.max():
             return cls.empty()
-        offsets = np.cumsum([0, *(int(s.max()) + 1 if len(s) else 1 for s, _, _ in bags)])
+        offsets = np.cumsum([0, *(sentences or (int(s.max()) + 1 if len(s) else 1 for s, _, _ in bags))])
         sentence = np.concatenate([s.astype(np.int64) + o for (s, _, _), o in zip(bags, offsets)])
         word = np.concatenate([w.astype(np.int64) for _, w, _ in bags])
         doc = np.repeat(np.arange(len(bags)), np.diff(offsets))
-        known = np.unique((doc[sentence] << BITS) | word)
-        n_docs = [np.bincount(known[labels[known >> BITS] == y] & ((1 << BITS) - 1), minlength=1 << BITS) for y in (0, 1)]
-        (n0, n1), both = ((labels == y).sum() for y in (0, 1)), n_docs[0] + n_docs[1]
-        even = both / len(labels)
-        z = (n_docs[1] / n1 - n_docs[0] / n0) / np.sqrt(np.maximum(even * (1 - even), 1e-12) * (1 / n0 + 1 / n1))
-        names = np.flatnonzero((both >= LEAST_DOCS) & (np.abs(z) >= LEAST_Z))
         place = np.full(1 << BITS, -1)
         place[names] = np.arange(len(names))
         keep = place[word] >= 0
@@ -122,6 +123,20 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def telling(table: DataFrame) -> np.ndarray:
+    """Of a table of documents' distinct features (words, toxic): the features that enough documents have and whose shares
+    in the two labels differ by enough standard errors; at most 2**BITS small numbers, counted by Spark."""
+    n = {int(r["toxic"]): int(r["n"]) for r in table.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    if not n0 or not n1:
+        return np.zeros(0, np.int64)
+    has = lambda y: F.count(F.when(F.col("toxic") == y, 1))
+    counts = table.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(has(0).alias("c0"), has(1).alias("c1"))
+    even = (F.col("c0") + F.col("c1")) / F.lit(n0 + n1)
+    z = F.abs(F.col("c1") / F.lit(n1) - F.col("c0") / F.lit(n0)) / F.sqrt(F.greatest(even * (1 - even), F.lit(1e-12)) * F.lit(1 / n0 + 1 / n1))
+    return np.array(sorted(r["word"] for r in counts.where((F.col("c0") + F.col("c1") >= LEAST_DOCS) & (z >= LEAST_Z)).select("word").collect()), np.int64)
+
+
 def fitted(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Model:
     """A model of about ``train`` labelled documents of either label that aren't held out."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -132,18 +147,36 @@ def fitted(docs: DataFrame, labels: DataFrame, train: int = TRAIN) -> Model:
     limit = F.when(F.col("toxic") == 1, int(min(1, train / sizes[1]) * (1 << 30))).otherwise(int(min(1, train / sizes[0]) * (1 << 30)))
     # about 2 * train rows of two numbers, whatever the size of the tables
     picked = F.broadcast(usable.where(order < limit).limit(4 * train))
+    texts = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def kernel(texts):
-        out = []
+        out, words = [], []
         for t in texts:
-            sentence, word, *_ = features([t])
-            out.append(np.stack(distinct(sentence, word)).astype("<u4").tobytes())
-        return {"pairs_": out}
-
-    rows = append_columns(docs.select("doc_id", "text").join(picked, "doc_id"), kernel, T.StructType([T.StructField("pairs_", T.BinaryType())])).select("doc_id", "toxic", "pairs_").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["pairs_"]))
-    bags = [(*np.frombuffer(r["pairs_"], "<u4").reshape(2, -1), int(r["toxic"])) for r in rows]
-    return Model.fit(bags, sizes[1] / (sizes[0] + sizes[1]))
+            pairs = distinct(*features([t])[:2])
+            out.append(np.stack(pairs).astype("<u4").tobytes())
+            words.append(np.unique(pairs[1]).astype(np.int32))
+        return {"pairs_": out, "words": words}
+
+    added = T.StructType([T.StructField("pairs_", T.BinaryType()), T.StructField("words", T.ArrayType(T.IntegerType()))])
+    sample = written(append_columns(texts, kernel, added).select("doc_id", "toxic", "pairs_", "words"))
+    names = telling(sample)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(1 << BITS, bool)
+        known[names] = True
+        for batch in batches:
+            kept = []
+            for pairs in batch.column("pairs_").to_pylist():
+                sentence, word = np.frombuffer(pairs, "<u4").reshape(2, -1)
+                good = known[word]
+                # the last sentence's number stays, as the noisy-or goes over all sentences
+                kept.append((int(sentence.max()) + 1 if len(sentence) else 1, np.stack([sentence[good], word[good]]).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), pa.array([n for n, _ in kept], pa.int32()), pa.array([p for _, p in kept], pa.binary())], names=["doc_id", "toxic", "sentences", "pairs"])
+
+    rows = sample.select("doc_id", "toxic", "pairs_").mapInArrow(told, "doc_id long, toxic int, sentences int, pairs binary").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["pairs"]))
+    bags = [(*np.frombuffer(r["pairs"], "<u4").reshape(2, -1), int(r["toxic"])) for r in rows]
+    return Model.fit(bags, names, sizes[1] / (sizes[0] + sizes[1]), [r["sentences"] for r in rows])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

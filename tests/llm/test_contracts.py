@@ -210,6 +210,20 @@ def test_tiling_against_brute_force():
         a, b = (rng.integers(0, 4, n).astype(np.uint64) for n in rng.integers(1, 40, 2))
         k = int(rng.integers(2, 6))
         assert sum(t[2] for t in tiles(a, b, k)) == brute_tiles(a.tolist(), b.tolist(), min(k, len(b)))
+    # one word over and over: a row of the programme at a time, with the same longest runs
+    same, other = np.full(3000, 7, np.uint64), np.full(900, 7, np.uint64)
+    assert sum(t[2] for t in tiles(same, other, 5)) == 900
+    from quarrystone.llm import decontaminate as d
+
+    for _ in range(40):
+        a, b = (rng.integers(0, 3, n).astype(np.uint64) for n in rng.integers(5, 40, 2))
+        free_a, free_b = rng.random(len(a)) < 0.9, rng.random(len(b)) < 0.9
+        want, places = d._longest(a, b, free_a, free_b, 3)
+        (ha, ia), (hb, ib) = d._windows(a, free_a, 3), d._windows(b, free_b, 3)
+        near = np.isin(ha, hb)
+        if places:
+            got, where = d._longest_by_rows(len(a), ha[near], ia[near], hb, ib, 3)
+            assert got == want and where[0] in places
 
 
 def test_decontamination(spark, folder):
@@ -641,11 +655,32 @@ def test_toxicity(spark, folder):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows if r["doc_id"] is not None)
     docs = spark.createDataFrame([(1, "A fine day. You vile thing! Bye.", 7)], "doc_id long, text string, Toxicity int")
     bags = [(np.array([0, 1]), np.array([5, 6]), 0)] * 5
-    assert toxicity.Model.fit(bags, 0.1).weights.any() == np.False_
+    assert toxicity.Model.fit(bags, np.array([5, 6]), 0.1).weights.any() == np.False_
     got = toxicity.scored(docs, toxicity.Model.empty()).first()
     assert got["toxicity"] == 0 and got["offending"] == []
 
 
+def test_toxicity_on_held_out_labels(spark):
+    """Real labels: held-out documents are told apart, and features are screened as by a count by hand."""
+    from quarrystone.llm import toxicity
+
+    folder = "/root/testdata/sf0.1"
+    rows = {r["doc_id"]: r for r in toxicity.query(spark, folder).where("held_out").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["doc_id"] in rows and r["toxic"] is not None}
+    assert np.mean([rows[k]["predicted"] == 1 for k, y in labels.items() if y == 1]) > 0.85
+    assert np.mean([rows[k]["predicted"] == 0 for k, y in labels.items() if y == 0]) > 0.95
+    rng = random.Random(4)
+    table = [(int(k % 5 == 0), sorted(rng.sample(range(40), 6) + ([50] if k % 5 == 0 or k % 17 == 0 else []))) for k in range(400)]
+    n = Counter(y for y, _ in table)
+    want = []
+    for w in range(51):
+        c = [sum(w in own for y, own in table if y == v) for v in (0, 1)]
+        even = sum(c) / len(table)
+        if sum(c) >= toxicity.LEAST_DOCS and abs(c[1] / n[1] - c[0] / n[0]) / (max(even * (1 - even), 1e-12) * (1 / n[0] + 1 / n[1])) ** 0.5 >= toxicity.LEAST_Z:
+            want.append(w)
+    assert toxicity.telling(spark.createDataFrame(table, "toxic int, words array<int>")).tolist() == want and 50 in want
+
+
 def test_toxic_sentences_are_located():
     from quarrystone.llm import toxicity
 
@@ -660,7 +695,8 @@ def test_toxic_sentences_are_located():
         texts.append(". ".join(sentences) + ".")
         s, w, *_ = toxicity.features([texts[-1]])
         bags.append((s, w, int(k % 3 == 0)))
-    model = toxicity.Model.fit(bags[:200], 1 / 3)
+    names = np.array(sorted({w for t in texts for w in toxicity.features([t])[1].tolist()}))
+    model = toxicity.Model.fit(bags[:200], names, 1 / 3)
     got = model.score(texts[200:])
     assert np.mean([(p >= 0.5) == bool(y) for p, (_, _, y) in zip(got["toxicity"], bags[200:])]) > 0.95
     for text, found in zip(texts[200:], got["offending"]):

@@ -351,14 +351,16 @@ def wide_links(texts: DataFrame, docs: DataFrame, n: int, similarity: float, buc
 
 def _tile_pairs(rows: DataFrame, columns: list[str], node: str, tiles: Column) -> DataFrame:
     """Rows of buckets (band, key) that have two rows or more, dealt to pairs (i, j) of so many tiles; own is a row's tile."""
-    sizes = rows.groupBy("band", "key").agg(tiles.cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n")
+    sizes = written(rows.groupBy("band", "key").agg(tiles.cast("int").alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n"))
     own = F.pmod(F.xxhash64(node, "band"), F.col("tiles")).cast("int")
-    return (
+    dealt = (
         rows.join(sizes, ["band", "key"])
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .select(*columns, "band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
     )
+    # an exchange of their own spreads the tile pairs of one bucket over tasks
+    return dealt.repartition("band", "key", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int = WORDS_PER_SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -375,20 +377,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: in
     if similarity is None:
         nodes = written(connected_components(edges))
         ids = nodes.join(prints, nodes.node == prints.simhash).select("node", "root", "first_id")
-        root_ids = ids.groupBy("root").agg(F.min("first_id").alias("component_id"))
+        root_ids = written(ids.groupBy("root").agg(F.min("first_id").alias("component_id")))
         merged = nodes.join(root_ids, "root").select(F.col("node").alias("simhash"), "root", "component_id")
         final = written(prints.join(merged, "simhash", "left").select("simhash", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "simhash").alias("root")))
         return base.join(final, "simhash").select("doc_id", "text_hash", "simhash", "component_id", "root")
     texts = written(base.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"), F.first("simhash").alias("simhash"), F.first("wide").alias("wide"), F.first("shingles").alias("shingles")))
     edges = written(edges)
     linked = edges.select(F.col("a").alias("simhash")).union(edges.select("b")).union(prints.where("texts > 1").select("simhash")).distinct()
+    linked = written(linked)
     # texts and fingerprints are nodes of one graph; both are 64-bit hashes
     of_prints = texts.join(linked, "simhash").select(F.col("text_hash").alias("a"), F.col("simhash").alias("b"))
     sources = docs.select(F.xxhash64("text").alias("node"), "text")
     of_texts = wide_links(texts.select(F.col("text_hash").alias("node"), "wide", "shingles"), sources, texts.count(), similarity)
     nodes = written(connected_components(edges.union(of_prints).union(of_texts)))
-    rooted = nodes.join(texts.select(F.col("text_hash").alias("node"), "first_id"), "node")
-    root_ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = written(nodes.join(texts.select(F.col("text_hash").alias("node"), "first_id"), "node"))
+    root_ids = written(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     merged = rooted.join(root_ids, "root").select(F.col("node").alias("text_hash"), "root", "component_id")
     final = written(texts.join(merged, "text_hash", "left").select("text_hash", F.coalesce("component_id", "first_id").alias("component_id"), F.coalesce("root", "text_hash").alias("root")))
     return base.join(final, "text_hash").select("doc_id", "text_hash", "simhash", "component_id", "root")

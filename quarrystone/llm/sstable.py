@@ -1,7 +1,8 @@
 """Sorted-string-table shards of token ids, keyed by document identifier.
 
 Documents are range-partitioned and sorted by identifier; every task encodes its range and writes one shard into the
-shared folder, under a name of its own that is renamed when whole, so that a repeated task does no harm. A shard is
+shared folder, under a name that no other attempt has. Only the shards that the successful tasks report are read, and files
+of other attempts are removed, so a task that is lost or repeated does no harm, whatever the file system. A shard is
 
     data blocks     entries (shared key bytes, other key bytes, value bytes; key suffix; ids), restarts, zstd-compressed
     Bloom filter    over the keys
@@ -185,10 +186,7 @@ def opened(path: str):
 
 
 def write_shards(docs: DataFrame, folder: str, n_shards: int, vocabulary: str) -> list[tuple]:
-    """Encodes and writes all documents; returns per shard (shard, file, n_docs, n_ids), a few numbers per task.
-
-    The shards of a task that runs twice have the same name and the same bytes.
-    """
+    """Encodes and writes all documents; returns per shard (shard, file, n_docs, n_ids), a few numbers per task."""
     # the texts' hashes let an identifier with very many rows spread over several shards
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
     ranged = small_batches(docs).select("doc_id", "text").repartitionByRange(n_shards, *order).sortWithinPartitions(*order)
@@ -200,23 +198,28 @@ def write_shards(docs: DataFrame, folder: str, n_shards: int, vocabulary: str) -
         encode = encoder(vocabulary)
         width = 2 if encode.tokenizer.get_vocab_size() <= 1 << 16 else 4
         fs, root = opened(folder)
-        name, own = f"{root}/shard-{shard:06d}.sst", f"{root}/.writing-{shard:06d}-{uuid.uuid4().hex}"
+        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.sst"
         writer = None
         for batch in batches:
             for part in slices(batch, "text"):
                 if writer is None:
                     fs.create_dir(root, recursive=True)
-                    sink = fs.open_output_stream(own)
+                    sink = fs.open_output_stream(f"{root}/{name}")
                     writer = ShardWriter(sink, width)
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode.encode(part.column("text").to_pylist())):
                     writer.add(key_of(doc_id), ids)
         if writer is not None:
             writer.close()
             sink.close()
-            fs.move(own, name)
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{folder}/shard-{shard:06d}.sst"], "n_docs": [writer.n], "n_ids": [writer.n_ids]})
-
-    return sorted(tuple(r) for r in ranged.mapInArrow(run, "shard long, file string, n_docs long, n_ids long").collect())
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "file": [f"{folder}/{name}"], "n_docs": [writer.n], "n_ids": [writer.n_ids]})
+
+    shards = sorted(tuple(r) for r in ranged.mapInArrow(run, "shard long, file string, n_docs long, n_ids long").collect())
+    fs, root = opened(folder)
+    whole = {file.rsplit("/", 1)[1] for _, file, _, _ in shards}
+    for found in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if found.base_name.startswith("shard-") and found.base_name not in whole:
+            fs.delete_file(found.path)
+    return shards
 
 
 def read_shards(spark: SparkSession, shards: list[tuple]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,10 +24,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a default is set only where the session has none (tests)."""
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
+
+    A session on one machine (tests) that names none gets a default; on a cluster that is an error, as a local folder would
+    be another one on each executor.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file:///tmp/checkpoints/quarrystone"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/checkpoints/quarrystone"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 

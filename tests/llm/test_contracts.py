@@ -719,7 +719,9 @@ def test_sstable(spark, folder, docs, tmp_path):
         at += n
     order = [r[0] for r in sorted(rows, key=lambda r: r[1])]
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
+    (tmp_path / f"shard-000000-{'0' * 32}.sst").write_bytes(b"left by a lost task")
     shards = sstable.write_shards(spark.read.parquet(f"{folder}/documents.parquet"), str(tmp_path), 3, default_path())
+    assert sorted(p.name for p in tmp_path.glob("shard-*")) == sorted(f.rsplit("/", 1)[1] for _, f, _, _ in shards)
     by_id = defaultdict(list)
     for i, x in coded:
         by_id[i].append(x)
@@ -742,3 +744,64 @@ def test_empty_tables(spark, tmp_path):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, query in registry.QUERIES.items():
         assert query(spark, str(tmp_path)).collect() == [], name
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from quarrystone.llm.common import shared_dir
+
+    conf = {}
+    fake = lambda master: SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__), sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            shared_dir(fake(master))
+    assert shared_dir(fake("local[4]")).startswith("file:") and shared_dir(fake("yarn"))
+
+
+def test_pipeline_as_a_whole(spark, tmp_path):
+    """Nulls, repeated rows, clashing columns, exact and near copies, a benchmark passage, a secret, foreign text: each
+    stage's decisions, by hand; and empty tables."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.01"
+    table = spark.read.parquet(f"{folder}/documents.parquet").where("text is not null")
+    rows = table.where("lang = 'en' and n_chars between 400 and 3000").orderBy("doc_id").limit(300).collect()
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").first()["text"]
+    base = rows[0]["text"].split()
+    near = " ".join(w if k != len(base) // 2 else "anders" for k, w in enumerate(base))
+    odd = [
+        (900_001, near, "en", "s", None), (900_002, rows[0]["text"], "en", "s", None), (900_003, rows[1]["text"] + " " + item, "en", "s", None), (900_004, rows[2]["text"] + f" {SECRET}", "en", "s", 1),
+        (900_005, None, None, None, None), (900_006, "1234 5678", None, "s", 9), (None, rows[3]["text"], None, None, None), (900_004, rows[2]["text"] + f" {SECRET}", "en", "s", 1),
+    ]
+    docs = table.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(odd, SCHEMA)).withColumn("coverage", F.lit("c")).withColumn("simhash", F.lit(1)).withColumn("lang_pred", F.lit("x"))
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    steps, now = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before, now = now, corpus_pipeline.written(stage(spark, now, str(tmp_path)))
+        steps[name] = now
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert now.columns == before.columns
+    ids = {n: Counter(r["doc_id"] for r in df.collect()) for n, df in steps.items()}
+    assert not {900_005, 900_006} & set(ids["language_id"]) and ids["language_id"][900_004] == 2 and ids["language_id"][None] == 1
+    assert not {900_001, 900_002} & set(ids["near_dedup"]) and ids["near_dedup"][900_004] <= 1
+    assert 900_003 not in ids["decontamination"]
+    texts = {r["doc_id"]: r["text"] for r in steps["secret_scan"].collect()}
+    assert all("0641917ea4e9feb9cda83477b57ac2654884f485" not in t for t in texts.values())
+    # near copies by brute force: no two texts that the stage kept are 0.8 alike, and for each that went one is alike
+    shingles = lambda t: frozenset(zip(*(w[i:] for i in range(5)))) if len(w := re.findall("[0-9a-z\u0080-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))) >= 5 else frozenset([tuple(w)])
+    kept = {shingles(r["text"]) for r in steps["near_dedup"].collect() if r["text"]}
+    holders = defaultdict(set)
+    for own in kept:
+        for x in own:
+            holders[x].add(own)
+    alike = lambda a, b: len(a & b) / len(a | b)
+    close = {frozenset((a, b)) for a in kept for b in set().union(*(holders[x] for x in a)) if a is not b and alike(a, b) >= 0.8}
+    assert len(close) <= 0.01 * len(kept)
+    whole = Counter(r[:5] for r in map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()))
+    assert whole == Counter(r[:5] for r in map(tuple, steps["best_fit_packing"].collect()))
+    empty = tmp_path / "empty"
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{empty}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []

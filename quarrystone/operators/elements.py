@@ -2,8 +2,9 @@
 
 A filter is a JSON object, or a dict: keys are an implicit AND; ``$and`` and ``$or`` take non-empty arrays; keys that start
 with ``@`` are columns of the element, all others property keys. A scalar operand means ``$eq``, an object holds operators.
-Every property condition is a semi-join or anti-join of its own, so repeated keys may satisfy two bounds by two rows.
-Unknown operators, and negation, are refused by name.
+Every property condition is a flag of an element, whether any of its rows satisfies it, so repeated keys may satisfy two bounds
+by two rows. All flags come from one scan and one grouping of the properties, whatever the number of conditions. Unknown
+operators, and negation, are refused by name.
 """
 
 from __future__ import annotations
@@ -67,31 +68,50 @@ def root_condition(field: str, op: str, value: object) -> Column:
     return {"$eq": lambda: column == value, "$ne": lambda: column != value, "$like": lambda: like(column, value)}[op]()
 
 
-def with_property(elements: DataFrame, properties: DataFrame, key: str, op: str, value: object) -> DataFrame:
-    """The elements that satisfy one condition on a property."""
-    own = properties.where(F.col("key") == key)
-    keep = lambda df, rows, how="left_semi": df.join(rows.select("element_row"), "element_row", how)
+class _Flags:
+    """The conditions on property rows that a filter names; each is a flag column of the elements."""
+
+    def __init__(self):
+        self.conditions: list[tuple[str, Column]] = []
+        self.keys: set[str] = set()
+
+    def any_row(self, key: str, condition: Column | None = None) -> Column:
+        """Whether an element has a row of a key, or one that satisfies a condition too; null stands for false."""
+        name = f"flag{len(self.conditions)}_"
+        own = F.col("key") == key
+        self.keys.add(key)
+        self.conditions.append((name, own if condition is None else own & condition))
+        return F.col(name)
+
+
+def _property_condition(flags: _Flags, key: str, op: str, value: object) -> Column:
+    no = lambda flag: ~F.coalesce(flag, F.lit(False))
     if op in ("$eq", "$ne") and value is None:
-        return keep(elements, own, "left_anti" if op == "$eq" else "left_semi")
+        return no(flags.any_row(key)) if op == "$eq" else flags.any_row(key)
     if op == "$eq":
-        return keep(elements, own.where(typed_equal(value)))
+        return flags.any_row(key, typed_equal(value))
     if op == "$ne":
-        return keep(keep(elements, own), own.where(typed_equal(value)), "left_anti")
+        return flags.any_row(key) & no(flags.any_row(key, typed_equal(value)))
     if op == "$in":
         if not isinstance(value, list) or len(value) > MAX_ENTRIES:
             raise FilterError(f"$in takes an array of up to {MAX_ENTRIES} entries")
-        return keep(elements, own.where(_any([typed_equal(v) for v in value])))
+        return flags.any_row(key, _any([typed_equal(v) for v in value]))
     if op == "$like":
         if not isinstance(value, str):
             raise FilterError("$like takes a string")
-        return keep(elements, own.where(like(F.col("value_text"), value)))
+        return flags.any_row(key, like(F.col("value_text"), value))
     if op in _COMPARE:
         if isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value):
             raise FilterError(f"{op} takes a finite number")
-        return keep(elements, own.where(_COMPARE[op](F.col("value_number"), F.lit(float(value)))))
+        return flags.any_row(key, _COMPARE[op](F.col("value_number"), F.lit(float(value))))
     raise FilterError(f"unknown operator {op!r}")
 
 
+def with_property(elements: DataFrame, properties: DataFrame, key: str, op: str, value: object) -> DataFrame:
+    """The elements that satisfy one condition on a property."""
+    return filtered(elements, properties, {key: {op: value}})
+
+
 def parsed(condition: str | dict) -> dict:
     """The filter as a dict, its size, depth and counts checked."""
     text = condition if isinstance(condition, str) else json.dumps(condition)
@@ -128,26 +148,40 @@ def parsed(condition: str | dict) -> dict:
     return tree
 
 
-def filtered(elements: DataFrame, properties: DataFrame, condition: str | dict) -> DataFrame:
-    """The elements that satisfy a filter. An empty object is true of all."""
-    return _apply(elements, properties, parsed(condition))
-
-
-def _apply(elements: DataFrame, properties: DataFrame, tree: dict) -> DataFrame:
+def _condition(tree: dict, flags: _Flags) -> Column:
+    """A filter as a Boolean column of elements and flags."""
+    out = F.lit(True)
     for key, value in tree.items():
         if key == "$and":
-            for part in value:
-                elements = _apply(elements, properties, part)
+            part = reduce(Column.__and__, [_condition(p, flags) for p in value])
         elif key == "$or":
-            found = reduce(DataFrame.union, [_apply(elements, properties, part).select("element_row") for part in value])
-            elements = elements.join(found.distinct(), "element_row", "left_semi")
+            part = reduce(Column.__or__, [_condition(p, flags) for p in value])
         else:
-            for op, operand in (value if isinstance(value, dict) else {"$eq": value}).items():
-                if key.startswith("@"):
-                    elements = elements.where(root_condition(key, op, operand))
-                else:
-                    elements = with_property(elements, properties, key, op, operand)
-    return elements
+            one = root_condition if key.startswith("@") else lambda *a: _property_condition(flags, *a)
+            part = reduce(Column.__and__, [one(key, op, operand) for op, operand in (value if isinstance(value, dict) else {"$eq": value}).items()])
+        out = out & part
+    return out
+
+
+def _selected(elements: DataFrame, properties: DataFrame, condition: str | dict, keys: list[str] = (), by: str | None = None) -> DataFrame:
+    """The elements that satisfy a filter, with ``values_`` (key, number and units of the rows of some keys) and ``groups_`` (the
+    values of the property ``by``), all from one scan of the properties."""
+    flags = _Flags()
+    where = _condition(parsed(condition), flags)
+    wanted = [F.max(F.when(c, True)).alias(n) for n, c in flags.conditions]
+    if keys:
+        wanted.append(F.collect_list(F.when(F.col("key").isin(keys), F.struct("key", "value_number", "units"))).alias("values_"))
+    if by is not None:
+        wanted.append(F.collect_list(F.when(F.col("key") == by, F.struct("value_text", "value_number", "value_boolean"))).alias("groups_"))
+    if not wanted:
+        return elements.where(where)
+    own = properties.where(F.col("key").isin(sorted({*flags.keys, *keys, *([by] if by is not None else [])}))).groupBy("element_row").agg(*wanted)
+    return elements.join(own, "element_row", "left").where(where).select(*elements.columns, *[c for c in ("values_", "groups_") if c in own.columns])
+
+
+def filtered(elements: DataFrame, properties: DataFrame, condition: str | dict) -> DataFrame:
+    """The elements that satisfy a filter. An empty object is true of all."""
+    return _selected(elements, properties, condition)
 
 
 def page(elements: DataFrame, after: int | None, top: int) -> DataFrame:
@@ -180,35 +214,52 @@ def keys_of(raw: str | list[str]) -> list[str]:
     return keys
 
 
-def _statistics() -> list[Column]:
-    v = F.col("value_number")
-    units = F.array_sort(F.collect_set(F.when(v.isNotNull(), F.col("units"))))
-    return [F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("avg"), F.coalesce(F.sum(v), F.lit(0.0)).alias("total"), units.alias("units")]
+def _key_statistics(keys: list[str]) -> Column:
+    """An array of the statistics of each key over rows of key, value_number and units; zeros and nulls for absent keys."""
+    v, units = F.col("value_number"), F.col("units")
+
+    def one(n: int, key: str) -> Column:
+        own = F.when(F.col("key") == key, v)
+        labels = F.array_sort(F.collect_set(F.when(own.isNotNull(), units)))
+        return F.struct(F.lit(n).alias("ordinal"), F.lit(key).alias("key"), F.count(own).alias("count"), F.min(own).alias("min"), F.max(own).alias("max"), F.avg(own).alias("avg"), F.coalesce(F.sum(own), F.lit(0.0)).alias("total"), labels.alias("units"))
+
+    return F.array(*[one(n, k) for n, k in enumerate(keys)])
 
 
-def _key_table(elements: DataFrame, keys: list[str]) -> DataFrame:
-    return elements.sparkSession.createDataFrame(list(enumerate(keys)), "ordinal int, key string")
+_FIGURES = ["count", "min", "max", "avg", "total", "units"]
 
 
-def aggregated(elements: DataFrame, properties: DataFrame, keys: str | list[str]) -> DataFrame:
-    """Per key: ordinal, count, min, max, avg, total and units of its numbers; zeros and nulls for absent keys."""
+def aggregated(elements: DataFrame, properties: DataFrame, keys: str | list[str], condition: str | dict | None = None) -> DataFrame:
+    """Per key: ordinal, count, min, max, avg, total and units of its numbers; zeros and nulls for absent keys. With a
+    condition, of the elements that satisfy it; the properties are scanned once then."""
     keys = keys_of(keys)
-    rows = properties.where(F.col("key").isin(keys)).join(elements.select("element_row"), "element_row", "left_semi")
-    return F.broadcast(_key_table(elements, keys)).join(rows, "key", "left").groupBy("ordinal", "key").agg(*_statistics())
+    if condition is None:
+        rows = properties.where(F.col("key").isin(keys)).join(elements.select("element_row"), "element_row", "left_semi")
+    else:
+        rows = _selected(elements, properties, condition, keys).select(F.explode("values_").alias("v")).select("v.*")
+    return rows.agg(_key_statistics(keys).alias("s")).select(F.explode("s").alias("s")).select("s.ordinal", "s.key", *[f"s.{c}" for c in _FIGURES])
 
 
-def _grouped(elements: DataFrame, properties: DataFrame, by: str) -> DataFrame:
+_GROUP = ["group_text", "group_number", "group_boolean"]
+
+
+def _grouped(elements: DataFrame, by: str) -> DataFrame:
+    """Elements with their group; elements with ``groups_`` (a property's values) once for each, or once with nulls."""
     if by.startswith("@"):
         if by not in ROOT:
             raise FilterError(f"unknown root field {by!r}")
-        return elements.select("element_row", F.col(ROOT[by]).alias("group_text"), F.lit(None).cast("double").alias("group_number"), F.lit(None).cast("boolean").alias("group_boolean"))
-    own = properties.where(F.col("key") == by).select("element_row", F.col("value_text").alias("group_text"), F.col("value_number").alias("group_number"), F.col("value_boolean").alias("group_boolean"))
-    return elements.select("element_row").join(own, "element_row", "left")
+        return elements.withColumns({"group_text": F.col(ROOT[by]), "group_number": F.lit(None).cast("double"), "group_boolean": F.lit(None).cast("boolean")})
+    rows = elements.withColumn("g_", F.explode_outer("groups_"))
+    return rows.withColumns(dict(zip(_GROUP, (F.col("g_.value_text"), F.col("g_.value_number"), F.col("g_.value_boolean"))))).drop("g_")
+
+
+def _by(by: str) -> str | None:
+    return None if by.startswith("@") else by
 
 
-def group_counts(elements: DataFrame, properties: DataFrame, by: str) -> DataFrame:
+def group_counts(elements: DataFrame, properties: DataFrame, by: str, condition: str | dict | None = None) -> DataFrame:
     """Elements per value of a column or property; those without the property are the null group."""
-    return _grouped(elements, properties, by).groupBy("group_text", "group_number", "group_boolean").agg(F.count("*").alias("count"))
+    return _grouped(_selected(elements, properties, condition or {}, by=_by(by)), by).groupBy(*_GROUP).agg(F.count("*").alias("count"))
 
 
 def checked_groups(groups: DataFrame) -> DataFrame:
@@ -218,17 +269,14 @@ def checked_groups(groups: DataFrame) -> DataFrame:
     return groups
 
 
-def group_statistics(elements: DataFrame, properties: DataFrame, by: str, keys: str | list[str]) -> DataFrame:
-    """The statistics of each key in each group, filled with zeros."""
+def group_statistics(elements: DataFrame, properties: DataFrame, by: str, keys: str | list[str], condition: str | dict | None = None) -> DataFrame:
+    """The statistics of each key in each group, filled with zeros; with a condition, of the elements that satisfy it. One scan
+    of the properties serves the condition, the groups and the numbers."""
     keys = keys_of(keys)
-    members = _grouped(elements, properties, by)
-    group = ["group_text", "group_number", "group_boolean"]
-    values = members.join(properties.where(F.col("key").isin(keys)), "element_row").groupBy(*group, "key").agg(*_statistics())
-    wanted = members.select(*group).distinct().withColumn("key", F.explode(F.array(*map(F.lit, keys))))
-    same = reduce(Column.__and__, [wanted[g].eqNullSafe(values[g]) for g in group]) & (wanted["key"] == values["key"])
-    rows = wanted.join(values, same, "left")
-    filled = [F.coalesce("count", F.lit(0).cast("long")).alias("count"), "min", "max", "avg", F.coalesce("total", F.lit(0.0)).alias("total"), F.coalesce("units", F.array().cast("array<string>")).alias("units")]
-    return rows.select(*[wanted[g] for g in group], wanted["key"], *filled)
+    members = _grouped(_selected(elements, properties, condition or {}, keys, _by(by)), by)
+    rows = members.select(*_GROUP, F.explode_outer("values_").alias("v")).select(*_GROUP, "v.*")
+    stats = rows.groupBy(*_GROUP).agg(_key_statistics(keys).alias("s")).select(*_GROUP, F.explode("s").alias("s"))
+    return stats.select(*_GROUP, "s.key", *[f"s.{c}" for c in _FIGURES])
 
 
 def property_names(properties: DataFrame) -> DataFrame:
@@ -291,55 +339,3 @@ def word_parts(text: Column) -> Column:
     return F.when(parts == text, text).otherwise(F.concat_ws(" ", text, parts))
 
 
-_ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-
-
-def tokens(docs: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """The inverted index: key, col, token (lower case, Latin accents removed), pos from 0 in its column."""
-    parts = []
-    for c in columns:
-        words = F.split(F.translate(F.lower(F.col(c)), *_ACCENTS), r"[^\p{L}\p{N}]+")
-        words = F.filter(words, lambda w: w != "")
-        parts.append(docs.select(key, F.lit(c).alias("col"), F.posexplode(words).alias("pos", "token")))
-    return reduce(DataFrame.union, parts)
-
-
-def phrase_hits(index: DataFrame, key: str, phrase: str, prefix: bool = False) -> DataFrame:
-    """Rows that hold the words of a phrase in a row (the last as a prefix, if so): key, hits."""
-    words = phrase.lower().translate(str.maketrans(*_ACCENTS)).split()
-    at = None
-    for k, w in enumerate(words):
-        match = F.col("token").startswith(w) if prefix and k == len(words) - 1 else F.col("token") == w
-        own = index.where(match).select(key, "col", (F.col("pos") - k).alias("first"))
-        at = own if at is None else at.join(own, [key, "col", "first"])
-    return at.groupBy(key).agg(F.count("*").alias("hits"))
-
-
-def search(docs: DataFrame, key: str, columns: list[str], all_of: list[str] = (), any_of: list[str] = (), none_of: list[str] = ()) -> DataFrame:
-    """Full-text search: rows with all, any and none of the terms (``word``, ``two words`` as a phrase, ``pre*``), by BM25.
-
-    Columns: key, score (higher is better; k1 = 1.2, b = 0.75). Needs a term that must occur.
-    """
-    if not all_of and not any_of:
-        raise FilterError("a search needs a term that must occur")
-    index = tokens(docs, key, columns)
-    lengths = index.groupBy(key).agg(F.count("*").alias("length"))
-    totals = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average"))
-    hits = {t: phrase_hits(index, key, t.rstrip("*"), t.endswith("*")) for t in [*all_of, *any_of, *none_of]}
-    found = None
-    for t in all_of:
-        found = hits[t].select(key) if found is None else found.join(hits[t].select(key), key, "left_semi")
-    if any_of:
-        some = reduce(DataFrame.union, [hits[t].select(key) for t in any_of]).distinct()
-        found = some if found is None else found.join(some, key, "left_semi")
-    for t in none_of:
-        found = found.join(hits[t].select(key), key, "left_anti")
-    scores = None
-    for t in [*all_of, *any_of]:
-        df = hits[t].agg(F.count("*").alias("df"))
-        idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-        tf = F.col("hits") * 2.2 / (F.col("hits") + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("average")))
-        # df and totals are one row each
-        own = hits[t].join(lengths, key).join(F.broadcast(totals)).join(F.broadcast(df)).select(key, (idf * tf).alias("score"))
-        scores = own if scores is None else scores.union(own)
-    return found.join(scores.groupBy(key).agg(F.sum("score").alias("score")), key)

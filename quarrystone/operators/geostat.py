@@ -56,11 +56,16 @@ def idw(places: DataFrame, samples: DataFrame, power: float = 2.0) -> DataFrame:
 def variogram(samples: DataFrame, lag: float, n_lags: int) -> DataFrame:
     """Half the mean squared difference of pairs by distance: bin, semivariance, pairs; bins from n_lags on are left out.
 
-    Samples are bounded, so their pairs are; each pair is met once by id.
+    All samples count, however many: pairs are met once by id through cells as large as the longest distance, each cell with
+    itself and the cells around it.
     """
-    few = samples.orderBy("id").limit(MAX_SAMPLES)
-    a, b = (few.select(*[F.col(c).alias(c + n) for c in ("id", "x", "y", "value")]) for n in "ab")
-    pairs = a.join(F.broadcast(b), F.col("ida") < F.col("idb"))
+    size = F.lit(float(lag * n_lags))
+    cell = lambda a: F.floor(F.col(a) / size)
+    a, b = (samples.select(*[F.col(c).alias(c + n) for c in ("id", "x", "y", "value")]) for n in "ab")
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
+    a = a.select("*", around).select("*", (cell("xa") + F.col("s.i")).alias("cx"), (cell("ya") + F.col("s.j")).alias("cy"))
+    b = b.withColumn("cx", cell("xb")).withColumn("cy", cell("yb"))
+    pairs = a.join(b, ["cx", "cy"]).where(F.col("ida") < F.col("idb"))
     d = F.sqrt(F.pow(F.col("xa") - F.col("xb"), 2) + F.pow(F.col("ya") - F.col("yb"), 2))
     bins = pairs.withColumn("bin", (d / lag).cast("int")).where(F.col("bin") < n_lags)
     return bins.groupBy("bin").agg((F.avg(F.pow(F.col("valuea") - F.col("valueb"), 2)) / 2).alias("semivariance"), F.count("*").alias("pairs"))

@@ -121,40 +121,44 @@ def flow_directions(raster: DataFrame) -> DataFrame:
     return cells.where("v is not null").select("row", "col", "v", (F.col("row") + best["dr"]).alias("to_row"), (F.col("col") + best["dc"]).alias("to_col"))
 
 
-def watersheds(directions: DataFrame, most_rounds: int = 24) -> DataFrame:
-    """Each cell's outlet, by pointer jumping: every round doubles how far a cell looks."""
+def _settled(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the shared folder, where the session names one."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+
+
+def watersheds(directions: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """Each cell's outlet, by pointer jumping: every round doubles how far a cell looks. Directions in a circle raise."""
     at = directions.select("row", "col", F.coalesce("to_row", "row").alias("r"), F.coalesce("to_col", "col").alias("c"))
     known = directions.select(F.col("row").alias("r"), F.col("col").alias("c")).withColumn("known", F.lit(True))
     at = at.join(known, ["r", "c"], "left").select("row", "col", F.when(F.col("known"), F.col("r")).otherwise(F.col("row")).alias("r"), F.when(F.col("known"), F.col("c")).otherwise(F.col("col")).alias("c"))
     for _ in range(most_rounds):
-        at = at.checkpoint() if at.sparkSession.conf.get("spark.checkpoint.dir", None) else at
+        at = _settled(at)
         nxt = at.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("r").alias("r2"), F.col("c").alias("c2"))
-        jumped = at.join(nxt, ["r", "c"]).select("row", "col", F.col("r2").alias("r"), F.col("c2").alias("c"), ((F.col("r2") != F.col("r")) | (F.col("c2") != F.col("c"))).alias("moved"))
-        if not jumped.where("moved").limit(1).count():
+        jumped = _settled(at.join(nxt, ["r", "c"]).select("row", "col", F.col("r2").alias("r"), F.col("c2").alias("c"), ((F.col("r2") != F.col("r")) | (F.col("c2") != F.col("c"))).alias("moved")))
+        if jumped.where("moved").isEmpty():
             return at.select("row", "col", F.col("r").alias("outlet_row"), F.col("c").alias("outlet_col"))
         at = jumped.drop("moved")
-    return at.select("row", "col", F.col("r").alias("outlet_row"), F.col("c").alias("outlet_col"))
-
-
-def accumulation(directions: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """How many cells drain through each, itself included: parcels move a cell a round, and are counted where they pass.
-
-    Only parcels on the move are in a round's join, and they are summed by cell first.
-    """
-    flow = directions.select("row", "col", "to_row", "to_col")
-    parcels = flow.select("row", "col", F.lit(1).cast("long").alias("n"))
-    passed = [parcels]
+    raise ValueError("the flow directions hold a circle")
+
+
+def accumulation(directions: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """How many cells drain through each, itself included, by path doubling: the sum over the cells at most 2**k steps above is
+    that over 2**k - 1 steps, and as much again of the cells 2**k steps above. As many rounds as the longest way's logarithm.
+    Directions in a circle raise."""
+    cells = directions.select("row", "col")
+    inside = directions.where("to_row is not null").select("row", "col", F.col("to_row").alias("r"), F.col("to_col").alias("c"))
+    # ways: where a cell's water is after 2**k steps; sums: the cells at most 2**k - 1 steps above, itself included
+    ways = inside.join(cells.select(F.col("row").alias("r"), F.col("col").alias("c")), ["r", "c"], "left_semi").select("row", "col", "r", "c")
+    sums = cells.withColumn("cells", F.lit(1).cast("long"))
     for _ in range(most_rounds):
-        step = parcels.join(flow.where("to_row is not null"), ["row", "col"]).select(F.col("to_row").alias("row"), F.col("to_col").alias("col"), "n")
-        parcels = step.join(flow.select("row", "col"), ["row", "col"], "left_semi").groupBy("row", "col").agg(F.sum("n").alias("n"))
-        parcels = parcels.checkpoint() if parcels.sparkSession.conf.get("spark.checkpoint.dir", None) else parcels
-        if parcels.isEmpty():
-            break
-        passed.append(parcels)
-    out = passed[0]
-    for p in passed[1:]:
-        out = out.union(p)
-    return out.groupBy("row", "col").agg(F.sum("n").alias("cells"))
+        ways = _settled(ways)
+        if ways.isEmpty():
+            return sums
+        moved = ways.join(sums, ["row", "col"]).select(F.col("r").alias("row"), F.col("c").alias("col"), "cells")
+        sums = _settled(sums.union(moved).groupBy("row", "col").agg(F.sum("cells").alias("cells")))
+        nxt = ways.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("r").alias("r2"), F.col("c").alias("c2"))
+        ways = ways.join(nxt, ["r", "c"]).select("row", "col", F.col("r2").alias("r"), F.col("c2").alias("c"))
+    raise ValueError("the flow directions hold a circle")
 
 
 def sinks_filled(raster: DataFrame, by: str = "raster") -> DataFrame:

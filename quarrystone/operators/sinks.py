@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quarrystone.sources import formats
 
 _FILE = "path string, content binary"
+#: Points of a file, about, that one task holds.
+MAX_FILE_POINTS = 500_000
 
 
 def _grouped(df: DataFrame, by: str, name, encode) -> DataFrame:
@@ -58,6 +60,16 @@ def tileset_json(nodes: list[tuple[str, bool]], low: list[float], high: list[flo
     return json.dumps({"asset": {"version": "1.1"}, "geometricError": root.get("geometricError", 0.0), "root": root})
 
 
+def bounded(points: DataFrame, by: str, most: int = MAX_FILE_POINTS) -> DataFrame:
+    """Points with the column ``file``: their group's name and a part, so that no file gets many more than ``most`` points.
+
+    Parts are ranges of point_id hashes, as many as a group's counted size asks for.
+    """
+    sizes = points.groupBy(by).agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("point_id"), F.col("parts"))
+    return points.join(sizes, by).withColumn("file", F.concat_ws("-", F.col(by).cast("string"), part.cast("string"))).drop("parts")
+
+
 def las_files(points: DataFrame, by: str) -> DataFrame:
     def encode(rows: pd.DataFrame) -> bytes:
         rows = rows.sort_values("point_id")
@@ -77,7 +89,7 @@ def _matrix(rows: pd.DataFrame) -> np.ndarray:
 
 
 def hgt_files(raster: DataFrame, by: str) -> DataFrame:
-    """Square tiles only."""
+    """One file a tile; a tile that is no square is filled up with voids."""
     return _grouped(raster, by, lambda n: f"{n}.hgt", lambda rows: formats.write_hgt(_matrix(rows)))
 
 

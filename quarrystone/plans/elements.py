@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrystone.operators import elements as E
+from quarrystone.operators import search as X
 from quarrystone.plans.registry import query
 
 _IDS = "SELECT e.global_id FROM elements e WHERE "
@@ -56,32 +57,64 @@ def details(t):
     return E.element_details(t.elements, t.properties).select("global_id", "parent_global_id", "properties")
 
 
-_TOKENS = "list_filter(string_split_regex(translate(lower({c}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^\\pL\\pN]+'), lambda x: x <> '')"
+_COLUMNS = ["source", "lang", "text"]
+_FOLDED = "strip_accents(lower(coalesce({c}, '')))"
 
 
-def _token_sql(body: str) -> str:
-    one = " UNION ALL ".join(f"SELECT doc_id, '{c}' AS col, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {_TOKENS.format(c=c)} AS w FROM documents)" for c in ("source", "lang", "text"))
-    return f"WITH tok AS ({one}) {body}"
+def _count(word: str) -> str:
+    """Occurrences of a word, or of words in a row, in all columns, by regular expressions over spaced-out texts."""
+    end = "[a-z0-9\u00aa-\uffff]*" if word.endswith("*") else ""
+    one = "len(regexp_extract_all(' ' || regexp_replace(" + _FOLDED + ", '[^\\pL\\pN]+', '  ', 'g') || ' ', ' " + word.rstrip("*").replace(" ", "  ") + end + " '))"
+    return " + ".join(one.format(c=c) for c in _COLUMNS)
 
 
-@query("a19_search_any", _token_sql("SELECT DISTINCT doc_id FROM tok WHERE token = 'license' OR token LIKE 'passw%'"))
+def _search_sql(body: str, *words: str) -> str:
+    length = " + ".join(f"len(regexp_extract_all({_FOLDED.format(c=c)}, '[\\pL\\pN]+'))" for c in _COLUMNS)
+    counts = ", ".join(f"{_count(w)} AS h{k}" for k, w in enumerate(words))
+    return f"WITH c AS (SELECT doc_id, {length} AS len, {counts} FROM documents) {body}"
+
+
+@query("a18_search_tokens", "SELECT * FROM (VALUES (0, 'word', 'door'), (1, '+', ''), (2, '-', ''), (3, 'phrase', 'fire \"wall'), (4, '|', ''), (5, '(', ''), (6, 'prefix', 'win'), (7, 'word', 'a+b-c'), (8, ')', '')) t(place, kind, text)")
+def search_tokens(t):
+    found = X.tokenized(r'door + -"fire \"wall" | (win* a\+b-c)')
+    return t.spark.createDataFrame([(k, *x) for k, x in enumerate(found)], "place int, kind string, text string")
+
+
+@query("a19_search_any", _search_sql("SELECT doc_id FROM c WHERE h0 > 0 OR h1 > 0", "license", "passw*"))
 def search_any(t):
-    return E.search(t.read("documents"), "doc_id", ["source", "lang", "text"], any_of=["license", "passw*"]).select("doc_id")
+    return X.search(t.read("documents"), "doc_id", _COLUMNS, "license passw*").select("doc_id")
+
+
+@query("a19_search_groups", _search_sql("SELECT doc_id FROM c WHERE (h0 > 0 AND (h1 > 0 OR h2 > 0)) OR h3 > 0", "license", "mit", "apache", "token"))
+def search_groups(t):
+    return X.search(t.read("documents"), "doc_id", _COLUMNS, "license + (mit | apache) token").select("doc_id")
 
 
-@query("a20_search_and_not", _token_sql("SELECT DISTINCT doc_id FROM tok WHERE token = 'en' AND doc_id IN (SELECT doc_id FROM tok WHERE token = 'license') AND doc_id NOT IN (SELECT doc_id FROM tok WHERE token = 'mit')"))
+@query("a20_search_and_not", _search_sql("SELECT doc_id FROM c WHERE h0 > 0 AND h1 > 0 AND NOT h2 > 0", "license", "en", "mit"))
 def search_and_not(t):
-    return E.search(t.read("documents"), "doc_id", ["source", "lang", "text"], all_of=["license", "en"], none_of=["mit"]).select("doc_id")
+    return X.search(t.read("documents"), "doc_id", _COLUMNS, "license + en + -mit").select("doc_id")
 
 
-@query("a21_search_phrase", _token_sql("SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.col = b.col AND b.pos = a.pos + 1 JOIN tok c ON a.doc_id = c.doc_id AND a.col = c.col AND c.pos = a.pos + 2 WHERE a.token = 'the' AND b.token = 'mit' AND c.token = 'license'"))
+@query("a20_search_render", """SELECT '(("license" AND ("a ""b" OR "c" *)) NOT "mit")' AS match""")
+def search_render(t):
+    return t.spark.createDataFrame([(X.rendered(X.parsed(r'license + ("a \"b" c*) + -mit')),)], "match string")
+
+
+@query("a21_search_phrase", _search_sql("SELECT doc_id FROM c WHERE h0 > 0", "the mit license"))
 def search_phrase(t):
-    return E.search(t.read("documents"), "doc_id", ["source", "lang", "text"], all_of=["the mit license"]).select("doc_id")
+    return X.search(t.read("documents"), "doc_id", _COLUMNS, '"the mit license"').select("doc_id")
+
 
+def _bm25(k: int) -> str:
+    return f"greatest(ln((n - d{k} + 0.5) / (d{k} + 0.5)), 1e-6) * h{k} * 2.2 / (h{k} + 1.2 * (0.25 + 0.75 * len / mean))"
 
-@query("a21_search_bm25")
+
+@query(
+    "a21_search_bm25",
+    _search_sql(f", s AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (h0 > 0) AS d0, count(*) FILTER (h1 > 0) AS d1, count(*) FILTER (h2 > 0) AS d2 FROM c) SELECT doc_id, round({_bm25(0)} + {_bm25(1)} + {_bm25(2)}, 6) AS score FROM c, s WHERE h0 + h1 + h2 > 0 ORDER BY round({_bm25(0)} + {_bm25(1)} + {_bm25(2)}, 6) DESC, doc_id LIMIT 50", "license", "password", "token"),
+)
 def search_ranked(t):
-    found = E.search(t.read("documents"), "doc_id", ["source", "lang", "text"], any_of=["license", "password", "token"])
+    found = X.search(t.read("documents"), "doc_id", _COLUMNS, "license password token").withColumn("score", F.round("score", 6))
     return found.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
@@ -99,7 +132,7 @@ def _flat(df):
 
 @query("a23_aggregate", f"SELECT k.i AS ordinal, k.key, {_STATS} FROM (VALUES (0, 'Acct.Balance'), (1, 'Mixed.Value'), (2, 'No.Such')) k(i, key) LEFT JOIN (SELECT p.* FROM properties p WHERE element_row IN (SELECT element_row FROM ({_MATCH}))) p ON p.key = k.key GROUP BY 1, 2")
 def aggregate(t):
-    return _flat(E.aggregated(E.filtered(t.elements, t.properties, _FILTER), t.properties, "Acct.Balance,Mixed.Value,No.Such"))
+    return _flat(E.aggregated(t.elements, t.properties, "Acct.Balance,Mixed.Value,No.Such", _FILTER))
 
 
 @query("a24_group_counts_column", "SELECT storey AS group_text, CAST(NULL AS DOUBLE) AS group_number, CAST(NULL AS BOOLEAN) AS group_boolean, count(*) AS count FROM elements GROUP BY 1")
@@ -121,7 +154,7 @@ SELECT w.group_text, CAST(NULL AS DOUBLE) AS group_number, CAST(NULL AS BOOLEAN)
 FROM w LEFT JOIN (SELECT m.group_text, p.* FROM m JOIN properties p ON p.element_row = m.element_row) v ON v.group_text IS NOT DISTINCT FROM w.group_text AND v.key = w.key GROUP BY ALL""",
 )
 def group_statistics(t):
-    return _flat(E.group_statistics(E.filtered(t.elements, t.properties, _FILTER), t.properties, "@storey", ["Acct.Balance", "No.Such"]))
+    return _flat(E.group_statistics(t.elements, t.properties, "@storey", ["Acct.Balance", "No.Such"], _FILTER))
 
 
 @query("a27_property_names", "SELECT DISTINCT key, CASE WHEN value_number IS NOT NULL THEN 'number' WHEN value_boolean IS NOT NULL THEN 'boolean' ELSE 'string' END AS type FROM properties")
@@ -203,5 +236,5 @@ def rewrite(t):
 
 @query("flagship", f"SELECT storey AS group_text, {_STATS} FROM ({_MATCH}) e JOIN properties p ON p.element_row = e.element_row AND p.key = 'Acct.Balance' GROUP BY 1")
 def flagship(t):
-    rows = E.group_statistics(E.filtered(t.elements, t.properties, _FILTER), t.properties, "@storey", "Acct.Balance")
+    rows = E.group_statistics(t.elements, t.properties, "@storey", "Acct.Balance", _FILTER)
     return _flat(rows).drop("group_number", "group_boolean", "key")

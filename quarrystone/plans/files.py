@@ -18,32 +18,37 @@ def _sums(df, *by):
     return df.groupBy(*by).agg(F.count("*").alias("n"), *[F.round(F.sum(a), 2).alias(f"s{a}") for a in "xyz"])
 
 
-@query("s02_las", f"SELECT CAST(cls AS VARCHAR) || '.las' AS path, cls, {_SUMS}, CAST(sum(intensity) AS BIGINT) AS si FROM points GROUP BY 1, 2")
+@query("s02_las", f"SELECT CAST(cls AS VARCHAR) AS path, cls, {_SUMS}, CAST(sum(intensity) AS BIGINT) AS si FROM points GROUP BY 1, 2")
 def las(t):
-    rows = S.las(K.las_files(t.points.withColumn("tile", F.col("cls")), "tile"))
+    rows = S.las(K.las_files(K.bounded(t.points, "cls"), "file")).withColumn("path", F.substring_index("path", "-", 1))
     return rows.groupBy("path", "cls").agg(F.count("*").alias("n"), *[F.round(F.sum(a), 2).alias(f"s{a}") for a in "xyz"], F.sum("intensity").alias("si"))
 
 
-@query("s04_ply", f"SELECT CAST(cls AS VARCHAR) || '.ply' AS path, {_SUMS} FROM points GROUP BY 1")
+@query("s04_ply", f"SELECT CAST(cls AS VARCHAR) AS path, {_SUMS} FROM points GROUP BY 1")
 def ply(t):
-    return _sums(S.ply(K.ply_files(t.points, "cls")), "path")
+    return _sums(S.ply(K.ply_files(K.bounded(t.points, "cls"), "file")).withColumn("path", F.substring_index("path", "-", 1)), "path")
 
 
-_SQUARE = "SELECT row, col, CASE WHEN v IS NOT NULL THEN round(v) END AS v FROM raster WHERE row < 40"
+#: The raster in tiles of 40 rows; cells beyond it are voids of its last file.
+_TILED = "SELECT CAST(row // 40 AS INT) AS tile, CAST(row % 40 AS INT) AS row, col, round(v) AS v FROM raster WHERE v IS NOT NULL"
 
 
-def _square(t):
-    return t.raster.where("row < 40").withColumn("tile", F.lit("N00E000"))
+def _tiles(t):
+    return t.raster.select(F.expr("CAST(row div 40 AS INT)").alias("tile"), (F.col("row") % 40).alias("row"), "col", "v")
 
 
-@query("s08_hgt", _SQUARE)
+def _heights(rows):
+    return rows.where("v is not null").select(F.regexp_extract("path", "([0-9]+)[.]", 1).cast("int").alias("tile"), "row", "col", "v")
+
+
+@query("s08_hgt", _TILED)
 def hgt(t):
-    return S.hgt(K.hgt_files(_square(t), "tile")).select("row", "col", "v")
+    return _heights(S.hgt(K.hgt_files(_tiles(t), "tile")))
 
 
-@query("s09_dted", _SQUARE)
+@query("s09_dted", _TILED)
 def dted(t):
-    return S.dted(K.dted_files(_square(t), "tile")).select("row", "col", "v")
+    return _heights(S.dted(K.dted_files(_tiles(t), "tile")))
 
 
 _TRI = "SELECT mesh_id || '{}' AS path, count(*) AS n, round(sum(ux + vx + wx), 1) AS sx, round(sum(uz + vz + wz), 1) AS sz FROM triangles GROUP BY 1"
@@ -166,14 +171,14 @@ def subtrees(t):
     return C.implicit_cells(t.points, 5).groupBy("level").agg(K.subtree_json().alias("json"))
 
 
-@query("k07_quantized_mesh", "SELECT count(*) AS n, round(sum(coalesce(v, 0)), -2) AS sv FROM raster WHERE row < 40")
+@query("k07_quantized_mesh", "SELECT CAST(sum(h * w) AS BIGINT) AS n, round(sum(sv), -2) AS sv FROM (SELECT max(row % 40) + 1 AS h, max(col) + 1 AS w, sum(coalesce(v, 0)) AS sv FROM raster GROUP BY row // 40)")
 def quantized(t):
     def run(batches):
         for b in batches:
             for content in b["content"]:
                 yield pd.DataFrame({"v": formats.read_quantized_mesh(bytes(content))["height"]})
 
-    return K.quantized_tiles(_square(t), "tile").mapInPandas(run, "v double").agg(F.count("*").alias("n"), F.round(F.sum("v"), -2).alias("sv"))
+    return K.quantized_tiles(_tiles(t), "tile").mapInPandas(run, "v double").agg(F.count("*").alias("n"), F.round(F.sum("v"), -2).alias("sv"))
 
 
 @query("k12_export_obj", "SELECT mesh_id || '.obj' AS path, CAST(4 * count(*) AS BIGINT) AS lines FROM triangles GROUP BY 1")

@@ -82,7 +82,13 @@ class Tables:
 
     @cached_property
     def samples(self) -> DataFrame:
-        return self.read("supplier").where("s_suppkey < 400").selectExpr("s_suppkey AS id", "CAST(s_suppkey % 10 AS DOUBLE) AS x", "CAST(s_suppkey div 10 AS DOUBLE) AS y", "s_acctbal AS value")
+        """At most 400 places, as kriging takes no more than 500 samples; every supplier counts in the mean of its place."""
+        places = self.read("supplier").groupBy(F.expr("s_suppkey % 400").alias("id")).agg(F.avg("s_acctbal").alias("value"))
+        return places.selectExpr("id", "CAST(id % 10 AS DOUBLE) AS x", "CAST(id div 10 AS DOUBLE) AS y", "value")
+
+    @cached_property
+    def sites(self) -> DataFrame:
+        return self.read("supplier").selectExpr("s_suppkey AS id", "CAST(s_suppkey % 10 AS DOUBLE) AS x", "CAST(s_suppkey div 10 AS DOUBLE) AS y", "s_acctbal AS value")
 
     @cached_property
     def raster(self) -> DataFrame:
@@ -121,7 +127,7 @@ class Tables:
     @cached_property
     def assets(self) -> DataFrame:
         labels = self.read("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-        return self.read("documents").join(labels, "doc_id", "left").selectExpr("doc_id AS id", "source AS name", "substr(text, 1, 200) AS description", "array(lang) AS tags", "lang AS type", "CASE WHEN quality = 1 THEN 'ready' WHEN quality = 0 THEN 'error' ELSE 'processing' END AS status", "doc_id AS created", "n_chars AS bytes")
+        return self.read("documents").join(labels, "doc_id", "left").selectExpr("doc_id AS id", "source AS name", "text AS description", "array(lang) AS tags", "lang AS type", "CASE WHEN quality = 1 THEN 'ready' WHEN quality = 0 THEN 'error' ELSE 'processing' END AS status", "doc_id AS created", "n_chars AS bytes")
 
 
 _PROPERTY = "SELECT CAST({row} AS BIGINT) AS element_row, {at} AS property_row, '{key}' AS key, CAST({text} AS VARCHAR) AS value_text, CAST({number} AS DOUBLE) AS value_number, CAST({boolean} AS BOOLEAN) AS value_boolean, CAST({units} AS VARCHAR) AS units FROM {table} WHERE {where}"
@@ -146,7 +152,8 @@ CTES = {
     "properties": " UNION ALL ".join(_PROPERTY.format(**dict(zip(_NAMES, r))) for r in _ROWS),
     "elements_v2": "SELECT * REPLACE (CASE WHEN class = 'Customer' AND (express_id - 3000000) % 17 = 2 THEN 'MOVED' ELSE storey END AS storey) FROM elements WHERE NOT (class = 'Customer' AND (express_id - 3000000) % 20 = 5) UNION ALL SELECT 9000000 + i, 'X' || i, 'Customer', 'New#' || i, 2000000, 'NEW', 9000000 + i FROM range(40) t(i)",
     "properties_v2": "SELECT * REPLACE (CASE WHEN element_row >= 3000000 AND (element_row - 3000000) % 13 = 4 AND key = 'Acct.Balance' THEN value_number + 1 ELSE value_number END AS value_number) FROM properties WHERE NOT (element_row >= 3000000 AND (element_row - 3000000) % 20 = 5)",
-    "samples": "SELECT s_suppkey AS id, CAST(s_suppkey % 10 AS DOUBLE) AS x, CAST(s_suppkey // 10 AS DOUBLE) AS y, s_acctbal AS value FROM supplier WHERE s_suppkey < 400",
+    "samples": "SELECT id, CAST(id % 10 AS DOUBLE) AS x, CAST(id // 10 AS DOUBLE) AS y, value FROM (SELECT s_suppkey % 400 AS id, avg(s_acctbal) AS value FROM supplier GROUP BY 1)",
+    "sites": "SELECT s_suppkey AS id, CAST(s_suppkey % 10 AS DOUBLE) AS x, CAST(s_suppkey // 10 AS DOUBLE) AS y, s_acctbal AS value FROM supplier",
     "raster": "SELECT CAST(p_partkey // 40 AS INT) AS row, CAST(p_partkey % 40 AS INT) AS col, CASE WHEN p_partkey % 97 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) + p_retailprice / 10 END AS v FROM part",
     "bands": "SELECT CAST(l_partkey // 40 AS INT) AS row, CAST(l_partkey % 40 AS INT) AS col, CAST(l_suppkey % 2 AS INT) AS band, l_shipdate AS day, 1500 + l_quantity * 100 AS v FROM lineitem",
     "triangles": "SELECT *, ux + 1 + tri_id % 3 AS vx, uy AS vy, uz AS vz, ux AS wx, uy + 2 AS wy, uz + 1 AS wz FROM (SELECT p_brand AS mesh_id, p_partkey AS tri_id, CAST(p_size AS DOUBLE) AS ux, CAST(p_partkey % 13 AS DOUBLE) AS uy, p_retailprice / 100 AS uz FROM part)",
@@ -155,7 +162,7 @@ CTES = {
     "requests": "SELECT user_id % 10 AS key, event_id, ts FROM events",
     "audit": "SELECT event_id AS id, ts AS timestamp, user_id AS user, event_type AS action, json_extract_string(props, '$.k') AS resource FROM events",
     "job_runs": "SELECT user_id % 20 AS job, event_id AS seq, event_type <> 'error' AS ok, ts FROM events",
-    "assets": "SELECT d.doc_id AS id, source AS name, substr(text, 1, 200) AS description, [lang] AS tags, lang AS type, CASE WHEN quality = 1 THEN 'ready' WHEN quality = 0 THEN 'error' ELSE 'processing' END AS status, d.doc_id AS created, n_chars AS bytes FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id",
+    "assets": "SELECT d.doc_id AS id, source AS name, text AS description, [lang] AS tags, lang AS type, CASE WHEN quality = 1 THEN 'ready' WHEN quality = 0 THEN 'error' ELSE 'processing' END AS status, d.doc_id AS created, n_chars AS bytes FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) l ON d.doc_id = l.doc_id",
 }
 _NEEDS = {"epoch_a": ["points"], "epoch_b": ["points"], "cells_old": ["points"], "cells_new": ["points"], "elements_v2": ["elements"], "properties_v2": ["properties"]}
 

@@ -143,7 +143,7 @@ def squares(t):
 
 @query("f20_viewshed")
 def viewshed(t):
-    return R.visible(t.raster, 20, 20, 10.0, 12)
+    return R.visible(t.raster, 2, 20, 10.0, 12)
 
 
 _DECL = 23.45 * math.sin(math.radians(360 / 365 * (284 + 172)))

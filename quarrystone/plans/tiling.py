@@ -166,7 +166,7 @@ def ground(t):
 def outliers(t):
     from quarrystone.operators.spatial import nearest_each
 
-    near = nearest_each(t.points.where("point_id % 20 = 0"), t.points.where("point_id % 20 = 0"), 4, 2.0).groupBy("center_id").agg(F.avg("distance").alias("mean"))
+    near = nearest_each(t.points, t.points, 4, 2.0).groupBy("center_id").agg(F.avg("distance").alias("mean"))
     limits = near.agg((F.avg("mean") + 2 * F.stddev("mean")).alias("most"))
     return near.join(F.broadcast(limits)).select(F.col("center_id").alias("point_id"), (F.col("mean") <= F.col("most")).alias("kept"))
 
@@ -191,9 +191,9 @@ def colours(t):
     return t.read("nation").selectExpr("n_nationkey", "CASE n_nationkey % 4 WHEN 0 THEN '#ABC' WHEN 1 THEN ' #a0b0c0 ' WHEN 2 THEN 'red' ELSE '#12345' END AS c").select("n_nationkey", C.css_colour(F.col("c")).alias("colour"))
 
 
-@query("c26_ring_area", "SELECT round(sum(x1 * y2 - x2 * y1) / 2, 4) AS area FROM (SELECT id, x AS x1, y AS y1, lead(x, 1, x0) OVER (ORDER BY id) AS x2, lead(y, 1, y0) OVER (ORDER BY id) AS y2 FROM (SELECT *, first(x) OVER (ORDER BY id) AS x0, first(y) OVER (ORDER BY id) AS y0 FROM samples WHERE id < 100))")
+@query("c26_ring_area", "SELECT round(sum(x1 * y2 - x2 * y1) / 2, 4) AS area FROM (SELECT id, x AS x1, y AS y1, lead(x, 1, x0) OVER (ORDER BY id) AS x2, lead(y, 1, y0) OVER (ORDER BY id) AS y2 FROM (SELECT *, first(x) OVER (ORDER BY id) AS x0, first(y) OVER (ORDER BY id) AS y0 FROM sites))")
 def ring_area(t):
-    own = t.samples.where("id < 100")
+    own = t.sites
     nxt = own.select((F.col("id") - 1).alias("id"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     ends = own.agg(F.min_by("x", "id").alias("x0"), F.min_by("y", "id").alias("y0"))
     edges = own.join(nxt, "id", "left").join(F.broadcast(ends)).select("x", "y", F.coalesce("x2", "x0").alias("x2"), F.coalesce("y2", "y0").alias("y2"))
@@ -251,9 +251,9 @@ def thumbnail(t):
     return t.points.groupBy(px.alias("px"), py.alias("py")).agg(F.count("*").alias("n"))
 
 
-@query("c42_terrain_bases", "SELECT s.id, round(min(r.v), 6) AS base FROM samples s JOIN raster r ON r.row = CAST(floor(s.y) AS INT) % 20 AND r.col IN (CAST(floor(s.x) AS INT), CAST(floor(s.x) AS INT) + 1) GROUP BY 1")
+@query("c42_terrain_bases", "SELECT s.id, round(min(r.v), 6) AS base FROM sites s JOIN raster r ON r.row = CAST(floor(s.y) AS INT) % 20 AND r.col IN (CAST(floor(s.x) AS INT), CAST(floor(s.x) AS INT) + 1) GROUP BY 1")
 def terrain_bases(t):
-    corners = t.samples.select("id", (F.floor("y").cast("int") % 20).alias("row"), F.explode(F.array(F.floor("x").cast("int"), F.floor("x").cast("int") + 1)).alias("col"))
+    corners = t.sites.select("id", (F.floor("y").cast("int") % 20).alias("row"), F.explode(F.array(F.floor("x").cast("int"), F.floor("x").cast("int") + 1)).alias("col"))
     return corners.join(t.raster, ["row", "col"]).groupBy("id").agg(F.round(F.min("v"), 6).alias("base"))
 
 

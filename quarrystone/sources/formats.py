@@ -10,6 +10,7 @@ import struct
 
 import numpy as np
 
+# The layouts of published file formats (LAS, PLY, SRTM, DTED, GLB, PNTS, quantized mesh).
 _LAS_HEADER = 227
 _LAS_POINT = np.dtype([("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("cls", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2"), ("r", "<u2"), ("g", "<u2"), ("b", "<u2")])
 
@@ -105,6 +106,9 @@ def read_hgt(data: bytes) -> np.ndarray:
 
 
 def write_hgt(v: np.ndarray) -> bytes:
+    """A square of heights; what is no square is filled up with voids in the south and east."""
+    side = max(v.shape)
+    v = np.pad(v, ((0, side - v.shape[0]), (0, side - v.shape[1])), constant_values=np.nan)
     return np.where(np.isnan(v), -32768, np.floor(v + 0.5)).astype(">i2").tobytes()
 
 
@@ -199,6 +203,8 @@ def _unzigzag(raw: np.ndarray) -> np.ndarray:
 
 def write_quantized_mesh(u: np.ndarray, v: np.ndarray, height: np.ndarray, triangles: np.ndarray, center: np.ndarray, radius: float) -> bytes:
     """A terrain tile: u, v in 0..1 and heights in 15 bits, vertices in the order of first use, high-water-mark indices."""
+    if len(u) > 1 << 16:
+        raise ValueError("a tile of more than 65,536 vertices needs wider indices")
     flat = triangles.ravel()
     _, first = np.unique(flat, return_index=True)
     order = flat[np.sort(first)]

@@ -205,7 +205,7 @@ def step_entities(files: DataFrame) -> DataFrame:
 
 def step_arguments(args: Column) -> Column:
     """Top-level arguments: commas inside brackets and quotes don't part them."""
-    return F.transform(F.regexp_extract_all(args, F.lit(r"\s*((?:'[^']*'|\((?:[^()']|'[^']*'|\((?:[^()']|'[^']*')*\))*\)|[^,()'])+)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(args, F.lit(r"\s*((?:'[^']*'|\((?:[^()']|'[^']*'|\((?:[^()']|'[^']*')*\))*\)|[^,()'])+)"), F.lit(1)), lambda x: F.trim(x))
 
 
 def ifc_elements(entities: DataFrame, kinds: list[str]) -> DataFrame:

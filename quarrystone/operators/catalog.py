@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -57,32 +58,50 @@ def sliding_count(rows: DataFrame, key: str, at: str, seconds: int) -> DataFrame
     return rows.withColumn("recent", F.count("*").over(w))
 
 
+def replayed(rows: DataFrame, key: str, order: list[str], start, step, result: str, descending: bool = False) -> DataFrame:
+    """A sequential replay of each key's rows in order, in memory of one batch and one key's state, however many rows it has.
+
+    ``start()`` gives a key's first state, ``step(state, row)`` a row's result and the next state; key, order columns and the
+    result come out. Keys are dealt by one exchange and sorted inside tasks.
+    """
+    names = [key, *(c for c in order if c != key)]
+    ordered = rows.repartition(key).sortWithinPartitions(key, *[F.desc(c) if descending else F.asc(c) for c in order])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                own = getattr(row, key)
+                if state is None or own != current:
+                    current, state = own, start()
+                value, state = step(state, row)
+                out.append(value)
+            yield batch[names].assign(**{result.split()[0]: out})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return ordered.mapInPandas(run, ", ".join([*(f"{n} {kinds[n]}" for n in names), result]))
+
+
 def token_bucket(requests: DataFrame, rate: float, per_day: int | None) -> DataFrame:
     """Replays requests (key, event_id, ts) against a bucket of ``rate`` with continuous refill and a rolling daily count.
 
-    The bucket is sequential in time, so each key is one group; the streaming form keeps the same two numbers as state.
+    The bucket is sequential in time; the streaming form keeps the same numbers as state.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "event_id"])
-        level, last, first, used, out = rate, None, None, 0, []
-        for ts in rows["ts"].astype("int64") / 1e9:
-            level = rate if last is None else min(rate, level + (ts - last) * rate)
-            last = ts
-            if level < 1:
-                out.append(False)
-                continue
-            if first is None or ts - first >= DAY_S:
-                first, used = ts, 0
-            if per_day is not None and used >= per_day:
-                out.append(False)
-                continue
-            level, used = level - 1, used + 1
-            out.append(True)
-        return pd.DataFrame({"key": rows["key"], "event_id": rows["event_id"], "allowed": out})
+    def step(state: tuple, row) -> tuple[bool, tuple]:
+        level, last, first, used = state
+        level = rate if last is None else min(rate, level + (row.at - last) * rate)
+        if level < 1:
+            return False, (level, row.at, first, used)
+        if first is None or row.at - first >= DAY_S:
+            first, used = row.at, 0
+        if per_day is not None and used >= per_day:
+            return False, (level, row.at, first, used)
+        return True, (level - 1, row.at, first, used + 1)
 
-    rows = requests.select("key", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
-    return rows.groupBy("key").applyInPandas(one, "key long, event_id long, allowed boolean")
+    rows = requests.select("key", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return replayed(rows, "key", ["at", "event_id"], lambda: (rate, None, None, 0), step, "allowed boolean").select("key", "event_id", "allowed")
 
 
 def roster(events: DataFrame) -> DataFrame:
@@ -173,7 +192,7 @@ def cache_survivors(writes: DataFrame, most_bytes: int) -> DataFrame:
     bases = hourly.select("hour", F.coalesce(F.sum("b").over(later), F.lit(0)).alias("base"))
     own = Window.partitionBy("hour").orderBy(F.desc("at"), F.desc("key"))
     rows = writes.withColumn("hour", F.date_trunc("hour", "at")).withColumn("run", F.sum("bytes").over(own))
-    return rows.join(F.broadcast(bases), "hour").where(F.col("run") + F.col("base") <= most_bytes).select("key", "bytes")
+    return rows.join(bases, "hour").where(F.col("run") + F.col("base") <= most_bytes).select("key", "bytes")
 
 
 def next_free_id(taken: DataFrame, last: int, reserved: DataFrame) -> DataFrame:
@@ -191,20 +210,146 @@ def upserted(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def lockouts(attempts: DataFrame, most: int = 5, seconds: int = 900) -> DataFrame:
-    """Replays login attempts (user, seq, ts, ok): in, refused or locked. Sequential in time, so each user is one group."""
+    """Replays login attempts (user, seq, ts, ok): in, refused or locked."""
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
-        failures, until, out = 0, 0.0, []
-        for at, ok in zip(rows["ts"].astype("int64") / 1e9, rows["ok"]):
-            if at < until:
-                out.append("locked")
-                continue
-            failures = 0 if ok else failures + 1
-            out.append("in" if ok else "refused")
-            if failures >= most:
-                failures, until = 0, at + seconds
-        return pd.DataFrame({"user": rows["user"], "seq": rows["seq"], "result": out})
-
-    rows = attempts.select("user", "seq", F.col("ts").cast("timestamp_ntz").alias("ts"), "ok")
-    return rows.groupBy("user").applyInPandas(one, "user long, seq long, result string")
+    def step(state: tuple, row) -> tuple[str, tuple]:
+        failures, until = state
+        if row.at < until:
+            return "locked", state
+        failures = 0 if row.ok else failures + 1
+        result = "in" if row.ok else "refused"
+        return result, ((0, row.at + seconds) if failures >= most else (failures, until))
+
+    rows = attempts.select("user", "seq", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "ok")
+    return replayed(rows, "user", ["seq"], lambda: (0, 0.0), step, "result string").select("user", "seq", "result")
+
+
+def dataset_statistics(datasets: DataFrame, by: str, size: str) -> DataFrame:
+    """Datasets and their bytes by a column."""
+    return datasets.groupBy(by).agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+
+
+def search_items(items: DataFrame, box: tuple[float, float, float, float] | None = None, between: tuple[str | None, str | None] = (None, None), collections: list[str] = (), limit: int = 10) -> DataFrame:
+    """Catalogue items (id, lon, lat, datetime, collection) in a box (west, south, east, north), a time and collections, by id."""
+    if not 1 <= limit <= 500:
+        raise ValueError("a search takes 1 to 500 items")
+    if box is not None:
+        west, south, east, north = box
+        if not (west <= east and south <= north):
+            raise ValueError("a box runs from south-west to north-east")
+        items = items.where(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+    for value, test in zip(between, (Column.__ge__, Column.__le__)):
+        if value:
+            items = items.where(test(F.col("datetime"), F.lit(value).cast("timestamp")))
+    if collections:
+        items = items.where(F.col("collection").isin(list(collections)))
+    return items.orderBy("id").limit(limit)
+
+
+def get_tile(tiles: DataFrame, source: str, z: int, x: int, y: int) -> DataFrame:
+    """The tile of a source by its place; a table partitioned by source and z is read only there."""
+    if not (0 <= x < 2**z and 0 <= y < 2**z):
+        raise ValueError("no such tile at this level")
+    return tiles.where((F.col("source") == source) & (F.col("z") == z) & (F.col("x") == x) & (F.col("y") == y))
+
+
+def stored(blobs: DataFrame) -> DataFrame:
+    """Blobs under safe keys: steps to a parent folder are taken out."""
+    return blobs.withColumn("key", F.replace("key", F.lit(".."), F.lit("")))
+
+
+def listed(blobs: DataFrame, prefix: str) -> DataFrame:
+    return blobs.where(F.col("key").startswith(prefix))
+
+
+def deleted(blobs: DataFrame, keys: DataFrame) -> DataFrame:
+    return blobs.join(keys.select("key"), "key", "left_anti")
+
+
+def catalogue(entries: DataFrame, category: object = None) -> DataFrame:
+    """A catalogue's entries, of one category if so."""
+    return entries if category is None else entries.where(F.col("category") == category)
+
+
+def expired(exports: DataFrame, now: str) -> DataFrame:
+    """Exports (status, expires_at): ready ones whose time has come are expired."""
+    due = (F.col("status") == "ready") & (F.col("expires_at") <= F.lit(now).cast("timestamp"))
+    return exports.withColumn("status", F.when(due, "expired").otherwise(F.col("status")))
+
+
+def audited(calls: DataFrame, routes: DataFrame) -> DataFrame:
+    """Calls (action, status) of audited routes (action, name) that succeeded; Spark broadcasts the routes if they are few."""
+    return calls.where(F.col("status").between(200, 299)).join(routes, "action")
+
+
+def oldest_queued(jobs: DataFrame) -> DataFrame:
+    """The job that a claim takes: the oldest queued one, as one aggregate."""
+    return jobs.where("status = 'queued'").agg(F.min_by("job", F.struct("created", "job")).alias("job"))
+
+
+def without_finished(jobs: DataFrame, status: str, cutoff: str) -> DataFrame:
+    """Jobs without those of a status from before a time."""
+    return jobs.where(~((F.col("status") == status) & (F.col("created") < F.lit(cutoff).cast("timestamp"))))
+
+
+def storage_totals(assets: DataFrame) -> DataFrame:
+    return assets.agg(F.count("*").alias("assets"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def with_sender(messages: DataFrame, user: str = "user") -> DataFrame:
+    """Messages stamped with their sender by the server, whatever they say themselves."""
+    return messages.withColumn("sender", F.concat(F.lit("user-"), F.col(user)))
+
+
+def deliveries(events: DataFrame, hooks: DataFrame) -> DataFrame:
+    """Events (hook, event_type) for each active hook (hook, active, subscribed) that listens to their type."""
+    own = hooks.where("active").select("hook", F.explode("subscribed").alias("event_type"))
+    return events.join(own, ["hook", "event_type"])
+
+
+def due(runs: DataFrame, now: str, interval_s: int) -> DataFrame:
+    """Jobs whose next run, an interval after the last good one, has come."""
+    last = runs.where("ok").groupBy("job").agg(F.max("ts").alias("last"))
+    return last.where(F.col("last") + F.make_dt_interval(secs=F.lit(interval_s)) <= F.lit(now).cast("timestamp"))
+
+
+def etag(content: Column) -> Column:
+    """A content's tag: the first 16 hexadecimal digits of its SHA-256."""
+    return F.substring(F.sha2(content, 256), 1, 16)
+
+
+def not_modified(tag: Column, asked: Column) -> Column:
+    """Whether an If-None-Match list names the tag, or is ``*``."""
+    names = F.transform(F.split(asked, ","), lambda x: F.regexp_replace(F.trim(x), '^(W/)?"|"$', ""))
+    return F.coalesce((F.trim(asked) == "*") | F.array_contains(names, tag), F.lit(False))
+
+
+def visible_items(items: DataFrame, viewer: Column, shared: Column, limit: int = 200) -> DataFrame:
+    """Items of the viewer or shared with them, newest first."""
+    return items.where(viewer | shared).orderBy(F.desc("created"), "id").limit(limit)
+
+
+def listed_annotations(annotations: DataFrame, asset: str, value: object, hidden: Column | None = None) -> DataFrame:
+    """An asset's annotations without hidden ones."""
+    own = annotations.where(F.col(asset) == value)
+    return own if hidden is None else own.where(~hidden)
+
+
+def latest(rows: DataFrame, created: str, key: str, limit: int) -> DataFrame:
+    """The newest rows; of the same time the larger key first."""
+    return rows.orderBy(F.desc(created), F.desc(key)).limit(limit)
+
+
+def dashboard(assets: DataFrame, jobs: DataFrame, recent: int = 10, looked_at: int = 100) -> DataFrame:
+    """One row: how many assets, the bytes of the most recent ones, running jobs among the latest."""
+    size = assets.orderBy(F.desc("created"), "id").limit(recent).agg(F.sum("bytes").alias("recent_bytes"))
+    active = latest(jobs, "created", "job", looked_at).where("status = 'running'").agg(F.count("*").alias("active"))
+    return assets.agg(F.count("*").alias("assets")).crossJoin(size).crossJoin(active)  # one row each
+
+
+def histogram(values: DataFrame, name: str, value: str, bounds: list[float]) -> DataFrame:
+    """Metrics as cumulative buckets: name, le (the bucket's upper bound, null for infinity), n."""
+    rows = values.select(F.col(name).alias("name"), F.col(value).alias("value"))
+    counts = rows.groupBy("name").agg(*[F.count(F.when(F.col("value") <= b, 1)).alias(f"b{k}") for k, b in enumerate(bounds)], F.count("value").alias("all_"))
+    pairs = [F.struct(F.lit(float(b)).alias("le"), F.col(f"b{k}").alias("n")) for k, b in enumerate(bounds)] + [F.struct(F.lit(None).cast("double").alias("le"), F.col("all_").alias("n"))]
+    return counts.select("name", F.explode(F.array(*pairs)).alias("b")).select("name", "b.le", "b.n")

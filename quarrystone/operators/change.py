@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.operators.catalog import replayed
 from quarrystone.operators.spatial import cells
 
 CELL = ["cx", "cy", "cz"]
@@ -83,8 +83,8 @@ def slider(points: DataFrame, epoch: Column, size: float) -> DataFrame:
     own = cells(points.withColumn("epoch", epoch), size, ("cx", "cy")).groupBy("epoch", "cx", "cy").agg(F.avg("z").alias("z"))
     order = own.select("epoch").distinct()
     pairs = order.withColumn("previous", F.lag("epoch").over(Window.orderBy("epoch"))).where("previous is not null")
-    later = own.join(F.broadcast(pairs), "epoch")
-    earlier = own.withColumnRenamed("epoch", "previous").join(F.broadcast(pairs), "previous").withColumnRenamed("z", "z0")
+    later = own.join(pairs, "epoch")
+    earlier = own.withColumnRenamed("epoch", "previous").join(pairs, "previous").withColumnRenamed("z", "z0")
     both = later.join(earlier, ["epoch", "previous", "cx", "cy"], "full_outer")
     return both.select("epoch", "previous", "cx", "cy", (F.coalesce("z", F.lit(0.0)) - F.coalesce("z0", F.lit(0.0))).alias("dz"))
 
@@ -118,22 +118,49 @@ def moved(a: Column, b: Column, tolerance: float) -> Column:
 def retained(versions: DataFrame, keep: int = KEEP_VERSIONS, most_bytes: int = KEEP_BYTES) -> DataFrame:
     """Which versions of a base stay: newest first while there are few and small enough; the newest ready one always.
 
-    Failed versions go once a ready one stays. Greedy (a version that is skipped adds no bytes), so one pass per base;
-    a base's versions are few.
+    Failed versions go once a ready one stays. Greedy (a version that is skipped adds no bytes), so it is a replay of each base's
+    versions in order, which holds two numbers of a base at a time.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["created", "version"], ascending=False)
-        kept, used, flags = 0, 0, []
-        for status, size in zip(rows["status"], rows["bytes"]):
-            if status == "error":
-                flags.append(None)
-                continue
-            good = status != "ready" or kept == 0 or (kept < keep and used + size <= most_bytes)
-            if status == "ready" and good:
-                kept, used = kept + 1, used + int(size)
-            flags.append(good)
-        rows["kept"] = [(kept == 0) if f is None else f for f in flags]
-        return rows[["base", "version", "kept"]]
-
-    return versions.select("base", "version", "created", "status", "bytes").groupBy("base").applyInPandas(one, "base long, version long, kept boolean")
+    def step(state: tuple[int, int], row) -> tuple[bool, tuple[int, int]]:
+        kept, used = state
+        if row.status != "ready":
+            return row.status != "error", state
+        good = kept == 0 or (kept < keep and used + row.bytes <= most_bytes)
+        return good, ((kept + 1, used + row.bytes) if good else state)
+
+    rows = versions.select("base", "version", "created", "status", F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"))
+    flags = replayed(rows, "base", ["created", "version", "status"], lambda: (0, 0), step, "kept boolean", descending=True)
+    ready = versions.groupBy("base").agg(F.max((F.col("status") == "ready").cast("int")).alias("ready_"))
+    return flags.join(ready, "base").select("base", "version", F.when(F.col("status") == "error", F.col("ready_") == 0).otherwise(F.col("kept")).alias("kept"))
+
+
+def newest_versions(versions: DataFrame, base: int, limit: int) -> DataFrame:
+    return versions.where(F.col("base") == base).orderBy(F.desc("created"), F.desc("version")).limit(limit)
+
+
+def assembled(properties: DataFrame) -> DataFrame:
+    """Per element its properties as one sorted text; of a repeated key the last."""
+    text = F.coalesce("value_text", F.col("value_boolean").cast("string"), F.col("value_number").cast("decimal(18,2)").cast("string"))
+    last = properties.groupBy("element_row", "key").agg(F.max_by(text, "property_row").alias("v"))
+    return last.groupBy("element_row").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "key", "v"))), ";").alias("properties"))
+
+
+def listed(changes: DataFrame, kind: str | None = None, after: str | None = None, limit: int = 50) -> DataFrame:
+    """A keyset page of changes by global_id."""
+    if kind is not None:
+        changes = changes.where(F.col("kind") == kind)
+    if after is not None:
+        changes = changes.where(F.col("global_id") > after)
+    return changes.orderBy("global_id").limit(limit)
+
+
+def saved_snapshot(points: DataFrame, folder: str, epoch: str, size: float) -> None:
+    """A snapshot of an epoch's cells as Parquet, partitioned by epoch; an epoch that is there is replaced."""
+    rows = cells(points, size).groupBy("cx", "cy", "cz").agg(F.count("*").alias("n"), F.avg("z").alias("mean_z")).withColumn("epoch", F.lit(epoch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(folder)
+
+
+def loaded_snapshot(spark, folder: str, epoch: str) -> DataFrame:
+    """The cells of an epoch; only its partition is read."""
+    return spark.read.parquet(folder).where(F.col("epoch") == epoch).drop("epoch")

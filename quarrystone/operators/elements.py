@@ -339,3 +339,64 @@ def word_parts(text: Column) -> Column:
     return F.when(parts == text, text).otherwise(F.concat_ws(" ", text, parts))
 
 
+
+
+def property_statistics(properties: DataFrame) -> DataFrame:
+    """One row: elements with properties, property rows, distinct keys."""
+    return properties.agg(F.count_distinct("element_row").alias("elements"), F.count("*").alias("property_rows"), F.count_distinct("key").alias("keys"))
+
+
+def known_ids(elements: DataFrame, asked: DataFrame) -> DataFrame:
+    """Those of the asked global_ids that elements have."""
+    return asked.select("global_id").distinct().join(elements.select("global_id"), "global_id", "left_semi")
+
+
+def placed(points: DataFrame, yaw: float, move: tuple[float, float, float]) -> DataFrame:
+    """Points turned about the z axis by an angle in radians, then moved."""
+    c, s = F.cos(F.lit(yaw)), F.sin(F.lit(yaw))
+    x, y = F.col("x"), F.col("y")
+    return points.withColumns({"x": x * c - y * s + move[0], "y": x * s + y * c + move[1], "z": F.col("z") + move[2]})
+
+
+def rewritten(properties: DataFrame, key: str, text: Column | None = None, number: Column | None = None, boolean: Column | None = None) -> DataFrame:
+    """Properties in which the values of a key are given anew, from the old ones."""
+    new = {"value_text": text, "value_number": number, "value_boolean": boolean}
+    return properties.withColumns({c: F.when(F.col("key") == key, v).otherwise(F.col(c)) for c, v in new.items() if v is not None})
+
+
+#: The kinds of edits.
+EDITS = ("set_property", "remove_property", "rename", "delete", "insert_proxy")
+
+
+def applied_edit(elements: DataFrame, properties: DataFrame, edit: dict) -> tuple[DataFrame, DataFrame]:
+    """New versions of elements and properties after one edit; unknown kinds and missing parts are refused.
+
+    set_property (global_id, key, value), remove_property (global_id, key), rename (global_id, name), delete (global_id),
+    insert_proxy (global_id, class, name).
+    """
+    kind = edit.get("kind")
+    if kind not in EDITS:
+        raise FilterError(f"unknown edit {kind!r}")
+    if not isinstance(edit.get("global_id"), str):
+        raise FilterError("an edit names a global_id")
+    own = elements.where(F.col("global_id") == edit["global_id"]).select("element_row")
+    if kind == "insert_proxy":
+        if not elements.where(F.col("global_id") == edit["global_id"]).isEmpty():
+            raise FilterError("the global_id is taken")
+        return with_proxy(elements, edit["global_id"], edit["class"], edit["name"]), properties
+    if own.isEmpty():
+        raise FilterError(f"no element {edit['global_id']!r}")
+    if kind == "delete":
+        return elements.where(F.col("global_id") != edit["global_id"]), properties.join(own, "element_row", "left_anti").select(*properties.columns)
+    if kind == "rename":
+        return elements.withColumn("name", F.when(F.col("global_id") == edit["global_id"], F.lit(edit["name"])).otherwise(F.col("name"))), properties
+    gone = own.withColumn("key", F.lit(edit["key"]))
+    rest = properties.join(gone, ["element_row", "key"], "left_anti").select(*properties.columns)
+    if kind == "remove_property":
+        return elements, rest
+    value = edit["value"]
+    typed_equal(value)
+    last = properties.agg(F.coalesce(F.max("property_row"), F.lit(-1)) + 1).first()[0]
+    text, number, flag = (value if isinstance(value, str) else None, float(value) if isinstance(value, int | float) and not isinstance(value, bool) else None, value if isinstance(value, bool) else None)
+    row = own.select("element_row", F.lit(last).alias("property_row"), F.lit(edit["key"]).alias("key"), F.lit(text).cast("string").alias("value_text"), F.lit(number).cast("double").alias("value_number"), F.lit(flag).cast("boolean").alias("value_boolean"), F.lit(None).cast("string").alias("units"))
+    return elements, rest.unionByName(row)

@@ -33,3 +33,8 @@ def feature_table(rows: DataFrame, names: list[str]) -> DataFrame:
     """The distinct features of a tile, numbered from 0, with how many rows have each. A tile's features are few."""
     own = rows.groupBy(*names).agg(F.count("*").alias("n"))
     return own.withColumn("feature_id", (F.row_number().over(Window.orderBy(*names)) - 1).cast("long"))
+
+
+def class_counts(rows: DataFrame, by: str) -> DataFrame:
+    """How many rows each class has."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"))

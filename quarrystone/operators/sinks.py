@@ -70,6 +70,11 @@ def bounded(points: DataFrame, by: str, most: int = MAX_FILE_POINTS) -> DataFram
     return points.join(sizes, by).withColumn("file", F.concat_ws("-", F.col(by).cast("string"), part.cast("string"))).drop("parts")
 
 
+def las_scale(low: Column, high: Column) -> Column:
+    """The step of a file's coordinates: its extent, at least 1, in two thousand million steps."""
+    return F.greatest(high - low, F.lit(1.0)) / 2e9
+
+
 def las_files(points: DataFrame, by: str) -> DataFrame:
     def encode(rows: pd.DataFrame) -> bytes:
         rows = rows.sort_values("point_id")

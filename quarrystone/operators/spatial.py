@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
+#: The shares of a bounding box that count as volume and surface.
+VOLUME_SHARE, SURFACE_SHARE = 0.6, 0.8
 
 
 def cells(points: DataFrame, size: float, names: tuple[str, ...] = ("cx", "cy", "cz")) -> DataFrame:
@@ -66,6 +66,13 @@ def nearest_each(centers: DataFrame, points: DataFrame, k: int, cell: float, mos
         radius *= 2
 
 
+def entity_links(links: DataFrame, entity: int | None = None, kind: str | None = None) -> DataFrame:
+    """Links (id, entity_id, type, position) of an entity, of a type, or of both."""
+    if entity is not None:
+        links = links.where(F.col("entity_id") == entity)
+    return links if kind is None else links.where(F.col("type") == kind)
+
+
 def in_box(points: DataFrame, low: tuple, high: tuple) -> DataFrame:
     for a, lo, hi in zip("xyz", low, high):
         points = points.where(F.col(a).between(lo, hi))
@@ -96,7 +103,7 @@ def volume(points: DataFrame) -> DataFrame:
     """0.6 of the bounding box's volume and 0.8 of its surface; 0 for less than four points."""
     d = [F.max(a) - F.min(a) for a in "xyz"]
     few = F.count("*") < 4
-    return points.agg(F.when(few, 0.0).otherwise(d[0] * d[1] * d[2] * 0.6).alias("volume"), F.when(few, 0.0).otherwise((d[0] * d[1] + d[1] * d[2] + d[0] * d[2]) * 2 * 0.8).alias("surface"))
+    return points.agg(F.when(few, 0.0).otherwise(d[0] * d[1] * d[2] * VOLUME_SHARE).alias("volume"), F.when(few, 0.0).otherwise((d[0] * d[1] + d[1] * d[2] + d[0] * d[2]) * 2 * SURFACE_SHARE).alias("surface"))
 
 
 def octant(x: Column, y: Column, z: Column, center: list) -> Column:

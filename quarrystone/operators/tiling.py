@@ -277,3 +277,13 @@ def mesh_tiles(triangles: DataFrame, budget: int) -> DataFrame:
     """Triangles with the path of their tile: an octree of centroids, split until a tile has the budget or less."""
     own = triangle_stats(triangles).selectExpr("*", "mx AS x", "my AS y", "mz AS z")
     return octree(own, budget, key="tri_id").drop("x", "y", "z")
+
+
+def by_material(parts: DataFrame) -> DataFrame:
+    """Triangles (material, z) grouped for one draw call each: material, triangles, low (the least z)."""
+    return parts.groupBy("material").agg(F.count("*").alias("triangles"), F.min("z").alias("low"))
+
+
+def terrain_bases(corners: DataFrame, raster: DataFrame) -> DataFrame:
+    """A building's base is the least ground height under its corners (id, row, col): id, base."""
+    return corners.join(raster, ["row", "col"]).groupBy("id").agg(F.min("v").alias("base"))

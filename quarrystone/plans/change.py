@@ -108,7 +108,7 @@ def locations(t):
 
 @query("d14_list_changes", f"SELECT * FROM ({_VERSIONS}) WHERE kind = 'changed' AND global_id > 'C12' ORDER BY global_id LIMIT 50")
 def list_changes(t):
-    return _versions(t).where("kind = 'changed' and global_id > 'C12'").orderBy("global_id").limit(50).withColumn("changed_keys", F.array_join("changed_keys", ","))
+    return D.listed(_versions(t), "changed", "C12", 50).withColumn("changed_keys", F.array_join("changed_keys", ","))
 
 
 _MV = "SELECT doc_id % 20 AS base, doc_id AS version, doc_id AS created, CASE WHEN doc_id % 7 = 0 THEN 'error' ELSE 'ready' END AS status, n_chars AS bytes FROM documents"
@@ -120,7 +120,7 @@ def _model_versions(t):
 
 @query("d15_versions_newest", f"SELECT version, status FROM ({_MV}) WHERE base = 3 ORDER BY created DESC LIMIT 30")
 def newest(t):
-    return _model_versions(t).where("base = 3").orderBy(F.desc("created")).limit(30).select("version", "status")
+    return D.newest_versions(_model_versions(t), 3, 30).select("version", "status")
 
 
 @query(
@@ -136,6 +136,4 @@ def retention(t):
 
 @query("d12_element_properties", f"SELECT element_row, string_agg(key || '=' || v, ';' ORDER BY key) AS properties FROM (SELECT element_row, key, max_by(coalesce(value_text, CAST(value_boolean AS VARCHAR), CAST(CAST(value_number AS DECIMAL(18,2)) AS VARCHAR)), property_row) AS v FROM properties GROUP BY 1, 2) GROUP BY 1")
 def element_properties(t):
-    text = F.coalesce("value_text", F.col("value_boolean").cast("string"), F.col("value_number").cast("decimal(18,2)").cast("string"))
-    last = t.properties.groupBy("element_row", "key").agg(F.max_by(text, "property_row").alias("v"))
-    return last.groupBy("element_row").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "key", "v"))), ";").alias("properties"))
+    return D.assembled(t.properties)

@@ -119,6 +119,6 @@ def features(t):
 
 @query("h05_class_counts", "SELECT cls, count(*) AS n FROM points GROUP BY 1")
 def class_counts(t):
-    return t.points.groupBy("cls").agg(F.count("*").alias("n"))
+    return H.class_counts(t.points, "cls")
 
 

@@ -164,7 +164,7 @@ def names(t):
 
 @query("a28_index_status", "SELECT count(DISTINCT element_row) AS elements, count(*) AS property_rows, count(DISTINCT key) AS keys FROM properties")
 def index_status(t):
-    return t.properties.agg(F.count_distinct("element_row").alias("elements"), F.count("*").alias("property_rows"), F.count_distinct("key").alias("keys"))
+    return E.property_statistics(t.properties)
 
 
 @query("a29_tree_roots", "SELECT express_id, global_id, coalesce(name, class) AS label, EXISTS (SELECT 1 FROM elements c WHERE c.parent_express_id = e.express_id) AS has_children FROM elements e WHERE parent_express_id IS NULL")
@@ -190,7 +190,7 @@ def tree_path(t):
 @query("a31_known_ids", "SELECT global_id FROM elements WHERE global_id IN (SELECT 'C' || (i * 7) FROM range(1000) t(i))")
 def known_ids(t):
     asked = t.spark.range(1000).select(F.concat(F.lit("C"), F.col("id") * 7).alias("global_id"))
-    return t.elements.join(asked, "global_id", "left_semi").select("global_id")
+    return E.known_ids(t.elements, asked)
 
 
 @query("a32_edit_properties", "SELECT element_row, key, CASE WHEN key = 'Seg.Name' AND value_text = 'BUILDING' THEN 'HOUSE' ELSE value_text END AS value_text, value_number, value_boolean FROM properties")
@@ -224,14 +224,20 @@ def boxes(t):
 
 @query("a36_translate_yaw", "SELECT point_id, round(x * cos(0.5) - y * sin(0.5) + 10, 6) AS x, round(x * sin(0.5) + y * cos(0.5) - 4, 6) AS y, round(z + 2, 6) AS z FROM points")
 def translate_yaw(t):
-    c, s = F.cos(F.lit(0.5)), F.sin(F.lit(0.5))
-    x, y = F.col("x"), F.col("y")
-    return t.points.select("point_id", F.round(x * c - y * s + 10, 6).alias("x"), F.round(x * s + y * c - 4, 6).alias("y"), F.round(F.col("z") + 2, 6).alias("z"))
+    return E.placed(t.points, 0.5, (10, -4, 2)).select("point_id", *[F.round(a, 6).alias(a) for a in "xyz"])
 
 
 @query("a37_rewrite_property", "SELECT element_row, key, CASE WHEN key = 'Flag.Positive' THEN NOT value_boolean ELSE value_boolean END AS value_boolean FROM properties")
 def rewrite(t):
-    return t.properties.select("element_row", "key", F.when(F.col("key") == "Flag.Positive", ~F.col("value_boolean")).otherwise(F.col("value_boolean")).alias("value_boolean"))
+    return E.rewritten(t.properties, "Flag.Positive", boolean=~F.col("value_boolean")).select("element_row", "key", "value_boolean")
+
+
+@query("a38_apply_edits", "SELECT element_row, key, CASE WHEN element_row = 3000007 AND key = 'Seg.Name' THEN 'X' ELSE value_text END AS value_text FROM properties WHERE element_row <> 3000009")
+def apply_edits(t):
+    own = t.elements, t.properties
+    for edit in ({"kind": "set_property", "global_id": "C7", "key": "Seg.Name", "value": "X"}, {"kind": "delete", "global_id": "C9"}, {"kind": "rename", "global_id": "C1", "name": "first"}):
+        own = E.applied_edit(*own, edit)
+    return own[1].select("element_row", "key", "value_text")
 
 
 @query("flagship", f"SELECT storey AS group_text, {_STATS} FROM ({_MATCH}) e JOIN properties p ON p.element_row = e.element_row AND p.key = 'Acct.Balance' GROUP BY 1")

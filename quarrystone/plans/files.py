@@ -5,7 +5,9 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quarrystone.operators import catalog as I
 from quarrystone.operators import sinks as K
+from quarrystone.operators import terrain as T
 from quarrystone.operators import tiling as C
 from quarrystone.plans.registry import query
 from quarrystone.sources import formats
@@ -112,14 +114,12 @@ def topojson(t):
 
 @query("s25_window", "SELECT CAST(a AS INT) AS row, CAST(b AS INT) AS col, round(v, 6) AS v FROM range(45, 55) t(a), range(30, 45) u(b) LEFT JOIN raster r ON r.row = a AND r.col = b")
 def window(t):
-    dense = t.spark.range(45, 55).select(F.col("id").cast("int").alias("row"), F.explode(F.sequence(F.lit(30), F.lit(44))).alias("col"))
-    own = t.raster.where("row between 45 and 54 and col between 30 and 44")
-    return dense.join(own, ["row", "col"], "left").select("row", "col", F.round("v", 6).alias("v"))
+    return T.window(t.raster, 45, 30, 10, 15).withColumn("v", F.round("v", 6))
 
 
 @query("s26_datasets", "SELECT p_brand, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS bytes FROM part GROUP BY 1")
 def datasets(t):
-    return t.read("part").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_size").alias("bytes"))
+    return I.dataset_statistics(t.read("part"), "p_brand", "p_size")
 
 
 @query("s27_overpass", "SELECT CAST(n_nationkey AS VARCHAR) AS path, CAST(7 AS BIGINT) AS way, CAST(4 AS BIGINT) AS n, CAST(n_nationkey AS DOUBLE) AS x0 FROM nation WHERE n_nationkey % 3 <> 0")
@@ -131,23 +131,25 @@ def overpass(t):
 
 @query("s28_stac_search", "SELECT point_id FROM points WHERE x BETWEEN 10 AND 60 AND y BETWEEN 5 AND 70 AND observed >= TIMESTAMP '1997-01-01' AND cls IN (2, 5) ORDER BY point_id LIMIT 10")
 def stac(t):
-    return t.points.where("x between 10 and 60 and y between 5 and 70 and observed >= timestamp'1997-01-01' and cls in (2, 5)").orderBy("point_id").limit(10).select("point_id")
+    items = t.points.select(F.col("point_id").alias("id"), F.col("x").alias("lon"), F.col("y").alias("lat"), F.col("observed").alias("datetime"), F.col("cls").cast("string").alias("collection"))
+    return I.search_items(items, (10, 5, 60, 70), ("1997-01-01", None), ["2", "5"]).select(F.col("id").alias("point_id"))
 
 
 @query("s29_get_tile", "SELECT event_id FROM events WHERE event_type = 'view' AND user_id % 8 = 3 AND event_id % 8 = 5")
 def get_tile(t):
-    return t.read("events").where("event_type = 'view' and user_id % 8 = 3 and event_id % 8 = 5").select("event_id")
+    tiles = t.read("events").selectExpr("event_id", "event_type AS source", "3 AS z", "user_id % 8 AS x", "event_id % 8 AS y")
+    return I.get_tile(tiles, "view", 3, 3, 5).select("event_id")
 
 
 @query("s30_tile_store", "SELECT count(*) AS n, CAST(sum(length(k)) AS BIGINT) AS bytes FROM (SELECT replace('3/' || user_id || '/../' || event_id, '..', '') AS k FROM events) WHERE starts_with(k, '3/1')")
 def tile_store(t):
-    key = F.regexp_replace(F.concat(F.lit("3/"), "user_id", F.lit("/../"), "event_id"), r"\.\.", "")
-    return t.read("events").select(key.alias("k")).where(F.col("k").startswith("3/1")).agg(F.count("*").alias("n"), F.sum(F.length("k")).alias("bytes"))
+    blobs = t.read("events").select(F.concat(F.lit("3/"), "user_id", F.lit("/../"), "event_id").alias("key"))
+    return I.listed(I.stored(blobs), "3/1").agg(F.count("*").alias("n"), F.sum(F.length("key")).alias("bytes"))
 
 
 @query("s33_open_data", "SELECT n_name FROM nation WHERE n_regionkey = 2")
 def open_data(t):
-    return t.read("nation").where("n_regionkey = 2").select("n_name")
+    return I.catalogue(t.read("nation").select("n_name", F.col("n_regionkey").alias("category")), 2).select("n_name")
 
 
 def _tree(t):
@@ -188,7 +190,7 @@ def export_obj(t):
 
 @query("k13_las_scale", "SELECT cls, round(greatest(max(x) - min(x), 1) / 2e9 * 1e9, 6) AS scale, min(x) AS low FROM points GROUP BY 1")
 def las_scale(t):
-    return t.points.groupBy("cls").agg(F.round(F.greatest(F.max("x") - F.min("x"), F.lit(1.0)) / 2e9 * 1e9, 6).alias("scale"), F.min("x").alias("low"))
+    return t.points.groupBy("cls").agg(F.round(K.las_scale(F.min("x"), F.max("x")) * 1e9, 6).alias("scale"), F.min("x").alias("low"))
 
 
 def _texts(t, text: str):

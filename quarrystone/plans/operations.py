@@ -26,7 +26,8 @@ def sweep(t):
 @query("i04_audited_routes", "SELECT a.id, r.name FROM audit a JOIN (VALUES ('signup', 'account'), ('purchase', 'order')) r(action, name) ON a.action = r.action WHERE CAST(a.resource AS INT) % 10 BETWEEN 2 AND 5")
 def audited(t):
     routes = t.spark.createDataFrame([("signup", "account"), ("purchase", "order")], "action string, name string")
-    return t.audit.join(F.broadcast(routes), "action").where(F.expr("CAST(resource AS INT) % 10 BETWEEN 2 AND 5")).select("id", "name")
+    calls = t.audit.withColumn("status", F.expr("CAST(CASE WHEN CAST(resource AS INT) % 10 BETWEEN 2 AND 5 THEN 204 ELSE 404 END AS INT)"))
+    return I.audited(calls, routes).select("id", "name")
 
 
 _JOBS = "SELECT event_id AS job, user_id AS asset, CASE WHEN event_type = 'error' THEN 'running' ELSE 'queued' END AS status, ts AS created FROM events"
@@ -44,17 +45,17 @@ def next_job(t):
 
 @query("i06_claim_build", f"SELECT job FROM ({_JOBS}) WHERE status = 'queued' ORDER BY created, job LIMIT 1")
 def claim(t):
-    return _jobs(t).where("status = 'queued'").agg(F.min_by("job", F.struct("created", "job")).alias("job"))
+    return I.oldest_queued(_jobs(t))
 
 
 @query("i07_finished_jobs", f"SELECT status, count(*) AS n FROM ({_JOBS}) WHERE NOT (status = 'queued' AND created < TIMESTAMP '2024-01-15') GROUP BY 1")
 def finished(t):
-    return _jobs(t).where("not (status = 'queued' and created < timestamp'2024-01-15')").groupBy("status").agg(F.count("*").alias("n"))
+    return I.without_finished(_jobs(t), "queued", "2024-01-15").groupBy("status").agg(F.count("*").alias("n"))
 
 
 @query("i08_totals", "SELECT count(*) AS assets, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes FROM assets")
 def totals(t):
-    return t.assets.agg(F.count("*").alias("assets"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+    return I.storage_totals(t.assets)
 
 
 @query("i09_signup_window", "SELECT event_id, count(*) OVER (PARTITION BY key ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS recent FROM requests")
@@ -96,13 +97,13 @@ def fan_out(t):
 
 @query("i16_sender", "SELECT seq, 'user-' || user AS sender FROM realtime")
 def sender(t):
-    return t.realtime.select("seq", F.concat(F.lit("user-"), F.col("user")).alias("sender"))
+    return I.with_sender(t.realtime).select("seq", "sender")
 
 
 @query("i17_webhooks", "SELECT e.event_id, h.hook FROM events e JOIN (SELECT n_nationkey AS hook, n_nationkey % 2 = 0 AS active, CASE WHEN n_nationkey % 3 = 0 THEN ['click', 'error'] ELSE ['purchase'] END AS subscribed FROM nation) h ON h.active AND list_contains(h.subscribed, e.event_type) WHERE e.user_id % 25 = h.hook")
 def webhooks(t):
-    hooks = t.read("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS hook", "n_nationkey % 2 = 0 AS active", "explode(CASE WHEN n_nationkey % 3 = 0 THEN array('click', 'error') ELSE array('purchase') END) AS event_type").where("active")
-    return t.read("events").withColumn("hook", F.col("user_id") % 25).join(hooks, ["hook", "event_type"]).select("event_id", F.col("hook").cast("int"))
+    hooks = t.read("nation").selectExpr("CAST(n_nationkey AS BIGINT) AS hook", "n_nationkey % 2 = 0 AS active", "CASE WHEN n_nationkey % 3 = 0 THEN array('click', 'error') ELSE array('purchase') END AS subscribed")
+    return I.deliveries(t.read("events").withColumn("hook", F.col("user_id") % 25), hooks).select("event_id", F.col("hook").cast("int"))
 
 
 @query("i18_retries", "SELECT event_id, CAST(a AS INT) AS attempt, CAST(30 * pow(2, a - 1) AS INT) AS delay_s FROM events, range(1, 4) t(a) WHERE event_type = 'error'")
@@ -129,7 +130,7 @@ def disabled(t):
 
 @query("i21_due_jobs", "SELECT job FROM job_runs WHERE ok GROUP BY job HAVING max(ts) + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-30 20:00:00'")
 def due(t):
-    return t.job_runs.where("ok").groupBy("job").agg(F.max("ts").alias("last")).where("last + interval 1 hour <= timestamp'2024-01-30 20:00:00'").select("job")
+    return I.due(t.job_runs, "2024-01-30 20:00:00", 3600).select("job")
 
 
 @query("i22_cache", "SELECT event_id AS key, bytes FROM (SELECT *, sum(bytes) OVER (ORDER BY ts DESC, event_id DESC ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT event_id, ts, 100 + user_id AS bytes FROM events)) WHERE run <= 20000")
@@ -137,20 +138,21 @@ def cache(t):
     return I.cache_survivors(t.read("events").selectExpr("event_id AS key", "ts AS at", "100 + user_id AS bytes"), 20_000)
 
 
-@query("i23_etag", "SELECT doc_id, substr(sha256(text), 1, 16) AS etag, substr(sha256(text), 1, 1) = 'a' AS not_modified FROM documents")
+@query("i23_etag", "SELECT doc_id, substr(sha256(text), 1, 16) AS etag, doc_id % 3 = 0 OR (doc_id % 3 = 1 AND text IS NOT NULL) AS not_modified FROM documents")
 def etag(t):
-    tag = F.substring(F.sha2("text", 256), 1, 16)
-    return t.read("documents").select("doc_id", tag.alias("etag"), tag.startswith("a").alias("not_modified"))
+    tag = I.etag(F.col("text"))
+    asked = F.when(F.col("doc_id") % 3 == 0, F.lit("*")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit('"x", W/"'), tag, F.lit('"'))).otherwise(F.lit('"none"'))
+    return t.read("documents").select("doc_id", tag.alias("etag"), I.not_modified(tag, asked).alias("not_modified"))
 
 
 @query("i24_portal_items", "SELECT id FROM assets WHERE id % 50 = 3 OR status IN ('ready', 'error') ORDER BY created DESC, id LIMIT 200")
 def portal(t):
-    return t.assets.where("id % 50 = 3 or status in ('ready', 'error')").orderBy(F.desc("created"), "id").limit(200).select("id")
+    return I.visible_items(t.assets, F.col("id") % 50 == 3, F.col("status").isin("ready", "error")).select("id")
 
 
 @query("i25_annotations", "SELECT event_id, event_type FROM events WHERE user_id = 12 AND event_type <> 'error'")
 def annotations(t):
-    return t.read("events").where("user_id = 12 and event_type <> 'error'").select("event_id", "event_type")
+    return I.listed_annotations(t.read("events"), "user_id", 12, F.col("event_type") == "error").select("event_id", "event_type")
 
 
 @query("i26_next_id", "WITH res AS (SELECT CAST(s_suppkey AS BIGINT) + 500 AS id FROM supplier WHERE s_suppkey < 8), taken AS (SELECT 510 + i AS id FROM range(3) t(i)) SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM res WHERE id = 501) THEN 501 ELSE (SELECT min(id + 1) FROM res WHERE id + 1 > 500 AND id + 1 NOT IN (SELECT id FROM res) AND id + 1 NOT IN (SELECT id FROM taken)) END AS id")
@@ -161,20 +163,23 @@ def next_id(t):
 
 @query("i28_dashboard", "SELECT (SELECT count(*) FROM assets) AS assets, CAST((SELECT sum(bytes) FROM (SELECT bytes FROM assets ORDER BY created DESC, id LIMIT 10)) AS BIGINT) AS recent_bytes, (SELECT count(*) FROM (SELECT * FROM " + f"({_JOBS})" + " ORDER BY created DESC, job DESC LIMIT 100) WHERE status = 'running') AS active")
 def dashboard(t):
-    recent = t.assets.orderBy(F.desc("created"), "id").limit(10).agg(F.sum("bytes").alias("recent_bytes"))
-    active = _jobs(t).orderBy(F.desc("created"), F.desc("job")).limit(100).where("status = 'running'").agg(F.count("*").alias("active"))
-    return t.assets.agg(F.count("*").alias("assets")).join(F.broadcast(recent)).join(F.broadcast(active))
+    return I.dashboard(t.assets, _jobs(t))
 
 
 @query("i29_recent_jobs", f"SELECT job, status FROM ({_JOBS}) ORDER BY created DESC, job DESC LIMIT 25")
 def recent_jobs(t):
-    return _jobs(t).orderBy(F.desc("created"), F.desc("job")).limit(25).select("job", "status")
+    return I.latest(_jobs(t), "created", "job", 25).select("job", "status")
+
+
+@query("i27_histograms", "SELECT event_type AS name, b.le, count(*) FILTER (value <= coalesce(b.le, 1e300)) AS n FROM events, (VALUES (5.0::DOUBLE), (20), (80), (NULL)) b(le) GROUP BY 1, 2")
+def histograms(t):
+    return I.histogram(t.read("events"), "event_type", "value", [5, 20, 80])
 
 
 @query("k14_expire_exports", "SELECT event_id, CASE WHEN event_type <> 'error' AND ts + INTERVAL 7 DAY <= TIMESTAMP '2024-01-20' THEN 'expired' WHEN event_type = 'error' THEN 'failed' ELSE 'ready' END AS status FROM events")
 def expire(t):
-    old = F.expr("event_type <> 'error' and ts + interval 7 days <= timestamp'2024-01-20'")
-    return t.read("events").select("event_id", F.when(old, "expired").when(F.col("event_type") == "error", "failed").otherwise("ready").alias("status"))
+    exports = t.read("events").selectExpr("event_id", "CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ready' END AS status", "ts + interval 7 days AS expires_at")
+    return I.expired(exports, "2024-01-20").select("event_id", "status")
 
 
 @query("k19_upsert_topics", "SELECT user, action, max(id) AS id, max_by(resource, id) AS resource FROM audit GROUP BY 1, 2")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import geodesy as G
 from quarrystone.operators import raster as R
+from quarrystone.operators import terrain as T
 from quarrystone.plans.registry import query
 
 _AT = {"a": (-1, -1), "b": (-1, 0), "c": (-1, 1), "d": (0, -1), "f": (0, 1), "g": (1, -1), "h": (1, 0), "i": (1, 1)}
@@ -55,14 +56,13 @@ def weightless(t):
 
 @query("f05_subsample", "SELECT CAST(r.row // 4 AS INT) AS row, CAST(r.col // 4 AS INT) AS col, round(v, 6) AS v FROM raster r WHERE row % 4 = 0 AND col % 4 = 0")
 def subsample(t):
-    return t.raster.where("row % 4 = 0 and col % 4 = 0").select((F.col("row") / 4).cast("int").alias("row"), (F.col("col") / 4).cast("int").alias("col"), F.round("v", 6).alias("v"))
+    return T.subsampled(t.raster, 4).withColumn("v", F.round("v", 6))
 
 
 @query("f06_source_priority", "SELECT row, col, round(coalesce(CASE WHEN col < 20 THEN v END, CASE WHEN row > 3 THEN v + 1 END), 6) AS v FROM raster")
 def priority(t):
-    first = t.raster.where("col < 20").select("row", "col", F.col("v").alias("v1"))
-    second = t.raster.where("row > 3").select("row", "col", (F.col("v") + 1).alias("v2"))
-    return t.raster.select("row", "col").join(first, ["row", "col"], "left").join(second, ["row", "col"], "left").select("row", "col", F.round(F.coalesce("v1", "v2"), 6).alias("v"))
+    none = t.raster.withColumn("v", F.lit(None).cast("double"))
+    return T.merged([t.raster.where("col < 20"), t.raster.where("row > 3").withColumn("v", F.col("v") + 1), none]).withColumn("v", F.round("v", 6))
 
 
 @query("f08_profile", "SELECT path, round(coalesce(sum(step), 0), 4) AS length, round(coalesce(sum(greatest(rise, 0)), 0), 4) AS gain, round(coalesce(sum(greatest(-rise, 0)), 0), 4) AS loss, round(min(v), 4) AS low, round(max(v), 4) AS high FROM (SELECT CAST(col AS BIGINT) AS path, v, v - lag(v) OVER (PARTITION BY col ORDER BY row) AS rise, CASE WHEN lag(row) OVER (PARTITION BY col ORDER BY row) IS NOT NULL THEN 2 * 6371 * asin(sqrt(pow(sin(radians((row - lag(row) OVER (PARTITION BY col ORDER BY row)) * 0.01::DOUBLE) / 2), 2))) END AS step FROM raster WHERE v IS NOT NULL) GROUP BY 1")
@@ -138,7 +138,7 @@ def flood(t):
 
 @query("f19_cell_squares", "SELECT row, col, round(10 + col / 2, 6) AS west, round(50 - (row + 1) / 2, 6) AS south FROM raster WHERE v < 110")
 def squares(t):
-    return t.raster.where("v < 110").select("row", "col", F.round(10 + F.col("col") * 0.5, 6).alias("west"), F.round(50 - (F.col("row") + 1) * 0.5, 6).alias("south"))
+    return T.cell_squares(t.raster.where("v < 110"), 10.0, 50.0, 0.5).select("row", "col", F.round("west", 6).alias("west"), F.round("south", 6).alias("south"))
 
 
 @query("f20_viewshed")
@@ -163,18 +163,18 @@ def ndvi(t):
 
 @query("f24_engine_key", "SELECT c_custkey, CAST(((round(c_acctbal * 10) % 3600) + 3600) % 3600 AS BIGINT) AS azimuth FROM customer")
 def engine_key(t):
-    return t.read("customer").select("c_custkey", F.pmod(F.round(F.col("c_acctbal") * 10), F.lit(3600.0)).cast("long").alias("azimuth"))
+    return t.read("customer").select("c_custkey", T.azimuth_key(F.col("c_acctbal")).alias("azimuth"))
 
 
 @query("f25_export_grid", "SELECT point_id, CAST(floor(x / 0.3::DOUBLE) AS BIGINT) AS col0, CAST(ceil((x + 2) / 0.3::DOUBLE) AS BIGINT) - CAST(floor(x / 0.3::DOUBLE) AS BIGINT) AS cols FROM points")
 def export_grid(t):
-    c0 = F.floor(F.col("x") / 0.3)
-    return t.points.select("point_id", c0.alias("col0"), (F.ceil((F.col("x") + 2) / 0.3) - c0).alias("cols"))
+    first, cells = T.snapped(F.col("x"), F.col("x") + 2, 0.3)
+    return t.points.select("point_id", first.alias("col0"), cells.alias("cols"))
 
 
 @query("f26_overview_levels", "SELECT p_partkey, CAST(greatest(ceil(log2(p_retailprice * 10 / 256)), 0) AS BIGINT) AS levels FROM part")
 def overviews(t):
-    return t.read("part").select("p_partkey", F.greatest(F.ceil(F.log2(F.col("p_retailprice") * 10 / 256)), F.lit(0)).alias("levels"))
+    return t.read("part").select("p_partkey", T.overview_levels(F.col("p_retailprice") * 10).alias("levels"))
 
 
 def _ring_sql(source: str) -> str:
@@ -191,8 +191,7 @@ def voids(t):
 
 @query("f29_tile_mesh", "SELECT i, j, round(coalesce(v, 0), 6) AS v FROM (SELECT CAST(a AS INT) AS i, CAST(b AS INT) AS j FROM range(9) t(a), range(9) u(b)) LEFT JOIN raster ON row = i * 4 AND col = j * 4")
 def tile_mesh(t):
-    grid = t.spark.range(9).select(F.col("id").cast("int").alias("i")).select("i", F.explode(F.sequence(F.lit(0), F.lit(8))).alias("j"))
-    return grid.join(t.raster.where("row % 4 = 0 and col % 4 = 0").select((F.col("row") / 4).cast("int").alias("i"), (F.col("col") / 4).cast("int").alias("j"), "v"), ["i", "j"], "left").select("i", "j", F.round(F.coalesce("v", F.lit(0.0)), 6).alias("v"))
+    return T.tile_grid(t.raster, 9, 4).select(F.col("row").alias("i"), F.col("col").alias("j"), F.round("v", 6).alias("v"))
 
 
 _BOXES = "SELECT c_custkey AS id, -170 + (c_custkey % 330) AS w, -80 + (c_custkey % 150) AS s, 2 + c_custkey % 7 AS size FROM customer"
@@ -223,43 +222,40 @@ def mercator_unit(t):
 @query("f33_required_dems", f"SELECT id, CAST(lat AS BIGINT) AS lat, CAST(lon AS BIGINT) AS lon FROM (SELECT id, w + 0.5 AS w, s + 0.5 AS s, size FROM ({_BOXES})), LATERAL (SELECT unnest(range(CAST(floor(s) AS BIGINT), CAST(ceil(s + size) AS BIGINT))) AS lat), LATERAL (SELECT unnest(range(CAST(floor(w) AS BIGINT), CAST(ceil(w + size) AS BIGINT))) AS lon)")
 def dems(t):
     b = _boxes(t).selectExpr("id", "w + 0.5 AS w", "s + 0.5 AS s", "size")
-    lats, lons = F.sequence(F.floor("s"), F.ceil(F.col("s") + F.col("size")) - 1), F.sequence(F.floor("w"), F.ceil(F.col("w") + F.col("size")) - 1)
-    return b.select("id", F.explode(lats).alias("lat"), lons.alias("lons")).select("id", "lat", F.explode("lons").alias("lon"))
+    tiles = T.required_dems(F.col("s"), F.col("s") + F.col("size"), F.col("w"), F.col("w") + F.col("size"))
+    return b.select("id", F.explode(tiles).alias("t")).select("id", "t.lat", "t.lon")
 
 
 @query("f34_tile_names", f"SELECT id, CASE WHEN s >= 0 THEN 'N' ELSE 'S' END || lpad(CAST(abs(s) AS VARCHAR), 2, '0') || CASE WHEN w >= 0 THEN 'E' ELSE 'W' END || lpad(CAST(abs(w) AS VARCHAR), 3, '0') AS name FROM ({_BOXES})")
 def tile_names(t):
-    part = lambda c, up, down, n: F.concat(F.when(F.col(c) >= 0, up).otherwise(down), F.lpad(F.abs(c).cast("int").cast("string"), n, "0"))
-    return _boxes(t).select("id", F.concat(part("s", "N", "S", 2), part("w", "E", "W", 3)).alias("name"))
+    return _boxes(t).select("id", T.tile_name(F.col("s"), F.col("w")).alias("name"))
 
 
 @query("f35_dem_coverage", f"SELECT b.id, f.n_nationkey IS NOT NULL AS available FROM ({_BOXES}) b LEFT JOIN nation f ON f.n_nationkey = b.s")
 def coverage(t):
-    files = t.read("nation").select(F.col("n_nationkey").cast("double").alias("s"), F.lit(True).alias("there"))
-    return _boxes(t).join(files, "s", "left").select("id", F.coalesce("there", F.lit(False)).alias("available"))
+    files = t.read("nation").select(F.col("n_nationkey").cast("double").alias("s"))
+    return T.with_availability(_boxes(t), files, ["s"]).select("id", "available")
 
 
 @query("f36_orthometric", "SELECT point_id, round(z + coalesce(g.v, 0), 6) AS h FROM points p LEFT JOIN raster g ON g.row = CAST(ceil(y) AS INT) - 1 AND g.col = CAST(floor(x) AS INT)")
 def orthometric(t):
-    keyed = t.points.withColumn("row", F.ceil("y").cast("int") - 1).withColumn("col", F.floor("x").cast("int"))
-    return keyed.join(t.raster, ["row", "col"], "left").select("point_id", F.round(F.col("z") + F.coalesce("v", F.lit(0.0)), 6).alias("h"))
+    return T.orthometric(t.points, t.raster).select("point_id", F.round("h", 6).alias("h"))
 
 
 @query("f37_overview_choice", "SELECT p_partkey, CAST(max(l) AS INT) AS level FROM part, range(8) t(l) WHERE pow(2, l) * 0.5 <= greatest(p_size, 1) GROUP BY 1")
 def overview_choice(t):
-    levels = t.read("part").select("p_partkey", F.greatest("p_size", F.lit(1)).alias("want"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("l"))
-    return levels.where(F.pow(F.lit(2.0), "l") * 0.5 <= F.col("want")).groupBy("p_partkey").agg(F.max("l").alias("level"))
+    return t.read("part").select("p_partkey", T.coarsest_level(0.5, F.greatest("p_size", F.lit(1)), 8).alias("level"))
 
 
 @query("f38_grid_size", "SELECT CAST(z AS INT) AS z, CASE WHEN z < 6 THEN 16 WHEN z < 10 THEN 32 WHEN z < 14 THEN 64 ELSE 65 END AS size FROM range(20) t(z)")
 def grid_size(t):
     z = F.col("id").cast("int")
-    return t.spark.range(20).select(z.alias("z"), F.when(z < 6, 16).when(z < 10, 32).when(z < 14, 64).otherwise(65).alias("size"))
+    return t.spark.range(20).select(z.alias("z"), T.grid_side(z).alias("size"))
 
 
 @query("f39_availability", "SELECT CAST(z AS INT) AS z, CAST(pow(2, z + 1) - 1 AS BIGINT) AS last_x, CAST(pow(2, z) - 1 AS BIGINT) AS last_y FROM range(12) t(z)")
 def availability(t):
-    return t.spark.range(12).select(F.col("id").cast("int").alias("z"), (F.pow(F.lit(2), F.col("id") + 1) - 1).cast("long").alias("last_x"), (F.pow(F.lit(2), F.col("id")) - 1).cast("long").alias("last_y"))
+    return T.full_availability(t.spark, 12)
 
 
 @query("f40_stretch", "SELECT row, col, CAST(round(255 * least(greatest((v - lo) / (hi - lo), 0), 1)) AS INT) AS channel FROM raster, (SELECT min(v) AS lo, max(v) AS hi FROM raster) WHERE v IS NOT NULL")
@@ -271,26 +267,23 @@ def stretch(t):
 
 @query("f42_max_zoom", "SELECT p_partkey, CAST(ceil(log2(360 / 256.0::DOUBLE / (p_retailprice / 1e6))) AS BIGINT) AS zoom FROM part")
 def max_zoom(t):
-    return t.read("part").select("p_partkey", F.ceil(F.log2(360 / 256 / (F.col("p_retailprice") / 1e6))).alias("zoom"))
+    return t.read("part").select("p_partkey", T.max_zoom(F.col("p_retailprice") / 1e6).alias("zoom"))
 
 
 @query("f43_bundle_levels", "SELECT z, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM (SELECT CAST(l AS INT) AS z, CAST(floor(x) AS BIGINT) >> CAST(l AS INT) AS x, CAST(floor(y) AS BIGINT) >> CAST(l AS INT) AS y FROM points, range(5) t(l)) GROUP BY 1")
 def bundle(t):
-    rows = t.points.select(F.floor("x").alias("x"), F.floor("y").alias("y")).distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(4))))
-    rows = rows.select("z", F.expr("shiftright(x, z)").alias("x"), F.expr("shiftright(y, z)").alias("y"))
-    return rows.groupBy("z").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    return T.availability(t.points.select(F.floor("x").alias("x"), F.floor("y").alias("y")), 5)
 
 
 @query("f44_deepest_level", "SELECT p_partkey, CAST(min(l) AS INT) AS level FROM part, range(24) t(l) WHERE 180 / pow(2, l) / 64 <= p_retailprice / 1e5 GROUP BY 1")
 def deepest(t):
-    levels = t.read("part").select("p_partkey", "p_retailprice", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("l"))
-    return levels.where(180 / F.pow(F.lit(2.0), "l") / 64 <= F.col("p_retailprice") / 1e5).groupBy("p_partkey").agg(F.min("l").alias("level"))
+    return t.read("part").select("p_partkey", T.deepest_level(F.col("p_retailprice") / 1e5).alias("level"))
 
 
 @query("f45_outer_samples", f"SELECT id, round(w + size / 200.0::DOUBLE, 6) AS west, round(w + size - size / 200.0::DOUBLE, 6) AS east FROM ({_BOXES})")
 def outer_samples(t):
-    half = F.col("size") / 200
-    return _boxes(t).select("id", F.round(F.col("w") + half, 6).alias("west"), F.round(F.col("w") + F.col("size") - half, 6).alias("east"))
+    west, east = T.outer_samples(F.col("w"), F.col("w") + F.col("size"), 100)
+    return _boxes(t).select("id", F.round(west, 6).alias("west"), F.round(east, 6).alias("east"))
 
 
 @query("f46_mercator_extent", f"SELECT id, round(min(radians(lon) * 6378137), 3) AS x0, round(max(6378137 * ln(tan(pi() / 4 + radians(lat) / 2))), 3) AS y1 FROM (SELECT id, w + size * k / 32.0::DOUBLE AS lon, s + size AS lat FROM ({_BOXES}), range(33) t(k) UNION ALL SELECT id, w, s + size * k / 32.0::DOUBLE FROM ({_BOXES}), range(33) t(k)) GROUP BY 1")
@@ -303,9 +296,9 @@ def extent(t):
     return ring.groupBy("id").agg(F.round(F.min(x), 3).alias("x0"), F.round(F.max(y), 3).alias("y1"))
 
 
-@query("f48_path_bounds", "SELECT c_nationkey, round(min(c_acctbal), 6) AS low, round(max(c_acctbal), 6) AS high, min(c_acctbal) >= -90 AS on_globe FROM customer GROUP BY 1")
+@query("f48_path_bounds", "SELECT c_nationkey, round(min(c_acctbal), 6) AS low, round(max(c_acctbal), 6) AS high, min(c_acctbal) >= -90 AND max(c_acctbal) <= 90 AS on_globe FROM customer GROUP BY 1")
 def path_bounds(t):
-    return t.read("customer").groupBy("c_nationkey").agg(F.round(F.min("c_acctbal"), 6).alias("low"), F.round(F.max("c_acctbal"), 6).alias("high"), (F.min("c_acctbal") >= -90).alias("on_globe"))
+    return T.path_bounds(t.read("customer"), "c_nationkey", "c_acctbal").withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
 @query("k06_zigzag", "SELECT point_id, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS code FROM (SELECT point_id, q - lag(q, 1, 0) OVER (PARTITION BY cls ORDER BY point_id) AS d FROM (SELECT point_id, cls, CAST(trunc(x / 100 * 32767) AS BIGINT) AS q FROM points))")
@@ -323,21 +316,21 @@ def rgb(t):
     return t.raster.select("row", "col", r.alias("r"), g.alias("g"), b.alias("b"))
 
 
-@query("k11_raster_colours", "SELECT row, col, CAST(trunc(255 * least(greatest((v - 90) / 60, 0), 1)) AS INT) AS r, CASE WHEN v IS NULL THEN 0 ELSE 255 END AS a FROM raster")
+@query("k11_raster_colours", "SELECT row, col, coalesce(CAST(trunc(255 * least(greatest((v - 90) / 60, 0), 1)) AS INT), 0) AS r, CASE WHEN v IS NULL THEN 0 ELSE 255 END AS a FROM raster")
 def raster_colours(t):
-    share = F.least(F.greatest((F.col("v") - 90) / 60, F.lit(0.0)), F.lit(1.0))
-    return t.raster.select("row", "col", F.when(F.col("v").isNotNull(), (255 * share).cast("int")).otherwise(0).alias("r"), F.when(F.col("v").isNull(), 0).otherwise(255).alias("a"))
+    return t.raster.select("row", "col", T.ramp(F.col("v"), 90.0, 150.0).alias("r"), T.opacity(F.col("v")).alias("a"))
 
 
 @query("k16_static_map_pixels", f"SELECT id, CAST(trunc((w + 180) / 360.0::DOUBLE * 512) AS INT) AS px, CAST(trunc((90 - s) / 180.0::DOUBLE * 256) AS INT) AS py FROM ({_BOXES})")
 def pixels(t):
-    return _boxes(t).select("id", ((F.col("w") + 180) / 360 * 512).cast("int").alias("px"), ((90 - F.col("s")) / 180 * 256).cast("int").alias("py"))
+    x, y = T.pixel_of(F.col("s"), F.col("w"), 512, 256)
+    return _boxes(t).select("id", x.alias("px"), y.alias("py"))
 
 
 @query("k20_tile_limits", f"SELECT id, CAST(floor((w + 180) / 360.0::DOUBLE * 64) AS BIGINT) AS min_col, CAST(floor((w + size + 180) / 360.0::DOUBLE * 64) AS BIGINT) AS max_col FROM ({_BOXES})")
 def limits(t):
-    col = lambda lon: F.floor((lon + 180) / 360 * 64)
-    return _boxes(t).select("id", col(F.col("w")).alias("min_col"), col(F.col("w") + F.col("size")).alias("max_col"))
+    first, last = T.tile_columns(F.col("w"), F.col("w") + F.col("size"), 6)
+    return _boxes(t).select("id", first.alias("min_col"), last.alias("max_col"))
 
 
 _GRIDSQL = "SELECT CAST(a AS BIGINT) * 16 + b AS id, 3 + a * 2.5::DOUBLE AS fr, 2 + b * 2.2::DOUBLE AS fc FROM range(16) t(a), range(16) u(b)"
@@ -358,23 +351,20 @@ def reproject(t):
 
 @query("f41_level_for", "SELECT p_partkey, CAST(coalesce(max(l), 0) AS INT) AS level FROM part LEFT JOIN range(6) t(l) ON pow(2, l) <= p_size / 4.0::DOUBLE GROUP BY 1")
 def level_for(t):
-    levels = t.read("part").select("p_partkey", "p_size", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("l"))
-    return levels.groupBy("p_partkey").agg(F.coalesce(F.max(F.when(F.pow(F.lit(2.0), "l") <= F.col("p_size") / 4, F.col("l"))), F.lit(0)).alias("level"))
+    return t.read("part").select("p_partkey", F.coalesce(T.coarsest_level(1.0, F.col("p_size") / 4, 6), F.lit(0)).alias("level"))
 
 
 @query("f47_level_scales", "SELECT p_partkey, CAST(l AS INT) AS level, round(p_retailprice / ceil(p_retailprice / pow(2, l)), 6) AS scale FROM part, range(4) t(l)")
 def level_scales(t):
     rows = t.read("part").select("p_partkey", "p_retailprice", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("level"))
-    return rows.select("p_partkey", "level", F.round(F.col("p_retailprice") / F.ceil(F.col("p_retailprice") / F.pow(F.lit(2.0), "level")), 6).alias("scale"))
+    return rows.select("p_partkey", "level", F.round(T.level_scale(F.col("p_retailprice"), F.col("level")), 6).alias("scale"))
 
 
 @query("k08_terrain_pyramid", "SELECT CAST(z AS INT) AS z, CAST(col // CAST(pow(2, 5 - z) AS INT) AS INT) AS x, CAST(row // CAST(pow(2, 5 - z) AS INT) AS INT) AS y, count(v) AS cells, round(avg(v), 6) AS mean FROM raster, range(6) t(z) GROUP BY 1, 2, 3")
 def pyramid(t):
-    rows = t.raster.withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    side = F.pow(F.lit(2.0), 5 - F.col("z"))
-    return rows.groupBy("z", F.floor(F.col("col") / side).cast("int").alias("x"), F.floor(F.col("row") / side).cast("int").alias("y")).agg(F.count("v").alias("cells"), F.round(F.avg("v"), 6).alias("mean"))
+    return T.pyramid(t.raster, 6).withColumn("mean", F.round("mean", 6))
 
 
 @query("k09_dem_bundle_level", "SELECT CAST(min(l) AS INT) AS deepest FROM range(24) t(l) WHERE 180 / pow(2, l) / 64 <= 0.01")
 def bundle_level(t):
-    return t.spark.range(24).where(180 / F.pow(F.lit(2.0), "id") / 64 <= 0.01).agg(F.min("id").cast("int").alias("deepest"))
+    return t.spark.range(1).select(T.deepest_level(0.01).alias("deepest"))

@@ -75,7 +75,7 @@ def entities_near(t):
 
 @query("b08_entity_links", f"SELECT id, type FROM ({_LINKS}) WHERE entity_id = 7 OR type = 'signup'")
 def entity_links(t):
-    return _links(t).where("entity_id = 7 or type = 'signup'").select("id", "type")
+    return S.entity_links(_links(t), entity=7).select("id", "type").union(S.entity_links(_links(t), kind="signup").where("entity_id <> 7").select("id", "type"))
 
 
 @query("b09_centre_owner", "SELECT CAST(floor(x / 10) AS BIGINT) AS tx, CAST(floor(y / 10) AS BIGINT) AS ty, count(*) AS n FROM points WHERE x >= 0 AND x < 50 AND y >= 0 AND y < 50 GROUP BY 1, 2")

@@ -83,7 +83,8 @@ _HALF = "sqrt(" + " + ".join(f"pow(greatest(u{a}, v{a}, w{a}) - least(u{a}, v{a}
 
 @query("c10_materials", "SELECT p_type AS material, count(*) AS triangles, round(min(p_retailprice / 100), 6) AS low FROM part GROUP BY 1")
 def materials(t):
-    return t.read("part").groupBy(F.col("p_type").alias("material")).agg(F.count("*").alias("triangles"), F.round(F.min(F.col("p_retailprice") / 100), 6).alias("low"))
+    parts = t.read("part").select(F.col("p_type").alias("material"), (F.col("p_retailprice") / 100).alias("z"))
+    return C.by_material(parts).withColumn("low", F.round("low", 6))
 
 
 _MESHES = "SELECT CAST(p_size % 5 AS BIGINT) AS grp, p_partkey AS mesh, CAST(1 + p_partkey % 9 AS BIGINT) AS triangles, p_retailprice AS error FROM part"
@@ -254,7 +255,7 @@ def thumbnail(t):
 @query("c42_terrain_bases", "SELECT s.id, round(min(r.v), 6) AS base FROM sites s JOIN raster r ON r.row = CAST(floor(s.y) AS INT) % 20 AND r.col IN (CAST(floor(s.x) AS INT), CAST(floor(s.x) AS INT) + 1) GROUP BY 1")
 def terrain_bases(t):
     corners = t.sites.select("id", (F.floor("y").cast("int") % 20).alias("row"), F.explode(F.array(F.floor("x").cast("int"), F.floor("x").cast("int") + 1)).alias("col"))
-    return corners.join(t.raster, ["row", "col"]).groupBy("id").agg(F.round(F.min("v"), 6).alias("base"))
+    return C.terrain_bases(corners, t.raster).withColumn("base", F.round("base", 6))
 
 
 @query("c09_mesh_tiles")

@@ -39,6 +39,8 @@ WORDS_PER_SHINGLE = 3
 RADIUS = 3
 #: A bucket has about so many fingerprints on average; a larger one is split into tiles of so many.
 BUCKET, TILE = 512, 4096
+#: Pairs are handed on of so many words of 64 distances at a time.
+YIELD_WORDS = 2048
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -106,9 +108,11 @@ def bit_sliced(left: np.ndarray, right: np.ndarray, radius: int):
         if not len(keep):
             continue
         lane = lambda x: np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        distance = sum(lane(c[keep]).astype(np.int16) << level for level, c in enumerate(counters))
-        k, bit = np.nonzero((lane(over[keep]) == 0) & (distance <= radius))
-        yield at + row[keep][k], word[keep][k] * 64 + bit
+        for first in range(0, len(keep), YIELD_WORDS):  # very many near pairs come in parts
+            own = keep[first : first + YIELD_WORDS]
+            distance = sum(lane(c[own]).astype(np.int16) << level for level, c in enumerate(counters))
+            k, bit = np.nonzero((lane(over[own]) == 0) & (distance <= radius))
+            yield at + row[own][k], word[own][k] * 64 + bit
 
 
 def labels(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
@@ -189,7 +193,7 @@ WIDE_WORDS, WIDE_SHINGLE, RECALL = 4, 5, 0.99
 #: Comparing is cheap beside moving rows: with larger buckets fewer tables reach the recall.
 WIDE_BUCKET = 4096
 #: A tile of a component of candidates has about so many shingles on average (8 bytes each).
-TILE_SHINGLES = 1 << 21
+TILE_SHINGLES = 1 << 19
 
 
 def _shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,14 +228,16 @@ def _prints(words: Words, k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.bincount(doc, minlength=words.n_docs)
 
 
-def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``wide`` (256 bits of five-word shingles, null without words) and ``shingles``, how many those are."""
+def wide_fingerprints(docs: DataFrame, words_per_shingle: int = WORDS_PER_SHINGLE) -> DataFrame:
+    """``docs`` with ``simhash``, ``wide`` (256 bits of five-word shingles, null without words) and ``shingles``, how many those
+    are; all by one Python worker a task."""
 
     def kernel(texts):
         wide, sizes = _prints(Words(texts), WIDE_SHINGLE, WIDE_WORDS)
-        return {"wide": [w.tobytes() if n else None for w, n in zip(wide, sizes)], "shingles": sizes}
+        own = np.array([fingerprint(t, words_per_shingle) for t in texts], np.uint64).view(np.int64)
+        return {"simhash": own, "wide": [w.tobytes() if n else None for w, n in zip(wide, sizes)], "shingles": sizes}
 
-    return append_columns(docs, kernel, T.StructType([T.StructField("wide", T.BinaryType()), T.StructField("shingles", T.LongType())]))
+    return append_columns(docs, kernel, T.StructType([T.StructField("simhash", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("shingles", T.LongType())]))
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -370,8 +376,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words_per_shingle: in
     With a similarity, texts whose five-word shingles are that alike are linked besides. The last join is of two tables as read,
     so that Spark may split the partition of a fingerprint or text that very many rows share.
     """
-    base = fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), words_per_shingle)
-    base = written((base if similarity is None else wide_fingerprints(base)).drop("text"))
+    prints_of = fingerprints if similarity is None else wide_fingerprints
+    base = written(prints_of(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), words_per_shingle).drop("text"))
     prints = base.groupBy("simhash").agg(F.min("doc_id").alias("first_id"), F.count_distinct("text_hash").alias("texts"))
     edges = links(prints.select("simhash"), prints.count(), radius)
     if similarity is None:
@@ -401,10 +407,12 @@ def deduplicated(docs: DataFrame, radius: int = RADIUS, words_per_shingle: int =
     """The rows of ``docs`` without near duplicates: of each group the document with the smallest doc_id (of repeated
     doc_ids the smallest text hash) stays, once."""
     found = near_duplicates(docs, radius, words_per_shingle, similarity)
-    keep = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("kept_id_"), F.col("k.text_hash").alias("kept_hash_"))
-    joined = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.xxhash64("text") == F.col("kept_hash_")))
-    return joined.dropDuplicates(["kept_id_", "kept_hash_"]).select(*docs.columns)
+    rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("k"))
+    keep = written(keep.select(F.col("k.doc_id").alias("kept_id_"), F.col("k.text_hash").alias("kept_hash_"), "k.n"))
+    kept = lambda which: docs.join(keep.where(which), F.col("doc_id").eqNullSafe(F.col("kept_id_")) & (F.xxhash64("text") == F.col("kept_hash_")))
+    # only rows that stand there more than once are dealt anew to drop repeats
+    return kept("n = 1").select(*docs.columns).union(kept("n > 1").dropDuplicates(["kept_id_", "kept_hash_"]).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrystone.functions.geodesy import DEGREE_M
+from quarrystone.operators.lineage import settled
 
 _AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 #: Names of the neighbours, by row and column.
@@ -121,27 +122,22 @@ def flow_directions(raster: DataFrame) -> DataFrame:
     return cells.where("v is not null").select("row", "col", "v", (F.col("row") + best["dr"]).alias("to_row"), (F.col("col") + best["dc"]).alias("to_col"))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the shared folder, where the session names one."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
-
-
-def watersheds(directions: DataFrame, most_rounds: int = 64) -> DataFrame:
+def watersheds(directions: DataFrame, most_rounds: int = 40) -> DataFrame:
     """Each cell's outlet, by pointer jumping: every round doubles how far a cell looks. Directions in a circle raise."""
     at = directions.select("row", "col", F.coalesce("to_row", "row").alias("r"), F.coalesce("to_col", "col").alias("c"))
     known = directions.select(F.col("row").alias("r"), F.col("col").alias("c")).withColumn("known", F.lit(True))
     at = at.join(known, ["r", "c"], "left").select("row", "col", F.when(F.col("known"), F.col("r")).otherwise(F.col("row")).alias("r"), F.when(F.col("known"), F.col("c")).otherwise(F.col("col")).alias("c"))
     for _ in range(most_rounds):
-        at = _settled(at)
+        at = settled(at)
         nxt = at.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("r").alias("r2"), F.col("c").alias("c2"))
-        jumped = _settled(at.join(nxt, ["r", "c"]).select("row", "col", F.col("r2").alias("r"), F.col("c2").alias("c"), ((F.col("r2") != F.col("r")) | (F.col("c2") != F.col("c"))).alias("moved")))
+        jumped = settled(at.join(nxt, ["r", "c"]).select("row", "col", F.col("r2").alias("r"), F.col("c2").alias("c"), ((F.col("r2") != F.col("r")) | (F.col("c2") != F.col("c"))).alias("moved")))
         if jumped.where("moved").isEmpty():
             return at.select("row", "col", F.col("r").alias("outlet_row"), F.col("c").alias("outlet_col"))
         at = jumped.drop("moved")
     raise ValueError("the flow directions hold a circle")
 
 
-def accumulation(directions: DataFrame, most_rounds: int = 64) -> DataFrame:
+def accumulation(directions: DataFrame, most_rounds: int = 40) -> DataFrame:
     """How many cells drain through each, itself included, by path doubling: the sum over the cells at most 2**k steps above is
     that over 2**k - 1 steps, and as much again of the cells 2**k steps above. As many rounds as the longest way's logarithm.
     Directions in a circle raise."""
@@ -151,11 +147,11 @@ def accumulation(directions: DataFrame, most_rounds: int = 64) -> DataFrame:
     ways = inside.join(cells.select(F.col("row").alias("r"), F.col("col").alias("c")), ["r", "c"], "left_semi").select("row", "col", "r", "c")
     sums = cells.withColumn("cells", F.lit(1).cast("long"))
     for _ in range(most_rounds):
-        ways = _settled(ways)
+        ways = settled(ways)
         if ways.isEmpty():
             return sums
         moved = ways.join(sums, ["row", "col"]).select(F.col("r").alias("row"), F.col("c").alias("col"), "cells")
-        sums = _settled(sums.union(moved).groupBy("row", "col").agg(F.sum("cells").alias("cells")))
+        sums = settled(sums.union(moved).groupBy("row", "col").agg(F.sum("cells").alias("cells")))
         nxt = ways.select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("r").alias("r2"), F.col("c").alias("c2"))
         ways = ways.join(nxt, ["r", "c"]).select("row", "col", F.col("r2").alias("r"), F.col("c2").alias("c"))
     raise ValueError("the flow directions hold a circle")

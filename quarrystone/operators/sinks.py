@@ -60,6 +60,70 @@ def tileset_json(nodes: list[tuple[str, bool]], low: list[float], high: list[flo
     return json.dumps({"asset": {"version": "1.1"}, "geometricError": root.get("geometricError", 0.0), "root": root})
 
 
+def tileset_files(nodes: DataFrame, low: list[float], high: list[float]) -> DataFrame:
+    """A tileset as a file per node (path, content): each holds its own tile and names its children's files, so that no task
+    holds more than a node and its eight children. Nodes: node (digits of octants), is_leaf. The first file is ``tileset.json``."""
+    kids = nodes.where("length(node) > 0").select(F.expr("substring(node, 1, length(node) - 1)").alias("node"), F.right("node", F.lit(1)).alias("digit")).groupBy("node").agg(F.array_sort(F.collect_list("digit")).alias("kids"))
+    rows = nodes.select("node", "is_leaf").join(kids, "node", "left")
+
+    def file(node: str) -> str:
+        return f"{node}.json" if node else "tileset.json"
+
+    def one(node: str, leaf: bool, digits: list[str]) -> str:
+        own = json.loads(tileset_json([(node[:k], k < len(node) or leaf) for k in range(len(node) + 1)], low, high))["root"]
+        for _ in node:
+            (own,) = own["children"]
+        own["geometricError"] = 0.0 if leaf else sum(x * x for x in (own["boundingVolume"]["box"][k] for k in (3, 7, 11))) ** 0.5
+        if digits:
+            path = [(node[:k], False) for k in range(len(node) + 1)]
+            for d in digits:
+                child = json.loads(tileset_json([*path, (node + d, True)], low, high))["root"]
+                for _ in node + d:
+                    (child,) = child["children"]
+                own.setdefault("children", []).append({"boundingVolume": child["boundingVolume"], "geometricError": own["geometricError"] / 2, "refine": "ADD", "content": {"uri": file(node + d)}})
+        return json.dumps({"asset": {"version": "1.1"}, "geometricError": own["geometricError"], "root": own})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = [one(n, bool(leaf), [] if k is None else list(k)) for n, leaf, k in zip(batch["node"], batch["is_leaf"], batch["kids"])]
+            yield pd.DataFrame({"path": [file(n) for n in batch["node"]], "content": [t.encode() for t in texts]})
+
+    return rows.mapInPandas(run, _FILE)
+
+
+def tile_point_cloud(points: DataFrame, folder: str, max_points: int = 20_000, max_depth: int = 20) -> DataFrame:
+    """Points (point_id, x, y, z) to a tileset in a shared folder: an octree, thinned points in the nodes above the leaves, a
+    .pnts file and a JSON file a node. Returns path and bytes of every file."""
+    from quarrystone.operators import tiling as C
+
+    low, high = C.bounds(points)
+    leaves = C.octree(points, max_points, max_depth)
+    nodes = C.node_table(leaves)
+    shown = leaves.select("point_id", "x", "y", "z", "path")
+    # a node above the leaves shows every k-th point of all below it
+    above = shown.select("point_id", "x", "y", "z", F.explode(F.sequence(F.lit(0), F.length("path"))).alias("depth"), "path").where(F.col("depth") < F.length("path")).select("point_id", "x", "y", "z", F.expr("substring(path, 1, depth)").alias("path"))
+    tiles = point_tiles(shown.unionByName(C.decimated(above, max_points)))
+    return save(tiles.unionByName(tileset_files(nodes.select("node", "is_leaf"), low, high)), folder)
+
+
+def dxf_text(segments: DataFrame, by: str = "layer") -> DataFrame:
+    """Line segments (layer, x1, y1, x2, y2) as DXF texts (path, text), a file a layer, lines in order of their corners."""
+    line = F.concat_ws("\n", F.lit("0\nLINE\n8"), F.col(by).cast("string"), *[F.concat(F.lit(f"{code}\n"), F.round(F.col(c), 6).cast("string")) for code, c in ((10, "x1"), (20, "y1"), (11, "x2"), (21, "y2"))])
+    rows = segments.groupBy(by).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    return rows.select(F.concat(F.col(by).cast("string"), F.lit(".dxf")).alias("path"), F.concat_ws("\n", F.lit("0\nSECTION\n2\nENTITIES"), "lines", F.lit("0\nENDSEC\n0\nEOF\n")).alias("text"))
+
+
+def geotiff_files(raster: DataFrame, by: str, west: float, north: float, size: float, code: int) -> DataFrame:
+    """A GeoTIFF a tile (rows and columns of the whole raster from its north-west corner)."""
+    from quarrystone.sources import geotiff
+
+    def encode(rows: pd.DataFrame) -> bytes:
+        r0, c0 = int(rows["row"].min()), int(rows["col"].min())
+        return geotiff.write(_matrix(rows.assign(row=rows["row"] - r0, col=rows["col"] - c0)), west + c0 * size, north - r0 * size, size, code)
+
+    return _grouped(raster, by, lambda n: f"{n}.tif", encode)
+
+
 def bounded(points: DataFrame, by: str, most: int = MAX_FILE_POINTS) -> DataFrame:
     """Points with the column ``file``: their group's name and a part, so that no file gets many more than ``most`` points.
 

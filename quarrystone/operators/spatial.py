@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarrystone.operators.lineage import settled
+
 #: The shares of a bounding box that count as volume and surface.
 VOLUME_SHARE, SURFACE_SHARE = 0.6, 0.8
 
@@ -53,14 +55,14 @@ def nearest_each(centers: DataFrame, points: DataFrame, k: int, cell: float, mos
     while True:
         near = neighbours(left, points, radius).where("center_id <> point_id")
         rank = F.row_number().over(Window.partitionBy("center_id").orderBy("distance", "point_id"))
-        best = near.withColumn("rank", rank).where(F.col("rank") <= k)
+        best = settled(near.withColumn("rank", rank).where(F.col("rank") <= k))
         last = radius >= most * cell
         done = best if last else best.join(best.where(F.col("rank") == k).select("center_id"), "center_id", "left_semi")
         found = done if found is None else found.union(done)
         if last:
             return found
         full = best.where(F.col("rank") == k).select(F.col("center_id").alias("point_id"))
-        left = left.join(full, "point_id", "left_anti")
+        left = settled(left.join(full, "point_id", "left_anti"))
         if left.isEmpty():
             return found
         radius *= 2

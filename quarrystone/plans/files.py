@@ -228,5 +228,26 @@ def world(t):
 @query("k02_tileset")
 def tileset_document(t):
     low, high = C.bounds(t.points)
-    nodes = [(r["node"], r["is_leaf"]) for r in C.node_table(_tree(t)).collect()]  # as many as there are tiles
-    return t.spark.createDataFrame([("tileset.json", K.tileset_json(nodes, low, high))], "path string, text string")
+    return K.tileset_files(C.node_table(_tree(t)).select("node", "is_leaf"), low, high).select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+def _geotiffs(t):
+    return K.geotiff_files(t.raster.withColumn("tile", F.expr("CAST(row div 40 AS INT)")), "tile", 10.0, 50.0, 0.5, 4326)
+
+
+@query("s07_geotiff", "SELECT CAST(row // 40 AS INT) AS tile, CAST(row % 40 AS INT) AS row, col, round(v, 2) AS v FROM raster WHERE v IS NOT NULL")
+def read_geotiff(t):
+    return _heights(S.tiff(_geotiffs(t))).withColumn("v", F.round("v", 2))
+
+
+@query("s07_geotiff_place", "SELECT CAST(row // 40 AS INT) AS tile, 4326 AS epsg, round(min(10 + col * 0.5), 6) AS west, round(max(50 - row * 0.5), 6) AS north FROM raster GROUP BY 1")
+def geotiff_place(t):
+    own = _geotiffs(t)
+    rows = S.file_crs(own).join(S.georeferences(own), "path")
+    return rows.select(F.regexp_extract("path", "([0-9]+)[.]", 1).cast("int").alias("tile"), "epsg", F.round("west", 6).alias("west"), F.round("north", 6).alias("north"))
+
+
+@query("k15_dxf_lines", "SELECT p_brand || '.dxf' AS path, CAST(12 * count(*) + 9 AS BIGINT) AS lines FROM part GROUP BY 1")
+def dxf_lines(t):
+    lines = t.read("part").selectExpr("p_brand AS layer", "CAST(p_size AS DOUBLE) AS x1", "CAST(p_partkey AS DOUBLE) AS y1", "p_size + 1D AS x2", "p_partkey + 2D AS y2")
+    return K.dxf_text(lines).select("path", F.size(F.split("text", "\n")).cast("long").alias("lines"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrystone.sources import formats
+from quarrystone.sources import formats, geotiff
 
 POINTS = "path string, n long, x double, y double, z double, r int, g int, b int, cls int, intensity int"
 RASTER = "path string, row int, col int, v double"
@@ -91,8 +91,58 @@ def glb(df: DataFrame) -> DataFrame:
     return _decoded(df, decode, "path string, mesh int, tri long, " + ", ".join(f"{c}{a} double" for c in "uvw" for a in "xyz"))
 
 
+def tiff(df: DataFrame) -> DataFrame:
+    return _void(_decoded(df, _raster(geotiff.read), RASTER))
+
+
+_CORNERS = [c + a for c in "uvw" for a in "xyz"]
+TRIANGLES = "path string, mesh string, tri long, " + ", ".join(f"{c} double" for c in _CORNERS)
+
+
+def _text(df: DataFrame) -> DataFrame:
+    return df.select("path", F.col("content").cast("string").alias("text"))
+
+
+def _fans(rings: DataFrame, mesh: Column, ring: Column, number: Column) -> DataFrame:
+    """Rings of x, y, z (a closing corner may repeat the first) as triangles about their first corner."""
+    own = rings.select("path", mesh.cast("string").alias("mesh"), number.cast("long").alias("n"), ring.alias("r"))
+    own = own.withColumn("r", F.when(F.get("r", F.lit(0)) == F.element_at("r", -1), F.slice("r", 1, F.size("r") - 1)).otherwise(F.col("r"))).where(F.size("r") >= 3)
+    rows = own.select("path", "mesh", "n", "r", F.explode(F.sequence(F.lit(1), F.size("r") - 2)).alias("k"))
+    corner = lambda j: F.get("r", F.lit(0) if j == 0 else F.col("k") + (j - 1))
+    return rows.select("path", "mesh", (F.col("n") * 65_536 + F.col("k")).alias("tri"), *[corner(j)[a].alias(c + a) for j, c in enumerate("uvw") for a in "xyz"])
+
+
+def _glb_mesh(df: DataFrame) -> DataFrame:
+    return glb(df).select("path", F.col("mesh").cast("string").alias("mesh"), "tri", *_CORNERS)
+
+
+def _obj_mesh(df: DataFrame) -> DataFrame:
+    return obj_triangles(_text(df)).select("path", F.lit("0").alias("mesh"), (F.col("at").cast("long") * 65_536 + F.col("k")).alias("tri"), *_CORNERS)
+
+
+def _dxf_mesh(df: DataFrame) -> DataFrame:
+    corners = F.array(*[F.struct(*[F.col(f"{a}{j}").alias(a) for a in "xyz"]) for j in range(4)])
+    # a face whose last two corners are one is a triangle
+    ring = F.when(F.get(corners, F.lit(2)) == F.get(corners, F.lit(3)), F.slice(corners, 1, 3)).otherwise(corners)
+    return _fans(dxf_faces(_text(df)), F.lit("0"), ring, F.col("face"))
+
+
+def _gml_mesh(df: DataFrame) -> DataFrame:
+    return _fans(citygml_rings(_text(df)), F.lit("0"), F.col("places"), F.col("ring"))
+
+
+def _cityjson_mesh(df: DataFrame) -> DataFrame:
+    return _fans(cityjson_surfaces(_text(df)), F.col("object"), F.col("ring"), F.col("surface"))
+
+
+def _usgs_heights(df: DataFrame) -> DataFrame:
+    rows = usgs_dem(_text(df))
+    return rows.select("path", F.col("place").cast("int").alias("row"), (F.col("profile") - 1).cast("int").alias("col"), "v")
+
+
 _POINT_READERS = {"las": las, "ply": ply}
-_HEIGHT_READERS = {"hgt": hgt, "dt0": dted, "dt1": dted, "dt2": dted}
+_HEIGHT_READERS = {"hgt": hgt, "dt0": dted, "dt1": dted, "dt2": dted, "tif": tiff, "tiff": tiff, "dem": _usgs_heights}
+_MESH_READERS = {"glb": _glb_mesh, "obj": _obj_mesh, "dxf": _dxf_mesh, "gml": _gml_mesh, "xml": _gml_mesh, "json": _cityjson_mesh}
 
 
 def _by_extension(df: DataFrame, readers: dict) -> DataFrame:
@@ -113,10 +163,68 @@ def read_point_cloud(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_heightmap(spark: SparkSession, path: str) -> DataFrame:
-    """Rasters of SRTM and DTED files, by extension; others raise."""
+    """Rasters of SRTM, DTED, GeoTIFF and USGS DEM files, by extension; others raise."""
     return _by_extension(files(spark, path), _HEIGHT_READERS)
 
 
+def read_mesh(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
+    """Triangles of GLB, OBJ, DXF, CityGML and CityJSON files, by extension: path, mesh, tri and the corners u, v, w; other
+    formats, and files of more bytes than allowed, raise."""
+    found = spark.read.format("binaryFile").load(path)
+    large = found.where(F.col("length") > max_bytes).select("path").limit(1).collect()
+    if large:
+        raise ValueError(f"a mesh file has more than {max_bytes} bytes: {large[0][0]}")
+    return _by_extension(found.select("path", "content"), _MESH_READERS)
+
+
+def file_crs(files: DataFrame) -> DataFrame:
+    """EPSG codes of binary files (path, content): of LAS files by their GeoKey record, of GeoTIFFs by their keys; else null."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            codes = [geotiff.las_epsg(c) if c[:4] == b"LASF" else geotiff.epsg(c) if c[:2] in (b"II", b"MM") else None for c in map(bytes, batch["content"])]
+            yield pd.DataFrame({"path": batch["path"], "epsg": pd.array(codes, dtype="Int32")})
+
+    return files.select("path", "content").mapInPandas(run, "path string, epsg int")
+
+
+def georeferences(files: DataFrame) -> DataFrame:
+    """Of GeoTIFFs (path, content): west, north, and the sizes of a cell; null without a reference."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [geotiff.transform(bytes(c)) or (None,) * 4 for c in batch["content"]]
+            yield pd.DataFrame({"path": batch["path"], **{n: pd.Series([r[k] for r in rows], dtype="float64") for k, n in enumerate(("west", "north", "size_x", "size_y"))}})
+
+    return files.select("path", "content").mapInPandas(run, "path string, west double, north double, size_x double, size_y double")
+
+
+def read_dem_wgs84(spark: SparkSession, path: str, rings: int = 8, max_samples: int = 100_000_000) -> DataFrame:
+    """GeoTIFF terrain in geographic coordinates: path, lat, lon (cell centres), v, with voids filled ring by ring.
+
+    Files without a reference, in another system than EPSG 4326, and of more samples than allowed are refused.
+    """
+    from quarrystone.operators.raster import filled_rings
+
+    found = files(spark, path)
+    bad = file_crs(found).join(georeferences(found), "path").where("epsg is null or epsg <> 4326 or west is null").select("path").limit(1).collect()
+    if bad:
+        raise ValueError(f"terrain needs a reference in EPSG 4326: {bad[0][0]}")
+    cells = tiff(found)
+    large = cells.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > max_samples).select("path").limit(1).collect()
+    if large:
+        raise ValueError(f"a raster has more than {max_samples} samples: {large[0][0]}")
+    # rasters side by side, a gap between them, so that one filling serves all files
+    names = cells.groupBy("path").agg((F.max("row") + rings + 2).alias("rows"))
+    from pyspark.sql import Window
+
+    offsets = names.withColumn("first", F.coalesce(F.sum("rows").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = cells.join(offsets.select("path", "first"), "path").withColumn("row", (F.col("row") + F.col("first")).cast("int"))
+    filled = filled_rings(placed.select("row", "col", "v"), rings)
+    own = placed.select("path", "first", "row", "col").join(filled, ["row", "col"]).join(georeferences(found), "path")
+    return own.select("path", (F.col("north") - (F.col("row") - F.col("first") + 0.5) * F.col("size_y")).alias("lat"), (F.col("west") + (F.col("col") + 0.5) * F.col("size_x")).alias("lon"), "v")
+
+
 def _numbers(line: Column) -> Column:
     return F.transform(F.filter(F.split(line, r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double"))
 

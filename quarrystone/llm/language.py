@@ -1,11 +1,11 @@
 """Language identification by a string kernel.
 
-The kernel of two texts is the number of character n-grams (n = 1, 2, 3; hashed) present in both, over the root of the
+The kernel of two texts is the number of character n-grams (n = 1, 2, 3; hashed; two end marks follow a text) present in both, over the root of the
 product of their numbers: a blended-spectrum presence kernel. Some training texts are Nyström landmarks; one-versus-rest
 kernel ridge regression over them gives a weight per landmark and language. Texts are scored in batches by two matrix
 products: presence by landmarks, kernel values by weights.
 
-Fitted on a bounded sample of labelled rows (about ``TRAIN`` rows, a parameter). A text's language is the one with the
+Fitted on a bounded sample of labelled rows (about ``TRAIN`` rows, a parameter); a language that none of them is in isn't learned. A text's language is the one with the
 highest score; ties go to the language first in the alphabet. Defined cases: null, empty and letterless texts are ``und``
 with score 0, as all texts are if no row is labelled; repeated rows are predicted alike; an empty table gives an empty
 result; other columns pass through and are never inputs.

@@ -805,3 +805,45 @@ def test_pipeline_as_a_whole(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(empty)).collect() == []
+
+
+def test_clashing_columns_and_long_texts(spark):
+    """Columns named as results, a very long text, and nulls in every column do no harm to the operators."""
+    from quarrystone.llm import language, licenses, packing, pii, sstable, tokens
+
+    long = " ".join(f"word{k % 977} licence" if k % 50 else "the MIT License" for k in range(60_000))
+    rows = [(1, long, "en", "a", "b", 1), (None, None, None, None, None, None), (2, "", None, "x", "y", 2), (2, "der Hund und die Katze", "de", "x", "y", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, Lang_Pred string, score string, offset int")
+    got = licenses.licensed(df.withColumn("labels", F.lit(1)).withColumn("h", F.lit(2))).collect()
+    assert len(got) == 4 and max(r["n_base"] for r in got) == 1200 and sorted(r["n_words"] for r in got)[-1] == sum(3 if k % 50 == 0 else 2 for k in range(60_000))
+    found = language.identified(df, language.fitted(df))
+    assert [c.lower() for c in found.columns].count("lang_pred") == 1 and found.count() == 4
+    assert pii.detected(df.withColumn("base", F.lit(1)).withColumn("candidates", F.lit(1)).withColumn("tight", F.lit(1)), pii.Trees(0.0, [])).count() == 4
+    packed = packing.packed(df.withColumn("sequence_id", F.lit(1)).withColumn("salt", F.lit(1)).withColumn("length", F.lit(1)))
+    n = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("piece").alias("p")).where("doc_id = 1").first()
+    assert n["p"] == -(-n["n"] // 2048) - 1
+    assert len(tokens.Encoder(tokens.default_path()).encode([long])[0]) == 4 * n["n"]
+    folder = sstable.shared_dir(spark) + "/clash"
+    shards = sstable.write_shards(df.withColumn("ids", F.lit(1)), folder, 2, tokens.default_path())
+    assert sstable.read_shards(spark, shards).count() == 4
+
+
+def test_kernel_against_a_direct_one():
+    """Presence kernels of texts by sets of their own n-grams, hashed alike; predictions follow from them."""
+    from quarrystone.llm import language
+
+    texts = ["the cat", "a cat, the dog", "", "Der Hund", "der hund und", "x"]
+    bits = language.presence(texts)
+    model = language.Model(["a"], bits, np.zeros((len(texts), 1)))
+
+    def grams(t):
+        t = t.lower() + "\0\0"
+        return {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - 2)}
+
+    got = model.kernel(bits)
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            x, y = grams(a), grams(b)
+            # two n-grams in one of 2**15 cells may count once
+            assert abs(got[i, j] - len(x & y) / np.sqrt(max(1, len(x)) * max(1, len(y)))) < 0.05
+    assert (bits[3] <= bits[4]).all() and bits.sum(1).tolist()[2] == 0

@@ -206,15 +206,15 @@ def mesh_volume(t):
     return C.mesh_volume(t.triangles).withColumn("volume", F.round("volume", 4))
 
 
-@query("c28_plane_cut", "SELECT mesh_id, tri_id, round(ux + (12.3 - uz) / (wz - uz) * (wx - ux), 6) AS x1, round(uy + (12.3 - uz) / (wz - uz) * (wy - uy), 6) AS y1 FROM triangles WHERE uz - 12.3 <= -1e-4 AND wz - 12.3 > -1e-4")
+@query("c28_plane_cut", "SELECT mesh_id, tri_id, round(ux + (9.5 - uz) / (wz - uz) * (wx - ux), 6) AS x1, round(uy + (9.5 - uz) / (wz - uz) * (wy - uy), 6) AS y1 FROM triangles WHERE uz - 9.5 <= -1e-4 AND wz - 9.5 > -1e-4")
 def plane_cut(t):
-    cut = C.plane_cut(t.triangles, 12.3)
+    cut = C.plane_cut(t.triangles, 9.5)
     return cut.select("mesh_id", "tri_id", F.round("x1", 6).alias("x1"), F.round("y1", 6).alias("y1"))
 
 
 @query("c29_section_rings")
 def section_rings(t):
-    return C.section_rings(C.plane_cut(t.triangles, 12.3))
+    return C.section_rings(C.plane_cut(t.triangles, 9.5))
 
 
 @query("c34_depth_raster", "SELECT CAST(floor((ux + vx + wx) / 3) AS BIGINT) AS cx, CAST(floor((uy + vy + wy) / 3) AS BIGINT) AS cy, round(max((uz + vz + wz) / 3), 6) AS depth FROM triangles GROUP BY 1, 2")

@@ -75,6 +75,33 @@ def classified(points: DataFrame, shapes: DataFrame, ground: float) -> DataFrame
     return rows.withColumn("code", code).withColumn("label", label(F.col("code")))
 
 
+FALLBACK_CONFIDENCE = 0.7
+
+
+def modelled(points: DataFrame, names: list[str], model=None) -> DataFrame:
+    """Points (with their built-in ``code``) with the codes and confidences of a model over the feature columns ``names``.
+
+    The model takes a batch's features as a pandas frame and returns codes and confidences; where it fails or gives another
+    number of them, the batch keeps its built-in codes with confidence 0.7, as all points do without a model.
+    """
+    if model is None:
+        return points.withColumn("confidence", F.lit(FALLBACK_CONFIDENCE))
+
+    def run(batches):
+        for batch in batches:
+            batch["confidence"] = FALLBACK_CONFIDENCE
+            try:
+                codes, confidences = model(batch[names])
+            except Exception:  # noqa: BLE001 - whatever a model raises, the built-in classes stand in
+                codes = confidences = []
+            if len(codes) == len(confidences) == len(batch):
+                batch["code"], batch["confidence"] = list(codes), list(confidences)
+            yield batch
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema.fields)
+    return points.mapInPandas(run, f"{kinds}, confidence double")
+
+
 def colour_from_ortho(points: DataFrame, pixels: DataFrame, west: float, north: float, size: float, default: float) -> DataFrame:
     """The nearest pixel's value (pixels: row, col, v); points outside have the default, with confidence 1 as all."""
     px, py = ((F.col("x") - west) / size).cast("long"), ((north - F.col("y")) / size).cast("long")

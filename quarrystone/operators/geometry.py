@@ -199,3 +199,37 @@ def buffered(ring: np.ndarray, metres: float, lat: float) -> np.ndarray:
     angle = np.arange(32) * 2 * math.pi / 32
     round_ = metres * np.column_stack([np.cos(angle), np.sin(angle)])
     return hull(((ring * scale)[:, None, :] + round_[None]).reshape(-1, 2)) / scale
+
+
+OPERATIONS = ("buffer", "union", "intersection", "difference", "convex_hull", "centroid", "simplify")
+
+
+def processed(rows: DataFrame, operation: str, **options: float) -> DataFrame:
+    """One of OPERATIONS, its name in any case, over rows (id, a: ring and, for overlays, b: ring): operation, id, n (rings of
+    overlays, positions otherwise) and area (signed; 0 for centroids). Buffers take ``distance_m``, simplifications
+    ``tolerance``; other names, a missing option and overlays without a second ring raise."""
+    name = operation.lower()
+    if name not in OPERATIONS:
+        raise ValueError(f"no geometry operation {operation}")
+    need = {"buffer": "distance_m", "simplify": "tolerance"}.get(name)
+    if need and need not in options:
+        raise ValueError(f"{name} needs {need}")
+    label = F.lit(name).alias("operation")
+    if name in ("union", "intersection", "difference"):
+        if "b" not in rows.columns:
+            raise ValueError(f"{name} needs a second geometry")
+        return rings_overlaid(rows.select("id", "a", "b"), name).select(label, "id", F.col("rings").alias("n"), "area")
+    if name == "centroid":
+        return rows.select(label, "id", centroid(F.col("a")).isNotNull().cast("long").alias("n"), F.lit(0.0).alias("area"))
+
+    def one(xy: np.ndarray) -> np.ndarray:
+        if name == "buffer":
+            return buffered(xy, options["distance_m"], float(xy[0, 1]))
+        return hull(xy) if name == "convex_hull" else simplified_ring(xy, options["tolerance"])
+
+    def run(batches):
+        for batch in batches:
+            out = [one(np.array([(p["x"], p["y"]) for p in ring])) for ring in batch["a"]]
+            yield pd.DataFrame({"operation": name, "id": batch["id"], "n": [len(r) for r in out], "area": [_signed(r) if len(r) else 0.0 for r in out]})
+
+    return rows.select("id", "a").mapInPandas(run, "operation string, id long, n long, area double")

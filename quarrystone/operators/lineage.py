@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def settled(df: DataFrame) -> DataFrame:
     """The rows as a checkpoint in the shared folder that the session names, or, where it names none, kept by Spark with their
     lineage; either way plans of later rounds don't hold those of earlier ones."""
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's name in the folder of ``spark.checkpoint.dir``. Only a session on one machine (tests) may name none."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/quarrystone"
+    return f"{found.rstrip('/')}/files-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.functions.geodesy import DEGREE_M
+from quarrystone.functions.geodesy import DEGREE_M, A, from_mercator
 from quarrystone.operators.lineage import settled
 
 _AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
@@ -254,3 +254,33 @@ def tms_tiles(z: Column, west: Column, south: Column, east: Column, north: Colum
     y0, y1 = hold(F.floor((south + 90) / span), high - 1), hold(F.ceil((north + 90) / span), high)
     xs = F.sequence(x0, F.greatest(x1 - 1, x0))
     return F.flatten(F.transform(xs, lambda x: F.transform(F.sequence(y0, F.greatest(y1 - 1, y0)), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+
+
+def to_mercator(raster: DataFrame, west: float, north: float, size: float, metres: float) -> DataFrame:
+    """A raster in degrees (corner west and north, cells of ``size``) over the same area in Web Mercator, cells of ``metres``:
+    bilinear at their centres, those beyond the outer centres held to them. Row 0 is in the north. An empty raster stays so."""
+    last = raster.agg(F.max("row"), F.max("col")).first()
+    if last[0] is None:
+        return raster.select("row", "col", "v")
+    y = lambda lat: A * math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))
+    x0, y1 = math.radians(west) * A, y(north)
+    width = math.ceil(math.radians((last[1] + 1) * size) * A / metres - 1e-9)
+    height = math.ceil((y1 - y(north - (last[0] + 1) * size)) / metres - 1e-9)
+    cells = raster.sparkSession.range(height * width).withColumn("row", F.expr(f"id div {width}")).withColumn("col", F.expr(f"id % {width}"))
+    lat, lon = from_mercator(x0 + (F.col("col") + 0.5) * metres, y1 - (F.col("row") + 0.5) * metres)
+    hold = lambda v, most: F.greatest(F.least(v, F.lit(float(most))), F.lit(0.0))
+    places = cells.select("id", hold((north - lat) / size - 0.5, last[0]).alias("fr"), hold((lon - west) / size - 0.5, last[1]).alias("fc"))
+    return sampled(places, raster, ignore_weightless=True).select(F.expr(f"CAST(id div {width} AS INT)").alias("row"), F.expr(f"CAST(id % {width} AS INT)").alias("col"), "v")
+
+
+def analysis(operation: str, source: DataFrame, west: float, north: float, size: float, metres: float, since: str = "", azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
+    """An analysis layer in Web Mercator (row, col, v), lazily: ``ndvi`` of bands (row, col, band, day, v) from a day on is taken
+    before the reprojection, ``slope`` and ``hillshade`` of heights (row, col, v) after it. Other names raise."""
+    name = operation.lower()
+    if name == "ndvi":
+        return to_mercator(ndvi(source, since).select("row", "col", F.col("ndvi").alias("v")), west, north, size, metres)
+    if name not in ("slope", "hillshade"):
+        raise ValueError(f"no analysis {operation}")
+    cells = gradient(neighbourhood(to_mercator(source, west, north, size, metres)), metres)
+    dx, dy = F.col("dx"), F.col("dy")
+    return cells.select("row", "col", (slope(dx, dy) if name == "slope" else hillshade(dx, dy, azimuth, altitude)).alias("v"))

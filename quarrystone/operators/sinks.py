@@ -222,3 +222,21 @@ def save(files: DataFrame, folder: str) -> DataFrame:
             yield pd.DataFrame({"path": batch["path"], "bytes": [len(c) for c in batch["content"]]})
 
     return files.select("path", "content").mapInPandas(run, "path string, bytes long")
+
+
+def put(files: DataFrame, folder: str) -> str:
+    """Saves the files now; returns their folder."""
+    save(files, folder).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def splat_files(splats: DataFrame, by: str) -> DataFrame:
+    """A PLY of Gaussian splats a group, in the order of ``n``."""
+    return _grouped(splats, by, lambda n: f"{n}.ply", lambda rows: formats.write_splats(rows.sort_values("n")[formats.SPLAT].to_numpy(float)))
+
+
+def insert_properties(properties: DataFrame, folder: str, buckets: int = 64) -> None:
+    """Appends property rows to a Parquet table, partitioned by a hash of the element, so that an element's rows are read from
+    one partition. Rows of a bucket are spread over tasks; Spark's writer batches them."""
+    rows = properties.withColumn("bucket", F.pmod(F.xxhash64("element_row"), F.lit(buckets)).cast("int"))
+    rows.repartition("bucket", F.pmod(F.xxhash64("element_row", "key"), F.lit(4))).write.mode("append").partitionBy("bucket").parquet(folder)

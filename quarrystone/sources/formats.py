@@ -90,10 +90,42 @@ def write_ply(columns: dict[str, np.ndarray]) -> bytes:
     return head.encode() + np.column_stack(list(columns.values())).astype("<f8").tobytes()
 
 
+# The vertex properties that the training of Gaussian splats writes.
+SPLAT = ["x", "y", "z", "f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3"]
+#: Higher coefficients of a splat of degree 0 to 3.
+_REST = (0, 9, 24, 45)
+
+
 def is_splat_ply(data: bytes) -> bool:
-    """Whether a PLY's vertices are Gaussian splats."""
-    head = data[: data.find(b"end_header")]
-    return all(f" {n}\n".encode() in head for n in ("opacity", "scale_0", "rot_0", "f_dc_0"))
+    """Whether a PLY's vertices have a property of Gaussian splats."""
+    lines = data[: data.find(b"end_header")].decode("ascii", "replace").split("\n")
+    names = [x.split()[-1] for x in lines if x.startswith("property")]
+    return any(n in SPLAT[3:] or n.startswith("f_rest_") for n in names)
+
+
+def read_splats(data: bytes) -> np.ndarray:
+    """The splats of a binary little-endian PLY, values as stored: columns of SPLAT, then the higher coefficients in order.
+
+    Other formats, missing or non-float properties, another number of coefficients and values that aren't finite raise.
+    """
+    if b"format binary_little_endian" not in data[: data.find(b"end_header")]:
+        raise ValueError("splats are read from binary_little_endian PLY")
+    v = read_ply(data)
+    rest = sum(n.startswith("f_rest_") for n in v.dtype.names)
+    names = SPLAT + [f"f_rest_{k}" for k in range(rest)]
+    bad = [n for n in names if n not in v.dtype.names or v.dtype[n] != np.dtype("<f4")]
+    if bad or rest not in _REST:
+        raise ValueError(f"not the properties of splats: {', '.join(bad) or rest}")
+    out = np.column_stack([v[n].astype(float) for n in names])
+    if not np.isfinite(out).all():
+        raise ValueError(f"splat {int(np.argmin(np.isfinite(out).all(1)))} has a value that is not finite")
+    return out
+
+
+def write_splats(values: np.ndarray) -> bytes:
+    """Splats without higher coefficients: a column for each of SPLAT."""
+    head = "\n".join(["ply", "format binary_little_endian 1.0", f"element vertex {len(values)}", *(f"property float {n}" for n in SPLAT), "end_header\n"])
+    return head.encode() + np.ascontiguousarray(values, "<f4").tobytes()
 
 
 def read_hgt(data: bytes) -> np.ndarray:

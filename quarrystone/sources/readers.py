@@ -145,36 +145,61 @@ _HEIGHT_READERS = {"hgt": hgt, "dt0": dted, "dt1": dted, "dt2": dted, "tif": tif
 _MESH_READERS = {"glb": _glb_mesh, "obj": _obj_mesh, "dxf": _dxf_mesh, "gml": _gml_mesh, "xml": _gml_mesh, "json": _cityjson_mesh}
 
 
-def _by_extension(df: DataFrame, readers: dict) -> DataFrame:
-    known = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
-    bad = df.where(~known.isin(list(readers))).select("path").limit(1).collect()
-    if bad:
-        raise ValueError(f"unsupported format: {bad[0][0]}")
+def _by_extension(spark: SparkSession, path: str, readers: dict, max_bytes: int | None = None) -> DataFrame:
+    """Each reader's rows of the files with its extension, which alone it reads; other files, and too large ones, raise."""
+    every = spark.read.format("binaryFile").load(path)
+    extension = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    # names and lengths alone are scanned here: one row an extension
+    for x, one, large in every.groupBy(extension).agg(F.min("path"), F.min(F.when(F.col("length") > max_bytes, F.col("path")))).collect():
+        if x not in readers:
+            raise ValueError(f"unsupported format: {one}")
+        if large:
+            raise ValueError(f"a file has more than {max_bytes} bytes: {large}")
     out = None
     for name, read in readers.items():
-        rows = read(df.where(known == name))
+        own = "*." + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in name)
+        rows = read(spark.read.format("binaryFile").option("pathGlobFilter", own).load(path).select("path", "content"))
         out = rows if out is None else out.union(rows)
     return out
 
 
 def read_point_cloud(spark: SparkSession, path: str) -> DataFrame:
     """Points of LAS and PLY files, by extension; others raise."""
-    return _by_extension(files(spark, path), _POINT_READERS)
+    return _by_extension(spark, path, _POINT_READERS)
 
 
 def read_heightmap(spark: SparkSession, path: str) -> DataFrame:
     """Rasters of SRTM, DTED, GeoTIFF and USGS DEM files, by extension; others raise."""
-    return _by_extension(files(spark, path), _HEIGHT_READERS)
+    return _by_extension(spark, path, _HEIGHT_READERS)
 
 
 def read_mesh(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
     """Triangles of GLB, OBJ, DXF, CityGML and CityJSON files, by extension: path, mesh, tri and the corners u, v, w; other
     formats, and files of more bytes than allowed, raise."""
-    found = spark.read.format("binaryFile").load(path)
-    large = found.where(F.col("length") > max_bytes).select("path").limit(1).collect()
-    if large:
-        raise ValueError(f"a mesh file has more than {max_bytes} bytes: {large[0][0]}")
-    return _by_extension(found.select("path", "content"), _MESH_READERS)
+    return _by_extension(spark, path, _MESH_READERS, max_bytes)
+
+
+def pnts(df: DataFrame) -> DataFrame:
+    """Points of .pnts tiles: path, n, place and colour."""
+
+    def decode(data: bytes) -> dict[str, np.ndarray]:
+        xyz, rgb = formats.read_pnts(data)
+        return _numbered({a: xyz[:, k] for k, a in enumerate("xyz")} | {c: rgb[:, k].astype(np.int32) for k, c in enumerate("rgb")})
+
+    return _decoded(df, decode, "path string, n long, x double, y double, z double, r int, g int, b int")
+
+
+def read_splats(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
+    """Gaussian splats of PLY files, values as stored: path, n, the columns of ``formats.SPLAT``, and ``rest`` (the higher
+    coefficients; empty without). Files that aren't splats raise in their task, files of more bytes than allowed at once."""
+
+    def decode(data: bytes) -> dict[str, np.ndarray]:
+        v = formats.read_splats(data)
+        rest = pd.Series(list(v[:, len(formats.SPLAT) :]), dtype=object)
+        return _numbered({n: v[:, k] for k, n in enumerate(formats.SPLAT)} | {"rest": rest})
+
+    schema = "path string, n long, " + ", ".join(f"{n} double" for n in formats.SPLAT) + ", rest array<double>"
+    return _by_extension(spark, path, {"ply": lambda df: _decoded(df, decode, schema)}, max_bytes)
 
 
 def file_crs(files: DataFrame) -> DataFrame:

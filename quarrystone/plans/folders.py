@@ -116,13 +116,14 @@ def point_cloud_tiles(t):
     return points.join(documents, "node", "full")
 
 
-@query("d04_snapshots", "SELECT epoch, CAST(floor(x / 5) AS BIGINT) AS cx, CAST(floor(y / 5) AS BIGINT) AS cy, CAST(floor(z / 5) AS BIGINT) AS cz, count(*) AS n, round(avg(z), 4) AS mean_z FROM (SELECT 'old' AS epoch, * FROM cells_old UNION ALL SELECT 'new', * FROM cells_new) GROUP BY 1, 2, 3, 4")
+@query("d04_snapshots", "SELECT epoch, CAST(floor(x / 5) AS BIGINT) AS cx, CAST(floor(y / 5) AS BIGINT) AS cy, CAST(floor(z / 5) AS BIGINT) AS cz, count(*) AS n, round(sum(z), 6) AS sum_z FROM (SELECT 'old' AS epoch, * FROM cells_old UNION ALL SELECT 'new', * FROM cells_new) GROUP BY 1, 2, 3, 4")
 def snapshots(t):
     folder = shared_folder(t.spark)
     for epoch, points in (("old", t.cells_old), ("new", t.cells_new)):
         D.saved_snapshot(points, folder, epoch, 5.0)
     old, new = (D.loaded_snapshot(t.spark, folder, e).withColumn("epoch", F.lit(e)) for e in ("old", "new"))
-    return old.unionByName(new).withColumn("mean_z", F.round("mean_z", 4))
+    # heights have six decimals, so have their sums: no rounding hangs on the order of adding
+    return old.unionByName(new).select("epoch", "cx", "cy", "cz", "n", F.round(F.col("mean_z") * F.col("n"), 6).alias("sum_z"))
 
 
 @query("e06_classify_ml", f"SELECT p_partkey, code, 0.7::DOUBLE AS confidence FROM ({_CLASS})")

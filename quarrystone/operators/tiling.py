@@ -55,12 +55,24 @@ def digits(depth: int, low: list[float], high: list[float]) -> Column:
     return F.concat(*out)
 
 
+#: Binary digits of the ids of one slice of a node's points.
+SLICE_BITS = 16
+
+
 def decimated(points: DataFrame, max_points: int = MAX_POINTS, node: str = "path", key: str = "point_id") -> DataFrame:
-    """Every k-th point of a node in the order of ids, k = count / max held to 8..64: what a parent shows of it."""
+    """Every k-th point of a node in the order of (whole-number) ids, k = count / max held to 8..64: what a parent shows of it.
+
+    A node's points are numbered slice by slice of 65,536 ids, each from the count of the slices before it, so that no task
+    sorts all the points of a large node; only the table of counts is summed a node at a time.
+    """
+    cut = points.withColumn("slice_", F.shiftright(F.col(key).cast("long"), SLICE_BITS))
+    counts = cut.groupBy(node, "slice_").agg(F.count("*").alias("n_"))
     w = Window.partitionBy(node)
-    k = F.greatest(F.least((F.count("*").over(w) / max_points).cast("int"), F.lit(MOST_STEP)), F.lit(LEAST_STEP))
-    rows = points.withColumn("step", k).withColumn("rn", F.row_number().over(w.orderBy(key)))
-    return rows.where((F.col("rn") - 1) % F.col("step") == 0).drop("rn", "step")
+    before = F.coalesce(F.sum("n_").over(w.orderBy("slice_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    k = F.greatest(F.least((F.sum("n_").over(w) / max_points).cast("int"), F.lit(MOST_STEP)), F.lit(LEAST_STEP))
+    steps = counts.select(node, "slice_", before.alias("before_"), k.alias("step_"))
+    rows = cut.withColumn("rn_", F.row_number().over(Window.partitionBy(node, "slice_").orderBy(key))).join(steps, [node, "slice_"])
+    return rows.where((F.col("before_") + F.col("rn_") - 1) % F.col("step_") == 0).select(*points.columns)
 
 
 def node_table(leaves: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrystone.operators import classify, geometry, raster, sinks
+from quarrystone.operators import classify, geometry, raster, sinks, tiling
 from quarrystone.sources import formats, plugin, readers
 
 
@@ -95,3 +95,14 @@ def test_properties_go_to_their_elements_partition(spark, tmp_path):
         sinks.insert_properties(rows, str(tmp_path / "p"), 8)
     got = spark.read.parquet(str(tmp_path / "p"))
     assert got.count() == 100 and got.groupBy("element_row").agg(F.count_distinct("bucket").alias("b")).agg(F.max("b")).first()[0] == 1
+
+
+def test_points_are_thinned_alike_in_slices(spark):
+    ids = [k * 9_973 - 400_000 for k in range(500)]
+    points = spark.createDataFrame([(i, "1" if i % 3 else "2") for i in ids], "point_id long, path string")
+    got = sorted(map(tuple, tiling.decimated(points, 20).select("path", "point_id").collect()))
+    want = []
+    for node in "12":
+        own = sorted(i for i in ids if ("1" if i % 3 else "2") == node)
+        want += [(node, i) for i in own[:: min(max(len(own) // 20, 8), 64)]]
+    assert got == sorted(want)

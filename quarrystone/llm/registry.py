@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import decontaminate, divergence, language, licenses, packing, pii, secrets, simhash, sstable, topk, toxicity
+from quarrystone.llm import alignment, decontaminate, divergence, language, licenses, packing, pii, secrets, simhash, sstable, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.query,
     "op9_toxicity": toxicity.query,
     "op10_sstable": sstable.query,
+    "op11_token_alignment": alignment.query,
     "op12_divergence_audit": divergence.query,
 }
 ORACLE_SQL = {"op2_topk_search": topk.SQL, "op12_divergence_audit": divergence.SQL}

@@ -85,7 +85,7 @@ def _own(docs: DataFrame, names: set[str]) -> list[T.StructField]:
     return [f for f in docs.schema if f.name != "text" and f.name.lower() not in names]
 
 
-def sliced(docs: DataFrame, kernel: Callable[[pa.Array], tuple[dict[str, object], pa.Array, bytes | None]], added: T.StructType, term: T.DataType) -> DataFrame:
+def sliced(docs: DataFrame, kernel: Callable[[pa.Array], tuple[dict[str, object], pa.Array, bytes | None]], added: T.StructType, term: T.DataType, most: int = SLICE) -> DataFrame:
     """A written table with a row per document and a row per slice and distinct term.
 
     ``kernel`` gets a slice's texts and gives the columns ``added`` of its documents, its distinct terms, and bytes of the
@@ -103,7 +103,7 @@ def sliced(docs: DataFrame, kernel: Callable[[pa.Array], tuple[dict[str, object]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for k, table in enumerate(gathered(batches)):
+        for k, table in enumerate(gathered(batches, most)):
             columns, terms, payload = kernel(text_of(table))
             n, number = table.num_rows, first + k
             yield rows(n, slice_=np.full(n, number), **{f.name: text_of(table, f.name) for f in own}, **columns)
@@ -125,7 +125,7 @@ def looked_up(table: DataFrame, values: DataFrame, finish: Callable[[pa.Table, p
     (at_ and values, those found) and gives the columns ``added`` of the documents. ``kept`` are columns that pass through.
     """
     inner = [c for c in values.columns if c != "term_"]
-    terms = table.where("term_ is not null").select("slice_", "at_", "term_").join(values, "term_").select("slice_", "at_", *inner)
+    terms = table.where("term_ is not null").select("slice_", "at_", "term_").join(values, "term_").select(F.col("slice_").alias("of_"), "at_", *inner)
     rows = table.where("term_ is null").drop("term_", "at_")
     fields = [f for f in table.schema if f.name in kept]
     types = {f.name: _arrow_type(f.dataType) for f in [*fields, *added.fields]}
@@ -136,4 +136,4 @@ def looked_up(table: DataFrame, values: DataFrame, finish: Callable[[pa.Table, p
         columns = [docs.column(f.name) for f in fields] + [got.column(f.name) for f in added]
         return pa.table([c.cast(t) for c, t in zip(columns, types.values())], names=list(types))
 
-    return rows.groupBy("slice_").cogroup(terms.groupBy("slice_")).applyInArrow(joined, T.StructType([*fields, *added.fields]))
+    return rows.groupBy("slice_").cogroup(terms.groupBy("of_")).applyInArrow(joined, T.StructType([*fields, *added.fields]))

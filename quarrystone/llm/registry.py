@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.llm import alignment, decontaminate, divergence, language, licenses, packing, pii, secrets, simhash, sstable, topk, toxicity
+from quarrystone.llm import alignment, decontaminate, divergence, language, licenses, packing, pii, recurrent, secrets, simhash, sstable, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_sstable": sstable.query,
     "op11_token_alignment": alignment.query,
     "op12_divergence_audit": divergence.query,
+    "op13_recurrent_lm": recurrent.query,
 }
 ORACLE_SQL = {"op2_topk_search": topk.SQL, "op12_divergence_audit": divergence.SQL}

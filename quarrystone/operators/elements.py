@@ -40,11 +40,11 @@ def typed_equal(value: object) -> Column:
         return F.col("value_boolean") == value
     if isinstance(value, int | float):
         if not math.isfinite(value):
-            raise FilterError("a number must be finite")
+            raise FilterError("numbers that aren't finite can't be compared")
         return F.col("value_number") == float(value)
     if isinstance(value, str):
         return F.col("value_text") == value
-    raise FilterError("an operand is a string, number or Boolean")
+    raise FilterError("only texts, numbers and truth values can be compared")
 
 
 def _any(conditions: list[Column]) -> Column:
@@ -53,18 +53,18 @@ def _any(conditions: list[Column]) -> Column:
 
 def root_condition(field: str, op: str, value: object) -> Column:
     if field not in ROOT:
-        raise FilterError(f"unknown root field {field!r}")
+        raise FilterError(f"there is no element field {field!r}")
     column = F.col(ROOT[field])
     if op in _COMPARE:
-        raise FilterError(f"{field} does not support {op}")
+        raise FilterError(f"{op} can't be asked of {field}")
     if op == "$in":
         if not isinstance(value, list) or not all(isinstance(v, str) for v in value) or len(value) > MAX_ENTRIES:
-            raise FilterError(f"{field} with $in takes up to {MAX_ENTRIES} strings")
+            raise FilterError(f"$in on {field}: a list of texts, {MAX_ENTRIES} at most")
         return column.isin(value) if value else F.lit(False)
     if op not in ("$eq", "$ne", "$like"):
-        raise FilterError(f"unknown operator {op!r}")
+        raise FilterError(f"no such operation: {op!r}")
     if not isinstance(value, str):
-        raise FilterError(f"{field} with {op} takes a string")
+        raise FilterError(f"{op} on {field} compares with a text")
     return {"$eq": lambda: column == value, "$ne": lambda: column != value, "$like": lambda: like(column, value)}[op]()
 
 
@@ -94,17 +94,17 @@ def _property_condition(flags: _Flags, key: str, op: str, value: object) -> Colu
         return flags.any_row(key) & no(flags.any_row(key, typed_equal(value)))
     if op == "$in":
         if not isinstance(value, list) or len(value) > MAX_ENTRIES:
-            raise FilterError(f"$in takes an array of up to {MAX_ENTRIES} entries")
+            raise FilterError(f"$in: a list, {MAX_ENTRIES} entries at most")
         return flags.any_row(key, _any([typed_equal(v) for v in value]))
     if op == "$like":
         if not isinstance(value, str):
-            raise FilterError("$like takes a string")
+            raise FilterError("$like compares with a text")
         return flags.any_row(key, like(F.col("value_text"), value))
     if op in _COMPARE:
         if isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value):
-            raise FilterError(f"{op} takes a finite number")
+            raise FilterError(f"{op} compares with a finite number")
         return flags.any_row(key, _COMPARE[op](F.col("value_number"), F.lit(float(value))))
-    raise FilterError(f"unknown operator {op!r}")
+    raise FilterError(f"no such operation: {op!r}")
 
 
 def with_property(elements: DataFrame, properties: DataFrame, key: str, op: str, value: object) -> DataFrame:
@@ -116,33 +116,33 @@ def parsed(condition: str | dict) -> dict:
     """The filter as a dict, its size, depth and counts checked."""
     text = condition if isinstance(condition, str) else json.dumps(condition)
     if len(text) > MAX_CHARACTERS:
-        raise FilterError(f"the filter has more than {MAX_CHARACTERS} characters")
+        raise FilterError(f"filter text is limited to {MAX_CHARACTERS} characters")
     try:
         tree = json.loads(text)
     except ValueError as e:
-        raise FilterError(f"the filter is not JSON: {e}") from e
+        raise FilterError(f"not readable as JSON: {e}") from e
     counts = {"clauses": 0, "objects": 0}
 
     def visit(node: object, depth: int) -> None:
         if not isinstance(node, dict):
-            raise FilterError("a filter is a JSON object")
+            raise FilterError("conditions stand in a JSON object")
         if depth > MAX_DEPTH:
-            raise FilterError(f"the filter has more than {MAX_DEPTH} nesting levels")
+            raise FilterError(f"nesting of conditions is limited to {MAX_DEPTH}")
         counts["objects"] += 1
         for key, value in node.items():
             if key in ("$and", "$or"):
                 if not isinstance(value, list) or not value or len(value) > MAX_ENTRIES:
-                    raise FilterError(f"{key} takes a non-empty array of up to {MAX_ENTRIES} entries")
+                    raise FilterError(f"{key}: a list of 1 to {MAX_ENTRIES} conditions")
                 for part in value:
                     visit(part, depth + 1)
             elif key.startswith("$"):
-                raise FilterError(f"unknown operator {key!r}")
+                raise FilterError(f"no such operation: {key!r}")
             else:
                 counts["clauses"] += 1
                 if isinstance(value, dict) and (not value or not all(k.startswith("$") for k in value)):
-                    raise FilterError(f"{key} takes operators")
+                    raise FilterError(f"{key}: expected operations such as $eq")
         if counts["clauses"] > MAX_CLAUSES or counts["objects"] > MAX_OBJECTS:
-            raise FilterError(f"the filter has more than {MAX_CLAUSES} clauses or {MAX_OBJECTS} objects")
+            raise FilterError(f"limited to {MAX_CLAUSES} clauses in {MAX_OBJECTS} objects")
 
     visit(tree, 0)
     return tree

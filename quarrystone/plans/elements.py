@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrystone.operators import elements as E
+from quarrystone.operators import inverted
+from quarrystone.operators.lineage import shared_folder
 from quarrystone.operators import search as X
-from quarrystone.plans.registry import query
+from quarrystone.plans.registry import SQL, query
 
 _IDS = "SELECT e.global_id FROM elements e WHERE "
 _HAS = "e.element_row IN (SELECT element_row FROM properties WHERE key = '{}' AND {})"
@@ -118,6 +120,54 @@ def search_ranked(t):
     return found.orderBy(F.desc("score"), "doc_id").limit(50)
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(t):
+    """The index of the documents, written once per session and input."""
+    at = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if at not in _INDEXES:
+        _INDEXES[at] = shared_folder(t.spark)
+    return inverted.opened(t.read("documents"), "doc_id", _COLUMNS, _INDEXES[at])
+
+
+_TOKENS = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all({_FOLDED.format(c=c)}, '[\\pL\\pN]+')) AS term FROM documents" for c in _COLUMNS)
+
+
+@query("a21_index_terms", f"SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM ({_TOKENS}) GROUP BY term")
+def index_terms(t):
+    found = _index(t).table("postings")
+    return found.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum(F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + e["hits"])).alias("hits"))
+
+
+@query("a21_index_top50", SQL["a21_search_bm25"])
+def index_ranked(t):
+    found = _index(t).search("license password token", top=50).withColumn("score", F.round("score", 6))
+    return found.select(F.col("row").alias("doc_id"), "score")
+
+
+@query("a21_index_phrase", SQL["a21_search_phrase"])
+def index_phrase(t):
+    return _index(t).search('"the mit license"').select(F.col("row").alias("doc_id"))
+
+
+@query("a21_index_groups", _search_sql("SELECT doc_id FROM c WHERE (h0 > 0 AND (h1 > 0 OR h2 > 0) AND NOT h4 > 0) OR h3 > 0", "license", "mit", "apac*", "token", "en"))
+def index_groups(t):
+    return _index(t).search("license + (mit | apac*) + -en token").select(F.col("row").alias("doc_id"))
+
+
+@query(
+    "a21_index_updates",
+    _search_sql(f", k AS (SELECT * FROM c WHERE doc_id % 7 <> 0 OR doc_id % 3 = 0), s AS (SELECT count(*) AS n, avg(len) AS mean, count(*) FILTER (h0 > 0) AS d0, count(*) FILTER (h1 > 0) AS d1 FROM k) SELECT doc_id, round({_bm25(0)} + {_bm25(1)}, 6) AS score FROM k, s WHERE h0 + h1 > 0", "license", "pass*"),
+)
+def index_updates(t):
+    """Rows are added in two batches; between them some of the first go."""
+    docs = t.read("documents")
+    index = inverted.InvertedIndex.create(docs.where("doc_id % 3 <> 0"), "doc_id", _COLUMNS, shared_folder(t.spark))
+    index.delete(docs.where("doc_id % 7 = 0").select("doc_id")).add(docs.where("doc_id % 3 = 0"))
+    return index.search("license pass*").select(F.col("row").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 @query("a22_word_parts", "SELECT global_id, CASE WHEN parts = t THEN t ELSE t || ' ' || parts END AS indexed FROM (SELECT global_id, t, regexp_replace(regexp_replace(regexp_replace(t, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Za-z])([0-9])', '\\1 \\2', 'g'), '([0-9])([A-Za-z])', '\\1 \\2', 'g') AS parts FROM (SELECT global_id, class || global_id AS t FROM elements))")
 def parts(t):
     return t.elements.select("global_id", E.word_parts(F.concat("class", "global_id")).alias("indexed"))

@@ -20,6 +20,7 @@ through, but for the text.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,26 +30,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarrystone.llm.common import read
-from quarrystone.llm.terms import looked_up, sliced
-from quarrystone.llm.tokens import _RUN, Encoder
+from quarrystone.llm.terms import looked_up, numbered, sliced
+from quarrystone.llm.tokens import _LETTERS, Encoder
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Of two ids the pair is a * PAIR + b.
 PAIR = 1 << 20
-#: A worker keeps the tokens of so many distinct parts; then it starts anew. Longer parts aren't kept.
-KEPT, LONGEST = 250_000, 64
-#: Bytes of text of a slice; its words are Python objects, so it is smaller than elsewhere.
-SLICE = 6 << 20
+#: Longer parts go to A's whole pipeline, not to its BPE model as words.
+LONGEST = 64
+#: White space, and texts that can't be taken apart: those with white space before a space or line feed, or at their ends.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WHOLE = rf"^{_WHITE}|{_WHITE}[ \n]| $"
+#: Bytes of text of a slice; its distinct words are Python objects, so it is smaller than elsewhere.
+SLICE = 4 << 20
 
 
-class Part:
-    """What one part of a text gives: numbers of tokens, groups and links, the groups as text, the linked pairs and how often (bytes of long numbers)."""
+class Parts:
+    """What the distinct parts of some texts give, as arrays: numbers by part, the groups as text, and each part's linked pairs and
+    how often, one part after another. Parts whose tokens don't join to them are not ``good`` and give nothing."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "often")
+    def __init__(self, n: int):
+        self.good = np.zeros(n, bool)
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.n_pairs = (np.zeros(n, np.int64) for _ in range(5))
+        self.pair = self.often = np.zeros(0, np.int64)
+        self.groups: list[bytes] = [b""] * n
 
 
 class Aligner:
-    """Encodes and aligns distinct parts of texts; keeps what short ones gave."""
+    """Encodes and aligns the distinct parts of texts."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
@@ -57,129 +66,114 @@ class Aligner:
         self.a.tokenizer.encode_special_tokens = True
         self.a.added = []
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
-        letters = {v: k for k, v in _byte_letters().items()}
-        # of each id its bytes' number in A, its bytes in B
         vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=False)
+        letters = set(_LETTERS.values())
         self.bytes_a = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for piece, k in vocabulary.items():
-            self.bytes_a[k] = len(piece) if all(c in letters for c in piece) else 0
+            self.bytes_a[k] = len(piece) if letters.issuperset(piece) else 0
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.pieces_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.bytes_b = np.array([len(p) for p in self.pieces_b], np.int64)
-        self.kept: dict[str, Part | None] = {}
-
-    def ids_a(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4").astype(np.int64) for x in self.a.ids(texts)]
-
-    def ids_b(self, texts: list[str]) -> list[list[int]]:
-        return self.b.encode(texts, num_threads=1)
-
-    def parts(self, texts: list[str | None]) -> tuple[list[list[str]], dict[str, Part | None]]:
-        """Of each text its parts; of each distinct part what it gives, None if its tokens don't join to it.
-
-        A part is given with its space or line feed in front.
-        """
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        cuts: list[list[str]] = []
-        whole: set[str] = set()
-        for text in texts:
-            if not text:
-                cuts.append([])
-            elif text[0].isspace() or text[-1] == " " or "  " in text or "\n " in text or " \n" in text or "\n\n" in text or _RUN.search(text):
-                cuts.append([" " + text])
-                whole.add(" " + text)
-            else:
-                cuts.append([x if x[0] == "\n" else " " + x for x in text.replace("\n", " \n").split(" ")])
-        distinct = {x for own in cuts for x in own}
-        new = [x for x in distinct if x not in self.kept]
-        found: dict[str, Part | None] = {}
-        for at in range(0, len(new), 20_000):
-            found.update(self._aligned(new[at : at + 20_000]))
-        out = {x: found[x] if x in found else self.kept[x] for x in distinct}
-        self.kept.update((x, p) for x, p in found.items() if len(x) <= LONGEST)
-        return cuts, out
-
-    def _aligned(self, parts: list[str]) -> dict[str, Part | None]:
-        a = self._learned(parts)
-        b = self.ids_b([x[1:] if x[0] == " " else x for x in parts])
-        # the library puts a space before the first piece; before a line feed it is a token of its own
-        b = [own[1:] if x[0] == "\n" else own for x, own in zip(parts, b)]
-        raw = [x.encode("utf-8", "surrogatepass") for x in parts]
-        same = [b"".join(map(self.pieces_b.__getitem__, own)) == x and int(self.bytes_a[k].sum()) == len(x) for own, x, k in zip(b, raw, a)]
-        out: dict[str, Part | None] = dict.fromkeys(parts)
-        good = [k for k, s in enumerate(same) if s]
-        if good:
-            for k, part in zip(good, aligned([a[k] for k in good], [np.array(b[k], np.int64) for k in good], self.bytes_a, self.bytes_b)):
-                out[parts[k]] = part
-        return out
 
-    def _learned(self, parts: list[str]) -> list[np.ndarray]:
-        """A's ids; parts that are one word or line start go to the BPE model as such, as tokens.py does."""
+    def parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str], int]:
+        """The texts' parts in order, as numbers of distinct ones; each one's text; the distinct parts; and how many of these are
+        parts proper, that is words without the space before them, or lines' first words with the line feed. The rest are texts
+        that can't be taken apart."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False)
+        some = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
+        plain = np.flatnonzero(some & ~whole)
+        lists = pc.split_pattern(pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), " ")
+        local, names = numbered(lists.flatten())
+        doc = np.repeat(plain, np.diff(lists.offsets.to_numpy()))
+        rest, odd = numbered(texts.take(pa.array(np.flatnonzero(whole))))
+        number, doc = np.concatenate([local, rest + len(names)]), np.concatenate([doc, np.flatnonzero(whole)])
+        order = np.argsort(doc, kind="stable")
+        return number[order], doc[order], names.to_pylist() + odd.to_pylist(), len(names)
+
+    def aligned(self, parts: list[str], proper: int) -> Parts:
+        out = Parts(len(parts))
+        if not parts:
+            return out
+        # A's ids; parts proper go to the BPE model as tokens.py does
         enc = self.a
-        short = {x[1:] if x[0] == " " else x for x in parts if len(x) <= LONGEST and " " not in x[1:] and not x[1:2].isspace()}
         enc.cuts.clear()
         enc.starts.clear()
-        enc._learn(short)
-        long = [x for x in parts if (x[1:] if x[0] == " " else x) not in enc.cuts]
-        ids = dict(zip(long, enc.ids(long)))
-        return [np.frombuffer(ids[x] if x in ids else enc.cuts[x[1:] if x[0] == " " else x], "<u4").astype(np.int64) for x in parts]
-
-
-def _byte_letters() -> dict[int, str]:
-    from quarrystone.llm.tokens import _byte_letters
-
-    return _byte_letters()
-
-
-def owners(ids: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens' ids, the number of each byte's token, and each token's part."""
-    flat = np.concatenate(ids)
-    part = np.repeat(np.arange(len(ids)), [len(x) for x in ids])
-    return flat, np.repeat(np.arange(len(flat)), lengths[flat]), part
+        enc._learn({x for x in parts[:proper] if len(x) <= LONGEST and not x[:1].isspace() or x[:1] == "\n" and len(x) <= LONGEST})
+        left = [k for k, x in enumerate(parts) if k >= proper or x not in enc.cuts]
+        rest = dict(zip(left, enc.ids([x if k < proper and x[:1] == "\n" else " " + x for k, x in ((k, parts[k]) for k in left)])))
+        raw = [rest[k] if k in rest else enc.cuts[x] for k, x in enumerate(parts)]
+        ids_a, size_a = np.frombuffer(b"".join(raw), "<u4").astype(np.int64), np.array([len(x) // 4 for x in raw], np.int64)
+        # B puts a space before the first piece; before a line feed it is a token of its own, which goes
+        ids = self.b.encode(parts, num_threads=1)
+        line = [k for k in range(proper) if parts[k][:1] == "\n"]
+        for k in line:
+            del ids[k][0]
+        ids_b, size_b = np.fromiter(chain.from_iterable(ids), np.int64), np.array([len(x) for x in ids], np.int64)
+        text = [x.encode("utf-8", "surrogatepass") for x in parts]
+        lengths = np.array([len(x) + 1 for x in text], np.int64)
+        lengths[line] -= 1
+        part_a, part_b = np.repeat(np.arange(len(parts)), size_a), np.repeat(np.arange(len(parts)), size_b)
+        total = lambda of, ids, part: np.bincount(part, of[ids], len(parts)).astype(np.int64)
+        good = (total(self.bytes_a, ids_a, part_a) == lengths) & (total(self.bytes_b, ids_b, part_b) == lengths)
+        starts = np.zeros(len(parts), bool)
+        starts[line] = True
+        said = b"".join(map(self.pieces_b.__getitem__, ids_b[good[part_b]].tolist()))
+        if said != b"".join([x if s else b" " + x for x, s, g in zip(text, starts.tolist(), good.tolist()) if g]):
+            ends = np.cumsum(size_b)
+            for k in np.flatnonzero(good).tolist():
+                own = b"".join(map(self.pieces_b.__getitem__, ids_b[ends[k] - size_b[k] : ends[k]].tolist()))
+                good[k] = own == (text[k] if starts[k] else b" " + text[k])
+        out.good = good
+        out.n_a, out.n_b = np.where(good, size_a, 0), np.where(good, size_b, 0)
+        keep_a, keep_b = good[part_a], good[part_b]
+        group(out, ids_a[keep_a], part_a[keep_a], ids_b[keep_b], self.bytes_a, self.bytes_b)
+        return out
 
 
-def aligned(a: list[np.ndarray], b: list[np.ndarray], bytes_a: np.ndarray, bytes_b: np.ndarray) -> list[Part]:
-    """Parts by byte-owner arrays over all of them end to end; ids of both sides must cover the same bytes in each part."""
-    ids_a, own_a, part_a = owners(a, bytes_a)
-    ids_b, own_b, _ = owners(b, bytes_b)
-    new_a, new_b = np.diff(own_a, prepend=-1) != 0, np.diff(own_b, prepend=-1) != 0
+def group(out: Parts, ids_a: np.ndarray, part_a: np.ndarray, ids_b: np.ndarray, bytes_a: np.ndarray, bytes_b: np.ndarray) -> None:
+    """Groups, links and pairs of parts by byte-owner arrays over all of them end to end; both sides' tokens cover the same bytes."""
+    n = len(out.good)
+    if not len(ids_a):
+        return
+    own_a, own_b = np.repeat(np.arange(len(ids_a)), bytes_a[ids_a]), np.repeat(np.arange(len(ids_b)), bytes_b[ids_b])
     # where both owners change at once a group begins; parts begin at such places
-    cut = np.flatnonzero(new_a & new_b)
+    cut = np.flatnonzero((np.diff(own_a, prepend=-1) != 0) & (np.diff(own_b, prepend=-1) != 0))
     first_a, first_b = own_a[cut], own_b[cut]
     size_a, size_b = np.diff(np.append(first_a, len(ids_a))), np.diff(np.append(first_b, len(ids_b)))
-    group_part = part_a[first_a]
-    n = len(a)
-    group_of_a, group_of_b = np.repeat(np.arange(len(cut)), size_a), np.repeat(np.arange(len(cut)), size_b)
-    # distinct ids of each group and how often, then every pair of them
-    kinds_a, often_a = np.unique(group_of_a * PAIR + ids_a, return_counts=True)
-    kinds_b, often_b = np.unique(group_of_b * PAIR + ids_b, return_counts=True)
+    part = part_a[first_a]
+    group_a, group_b = np.repeat(np.arange(len(cut)), size_a), np.repeat(np.arange(len(cut)), size_b)
+    out.n_groups, out.n_links = np.bincount(part, minlength=n), np.bincount(part, size_a * size_b, n).astype(np.int64)
+    # distinct ids of each group and how often, then every pair of them; groups of a part can hold the same pair
+    kinds_a, often_a = np.unique(group_a * PAIR + ids_a, return_counts=True)
+    kinds_b, often_b = np.unique(group_b * PAIR + ids_b, return_counts=True)
     per_b = np.bincount(kinds_b // PAIR, minlength=len(cut))
-    first_kind = np.cumsum(per_b) - per_b
+    first = np.cumsum(per_b) - per_b
     times = per_b[kinds_a // PAIR]
     left = np.repeat(np.arange(len(kinds_a)), times)
-    right = np.repeat(first_kind[kinds_a // PAIR] - np.cumsum(times) + times, times) + np.arange(len(left))
-    pair = (kinds_a % PAIR)[left] * PAIR + (kinds_b % PAIR)[right]
-    often = often_a[left] * often_b[right]
-    # groups of a part can hold the same pair
-    order = np.lexsort((pair, group_part[kinds_a[left] // PAIR]))
-    pair, often, of = pair[order], often[order], group_part[kinds_a[left] // PAIR][order]
+    right = np.repeat(first[kinds_a // PAIR] - np.cumsum(times) + times, times) + np.arange(len(left))
+    pair, often, of = (kinds_a % PAIR)[left] * PAIR + (kinds_b % PAIR)[right], often_a[left] * often_b[right], part[kinds_a[left] // PAIR]
+    order = np.lexsort((pair, of))
+    pair, often, of = pair[order], often[order], of[order]
     start = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
-    pair, of, often = pair[start], of[start], np.add.reduceat(often, start)
-    ends = np.searchsorted(of, np.arange(n + 1))
-    n_groups, n_links = np.bincount(group_part, minlength=n), np.bincount(group_part, size_a * size_b, n).astype(np.int64)
-    text_a, text_b = list(map(str, ids_a.tolist())), list(map(str, ids_b.tolist()))
-    fa, fb, sa, sb = (x.tolist() for x in (first_a, first_b, size_a, size_b))
-    texts = [f"{text_a[i]}|{text_b[j]}" if m == k == 1 else f"{','.join(text_a[i : i + m])}|{','.join(text_b[j : j + k])}" for i, j, m, k in zip(fa, fb, sa, sb)]
-    firsts = np.searchsorted(group_part, np.arange(n + 1)).tolist()
-    out = []
-    for k in range(n):
-        p = Part()
-        p.n_a, p.n_b, p.n_groups, p.n_links = len(a[k]), len(b[k]), int(n_groups[k]), int(n_links[k])
-        p.groups = ";".join(texts[firsts[k] : firsts[k + 1]])
-        p.pairs, p.often = pair[ends[k] : ends[k + 1]].tobytes(), often[ends[k] : ends[k + 1]].tobytes()
-        out.append(p)
-    return out
+    out.pair, out.often, out.n_pairs = pair[start], np.add.reduceat(often, start), np.bincount(of[start], minlength=n)
+    # decimal ids, each with the mark behind it: A's of a group, then B's
+    at_a, at_b = np.arange(len(ids_a)) + (np.cumsum(size_b) - size_b)[group_a], np.arange(len(ids_b)) + np.cumsum(size_a)[group_b]
+    flat, mark, of = (np.empty(len(ids_a) + len(ids_b), np.int64) for _ in range(3))
+    last = lambda x: np.diff(x, append=-1) != 0
+    flat[at_a], flat[at_b] = ids_a, ids_b
+    mark[at_a], mark[at_b] = np.where(last(group_a), ord("|"), ord(",")), np.where(last(group_b), ord(";"), ord(","))
+    of[at_a], of[at_b] = part_a, part[group_b]
+    shown = np.zeros((len(flat), 8), np.uint8)
+    width = np.ones(len(flat), np.int64) + sum((flat >= 10**k).astype(np.int64) for k in range(1, 7))
+    for k in range(7):
+        # the k-th digit from the left
+        shift = np.maximum(width - 1 - k, 0)
+        shown[:, k] = flat // 10**shift % 10 + ord("0")
+    shown[np.arange(len(flat)), width] = mark
+    said = shown[np.arange(8) <= width[:, None]].tobytes()
+    ends = np.cumsum(np.bincount(of, width + 1, n).astype(np.int64)).tolist()
+    out.groups = [said[i:j] for i, j in zip([0, *ends], ends)]
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -211,37 +205,37 @@ def _kernel(path_a: str, path_b: str):
     term), and its parts' pairs as bytes."""
 
     def run(texts: pa.Array) -> tuple[dict[str, object], pa.Array, bytes]:
-        cuts, found = aligner(path_a, path_b).parts(texts.to_pylist())
+        sides = aligner(path_a, path_b)
+        number, doc, names, proper = sides.parts(texts)
+        parts = sides.aligned(names, proper)
+        n = len(texts)
+        # texts with a part that isn't good have no tokens at all
+        fine = np.bincount(doc, ~parts.good[number], n) == 0
+        number, doc = number[fine[doc]], doc[fine[doc]]
+        sums = {x: np.bincount(doc, getattr(parts, x)[number], n).astype(np.int64) for x in _NUMBERS}
+        ends = np.cumsum(np.bincount(doc, minlength=n)).tolist()
+        said = list(map(parts.groups.__getitem__, number.tolist()))
+        hashes = [hashlib.sha256(b"".join(said[i:j])[:-1]).hexdigest() if j > i else "" for i, j in zip([0, *ends], ends)]
         # the more frequent parts get the smaller numbers
-        bad = {x for x, p in found.items() if p is None}
-        rows = [() if bad and not bad.isdisjoint(own) else own for own in cuts]
-        often: dict[str, int] = {}
-        for own in rows:
-            for x in own:
-                often[x] = often.get(x, 0) + 1
-        order = {x: k for k, x in enumerate(sorted(often, key=often.get, reverse=True))}
-        parts = [found[x] for x in order]
-        size = {name: np.array([getattr(p, name) for p in parts] or [0], np.int64) for name in _NUMBERS}
-        groups = [p.groups for p in parts]
-        n_pairs = np.array([len(p.pairs) // 8 for p in parts], np.int64)
-        pairs, times = (np.frombuffer(b"".join(getattr(p, x) for p in parts), np.int64) for x in ("pairs", "often"))
-        kinds, number = np.unique(pairs, return_inverse=True)
-        first = np.cumsum(n_pairs) - n_pairs
-        columns: dict[str, list] = {name: [] for name in (*_NUMBERS, "groups_sha256", "parts_")}
+        order = np.argsort(-np.bincount(number, minlength=len(names)), kind="stable")
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        ranked = rank[number]
+        columns = {**{x: pa.array(v) for x, v in sums.items()}, "groups_sha256": pa.array(hashes, pa.string()), "parts_": [_planes(ranked[i:j]) for i, j in zip([0, *ends], ends)]}
+        kinds, kind = np.unique(parts.pair, return_inverse=True)
+        first = np.cumsum(parts.n_pairs) - parts.n_pairs
+        of = lambda own: np.repeat(first[own] - np.cumsum(parts.n_pairs[own]) + parts.n_pairs[own], parts.n_pairs[own]) + np.arange(int(parts.n_pairs[own].sum()))
         holders = np.zeros(len(kinds), np.int64)
-        numbers = [np.fromiter(map(order.__getitem__, own), np.int64, len(own)) for own in rows]
-        for own in numbers:
-            for name in _NUMBERS:
-                columns[name].append(int(size[name][own].sum()))
-            columns["groups_sha256"].append(hashlib.sha256(";".join(map(groups.__getitem__, own.tolist())).encode()).hexdigest() if len(own) else "")
-            columns["parts_"].append(_planes(own))
-            once = np.unique(own)
-            n = n_pairs[once]
-            at = np.repeat(first[once] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            seen = number[at]
-            seen.sort()
-            holders[seen[np.flatnonzero(np.diff(seen, prepend=-1))]] += 1
-        payload = np.array([len(parts), len(pairs)], "<u4").tobytes() + _planes(n_pairs) + _planes(number) + times.astype("<i8").tobytes()
+        # of each document its distinct parts, and of these the distinct pairs, some documents at a time
+        once = np.unique(doc * max(1, len(names)) + number)
+        doc_of, own = np.divmod(once, max(1, len(names)))
+        for a in range(0, len(own), 100_000):
+            # a step ends where a document does
+            i, j = (np.searchsorted(doc_of, doc_of[k], "left") if k < len(own) else len(own) for k in (a, a + 100_000))
+            at = of(own[i:j])
+            held = np.unique(np.repeat(doc_of[i:j], parts.n_pairs[own[i:j]]) * max(1, len(kinds)) + kind[at])
+            holders += np.bincount(held % max(1, len(kinds)), minlength=len(kinds))
+        payload = np.array([len(names), len(parts.pair)], "<u4").tobytes() + _planes(parts.n_pairs[order]) + _planes(kind[of(order)]) + parts.often[of(order)].astype("<i8").tobytes()
         terms = pa.StructArray.from_arrays([pa.array(kinds // PAIR, pa.int32()), pa.array(kinds % PAIR, pa.int32()), pa.array(holders)], names=["a", "b", "n"])
         return columns, terms, payload
 

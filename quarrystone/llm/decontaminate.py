@@ -7,7 +7,7 @@ so reordered passages are caught. An item's coverage is the share of its words t
 coverage reaches the threshold is contaminated.
 
 A benchmark whose measured size is below ``BROADCAST_BYTES`` goes to the tasks that read the documents, which then need
-no shuffle. A larger one is joined by seed with Spark's own joins. Both ways give the same rows.
+no shuffle; its index (sorted arrays of seeds and of words) takes about four times its text. A larger one is joined by seed with Spark's own joins. Both ways give the same rows.
 
 Defined cases: null and empty texts, and those without words, have coverage 0 and no item; items with fewer words than the
 minimum count if all their words stand in a row; equal coverages go to the smaller item_id; null items take no part;
@@ -17,6 +17,8 @@ added one, which are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from quarrystone.llm.common import Words, append_columns, grams, read, written
 MIN_MATCH = 5
 THRESHOLD = 0.5
 BROADCAST_BYTES = 32 << 20
-#: So many pairs of equal windows of a document and an item are held at a time.
+#: About so many pairs of equal windows of a document and an item are held at a time; the tiles don't hang on it.
 MOST_PAIRS = 1 << 21
 _ADDED = T.StructType([T.StructField("coverage", T.DoubleType()), T.StructField("item_id", T.LongType())])
 
@@ -42,46 +44,55 @@ def _windows(words: np.ndarray, free: np.ndarray, k: int) -> tuple[np.ndarray, n
     return h, at
 
 
-def _longest(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, k: int) -> tuple[int, list[tuple[int, int]]]:
-    """The length of the longest common runs of unmarked words, if that is k at least, and their places in order.
-
-    Windows that follow each other on a diagonal are one run. Very many equal windows (a word over and over) are taken one
-    window of the item at a time, so memory stays in proportion to the document.
-    """
+class _Runs:
+    """Runs of equal windows of a document and an item, some of the document's windows at a time, so that about ``MOST_PAIRS`` pairs of
+    equal windows are held however often a word repeats."""
+
+    def __init__(self, a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray):
+        near = np.isin(a, b)
+        self.at_a, order = at_a[near], np.argsort(b, kind="stable")
+        self.at_b = at_b[order]
+        self.first = np.searchsorted(b[order], a[near], "left")
+        self.count = np.searchsorted(b[order], a[near], "right") - self.first
+        self.ends = np.append(0, np.cumsum(self.count))
+        self.item = int(at_b.max(initial=0)) + 2
+        # if all pairs fit they are made once
+        self.whole = [next(self._steps())] if 0 < self.ends[-1] <= MOST_PAIRS else None
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs (place in the document, place in the item) in order, and how many windows the run that ends there has."""
+        return iter(self.whole) if self.whole else self._steps()
+
+    def _steps(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        at, carried, before = 0, np.zeros(self.item, np.int64), -2
+        while at < len(self.at_a):
+            to = max(at + 1, int(np.searchsorted(self.ends, self.ends[at] + MOST_PAIRS, "right")) - 1)
+            count = self.count[at:to]
+            i = np.repeat(self.at_a[at:to], count)
+            j = self.at_b[np.repeat(self.first[at:to] - np.cumsum(count) + count, count) + np.arange(len(i))]
+            line = np.lexsort((i, i - j))
+            x, y = i[line], j[line]
+            new = np.ones(len(x), bool)
+            new[1:] = ((x - y)[1:] != (x - y)[:-1]) | (x[1:] != x[:-1] + 1)
+            begin = np.flatnonzero(new)
+            # a run that begins in the first row may go on from the step before
+            own = np.where((x[begin] == before + 1) & (y[begin] > 0), carried[np.maximum(y[begin] - 1, 0)], 0)
+            size = np.empty(len(x), np.int64)
+            size[line] = np.arange(len(x)) - np.repeat(begin, np.diff(np.append(begin, len(x)))) + 1 + np.repeat(own, np.diff(np.append(begin, len(x))))
+            before, carried = int(self.at_a[to - 1]), np.zeros(self.item, np.int64)
+            carried[j[i == before]] = size[i == before]
+            order = np.lexsort((j, i))
+            yield i[order], j[order], size[order]
+            at = to
+
+
+def _longest(doc: np.ndarray, item: np.ndarray, free_doc: np.ndarray, free_item: np.ndarray, k: int) -> tuple[int, Iterator[tuple[int, int]]]:
+    """The length of the longest common runs of unmarked words, if that is k at least (else 0), and their places in order."""
     (a, at_a), (b, at_b) = _windows(doc, free_doc, k), _windows(item, free_item, k)
-    near = np.isin(a, b)
-    a, at_a = a[near], at_a[near]
-    if not len(a):
-        return 0, []
-    order = np.argsort(b, kind="stable")
-    first, last = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    count = last - first
-    if int(count.sum()) > MOST_PAIRS:
-        return _longest_by_rows(len(doc), a, at_a, b, at_b, k)
-    i = np.repeat(at_a, count)
-    j = at_b[order[np.repeat(first, count) + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)]]
-    line = np.lexsort((i, i - j))
-    i, j = i[line], j[line]
-    new = np.ones(len(i), bool)
-    new[1:] = ((i - j)[1:] != (i - j)[:-1]) | (i[1:] != i[:-1] + 1)
-    begin = np.flatnonzero(new)
-    sizes = np.diff(np.append(begin, len(i)))
-    best = begin[sizes == sizes.max()]
-    return int(sizes.max()) + k - 1, sorted(zip(i[best].tolist(), j[best].tolist()))
-
-
-def _longest_by_rows(n: int, a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, k: int) -> tuple[int, list[tuple[int, int]]]:
-    """The same with one row of a dynamic programme at a time; one place of the longest runs is given."""
-    row, best, where, before = np.zeros(n + 1, np.int64), 0, (0, 0), -2
-    for h, j in zip(b.tolist(), at_b.tolist()):
-        new = np.zeros(n + 1, np.int64)
-        same = at_a[a == np.uint64(h)]
-        new[same + 1] = (row[same] if j == before + 1 else 0) + 1
-        if new.max() > best:
-            best = int(new.max())
-            where = (int(new.argmax()) - best, j - best + 1)
-        row, before = new, j
-    return best + k - 1, [where]
+    runs = _Runs(a, at_a, b, at_b)
+    best = max((int(size.max(initial=0)) for _, _, size in runs), default=0)
+    places = ((x, y) for i, j, size in runs for x, y in zip((i[size == best] - best + 1).tolist(), (j[size == best] - best + 1).tolist()))
+    return (best + k - 1 if best else 0), places
 
 
 def tiles(doc: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
@@ -94,7 +105,7 @@ def tiles(doc: np.ndarray, item: np.ndarray, min_match: int = MIN_MATCH) -> list
     length = max(least, min(len(item), len(doc)) // 2)
     while free_item.any():
         best, places = _longest(doc, item, free_doc, free_item, length)
-        if not places:
+        if not best:
             if length == least:
                 break
             length = max(least, length // 2)
@@ -111,30 +122,46 @@ class Index:
 
     def __init__(self, rows: list[tuple[int, str]], min_match: int):
         self.min_match = min_match
+        rows = sorted(rows, key=lambda r: r[0])
         words = Words([text for _, text in rows])
-        self.items = []
-        for k, (item_id, _) in enumerate(rows):
-            own = words.hash[words.doc == k]
-            if len(own):
-                self.items.append((item_id, own))
-        self.items.sort(key=lambda x: x[0])
-        self.seeds: dict[int, tuple[np.ndarray, dict[int, list[int]]]] = {}
-        for n, (_, own) in enumerate(self.items):
-            k = min(min_match, len(own))
-            table = self.seeds.setdefault(k, (np.zeros(1 << 20, bool), {}))
-            for h in set(grams(own, np.zeros(len(own), np.int8), k)[0].tolist()):
-                table[0][h >> 44] = True
-                table[1].setdefault(h, []).append(n)
+        first = np.searchsorted(words.doc, np.arange(len(rows) + 1))
+        held = np.flatnonzero(np.diff(first))
+        self.items = [(rows[k][0], words.hash[first[k] : first[k + 1]]) for k in held.tolist()]
+        number = np.zeros(len(rows), np.int64)
+        number[held] = np.arange(len(held))
+        size = np.diff(first)
+        #: By window length: which first 20 bits occur; the seeds' hashes in order, and each one's item.
+        self.seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(np.minimum(size[held], min_match)).tolist():
+            h, at = words.grams(k)
+            fits = np.minimum(size[words.doc[at]], min_match) == k
+            h, item = h[fits], number[words.doc[at[fits]]]
+            order = np.lexsort((item, h))
+            h, item = h[order], item[order]
+            new = (np.diff(h, prepend=h[:1] - np.uint64(1)) != 0) | (np.diff(item, prepend=-1) != 0)
+            known = np.zeros(1 << 20, bool)
+            known[h >> np.uint64(44)] = True
+            self.seeds[k] = (known, h[new], item[new].astype(np.int32))
 
     def candidates(self, words: Words) -> dict[int, set[int]]:
         """Items that share a seed with a document, by document."""
         out: dict[int, set[int]] = {}
-        for k, (first, table) in self.seeds.items():
+        for k, (known, hashes, item) in self.seeds.items():
             h, at = words.grams(k)
-            near = np.flatnonzero(first[h >> np.uint64(44)])
-            for x, doc in zip(h[near].tolist(), words.doc[at[near]].tolist()):
-                if x in table:
-                    out.setdefault(doc, set()).update(table[x])
+            near = np.flatnonzero(known[h >> np.uint64(44)])
+            h, doc = h[near], words.doc[at[near]]
+            held = np.searchsorted(hashes, h, "left")
+            there = held < len(hashes)
+            there[there] = hashes[held[there]] == h[there]
+            # of each document a seed once
+            order = np.lexsort((h[there], doc[there]))
+            h, doc, held = h[there][order], doc[there][order], held[there][order]
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+            h, doc, held = h[new], doc[new], held[new]
+            count = np.searchsorted(hashes, h, "right") - held
+            for d, a, n in zip(doc.tolist(), held.tolist(), count.tolist()):
+                out.setdefault(d, set()).update(item[a : a + n].tolist())
         return out
 
     def judge(self, texts: list[str | None]) -> dict[str, list]:

@@ -5,7 +5,7 @@ product of their numbers: a blended-spectrum presence kernel. Some training text
 kernel ridge regression over them gives a weight per landmark and language. Texts are scored in batches by two matrix
 products: presence by landmarks, kernel values by weights.
 
-Fitted on a bounded sample of labelled rows (about ``TRAIN`` rows, a parameter); a language that none of them is in isn't learned. A text's language is the one with the
+Fitted on a bounded sample of labelled rows (about ``TRAIN`` rows, a parameter, as many of every language as there are). A text's language is the one with the
 highest score; ties go to the language first in the alphabet. Defined cases: null, empty and letterless texts are ``und``
 with score 0, as all texts are if no row is labelled; repeated rows are predicted alike; an empty table gives an empty
 result; other columns pass through and are never inputs.
@@ -97,15 +97,20 @@ def bucket() -> F.Column:
 
 
 def fitted(docs: DataFrame, train: int = TRAIN) -> Model:
-    """A model of about ``train`` labelled rows, chosen by a hash of doc_id, that aren't held out."""
+    """A model of labelled rows that aren't held out: of every language about ``train`` by the number of languages, chosen by a
+    hash of the row, so that null and repeated identifiers count like others; equal rows are taken once, twice ``train`` at most."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (bucket() != 2))
-    share = min(1.0, train / max(1, usable.count()))
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    order = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    shares = [(lang, int(min(1.0, train / len(sizes) / n) * (1 << 30))) for lang, n in sorted(sizes.items())]
+    # a row per language
+    quota = F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, most_ long"))
 
     def kernel(texts):
         return {"bits_": [np.packbits(presence([t])[0]).tobytes() for t in texts]}
 
-    sample = usable.where(order < int(share * (1 << 30))).select("text", F.col("lang").alias("lang_"), order.alias("order_"))
+    picked = usable.select("doc_id", "text", "lang", order.alias("order_")).join(quota, "lang").where("order_ < most_")
+    sample = picked.dropDuplicates(["doc_id", "order_", "lang"]).select("text", F.col("lang").alias("lang_"), "order_").limit(2 * train)
     rows = append_columns(sample, kernel, T.StructType([T.StructField("bits_", T.BinaryType())])).drop("text").collect()
     rows.sort(key=lambda r: (r["order_"], r["lang_"], r["bits_"]))
     bits = np.array([np.frombuffer(r["bits_"], np.uint8) for r in rows], np.uint8).reshape(len(rows), (1 << BITS) // 8)

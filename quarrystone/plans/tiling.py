@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from quarrystone.functions import geodesy as G
+from quarrystone.operators import mesh_tree
+from quarrystone.operators import section as S
 from quarrystone.operators import tiling as C
 from quarrystone.plans.registry import query
 
@@ -292,3 +296,28 @@ def placement(t):
     own = t.points.select("point_id", (F.col("x") + 500_000).alias("east"), (F.col("y") + 5_300_000).alias("north"), "z")
     centre = G.utm(F.lit(47.85), F.lit(9.0), 32)
     return own.select("point_id", F.round(F.col("east") - centre[0], 3).alias("e"), F.round(F.col("north") - centre[1], 3).alias("n"), F.round("z", 3).alias("u"))
+
+
+_PLANE = "SELECT p_partkey AS mesh_id, CAST(1 + p_size % 7 AS DOUBLE) AS a, p_partkey % 3 = 0 AS hollow FROM part"
+
+
+@query("c30_oblique_polygons", f"SELECT mesh_id, CAST(CASE WHEN hollow THEN 2 ELSE 1 END AS BIGINT) AS rings, CAST(1 AS BIGINT) AS polygons, round(sqrt(2) * a * a * (0.9 - CASE WHEN hollow THEN 0.2 ELSE 0 END), 4) AS area FROM ({_PLANE})")
+def oblique_polygons(t):
+    """Every part a cube, every third with a cavity, on a slanted plane."""
+    cubes = t.read("part").selectExpr("p_partkey AS mesh_id", "CAST(1 + p_size % 7 AS DOUBLE) AS a", "p_partkey % 3 = 0 AS hollow")
+    solid = cubes.selectExpr("mesh_id", "0 AS box", "100 - 0.9D * a AS x", "0D AS y", "0D AS z", "a AS dx", "a AS dy", "a AS dz", "false AS inward")
+    cavity = cubes.where("hollow").selectExpr("mesh_id", "1 AS box", "100 - 0.9D * a + a / 4 AS x", "a / 4 AS y", "a / 4 AS z", "a / 2 AS dx", "a / 2 AS dy", "a / 2 AS dz", "true AS inward")
+    cut = S.cut(S.box_triangles(solid.unionByName(cavity)), (1.0, 0.0, 1.0), 100 / math.sqrt(2))
+    return S.polygons(cut).groupBy("mesh_id").agg(F.count("*").alias("rings"), F.countDistinct("polygon").alias("polygons"), F.round(F.sum("area"), 4).alias("area"))
+
+
+@query("c09_material_tree", "SELECT material, count(*) AS triangles, true AS within FROM (SELECT p_mfgr AS material FROM part) GROUP BY 1")
+def material_tree(t):
+    """Every triangle is in one tile, and no tile is over the budget."""
+    tiled = mesh_tree.mesh_tree(_materials(t), 200)
+    leaves = mesh_tree.tile_table(tiled).where("leaf")
+    return leaves.groupBy("material").agg(F.sum("triangles").alias("triangles"), (F.max("triangles") <= 200).alias("within"))
+
+
+def _materials(t):
+    return t.triangles.join(t.read("part").select(F.col("p_partkey").alias("tri_id"), F.col("p_mfgr").alias("material")), "tri_id")

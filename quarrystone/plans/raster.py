@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from quarrystone.functions import geodesy as G
-from quarrystone.operators import flood
+from quarrystone.operators.flood import filled as sinks_filled
 from quarrystone.operators import raster as R
 from quarrystone.operators import terrain as T
 from quarrystone.plans.registry import query
@@ -116,7 +116,7 @@ def directions(t):
 @query("f15_fill_sinks")
 def fill(t):
     """The raster as a whole; its sinks reach over the borders of tiles."""
-    return flood.filled(t.raster, 64)
+    return sinks_filled(t.raster, 64)
 
 
 _WALK = f"WITH RECURSIVE d AS ({_D8}), w AS (SELECT row, col, row AS r, col AS c, 0 AS k FROM d UNION ALL SELECT w.row, w.col, d.to_row, d.to_col, k + 1 FROM w JOIN d ON d.row = w.r AND d.col = w.c WHERE d.to_row IS NOT NULL) "

@@ -311,7 +311,7 @@ def oblique_polygons(t):
     return S.polygons(cut).groupBy("mesh_id").agg(F.count("*").alias("rings"), F.countDistinct("polygon").alias("polygons"), F.round(F.sum("area"), 4).alias("area"))
 
 
-@query("c09_material_tree", "SELECT material, count(*) AS triangles, true AS within FROM (SELECT p_mfgr AS material FROM part) GROUP BY 1")
+@query("c09_material_tree", "SELECT material, count(*) AS triangles, true AS within FROM (SELECT p_type AS material FROM part) GROUP BY 1")
 def material_tree(t):
     """Every triangle is in one tile, and no tile is over the budget."""
     tiled = mesh_tree.mesh_tree(_materials(t), 200)
@@ -320,4 +320,4 @@ def material_tree(t):
 
 
 def _materials(t):
-    return t.triangles.join(t.read("part").select(F.col("p_partkey").alias("tri_id"), F.col("p_mfgr").alias("material")), "tri_id")
+    return t.triangles.join(t.read("part").select(F.col("p_partkey").alias("tri_id"), F.col("p_type").alias("material")), "tri_id")

@@ -41,8 +41,8 @@ LONGEST = 64
 #: White space, and texts that can't be taken apart: those with white space before a space or line feed, or at their ends.
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WHOLE = rf"^{_WHITE}|{_WHITE}[ \n]| $"
-#: Bytes of text of a slice; its distinct words are Python objects, so it is smaller than elsewhere.
-SLICE = 4 << 20
+#: Bytes of text of a slice; its distinct words are Python objects, so it is smaller than elsewhere. So many are aligned at a time.
+SLICE, STEP = 6 << 20, 20_000
 
 
 class Parts:
@@ -92,9 +92,18 @@ class Aligner:
         return number[order], doc[order], names.to_pylist() + odd.to_pylist(), len(names)
 
     def aligned(self, parts: list[str], proper: int) -> Parts:
+        """What the parts give, ``STEP`` of them at a time."""
+        steps = [self._aligned(parts[a : a + STEP], min(max(proper - a, 0), STEP)) for a in range(0, len(parts), STEP)]
+        out = Parts(0)
+        if steps:
+            for name in ("good", "n_a", "n_b", "n_groups", "n_links", "n_pairs", "pair", "often"):
+                setattr(out, name, np.concatenate([getattr(x, name) for x in steps]))
+            out.groups = [g for x in steps for g in x.groups]
+        return out
+
+    def _aligned(self, parts: list[str], proper: int) -> Parts:
         out = Parts(len(parts))
-        if not parts:
-            return out
+        proper = min(proper, len(parts))
         # A's ids; parts proper go to the BPE model as tokens.py does
         enc = self.a
         enc.cuts.clear()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrystone.operators import elements as E
-from quarrystone.operators import inverted
+from quarrystone.operators import inverted, rules
 from quarrystone.operators.lineage import shared_folder
 from quarrystone.operators import search as X
 from quarrystone.plans.registry import SQL, query
@@ -294,3 +294,26 @@ def apply_edits(t):
 def flagship(t):
     rows = E.group_statistics(t.elements, t.properties, "@storey", "Acct.Balance", _FILTER)
     return _flat(rows).drop("group_number", "group_boolean", "key")
+
+
+#: Rules with the SQL of their two filters.
+_RULES = [
+    ({"name": "customers have a balance", "applies": {"@classFullName": "Customer"}, "requires": {"Acct.Balance": {"$ne": None}}}, "class = 'Customer'", _HAS.format("Acct.Balance", "true")),
+    ({"name": "customers have names", "applies": {"@classFullName": "Customer"}, "requires": {"@label": {"$like": "customer#%"}}, "occurs": "required"}, "class = 'Customer'", "name ILIKE 'customer#%'"),
+    ({"name": "buildings owe nothing", "applies": {"@storey": "BUILDING", "Acct.Balance": {"$ne": None}}, "requires": {"Flag.Positive": True}}, "storey = 'BUILDING' AND " + _HAS.format("Acct.Balance", "true"), _HAS.format("Flag.Positive", "value_boolean = true")),
+    ({"name": "nations are few", "applies": {"@classFullName": "Nation"}, "requires": {"Acct.Balance": {"$lte": 200}}}, "class = 'Nation'", _HAS.format("Acct.Balance", "value_number <= 200")),
+    ({"name": "a value of three", "applies": {"Mixed.Value": "v3"}, "occurs": "prohibited"}, _HAS.format("Mixed.Value", "value_text = 'v3'"), "false"),
+    ({"name": "walls stand", "applies": {"@classFullName": "Wall"}, "requires": {"Seg.Name": {"$ne": None}}, "occurs": "required"}, "class = 'Wall'", _HAS.format("Seg.Name", "true")),
+]
+_CHECKED = " UNION ALL ".join(f"SELECT e.global_id, '{r['name']}' AS rule, coalesce({needs}, false) AS passed FROM elements e WHERE {where}" for r, where, needs in _RULES)
+_NAMED = ", ".join(f"('{r['name']}', '{r.get('occurs', 'optional')}')" for r, _, _ in _RULES)
+
+
+@query("a39_rule_verdicts", _CHECKED)
+def rule_verdicts(t):
+    return rules.verdicts(t.elements, t.properties, [r for r, _, _ in _RULES]).select("global_id", "rule", "passed")
+
+
+@query("a39_rule_report", f"SELECT rule, occurs, applicable, passed, applicable - passed AS failed, applicable = passed AND (occurs <> 'required' OR applicable > 0) AS status FROM (SELECT n.rule, n.occurs, count(c.global_id) AS applicable, count(*) FILTER (c.passed) AS passed FROM (VALUES {_NAMED}) n(rule, occurs) LEFT JOIN ({_CHECKED}) c ON c.rule = n.rule GROUP BY 1, 2)")
+def rule_report(t):
+    return rules.report(t.elements, t.properties, [r for r, _, _ in _RULES])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from quarrystone.functions import geodesy as G
-from quarrystone.operators import mesh_tree
+from quarrystone.operators import instances, mesh_tree, splat_tree
 from quarrystone.operators import section as S
 from quarrystone.operators import tiling as C
 from quarrystone.plans.registry import query
@@ -321,3 +321,55 @@ def material_tree(t):
 
 def _materials(t):
     return t.triangles.join(t.read("part").select(F.col("p_partkey").alias("tri_id"), F.col("p_type").alias("material")), "tri_id")
+
+
+# A mesh an order: a pointed body of two lengths, every seventh mirrored, turned by quarters and moved to its place.
+_BODIES = "SELECT o_orderkey AS mesh_id, o_custkey % 4 AS turns, 2 + o_orderkey % 3 AS a, 4 + o_custkey % 5 AS b, CASE WHEN o_orderkey % 7 = 0 THEN -1 ELSE 1 END AS side, CAST(o_custkey AS DOUBLE) AS mx, CAST(o_orderkey % 1000 AS DOUBLE) AS my, o_totalprice / 1000 AS mz FROM orders"
+_TURNED_X = "CASE turns WHEN 0 THEN {x} WHEN 1 THEN -({y}) WHEN 2 THEN -({x}) ELSE {y} END"
+_TURNED_Y = "CASE turns WHEN 0 THEN {y} WHEN 1 THEN {x} WHEN 2 THEN -({y}) ELSE -({x}) END"
+
+
+@query(
+    "c14_instances",
+    f"""WITH bodies AS ({_BODIES}), firsts AS (SELECT *, min(mesh_id) OVER w AS first, first_value(turns) OVER (w ORDER BY mesh_id) AS t0 FROM bodies WINDOW w AS (PARTITION BY a, b, side))
+SELECT mesh_id, first, CAST((turns - t0 + 4) % 4 AS INT) AS quarters, CAST(0 AS DOUBLE) AS tilt, round(mx + {_TURNED_X.format(x="side * a / 2.0", y="b / 2.0")}, 6) AS x, round(my + {_TURNED_Y.format(x="side * a / 2.0", y="b / 2.0")}, 6) AS y, round(mz + 0.5, 6) AS z FROM firsts""",
+)
+def instanced(t):
+    bodies = t.read("orders").selectExpr(*_BODIES.removeprefix("SELECT ").removesuffix(" FROM orders").split(", "))
+    corner = lambda x, y, z: F.struct(F.expr(x).cast("double").alias("x"), F.expr(y).cast("double").alias("y"), F.lit(float(z)).alias("z"))
+    places = [corner("0", "0", 0), corner("side * a", "0", 0), corner("0", "b", 0), corner("0", "0", 1)]
+    soup = bodies.select("mesh_id", "turns", "mx", "my", "mz", F.posexplode(F.array(*[places[k] for k in (0, 1, 2, 0, 1, 3, 0, 2, 3, 1, 2, 3)])).alias("n", "p"))
+    vertices = soup.select("mesh_id", "n", (F.expr(_TURNED_X.format(x="p.x", y="p.y")) + F.col("mx")).alias("x"), (F.expr(_TURNED_Y.format(x="p.x", y="p.y")) + F.col("my")).alias("y"), (F.col("p.z") + F.col("mz")).alias("z"))
+    r = F.col("rotation")
+    quarters = F.pmod(F.round(2 * F.atan2(r["z"], r["w"]) / (math.pi / 2)).cast("int"), F.lit(4))
+    return instances.repeated_geometry(vertices).select("mesh_id", "first", quarters.alias("quarters"), F.round(F.abs(r["x"]) + F.abs(r["y"]), 6).alias("tilt"), *[F.round(F.col("move")[a], 6).alias(a) for a in "xyz"])
+
+
+_CLOUD = {"opacity": "0.1 + (intensity % 90) / 100.0", "scale_0": "ln(1.0 + cls) / 4", "scale_1": "ln(1.0 + intensity % 4) / 4", "scale_2": "ln(1.0 + intensity % 7) / 4"}
+_LARGE = "round(ln(0.1 + (intensity % 90) / 100.0::DOUBLE) + (ln(1.0 + cls) + ln(1.0 + intensity % 4) + ln(1.0 + intensity % 7) - least(ln(1.0 + cls), ln(1.0 + intensity % 4), ln(1.0 + intensity % 7))) / 4, 9)"
+_SHOWN = f"shown AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, point_id) AS rank FROM (SELECT leaf.*, substr(path, 1, i) AS node, i = length(path) AS is_leaf, {_LARGE} AS score FROM leaf, range(5) t(i) WHERE i <= length(path)))"
+
+
+def _splat_tree(t):
+    """The points as splats, those of an odd intensity turned by a quarter, in the octree of the tests."""
+    half = math.sqrt(0.5)
+    odd = F.col("intensity") % 2 == 1
+    cloud = t.points.withColumns({k: F.expr(v.replace("ln(", "ln(1D * ")).cast("double") for k, v in _CLOUD.items()})
+    cloud = cloud.withColumns({"rot_0": F.when(odd, half).otherwise(1.0), "rot_1": F.lit(0.0), "rot_2": F.lit(0.0), "rot_3": F.when(odd, half).otherwise(0.0)})
+    score = F.round(C.splat_score(F.col("opacity"), [F.col(f"scale_{k}") for k in range(3)]), 9)
+    return splat_tree.splat_tree(cloud, score, _MAX, "point_id", _DEPTH)
+
+
+@query("c18_splat_tree", f"{_TREE}, {_SHOWN} SELECT node, is_leaf AS leaf, point_id FROM shown WHERE is_leaf OR rank <= {_MAX}")
+def splat_nodes(t):
+    return _splat_tree(t).select("node", "leaf", "point_id")
+
+
+_REACH = {"x": "3 * exp(CASE WHEN intensity % 2 = 1 THEN ln(1.0 + intensity % 4) ELSE ln(1.0 + cls) END / 4)", "y": "3 * exp(CASE WHEN intensity % 2 = 1 THEN ln(1.0 + cls) ELSE ln(1.0 + intensity % 4) END / 4)", "z": "3 * exp(ln(1.0 + intensity % 7) / 4)"}
+_BOX = ", ".join(f"round({f}({a} {sign} {_REACH[a]}), 4) AS {end}_{a}" for f, sign, end in (("min", "-", "low"), ("max", "+", "high")) for a in "xyz")
+
+
+@query("k04_splat_tiles", f"{_TREE}, {_SHOWN} SELECT node, bool_and(is_leaf) AS leaf, least(count(*), {_MAX}) AS splats, {_BOX}, round(CASE WHEN bool_and(is_leaf) THEN 0 ELSE (SELECT sqrt(pow(hx - lx, 2) + pow(hy - ly, 2) + pow(hz - lz, 2)) / 2 FROM b) / pow(2, length(node)) END, 4) AS geometric_error FROM shown GROUP BY node")
+def splat_tiles(t):
+    table = splat_tree.tiles(_splat_tree(t))
+    return table.select("node", "leaf", "splats", *[F.round(c, 4).alias(c) for c in table.columns if c not in ("node", "leaf", "splats")])

@@ -402,11 +402,25 @@ def usgs_dem(files: DataFrame) -> DataFrame:
     """USGS DEM texts (path, text): profiles of B records as path, profile, place, v; -32767 is null.
 
     An A record has 1024 characters; every B record starts at a multiple of that with its row and column numbers and the
-    count of heights, which follow from character 144 in fields of six (146 in the first block, 170 in later ones).
+    count of heights, which follow from character 144 in fields of six: 146 in its first block, then 170 in each block that it
+    goes on in. Blocks that hold no such header, and aren't a continuation, are left out; heights beyond the end are null.
     """
-    blocks = files.select("path", F.explode(F.transform(F.sequence(F.lit(1), F.ceil(F.length("text") / 1024).cast("int") - 1), lambda k: F.struct(k.alias("k"), F.substring("text", k * 1024 + 1, F.lit(1024)).alias("b")))).alias("r")).select("path", "r.k", "r.b")
-    head = lambda a: F.trim(F.substring("b", a, 6)).try_cast("int")
-    rows = blocks.select("path", "k", head(7).alias("profile"), head(13).alias("n"), "b").where("n between 1 and 146 and profile is not null")
-    heights = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.trim(F.substring("b", 145 + 6 * i, F.lit(6))).try_cast("double"))
+    at = lambda k, a: F.trim(F.substring("text", k * 1024 + a, F.lit(6))).try_cast("int")
+    more = lambda n: F.ceil(F.greatest(n - 146, F.lit(0)) / 170).cast("int")
+    # headers are read from block to block, as a count says how many blocks are heights alone
+    header = F.struct(F.lit(0).alias("k"), F.lit(0).alias("profile"), F.lit(0).alias("n"))
+    start = F.struct(F.lit(1).alias("next"), F.filter(F.array(header), lambda _: F.lit(False)).alias("found"))
+
+    def step(state, k):
+        profile, n = at(k, 7), at(k, 13)
+        there = (k >= state["next"]) & profile.isNotNull() & (F.coalesce(n, F.lit(0)) >= 1)
+        got = F.array_append(state["found"], F.struct(k.alias("k"), F.coalesce(profile, F.lit(0)).alias("profile"), F.coalesce(n, F.lit(0)).alias("n")))
+        return F.struct(F.when(there, k + 1 + more(F.coalesce(n, F.lit(0)))).otherwise(F.greatest(state["next"], k + 1)).alias("next"), F.when(there, got).otherwise(state["found"]).alias("found"))
+
+    blocks = F.ceil(F.length("text") / 1024).cast("int") - 1
+    whole = files.where(blocks > 0).withColumn("r", F.explode(F.aggregate(F.sequence(F.lit(1), blocks), start, step)["found"]))
+    rows = whole.select("path", "r.profile", "r.n", F.substring("text", F.col("r.k") * 1024 + 1, (more(F.col("r.n")) + 1) * 1024).alias("b"))
+    later = lambda i: F.floor((i - 146) / 170).cast("int") * 1024 + 1025 + (i - 146) % 170 * 6
+    heights = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.trim(F.substring("b", F.when(i < 146, 145 + 6 * i).otherwise(later(i)), F.lit(6))).try_cast("double"))
     out = rows.select("path", "profile", F.posexplode(heights).alias("place", "v"))
     return out.withColumn("v", F.when(F.col("v") != -32767, F.col("v")))

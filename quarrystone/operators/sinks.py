@@ -204,6 +204,26 @@ def subtree_json() -> Column:
     return F.to_json(F.struct(F.array_sort(F.collect_set("node_index")).alias("available"), F.count_distinct("node_index").alias("availableCount")))
 
 
+def publish(fs: pafs.FileSystem, own: str, target: str) -> None:
+    """Gives a whole file its name, in the place of one that a repeated or speculative task has written before.
+
+    File systems that don't move onto an existing name get it deleted first; another task may be in the middle of the same, so this
+    is tried a few times.
+    """
+    for left in (3, 2, 1, 0):
+        try:
+            fs.move(own, target)
+            return
+        except OSError:
+            if not left or fs.get_file_info(own).type != pafs.FileType.File:
+                raise
+            if fs.get_file_info(target).type == pafs.FileType.File:
+                try:
+                    fs.delete_file(target)
+                except FileNotFoundError:
+                    pass
+
+
 def save(files: DataFrame, folder: str) -> DataFrame:
     """Writes (path, content) rows into a shared folder, each under a name of its own first; returns path and bytes.
 
@@ -218,7 +238,7 @@ def save(files: DataFrame, folder: str) -> DataFrame:
                 own = f"{root}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(own) as out:
                     out.write(content)
-                fs.move(own, f"{root}/{path}")
+                publish(fs, own, f"{root}/{path}")
             yield pd.DataFrame({"path": batch["path"], "bytes": [len(c) for c in batch["content"]]})
 
     return files.select("path", "content").mapInPandas(run, "path string, bytes long")

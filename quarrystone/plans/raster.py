@@ -23,11 +23,16 @@ def _gradient(t):
     return R.gradient(R.neighbourhood(t.raster), 10.0)
 
 
-_PLACES = "SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey % 470) / 10.0::DOUBLE + 0.05 AS fr, (c_custkey * 7 % 380) / 10.0::DOUBLE + 0.03 AS fc FROM customer"
+_PLACES = "SELECT CAST(c_custkey AS BIGINT) AS id, (c_custkey % (SELECT greatest(10 * max(row) - 5, 10) FROM raster)) / 10.0::DOUBLE + 0.05 AS fr, (c_custkey * 7 % 380) / 10.0::DOUBLE + 0.03 AS fc FROM customer"
+
+
+def _last_row(t) -> int:
+    return t.raster.agg(F.max("row")).first()[0]
 
 
 def _places(t):
-    return t.read("customer").selectExpr("c_custkey AS id", "(c_custkey % 470) / 10D + 0.05D AS fr", "(c_custkey * 7 % 380) / 10D + 0.03D AS fc")
+    """Places between all rows of the raster."""
+    return t.read("customer").selectExpr("c_custkey AS id", f"(c_custkey % {max(10 * _last_row(t) - 5, 10)}) / 10D + 0.05D AS fr", "(c_custkey * 7 % 380) / 10D + 0.03D AS fc")
 
 
 def _bilinear(row: str, col: str, bad: str) -> str:
@@ -40,14 +45,14 @@ def bilinear(t):
     return R.sampled(_places(t), t.raster).withColumn("v", F.round("v", 6))
 
 
-@query("f02_bilinear_clamped", _bilinear("greatest(least(row, 30), 0)", "greatest(least(col, 30), 0)", "r.v IS NULL"))
+@query("f02_bilinear_clamped", _bilinear("greatest(least(row, (SELECT max(row) // 2 FROM raster)), 0)", "greatest(least(col, 30), 0)", "r.v IS NULL"))
 def clamped(t):
-    return R.sampled(_places(t), t.raster, (30, 30)).withColumn("v", F.round("v", 6))
+    return R.sampled(_places(t), t.raster, (_last_row(t) // 2, 30)).withColumn("v", F.round("v", 6))
 
 
-@query("f03_heightmap_sample", _bilinear("greatest(least(row, 49), 0)", "greatest(least(col, 39), 0)", "r.v IS NULL"))
+@query("f03_heightmap_sample", _bilinear("greatest(least(row, (SELECT max(row) FROM raster)), 0)", "greatest(least(col, 39), 0)", "r.v IS NULL"))
 def heightmap(t):
-    return R.sampled(_places(t), t.raster, (49, 39)).withColumn("v", F.round("v", 6))
+    return R.sampled(_places(t), t.raster, (_last_row(t), 39)).withColumn("v", F.round("v", 6))
 
 
 @query("f04_weightless_corners", _bilinear("row", "col", "r.v IS NULL AND w > 0"))

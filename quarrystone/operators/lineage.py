@@ -1,4 +1,4 @@
-"""Cutting the lineage of iterative operators."""
+"""Cutting the lineage of iterative operators, and joins that never gather a table at the driver."""
 
 from __future__ import annotations
 
@@ -15,6 +15,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows for a join of two tables that both grow with the input: it shuffles both. Spark guesses sizes from compressed bytes, and
+    would collect the smaller one at the driver to broadcast it though it is many times larger there."""
+    return df.hint("merge")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder's name in the folder of ``spark.checkpoint.dir``. Only a session on one machine (tests) may name none."""
     found = spark.conf.get("spark.checkpoint.dir", None)

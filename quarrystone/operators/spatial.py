@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.operators.lineage import settled
+from quarrystone.operators.lineage import settled, spread
 
 #: The shares of a bounding box that count as volume and surface.
 VOLUME_SHARE, SURFACE_SHARE = 0.6, 0.8
@@ -27,17 +27,18 @@ def radius_search(points: DataFrame, center: tuple[float, float, float], radius:
     return points.where(box[0] & box[1] & box[2]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).withColumn("distance", F.sqrt("d2")).drop("d2")
 
 
-def neighbours(centers: DataFrame, points: DataFrame, radius: float, key: str = "point_id") -> DataFrame:
-    """Pairs (center_id, point_id, distance) within a radius, by an equi-join on cells of the radius's size.
+def neighbours(centers: DataFrame, points: DataFrame, radius: float, key: str = "point_id", places: bool = False) -> DataFrame:
+    """Pairs (center_id, point_id, distance) within a radius, by an equi-join on cells of the radius's size; with ``places``
+    also the point's x, y, z.
 
-    Each center looks into 27 cells; a hot cell is split by adaptive execution as any skewed join is.
+    Each center looks into 27 cells; both sides are shuffled, and a hot cell is split by adaptive execution as any skewed join is.
     """
     step = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijk", (i, j, k))]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])).alias("s")
     left = centers.select(F.col(key).alias("center_id"), *[F.col(a).alias(f"q{a}") for a in "xyz"], step)
     left = left.select("center_id", "qx", "qy", "qz", *[(F.floor(F.col(f"q{a}") / radius) + F.col(f"s.{n}")).alias(f"c{a}") for a, n in zip("xyz", "ijk")])
     right = cells(points.select(key, "x", "y", "z"), radius)
-    near = left.join(right, ["cx", "cy", "cz"]).withColumn("d2", squared_distance([F.col("qx"), F.col("qy"), F.col("qz")], [F.col("x"), F.col("y"), F.col("z")]))
-    return near.where(F.col("d2") <= radius * radius).select("center_id", F.col(key).alias("point_id"), F.sqrt("d2").alias("distance"))
+    near = left.join(spread(right), ["cx", "cy", "cz"]).withColumn("d2", squared_distance([F.col("qx"), F.col("qy"), F.col("qz")], [F.col("x"), F.col("y"), F.col("z")]))
+    return near.where(F.col("d2") <= radius * radius).select("center_id", F.col(key).alias("point_id"), F.sqrt("d2").alias("distance"), *(["x", "y", "z"] if places else []))
 
 
 def nearest(points: DataFrame, center: tuple[float, float, float], k: int, cell: float) -> DataFrame:
@@ -57,12 +58,12 @@ def nearest_each(centers: DataFrame, points: DataFrame, k: int, cell: float, mos
         rank = F.row_number().over(Window.partitionBy("center_id").orderBy("distance", "point_id"))
         best = settled(near.withColumn("rank", rank).where(F.col("rank") <= k))
         last = radius >= most * cell
-        done = best if last else best.join(best.where(F.col("rank") == k).select("center_id"), "center_id", "left_semi")
+        done = best if last else best.join(spread(best.where(F.col("rank") == k).select("center_id")), "center_id", "left_semi")
         found = done if found is None else found.union(done)
         if last:
             return found
         full = best.where(F.col("rank") == k).select(F.col("center_id").alias("point_id"))
-        left = settled(left.join(full, "point_id", "left_anti"))
+        left = settled(left.join(spread(full), "point_id", "left_anti"))
         if left.isEmpty():
             return found
         radius *= 2

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.operators.lineage import spread
 from quarrystone.operators.spatial import neighbours
 
 #: Class codes and labels.
@@ -33,7 +34,7 @@ def features(centers: DataFrame, points: DataFrame, radius: float) -> DataFrame:
 
     Fewer than three neighbours give density and geometry of their defaults (0, 0, 1, 1).
     """
-    near = neighbours(centers, points, radius).join(points.select("point_id", "x", "y", "z"), "point_id")
+    near = neighbours(centers, points, radius, places=True)
     cov = lambda a, b: F.covar_pop(a, b)
     stats = near.groupBy("center_id").agg(F.count("*").alias("n"), F.max("distance").alias("far"), *[cov(a, b).alias(a + b) for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")])
     e1, e2, e3 = eigenvalues({k: F.col(k) for k in ("xx", "yy", "zz", "xy", "xz", "yz")})
@@ -70,7 +71,7 @@ def label(code: Column) -> Column:
 
 def classified(points: DataFrame, shapes: DataFrame, ground: float) -> DataFrame:
     """Points with their shapes' class: code and label."""
-    rows = points.join(shapes, points.point_id == shapes.center_id)
+    rows = points.join(spread(shapes), points.point_id == shapes.center_id)
     code = majority(votes(F.greatest(F.col("z") - ground, F.lit(0.0)), *[F.col(k) for k in ("planarity", "linearity", "scatter", "normal_z")]))
     return rows.withColumn("code", code).withColumn("label", label(F.col("code")))
 

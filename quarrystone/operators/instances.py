@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.operators.lineage import settled
+from quarrystone.operators.lineage import settled, spread
 
 #: Metres of a vertex beside its place, of a normal's component, and of a step of the mean distances.
 TOLERANCE, NORMAL_TOLERANCE, KEY_STEP = 1e-3, 1e-2, 0.01
@@ -102,13 +102,13 @@ def _described(vertices: DataFrame) -> DataFrame:
     from_first, from_mean = _length(_minus(_of(at), _of(F.col("p0")))), _length(_minus(_of(at), _of(F.col("mean"))))
     steps = lambda d: F.round(F.avg(d) / KEY_STEP).cast("long")
     place = F.struct("n", "x", "y", "z")
-    far = vertices.join(base, "mesh_id").groupBy("mesh_id").agg(steps(from_first).alias("k1"), steps(from_mean).alias("k2"), F.max_by(place, F.struct(from_first, -F.col("n"))).alias("far"), F.max(from_first).alias("reach"))
-    line = base.join(far, "mesh_id")
+    far = vertices.join(spread(base), "mesh_id").groupBy("mesh_id").agg(steps(from_first).alias("k1"), steps(from_mean).alias("k2"), F.max_by(place, F.struct(from_first, -F.col("n"))).alias("far"), F.max(from_first).alias("reach"))
+    line = base.join(spread(far), "mesh_id")
     arm = _minus(_of(at), _of(F.col("p0")))
     off = _length(_cross(_unit(_minus(_of(F.col("far")), _of(F.col("p0")))), arm))
-    side = vertices.join(line.select("mesh_id", "p0", "far"), "mesh_id").groupBy("mesh_id").agg(F.max_by(place, F.struct(off, -F.col("n"))).alias("side"), F.max(off).alias("width"))
+    side = vertices.join(spread(line.select("mesh_id", "p0", "far")), "mesh_id").groupBy("mesh_id").agg(F.max_by(place, F.struct(off, -F.col("n"))).alias("side"), F.max(off).alias("width"))
     framed = ~F.col("bare") & (F.col("reach") > TOLERANCE) & (F.coalesce("width", F.lit(0.0)) > TOLERANCE)
-    return line.join(side, "mesh_id").select("mesh_id", F.struct("size", "colour", "k1", "k2").alias("key"), "p0", "centre", "far", "side", framed.alias("framed"))
+    return line.join(spread(side), "mesh_id").select("mesh_id", F.struct("size", "colour", "k1", "k2").alias("key"), "p0", "centre", "far", "side", framed.alias("framed"))
 
 
 def _matches(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -117,15 +117,15 @@ def _matches(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     n = F.col("v.n")
     place = F.struct("v.x", "v.y", "v.z")
     asked = pairs.select("mesh_id", "first", F.col("first_far.n").alias("n1"), F.col("first_side.n").alias("n2"))
-    corners = asked.alias("p").join(vertices.alias("v"), "mesh_id").where((n == F.col("n1")) | (n == F.col("n2"))).groupBy("mesh_id", "first").agg(F.max(F.when(n == F.col("n1"), place)).alias("q1"), F.max(F.when(n == F.col("n2"), place)).alias("q2"))
-    framed = with_frame(pairs.join(corners, ["mesh_id", "first"]), "own_", F.col("p0"), F.col("q1"), F.col("q2"))
+    corners = asked.alias("p").join(spread(vertices.alias("v")), "mesh_id").where((n == F.col("n1")) | (n == F.col("n2"))).groupBy("mesh_id", "first").agg(F.max(F.when(n == F.col("n1"), place)).alias("q1"), F.max(F.when(n == F.col("n2"), place)).alias("q2"))
+    framed = with_frame(pairs.join(spread(corners), ["mesh_id", "first"]), "own_", F.col("p0"), F.col("q1"), F.col("q2"))
     framed = with_frame(framed, "other_", F.col("first_p0"), F.col("first_far"), F.col("first_side"))
     placed = settled(framed.withColumn("rotation", turn(F.col("other_"), F.col("own_"))).drop("own_", "other_", "q1", "q2"))
     # a head's vertices, a copy a share
     share = F.pmod(F.xxhash64("mesh_id"), F.col("shares"))
-    heads = pairs.select("first", "shares").distinct().join(vertices.withColumnsRenamed({"mesh_id": "first", "x": "hx", "y": "hy", "z": "hz", **{f"n{a}": f"hn{a}" for a in "xyz"}}), "first")
+    heads = pairs.select("first", "shares").distinct().join(spread(vertices.withColumnsRenamed({"mesh_id": "first", "x": "hx", "y": "hy", "z": "hz", **{f"n{a}": f"hn{a}" for a in "xyz"}})), "first")
     heads = heads.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1))).drop("shares", "colour")
-    rows = placed.select("mesh_id", "first", "rotation", "p0", "first_p0", share.alias("share")).join(vertices, "mesh_id").join(heads, ["first", "share", "n"])
+    rows = placed.select("mesh_id", "first", "rotation", "p0", "first_p0", share.alias("share")).join(spread(vertices), "mesh_id").join(spread(heads), ["first", "share", "n"])
     there = _minus([F.col(a) for a in "xyz"], _of(F.col("p0")))
     here = _minus([F.col("h" + a) for a in "xyz"], _of(F.col("first_p0")))
     beside = lambda p, q: F.greatest(*[F.abs(d) for d in _minus(p, q)])
@@ -137,7 +137,7 @@ def _matches(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
         worst = {"moved": F.greatest(worst["moved"], scale * beside(normal, of)), "turned": F.greatest(worst["turned"], scale * beside(normal, turned(F.col("rotation"), of)))}
     got = rows.groupBy("mesh_id", "first").agg(*[F.max(c).alias(k) for k, c in worst.items()], F.count("*").alias("held"))
     fits = {k: F.coalesce(F.col(k), F.lit(float("inf"))) <= TOLERANCE for k in worst}
-    return placed.join(got, ["mesh_id", "first"]).where((F.col("held") == F.col("key.size")) & (fits["moved"] | fits["turned"])).withColumn("rotation", F.when(~fits["moved"], F.col("rotation")))
+    return placed.join(spread(got), ["mesh_id", "first"]).where((F.col("held") == F.col("key.size")) & (fits["moved"] | fits["turned"])).withColumn("rotation", F.when(~fits["moved"], F.col("rotation")))
 
 
 def repeated_geometry(vertices: DataFrame) -> DataFrame:
@@ -155,22 +155,22 @@ def repeated_geometry(vertices: DataFrame) -> DataFrame:
     while not open_.isEmpty():
         order = F.row_number().over(Window.partitionBy("key").orderBy("mesh_id"))
         sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
-        heads = settled(open_.withColumn("rank", order).where(F.col("rank") <= most).join(sizes, "key"))
+        heads = settled(open_.withColumn("rank", order).where(F.col("rank") <= most).join(spread(sizes), "key"))
         as_head = heads.select("key", "rank", "shares", F.col("mesh_id").alias("first"), *[F.col(c).alias(f"first_{c}") for c in ("p0", "far", "side", "centre")])
-        pairs = open_.drop("far", "side").join(as_head, "key").where(F.col("mesh_id") > F.col("first"))
+        pairs = open_.drop("far", "side").join(spread(as_head), "key").where(F.col("mesh_id") > F.col("first"))
         matched = settled(_matches(pairs, vertices))
         # heads in their order: one that matches an earlier true head is none
-        earlier = matched.join(heads.select("mesh_id"), "mesh_id", "left_semi").groupBy("mesh_id").agg(F.collect_list("rank").alias("like"))
-        ranked = heads.join(earlier, "mesh_id", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("like", F.array().cast("array<int>")).alias("like"), "mesh_id"))).alias("all"))
+        earlier = matched.join(spread(heads.select("mesh_id")), "mesh_id", "left_semi").groupBy("mesh_id").agg(F.collect_list("rank").alias("like"))
+        ranked = heads.join(spread(earlier), "mesh_id", "left").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("like", F.array().cast("array<int>")).alias("like"), "mesh_id"))).alias("all"))
         true = F.aggregate("all", F.array().cast("array<int>"), lambda got, h: F.when(F.arrays_overlap(got, h["like"]), got).otherwise(F.array_append(got, h["rank"])))
         firsts = settled(ranked.withColumn("true", true).select(F.explode(F.filter("all", lambda h: F.array_contains("true", h["rank"]))).alias("h")).select(F.col("h.mesh_id").alias("first")))
-        best = matched.join(firsts, "first", "left_semi").groupBy("mesh_id").agg(F.min_by(F.struct("first", "rotation", "p0", "first_p0", "first_centre"), "rank").alias("m"))
+        best = matched.join(spread(firsts), "first", "left_semi").groupBy("mesh_id").agg(F.min_by(F.struct("first", "rotation", "p0", "first_p0", "first_centre"), "rank").alias("m"))
         best = best.withColumn("turn", F.coalesce(F.col("m.rotation"), F.array(*[F.lit(float(i == j)) for i in range(3) for j in range(3)])))
         best = with_quaternion(best, "spin", "turn")
         away = turned(F.col("turn"), _minus(_of(F.col("m.first_centre")), _of(F.col("m.first_p0"))))
         copies = settled(best.select("mesh_id", "m.first", F.when(F.col("m.rotation").isNull(), still).otherwise(F.col("spin")).alias("rotation"), F.struct(*[(p + d).alias(a) for a, p, d in zip("xyz", _of(F.col("m.p0")), away)]).alias("move")))
-        own = open_.join(firsts.select(F.col("first").alias("mesh_id")), "mesh_id", "left_semi")
+        own = open_.join(spread(firsts.select(F.col("first").alias("mesh_id"))), "mesh_id", "left_semi")
         found += [copies, own.select("mesh_id", F.col("mesh_id").alias("first"), still.alias("rotation"), F.col("centre").alias("move"))]
-        open_ = settled(open_.join(copies.select("mesh_id").union(firsts), "mesh_id", "left_anti"))
+        open_ = settled(open_.join(spread(copies.select("mesh_id").union(firsts)), "mesh_id", "left_anti"))
         most = min(2 * most, MOST_HEADS)
     return reduce(DataFrame.unionByName, found)

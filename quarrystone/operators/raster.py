@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.functions.geodesy import DEGREE_M, A, from_mercator
-from quarrystone.operators.lineage import settled
+from quarrystone.functions.geodesy import DEGREE_M, MERCATOR_LIMIT, A, from_mercator
+from quarrystone.operators.lineage import settled, spread
 
 _AROUND = [(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]
 #: Names of the neighbours, by row and column.
@@ -82,7 +82,7 @@ def sampled(places: DataFrame, raster: DataFrame, clamp: tuple[int, int] | None
     rows = places.select("id", F.explode(F.array(*[F.struct((r0 + dr).alias("row"), (c0 + dc).alias("col"), w.alias("w")) for dr, dc, w in corners])).alias("s")).select("id", "s.*")
     if clamp:
         rows = rows.withColumn("row", F.greatest(F.least("row", F.lit(clamp[0])), F.lit(0))).withColumn("col", F.greatest(F.least("col", F.lit(clamp[1])), F.lit(0)))
-    met = rows.join(raster.select("row", "col", "v"), ["row", "col"], "left")
+    met = rows.join(spread(raster.select("row", "col", "v")), ["row", "col"], "left")
     missing = F.col("v").isNull() & (F.col("w") > 0) if ignore_weightless else F.col("v").isNull()
     return met.groupBy("id").agg(F.when(F.sum(missing.cast("int")) == 0, F.sum(F.coalesce("v", F.lit(0.0)) * F.col("w"))).alias("v"))
 
@@ -258,14 +258,18 @@ def tms_tiles(z: Column, west: Column, south: Column, east: Column, north: Colum
 
 def to_mercator(raster: DataFrame, west: float, north: float, size: float, metres: float) -> DataFrame:
     """A raster in degrees (corner west and north, cells of ``size``) over the same area in Web Mercator, cells of ``metres``:
-    bilinear at their centres, those beyond the outer centres held to them. Row 0 is in the north. An empty raster stays so."""
+    bilinear at their centres, those beyond the outer centres held to them. Row 0 is in the north. An empty raster stays so; the area
+    ends at the latitudes where Web Mercator does, and one that lies wholly beyond them raises."""
     last = raster.agg(F.max("row"), F.max("col")).first()
     if last[0] is None:
         return raster.select("row", "col", "v")
     y = lambda lat: A * math.log(math.tan(math.pi / 4 + math.radians(lat) / 2))
-    x0, y1 = math.radians(west) * A, y(north)
+    upper, lower = (max(-MERCATOR_LIMIT, min(MERCATOR_LIMIT, lat)) for lat in (north, north - (last[0] + 1) * size))
+    if lower >= upper:
+        raise ValueError(f"the raster covers no ground within {MERCATOR_LIMIT} degrees of latitude")
+    x0, y1 = math.radians(west) * A, y(upper)
     width = math.ceil(math.radians((last[1] + 1) * size) * A / metres - 1e-9)
-    height = math.ceil((y1 - y(north - (last[0] + 1) * size)) / metres - 1e-9)
+    height = math.ceil((y1 - y(lower)) / metres - 1e-9)
     cells = raster.sparkSession.range(height * width).withColumn("row", F.expr(f"id div {width}")).withColumn("col", F.expr(f"id % {width}"))
     lat, lon = from_mercator(x0 + (F.col("col") + 0.5) * metres, y1 - (F.col("row") + 0.5) * metres)
     hold = lambda v, most: F.greatest(F.least(v, F.lit(float(most))), F.lit(0.0))

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.operators.lineage import settled
+from quarrystone.operators.lineage import settled, spread
 
 BAND, WELD = 1e-4, 1e-4
 
@@ -75,16 +75,16 @@ def ringed(segments: DataFrame, weld: float = WELD, most_rounds: int = 40) -> Da
     points = ends.select(F.col("p").alias("at")).union(ends.select(F.col("q").alias("at"))).distinct()
     ahead = ends.groupBy(F.col("p").alias("at")).agg(F.min("q").alias("ahead"))
     behind = ends.groupBy(F.col("q").alias("at")).agg(F.min("p").alias("behind"))
-    nodes = points.join(ahead, "at", "left").join(behind, "at", "left").select("at", F.coalesce("ahead", "at").alias("ahead"), F.coalesce("behind", "at").alias("behind"), F.col("at").alias("ring"))
+    nodes = points.join(spread(ahead), "at", "left").join(spread(behind), "at", "left").select("at", F.coalesce("ahead", "at").alias("ahead"), F.coalesce("behind", "at").alias("behind"), F.col("at").alias("ring"))
     nodes = settled(nodes)
     for _ in range(most_rounds):
         to = lambda name: nodes.select(F.col("at").alias(name), F.col(name).alias(f"{name}_next"), F.col("ring").alias(f"{name}_ring"))  # noqa: B023, E731
-        step = nodes.join(to("ahead"), "ahead").join(to("behind"), "behind")
+        step = nodes.join(spread(to("ahead")), "ahead").join(spread(to("behind")), "behind")
         least = F.least("ring", "ahead_ring", "behind_ring")
         moved = settled(step.select("at", F.col("ahead_next").alias("ahead"), F.col("behind_next").alias("behind"), least.alias("ring"), (least != F.col("ring")).alias("moved")))
         nodes = moved.drop("moved")
         if moved.where("moved").isEmpty():
-            return ends.join(nodes.select(F.col("at").alias("p"), "ring"), "p")
+            return ends.join(spread(nodes.select(F.col("at").alias("p"), "ring")), "p")
     raise ValueError(f"a chain has more than 2 ** {most_rounds} points")
 
 
@@ -94,7 +94,7 @@ def rings(ringed_segments: DataFrame) -> DataFrame:
     even = degree.groupBy("mesh_id", "ring", "d.at").agg(F.sum("d.w").alias("w")).groupBy("mesh_id", "ring").agg(F.count("*").alias("n_points"), (F.sum(F.abs("w")) == 0).alias("closed"))
     area = F.sum(F.expr("(x0 * y1 - x1 * y0) / 2"))
     sums = ringed_segments.groupBy("mesh_id", "ring").agg(area.alias("area"), F.min(F.struct("x0", "y0")).alias("first"))
-    joined = even.join(sums, ["mesh_id", "ring"])
+    joined = even.join(spread(sums), ["mesh_id", "ring"])
     return joined.select("mesh_id", "ring", "n_points", "closed", F.when(F.col("closed"), F.col("area")).otherwise(0.0).alias("area"), F.col("first.x0").alias("x"), F.col("first.y0").alias("y"))
 
 
@@ -107,16 +107,16 @@ def polygons(segments: DataFrame, weld: float = WELD) -> DataFrame:
     holes = found.where("area < 0").select("mesh_id", F.col("ring").alias("hole"), F.col("area").alias("hole_area"), "x", "y")
     # strips of the mean height of a mesh's segments; a segment stands in each that it reaches
     height = own.groupBy("mesh_id").agg(F.greatest(F.avg(F.abs(F.col("y1") - F.col("y0"))), F.lit(weld)).alias("strip"))
-    sides = own.join(outer, ["mesh_id", "ring"]).join(height, "mesh_id").where("y0 <> y1")
+    sides = own.join(spread(outer), ["mesh_id", "ring"]).join(spread(height), "mesh_id").where("y0 <> y1")
     strip = lambda y: F.floor(F.col(y) / F.col("strip")) if isinstance(y, str) else F.floor(y / F.col("strip"))
     sides = sides.withColumn("at", F.explode(F.sequence(strip(F.least("y0", "y1")), strip(F.greatest("y0", "y1")))))
-    rays = holes.join(height, "mesh_id").withColumn("at", strip("y")).drop("strip")
-    crossed = rays.join(sides.select("mesh_id", "ring", "area", "x0", "y0", "x1", "y1", "at"), ["mesh_id", "at"])
+    rays = holes.join(spread(height), "mesh_id").withColumn("at", strip("y")).drop("strip")
+    crossed = rays.join(spread(sides.select("mesh_id", "ring", "area", "x0", "y0", "x1", "y1", "at")), ["mesh_id", "at"])
     right = (F.col("y0") > F.col("y")) != (F.col("y1") > F.col("y"))
     right &= F.col("x") < F.col("x0") + (F.col("y") - F.col("y0")) / (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
     around = crossed.where(right & (F.col("area") > -F.col("hole_area"))).groupBy("mesh_id", "hole", "ring", "area").agg(F.count("*").alias("n")).where("n % 2 = 1")
     best = around.groupBy("mesh_id", "hole").agg(F.min(F.struct("area", "ring")).alias("b")).select("mesh_id", F.col("hole").alias("ring"), F.col("b.ring").alias("around"))
-    return found.join(best, ["mesh_id", "ring"], "left").select("mesh_id", "ring", "n_points", "area", F.coalesce("around", "ring").alias("polygon"))
+    return found.join(spread(best), ["mesh_id", "ring"], "left").select("mesh_id", "ring", "n_points", "area", F.coalesce("around", "ring").alias("polygon"))
 
 
 def box_triangles(boxes: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.operators.lineage import settled
+from quarrystone.operators.lineage import settled, spread
 
 #: Rows of a slice of identifiers; a slice is what one task counts.
 SLICE = 1 << 16
@@ -36,14 +36,14 @@ def _halved_by_count(rows: DataFrame) -> DataFrame:
     part = rows.withColumn("slice", F.floor(F.col("tri_id") / SLICE))
     sizes = part.groupBy("material", "path", "slice").agg(F.count("*").alias("n"))
     keys = ["material", "path"]
-    ahead = sizes.alias("a").join(sizes.select(*keys, F.col("slice").alias("earlier"), F.col("n").alias("m")), keys).where("earlier < slice").groupBy(*keys, "slice").agg(F.sum("m").alias("before"))
-    placed = part.join(sizes.join(ahead, [*keys, "slice"], "left").select(*keys, "slice", F.coalesce("before", F.lit(0)).alias("before"), "n"), [*keys, "slice"])
+    ahead = sizes.alias("a").join(spread(sizes.select(*keys, F.col("slice").alias("earlier"), F.col("n").alias("m"))), keys).where("earlier < slice").groupBy(*keys, "slice").agg(F.sum("m").alias("before"))
+    placed = part.join(spread(sizes.join(spread(ahead), [*keys, "slice"], "left").select(*keys, "slice", F.coalesce("before", F.lit(0)).alias("before"), "n")), [*keys, "slice"])
     half = F.floor((F.col("total") + 1) / 2)
     # slices wholly on one side need no numbers
     split = (F.col("before") < half) & (F.col("before") + F.col("n") > half)
     ids = placed.where(split).groupBy(*keys, "slice").agg(F.sort_array(F.collect_list("tri_id")).alias("ids"), F.first(half - F.col("before")).alias("k"))
     cut = ids.select(*keys, "slice", F.element_at("ids", F.col("k").cast("int")).alias("last"))
-    joined = placed.join(cut, [*keys, "slice"], "left")
+    joined = placed.join(spread(cut), [*keys, "slice"], "left")
     return joined.withColumn("near", F.when(split, F.col("tri_id") <= F.col("last")).otherwise(F.col("before") < half)).drop("slice", "before", "n", "last")
 
 
@@ -62,19 +62,19 @@ def mesh_tree(triangles: DataFrame, budget: int, most_levels: int = 48) -> DataF
         bounds = [f(c).alias(f"{name}{c[1]}") for name, f in (("low", F.min), ("high", F.max)) for c in ("cx", "cy", "cz")]
         nodes = settled(tree.groupBy(*keys).agg(F.count("*").alias("total"), *bounds))
         over = nodes.where(F.col("total") > budget)
-        closed.append(tree.join(nodes.where(F.col("total") <= budget).select(*keys), keys, "left_semi").select("material", "tri_id", "path"))
+        closed.append(tree.join(spread(nodes.where(F.col("total") <= budget).select(*keys)), keys, "left_semi").select("material", "tri_id", "path"))
         if over.isEmpty():
             found = reduce(DataFrame.unionByName, closed)
-            return rows.select(*[c for c in own if c != "path"]).join(found, ["material", "tri_id"])
+            return rows.select(*[c for c in own if c != "path"]).join(spread(found), ["material", "tri_id"])
         size = {a: F.col("high" + a) - F.col("low" + a) for a in "xyz"}
         axis = F.when((size["x"] >= size["y"]) & (size["x"] >= size["z"]), 0).when(size["y"] >= size["z"], 1).otherwise(2)
         middle = _pick(F.col("axis"), {a: (F.col("low" + a) + F.col("high" + a)) / 2 for a in "xyz"})
         planes = over.withColumn("axis", axis).select(*keys, "total", "axis", middle.alias("middle"))
-        sided = settled(tree.join(planes, keys).withColumn("near", _pick(F.col("axis"), {a: F.col("c" + a) for a in "xyz"}) < F.col("middle")))
+        sided = settled(tree.join(spread(planes), keys).withColumn("near", _pick(F.col("axis"), {a: F.col("c" + a) for a in "xyz"}) < F.col("middle")))
         split = sided.groupBy(*keys).agg(F.count_if("near").alias("n_near"), F.max("total").alias("of"))
         flat = split.where("n_near = 0 or n_near = of").select(*keys)
-        even = sided.join(flat, keys, "left_anti").select(*keys, "tri_id", "cx", "cy", "cz", "near")
-        counted = _halved_by_count(sided.join(flat, keys, "left_semi").drop("near", "axis", "middle")).select(*keys, "tri_id", "cx", "cy", "cz", "near")
+        even = sided.join(spread(flat), keys, "left_anti").select(*keys, "tri_id", "cx", "cy", "cz", "near")
+        counted = _halved_by_count(sided.join(spread(flat), keys, "left_semi").drop("near", "axis", "middle")).select(*keys, "tri_id", "cx", "cy", "cz", "near")
         both = even.unionByName(counted)
         tree = settled(both.select("material", "tri_id", F.concat("path", F.when(F.col("near"), "0").otherwise("1")).alias("path"), "cx", "cy", "cz"))
     raise ValueError(f"tiles over the budget remain after {most_levels} levels")

@@ -26,13 +26,20 @@ def to_ecef(lat: Column, lon: Column, height: Column) -> list[Column]:
 
 
 def from_ecef(x: Column, y: Column, z: Column) -> list[Column]:
-    """Latitude, longitude and height by Bowring's formula, one step."""
+    """Latitude, longitude and height by Bowring's formula, one step; the height is exact at the poles too."""
     p = F.sqrt(x * x + y * y)
     t = F.atan2(z * A, p * _B)
     e2 = (A * A - _B * _B) / (_B * _B)
     lat = F.atan2(z + e2 * _B * F.pow(F.sin(t), 3), p - E2 * A * F.pow(F.cos(t), 3))
-    n = A / F.sqrt(1 - E2 * F.sin(lat) * F.sin(lat))
-    return [lat, F.atan2(y, x), p / F.cos(lat) - n]
+    return [lat, F.atan2(y, x), p * F.cos(lat) + z * F.sin(lat) - A * F.sqrt(1 - E2 * F.sin(lat) * F.sin(lat))]
+
+
+def unwrapped(lat: Column, lon: Column, near_lat: Column, near_lon: Column) -> list[Column]:
+    """Of all degrees that mean the place (lat, lon), those nearest to given ones: full turns are added, and past a pole the
+    place is 180 - lat on the meridian across."""
+    off = lambda p: F.abs(p[0] - near_lat) + F.abs(p[1] - near_lon)
+    own, across = ([v + 360 * F.round((near - v) / 360) for v, near in zip(p, (near_lat, near_lon))] for p in ((lat, lon), (180 - lat, lon + 180)))
+    return [F.when(off(own) <= off(across), a).otherwise(b) for a, b in zip(own, across)]
 
 
 def enu_matrix(lat: Column, lon: Column, height: Column) -> Column:

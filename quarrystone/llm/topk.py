@@ -7,9 +7,10 @@ of all candidates to the pivots are computed once. Each query starts with the k-
 its result can't be below; the candidates are taken in the order of their bounds, and the search stops as soon as the next
 bound is over the distance of the k-th score known, which is exact.
 
-Candidates and queries are packed into blocks; every block of queries meets every block of candidates in a task of its
-own, gives only what isn't below the queries' first scores, and Spark merges that. Nothing but the pivots and the sample is
-broadcast. Inside a task's part of the table, rows near the same pivot lie in the same block, so whole blocks fall out.
+Candidates and queries are packed into blocks, and blocks into groups of bounded size. Spark deals every group of queries to every
+group of candidates, a pair of groups is a task's work, what isn't below the queries' first scores comes out, and Spark merges that.
+Nothing but the pivots and the sample is broadcast. Inside a part of the table, rows near the same pivot lie in the same block, so
+whole blocks fall out; the k-th score known after a block is the next one's first.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; a null vec_id takes no part; of
 vectors of unlike length the shorter one counts as filled with zeros; rows with the query's vec_id are its own; repeated
@@ -22,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ from quarrystone.llm.common import read, written
 
 SCALE, K, PIVOTS = 1024, 10, 24
 CANDIDATES, QUERIES, SAMPLE = 4096, 256, 2000
+#: Parts of the candidates and of the queries that a group has.
+CANDIDATE_PARTS, QUERY_PARTS = 16, 256
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -118,7 +120,7 @@ def search(
             yield n, best_ids[good], best[good]
 
 
-def top_k(vectors: DataFrame, k: int = K, every: int = 100, n_pivots: int = PIVOTS) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = K, every: int = 100, n_pivots: int = PIVOTS, parts: tuple[int, int] = (CANDIDATE_PARTS, QUERY_PARTS)) -> DataFrame:
     """For each row whose vec_id is divisible by ``every``: query_id, rank (from 1), vec_id, score of its k best."""
     rows = written(quantised(vectors))
     square = F.aggregate("q", F.lit(0.0), lambda a, v: a + v.cast("double") * v)
@@ -146,7 +148,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, n_pivots: int = PIVO
                 for at in range(0, len(ids), size):
                     own = near[at : at + size]
                     first = first_scores(x[own], ids[own], known, known_ids, k, exact) if asks else np.zeros(0, np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids[own], x[own], far[own], first)] + [pa.array([part], pa.int64())], names=["ids", "rows", "far", "first", "g"])
+                    yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids[own], x[own], far[own], first)] + [pa.array([part], pa.int64())], names=["ids", "rows", "far", "first", "part"])
 
             for batch in batches:
                 held_ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64))
@@ -159,26 +161,42 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, n_pivots: int = PIVO
 
         return run
 
-    shape = "ids binary, rows binary, far binary, first binary, g long"
-    parts = max(1, -(-n // CANDIDATES))
-    candidates = written(rows.repartition(parts, F.xxhash64("vec_id", "q")).mapInArrow(blocks(CANDIDATES, False), shape))
+    shape = "ids binary, rows binary, far binary, first binary, part long"
+    n_parts, q_parts = max(1, -(-n // CANDIDATES)), max(1, -(-n // every // QUERIES))
+    candidates = written(rows.repartition(n_parts, F.xxhash64("vec_id", "q")).mapInArrow(blocks(CANDIDATES, False), shape))
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("q").alias("q"))
-    queries = written(asked.repartition(max(1, -(-n // every // QUERIES)), "vec_id").mapInArrow(blocks(QUERIES, True), shape))
-    # g is the part of the table that a block of candidates comes from; each block of queries is dealt to every part.
-    last = candidates.agg(F.max("g")).first()[0]
-    dealt = queries.select(*[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "far", "first")], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("g"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                ids, q_ids = np.frombuffer(r.ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                x, q = (np.frombuffer(v, np.int64).reshape(len(i), -1) for v, i in ((r.rows, ids), (r.q_rows, q_ids)))
-                far, q_far = (np.frombuffer(v, np.float64).reshape(len(i), -1) for v, i in ((r.far, ids), (r.q_far, q_ids)))
-                found = [(np.full(len(s), q_ids[m]), v, s) for m, v, s in search(q, q_ids, q_far, np.frombuffer(r.q_first, np.int64), x, ids, far, top, k, exact)]
-                if found:
-                    yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*found)))))
-
-    near = candidates.drop("first").join(dealt, "g").mapInPandas(compare, "query_id long, vec_id long, score long")
+    queries = written(asked.repartition(q_parts, "vec_id").mapInArrow(blocks(QUERIES, True), shape))
+    groups = [max(1, -(-a // b)) for a, b in zip((n_parts, q_parts), parts)]
+    # small tables have a group a core
+    groups[0] = max(groups[0], min(n_parts, vectors.sparkSession.sparkContext.defaultParallelism))
+    # c and q number the groups; blocks of either side are dealt to all groups of the other
+    every_one = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(of - 1).cast("long")))
+    left = candidates.select("ids", "rows", "far", (F.col("part") % groups[0]).alias("c"), every_one(groups[1]).alias("q"))
+    right = queries.select("ids", "rows", "far", "first", (F.col("part") % groups[1]).alias("q"), every_one(groups[0]).alias("c"))
+
+    def compare(mine: pa.Table, asking: pa.Table) -> pa.Table:
+        def arrays(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
+            for x in table.select(["ids", "rows", "far"]).to_pylist():
+                ids = np.frombuffer(x["ids"], np.int64)
+                yield ids, np.frombuffer(x["rows"], np.int64).reshape(len(ids), -1), np.frombuffer(x["far"], np.float64).reshape(len(ids), -1)
+
+        out = []
+        for (q_ids, q, q_far), held in zip(arrays(asking), asking.column("first").to_pylist()):
+            first, best = np.frombuffer(held, np.int64).copy(), {}
+            for ids, x, far in arrays(mine):
+                for m, v, s in search(q, q_ids, q_far, first, x, ids, far, top, k, exact):
+                    if m in best:
+                        v, s = np.concatenate([best[m][0], v]), np.concatenate([best[m][1], s])
+                    # ~ turns the order of all 64-bit numbers, as a minus would not of the smallest one
+                    order = np.lexsort((v, ~s))[:k]
+                    best[m] = v[order], s[order]
+                    if len(order) == k:
+                        first[m] = max(first[m], best[m][1][-1])
+            out += [(np.full(len(v), q_ids[m]), v, s) for m, (v, s) in best.items()]
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), columns)))
+
+    near = left.groupBy("c", "q").cogroup(right.groupBy("c", "q")).applyInArrow(compare, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -137,7 +137,7 @@ _TOKENS = " UNION ALL ".join(f"SELECT doc_id, unnest(regexp_extract_all({_FOLDED
 @query("a21_index_terms", f"SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS hits FROM ({_TOKENS}) GROUP BY term")
 def index_terms(t):
     found = _index(t).table("postings")
-    return found.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum(F.aggregate("entries", F.lit(0).cast("long"), lambda n, e: n + e["hits"])).alias("hits"))
+    return found.groupBy("term").agg(F.sum("docs").alias("docs"), F.sum(F.aggregate(F.col("entries.hits"), F.lit(0).cast("long"), lambda n, hits: n + hits)).alias("hits"))
 
 
 @query("a21_index_top50", SQL["a21_search_bm25"])

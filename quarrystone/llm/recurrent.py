@@ -11,7 +11,7 @@ starts as the unigram and the network learns from there.
 
 Training reads every training document once a pass, in rounds that double in size. In a round each task goes on from the same
 weights over its own documents, by truncated backpropagation: the state runs through whole documents, window by window, and every
-``EVERY``-th window gives a gradient. The tasks' weights are then averaged, in tasks; the driver holds few of them. Tasks
+window gives a gradient. The tasks' weights are then averaged, in tasks; the driver holds few of them. Tasks
 are as many as the training tokens ask for. Scoring carries the state over windows too, so a text's score is that of the
 whole text, however long.
 
@@ -42,9 +42,8 @@ WORDS_KEPT, CLASSES, HIDDEN = 4096, 48, 16
 SMOOTH = 0.1
 #: The end of a document among the words; no word holds a line feed.
 END = "\n"
-#: Documents of a batch, least steps of a window (more where few documents are that long), one window in so many gives a
-#: gradient, step size.
-BATCH, STEPS, EVERY, RATE = 256, 16, 8, 0.2
+#: Documents of a batch, least steps of a window (more where few documents are that long), step size.
+BATCH, STEPS, RATE = 256, 16, 0.2
 #: A task trains on about so many tokens; small corpora are passed over until about so many were read.
 TASK_TOKENS, LEAST_TOKENS, MOST_PASSES = 2_000_000, 8_000_000, 6
 #: Rounds by the eighths of documents that train in them.
@@ -237,16 +236,13 @@ class Model:
         ids, start, n, _, _ = self.ids(texts)
         order = np.argsort(-n, kind="stable")
         with np.errstate(over="ignore"):
-            for turn in range(passes if self.words else 0):
-                for number, a in enumerate(range(0, len(order), BATCH)):
+            for _ in range(passes if self.words else 0):
+                for a in range(0, len(order), BATCH):
                     part = order[a : a + BATCH]
                     h = np.zeros((len(part), self.hidden), np.float32)
-                    for w, (at, sizes, t0) in enumerate(self._windows(start[part], n[part], STEPS, 8 * STEPS, BATCH * STEPS // 2)):
+                    for at, sizes, t0 in self._windows(start[part], n[part], STEPS, 8 * STEPS, BATCH * STEPS // 2):
                         prev = np.where(np.repeat(np.arange(t0, t0 + len(sizes)), sizes) == 0, self.end, ids[np.maximum(at - 1, 0)])
-                        if (w + number + turn) % EVERY == 0:
-                            self._learn(prev, ids[at], sizes, h)
-                        else:
-                            self._steps((self.emb @ self.inp + self.gate)[prev] if len(prev) > len(self.emb) else self.emb[prev] @ self.inp + self.gate, sizes, h)
+                        self._learn(prev, ids[at], sizes, h)
         return len(ids)
 
 

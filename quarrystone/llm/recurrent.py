@@ -12,7 +12,7 @@ starts as the unigram and the network learns from there.
 Training reads every training document once a pass, in rounds that double in size. In a round each task goes on from the same
 weights over its own documents, by truncated backpropagation: the state runs through whole documents, window by window, and every
 window gives a gradient. The tasks' weights are then averaged, in tasks; the driver holds few of them. Tasks
-are as many as the training tokens ask for. Scoring carries the state over windows too, so a text's score is that of the
+are as many as the training tokens ask for; long documents stand side by side in tasks of their own. Scoring carries the state over windows too, so a text's score is that of the
 whole text, however long.
 
 Counts beyond the kept words are never held as a whole: slices of documents list their distinct rare words, which are joined
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +47,50 @@ END = "\n"
 BATCH, STEPS, RATE = 256, 16, 0.2
 #: A task trains on about so many tokens; small corpora are passed over until about so many were read.
 TASK_TOKENS, LEAST_TOKENS, MOST_PASSES = 2_000_000, 8_000_000, 6
+#: Texts of so many bytes and more are dealt to tasks of their own, about a batch to each, as a step costs as much for few as for many.
+LONG = 1 << 14
 #: Rounds by the eighths of documents that train in them.
 ROUNDS = ((0,), (1,), (2, 3), (4, 5, 6, 7))
-#: Tokens whose outputs are held at a time.
-WINDOW = 1 << 15
+#: Tokens whose outputs are held at a time, and those whose classes are.
+WINDOW, PART = 1 << 15, 1 << 9
 START = 1e-4
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _order(ids: np.ndarray, most: int) -> np.ndarray:
+    """A stable order of numbers up to ``most``; numbers of 16 bits are sorted by their digits."""
+    return np.argsort(ids.astype(np.uint16) if most < 1 << 16 else ids, kind="stable")
+
+
+def _exp(x: np.ndarray, wide: bool) -> np.ndarray:
+    """Exponentials in the place of x; of a wide softmax, less each column's largest."""
+    if wide:
+        x -= x.max(axis=0)
+    return np.exp(x, out=x)
+
+
+def _above(x: np.ndarray, place: np.ndarray, share: np.float32, wide: bool) -> np.ndarray:
+    """Each column's softmax, less one at its goal (``place`` in the whole of x), times ``share``; in the place of x."""
+    x = _exp(x, wide)
+    mass = np.dot(np.ones(len(x), np.float32), x)
+    x.reshape(-1)[place] -= mass
+    x *= share / mass
+    return x
+
+
+def _log_mass(x: np.ndarray, wide: bool) -> np.ndarray:
+    """The logarithm of each column's sum of exponentials."""
+    top = x.max(axis=0) if wide else 0
+    return np.log(np.ones(len(x), np.float32) @ _exp(x, wide)) + top
+
+
+def _runs(sizes: list[int]) -> list[tuple[slice, int, int]]:
+    """Steps of as many texts that follow each other: their tokens, how many steps, how many texts."""
+    out, at = [], 0
+    for a, same in groupby(sizes):
+        m = sum(1 for _ in same)
+        out.append((slice(at, at + a * m), m, a))
+        at += a * m
+    return out
 
 
 class Model:
@@ -104,35 +139,47 @@ class Model:
         self.state = self.state.copy()
         self.bind()
 
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    def ids(self, texts: pa.Array, places: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None, pa.Array | None]:
         """Of a list of texts: all tokens' numbers (the kept words' count for any other), each text's first token and number of
-        tokens, each token's number among the distinct words (-1: end), and these."""
+        tokens; with ``places`` each token's number among the distinct words (-1: end), and these."""
         found, doc = tokens(texts, WORDS)
-        local, names = numbered(found)
+        local, names = numbered(found) if places else (None, found)
         known = pc.fill_null(pc.index_in(names, value_set=pa.array(self.words, pa.string())), len(self.words)).to_numpy(zero_copy_only=False).astype(np.int64)
         n = np.bincount(doc, minlength=len(texts)).astype(np.int64) + 1
         start = np.cumsum(n) - n
-        ids, place = np.full(int(n.sum()), self.end, np.int64), np.full(int(n.sum()), -1, np.int64)
-        at = np.arange(len(doc)) + doc
-        ids[at], place[at] = known[local], local
+        ids, at = np.full(int(n.sum()), self.end, np.int64), np.arange(len(doc)) + doc
+        if not places:
+            ids[at] = known
+            return ids, start, n, None, None
+        ids[at], place = known[local], np.full(len(ids), -1, np.int64)
+        place[at] = local
         return ids, start, n, place, names
 
-    def _steps(self, fed: np.ndarray, sizes: list[int], h: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """States after each step; ``fed`` holds the inputs' part of the gates, step by step; h goes on in place."""
-        k, rec = self.hidden, self.rec
-        out, at = np.empty((len(fed), k), np.float32), 0
-        for a in sizes:
-            before = h[:a]
-            u = before @ rec
-            g = fed[at : at + a]
-            zr = 1 / (1 + np.exp(-(g[:, : 2 * k] + u[:, : 2 * k])))
-            z, r, uc = zr[:, :k], zr[:, k:], u[:, 2 * k :]
-            c = np.tanh(g[:, 2 * k :] + r * uc)
-            new = c + z * (before - c)
-            if kept is not None:
-                kept.append((before.copy(), z, r, uc, c))
-            out[at : at + a] = h[:a] = new
-            at += a
+    def _steps(self, zr: np.ndarray, c: np.ndarray, sizes: list[int], h: np.ndarray, kept: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """States after each step, behind a column of ones; ``zr`` and ``c`` hold the inputs' part of the gates, step by step, and
+        are used up: the gates take its place. h goes on in place. ``kept`` gets the states before and their part of c's sum."""
+        k, out = self.hidden, np.ones((len(c), self.hidden + 1), np.float32)
+        # 1 / (1 + exp(-x)): the first two gates' sums are taken with a minus
+        rec, rec_c = -self.rec[:, : 2 * k], self.rec[:, 2 * k :].copy()
+        np.negative(zr, out=zr)
+        one = np.ones(1, np.float32)
+        for own, m, a in _runs(sizes):
+            state = h[:a]
+            before, parts = (v[own].reshape(m, a, k) for v in kept) if kept else ([None] * m,) * 2
+            for g, new, to, old, part in zip(zr[own].reshape(m, a, 2 * k), c[own].reshape(m, a, k), out[own].reshape(m, a, k + 1)[:, :, 1:], before, parts):
+                if old is not None:
+                    old[:] = state
+                u = np.dot(state, rec)
+                u += g
+                np.exp(u, out=u)
+                np.add(u, one, out=u)
+                np.reciprocal(u, out=g)
+                new += np.dot(state, rec_c, out=part) * g[:, k:]
+                np.tanh(new, out=new)
+                state -= new
+                state *= g[:, :k]
+                state += new
+                to[:] = state
         return out
 
     @staticmethod
@@ -152,88 +199,129 @@ class Model:
         order = np.argsort(-n, kind="stable")
         start, n = start[order], n[order]
         fed = self.emb @ self.inp + self.gate
+        zr, c = fed[:, : 2 * self.hidden].copy(), fed[:, 2 * self.hidden :].copy()
         total, h = np.zeros(len(n)), np.zeros((len(n), self.hidden), np.float32)
-        k = len(self.words)
+        k, kinds, words, wide = len(self.words), *self._outputs()
         with np.errstate(over="ignore"):
             for at, sizes, t0 in self._windows(start, n, 1, 1 << 12, WINDOW):
-                prev = np.where(np.repeat(np.arange(t0, t0 + len(sizes)), sizes) == 0, self.end, ids[np.maximum(at - 1, 0)])
-                states = self._steps(fed[prev], sizes, h)
-                goal = ids[at]
-                kind = self.kind[goal]
-                logs = _log_softmax(states @ self.cls.T + self.cls_bias)[np.arange(len(goal)), kind].astype(float)
-                by = np.argsort(kind, kind="stable")
-                cut = np.searchsorted(kind[by], np.arange(len(self.first)))
-                for c in range(len(self.first) - 1):
-                    rows = by[cut[c] : cut[c + 1]]
-                    a, b = self.first[c], self.first[c + 1]
-                    if len(rows) and b - a > 1:
-                        own = _log_softmax(states[rows] @ self.out[a:b].T + self.out_bias[a:b])
-                        logs[rows] += own[np.arange(len(rows)), goal[rows] - a]
-                total += np.bincount(np.concatenate([np.arange(a) for a in sizes]), logs, len(n))
+                prev = ids.take(at - 1, mode="clip")
+                if not t0:
+                    prev[: sizes[0]] = self.end
+                states = self._steps(zr.take(prev, axis=0), c.take(prev, axis=0), sizes, h)
+                # words of a class stand side by side, classes too
+                goal = ids.take(at)
+                by = _order(goal, k)
+                goal, states = goal.take(by), states.take(by, axis=0)
+                kind = self.kind.take(goal)
+                cut = np.searchsorted(goal, self.first).tolist()
+                rows = kinds.take(kind, axis=0)
+                # the classes' and the words' part of the goal's logarithm at once
+                rows[: cut[-1]] += words.take(goal[: cut[-1]], axis=0)
+                logs = np.einsum("ij,ij->i", states, rows).astype(float)
+                states = states.T.copy()
+                for a in range(0, len(goal), PART):
+                    logs[a : a + PART] -= _log_mass(np.dot(kinds, states[:, a : a + PART]), wide[-1])
+                for a, b, s, e, far in zip(self.first.tolist(), self.first[1:].tolist(), cut, cut[1:], wide):
+                    for s in range(s, e, PART):
+                        logs[s : min(e, s + PART)] -= _log_mass(np.dot(words[a:b], states[:, s : min(e, s + PART)]), far)
+                total += np.bincount(np.concatenate([np.arange(a) for a in sizes])[by], logs, len(n))
         out = np.empty(len(n))
         out[order] = total / math.log(10)
         return out if k else np.zeros(len(n))
 
-    def _move(self, name: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
+    def _outputs(self) -> tuple[np.ndarray, np.ndarray, list[bool]]:
+        """Of classes and of words the bias before the weights; whether a softmax (of each class's words, then of the classes) may
+        reach what exponentials of 32 bits don't hold. No state is beyond 1."""
+        found, wide = [], []
+        for value, bias, first in ((self.out, self.out_bias, self.first[:-1]), (self.cls, self.cls_bias, np.zeros(1, np.int64))):
+            both = np.empty((len(value), self.hidden + 1), np.float32)
+            both[:, 0], both[:, 1:] = bias, value
+            found.append(both)
+            if len(value):
+                wide += (np.maximum.reduceat(np.abs(both) @ np.ones(self.hidden + 1, np.float32), first) > 80).tolist()
+        return found[1], found[0], wide
+
+    def _move(self, name: str, grad: np.ndarray, rows: np.ndarray | None = None) -> None:
         value, sums = self.__dict__[name], self.__dict__[f"{name}_sum"]
-        if sums.ndim < value.ndim:
-            sums[rows] += (grad * grad).mean(axis=1)
-            value[rows] -= RATE * grad / np.sqrt(sums[rows])[:, None]
+        if rows is None and sums.ndim == value.ndim:
+            sums += grad * grad
+            value -= RATE * grad / np.sqrt(sums)
+            return
+        more = np.einsum("ij,ij->i", grad, grad) / grad.shape[1]
+        if rows is None:
+            sums += more
+            value -= grad * (RATE / np.sqrt(sums))[:, None]
         else:
-            sums[rows] += grad * grad
-            value[rows] -= RATE * grad / np.sqrt(sums[rows])
+            more += sums.take(rows)
+            sums[rows] = more
+            value[rows] = value.take(rows, axis=0) - grad * (RATE / np.sqrt(more))[:, None]
 
     def _learn(self, prev: np.ndarray, goal: np.ndarray, sizes: list[int], h: np.ndarray) -> None:
         """One window forward and back; every array moves against its gradient."""
         k, n = self.hidden, len(goal)
-        x = self.emb[prev]
-        kept: list = []
-        states = self._steps(x @ self.inp + self.gate, sizes, h, kept)
-        kind = self.kind[goal]
-        d = np.exp(_log_softmax(states @ self.cls.T + self.cls_bias))
-        d[np.arange(n), kind] -= 1
-        d /= n
-        ds = d @ self.cls
-        self._move("cls", d.T @ states)
-        self._move("cls_bias", d.sum(axis=0))
-        by = np.argsort(kind, kind="stable")
-        cut = np.searchsorted(kind[by], np.arange(len(self.first)))
-        for c in range(len(self.first) - 1):
-            rows = by[cut[c] : cut[c + 1]]
-            a, b = self.first[c], self.first[c + 1]
-            if len(rows) and b - a > 1:
-                own = states[rows]
-                d = np.exp(_log_softmax(own @ self.out[a:b].T + self.out_bias[a:b]))
-                d[np.arange(len(rows)), goal[rows] - a] -= 1
-                d /= n
-                ds[rows] += d @ self.out[a:b]
-                self._move("out", d.T @ own, slice(a, b))
-                self._move("out_bias", d.sum(axis=0), slice(a, b))
-        back = np.zeros_like(h)
-        dg, d_rec, at = np.empty((n, 3 * k), np.float32), np.zeros_like(self.rec), n
-        for a, (before, z, r, uc, c) in zip(reversed(sizes), reversed(kept)):
-            at -= a
-            dh = back[:a] + ds[at : at + a]
-            dc = dh * (1 - z) * (1 - c * c)
-            g = dg[at : at + a]
-            g[:, :k] = dh * (before - c) * z * (1 - z)
-            g[:, k : 2 * k] = dc * uc * r * (1 - r)
-            g[:, 2 * k :] = dc
-            du = g.copy()
-            du[:, 2 * k :] *= r
-            d_rec += before.T @ du
-            back[:a] = dh * z + du @ self.rec.T
-        dx = dg @ self.inp.T
-        self._move("inp", x.T @ dg)
-        self._move("rec", d_rec)
-        self._move("gate", dg.sum(axis=0))
-        rows = np.argsort(prev, kind="stable")
-        first = np.flatnonzero(np.diff(prev[rows], prepend=-1))
-        self._move("emb", np.add.reduceat(dx[rows], first), prev[rows][first])
+        x = self.emb.take(prev, axis=0)
+        zr, c = np.dot(x, self.inp[:, : 2 * k]), np.dot(x, self.inp[:, 2 * k :])
+        zr += self.gate[: 2 * k]
+        c += self.gate[2 * k :]
+        before, uc = np.empty((n, k), np.float32), np.empty((n, k), np.float32)
+        states = self._steps(zr, c, sizes, h, (before, uc))
+        z, r = zr[:, :k].copy(), zr[:, k:]
+        # words of a class stand side by side, classes too
+        by = _order(goal, len(self.words))
+        goal, states = goal.take(by), states.take(by, axis=0)
+        kind, share = self.kind.take(goal), np.float32(1 / n)
+        kinds, words, wide = self._outputs()
+        first, cut = self.first.tolist(), np.searchsorted(goal, self.first).tolist()
+        turned, d_cls, d_out = states.T.copy(), np.zeros_like(kinds), np.zeros_like(words)
+        ds, own = np.empty((n, k), np.float32), np.zeros((n, k), np.float32)
+        for s in range(0, n, PART):
+            t = min(s + PART, n)
+            e = _above(np.dot(kinds, turned[:, s:t]), kind[s:t] * (t - s) + np.arange(t - s), share, wide[-1])
+            np.dot(e.T, self.cls, out=ds[s:t])
+            d_cls += np.dot(e, states[s:t])
+        # a class of one word takes no part
+        place = (goal - self.first.take(kind)) * np.diff(cut, append=n).take(kind) + np.arange(n) - np.array(cut).take(kind)
+        for a, b, s, t, far in zip(first, first[1:], cut, cut[1:], wide):
+            if t > s and b - a > 1:
+                e = _above(np.dot(words[a:b], turned[:, s:t]), place[s:t], share, far)
+                np.dot(e.T, self.out[a:b], out=own[s:t])
+                np.dot(e, states[s:t], out=d_out[a:b])
+        ds += own
+        own[by] = ds
+        ds = own
+        self._move("cls", d_cls[:, 1:])
+        self._move("cls_bias", d_cls[:, 0])
+        self._move("out", d_out[:, 1:])
+        self._move("out_bias", d_out[:, 0])
+        # what the chain through time doesn't change: the slopes of the gates' sums
+        rest = 1 - z
+        of_c = rest * (1 - c * c)
+        slopes, du, back, rec = np.empty((n, 3, k), np.float32), np.empty((n, 3, k), np.float32), np.zeros_like(h), self.rec.T.copy()
+        np.multiply((before - c) * z, rest, out=slopes[:, 0])
+        np.multiply(of_c * uc, r * (1 - r), out=slopes[:, 1])
+        np.multiply(of_c, r, out=slopes[:, 2])
+        for run, m, a in reversed(_runs(sizes)):
+            b = back[:a]
+            views = ds[run].reshape(m, a, k), z[run].reshape(m, a, k), slopes[run].reshape(m, a, 3, k), du[run].reshape(m, a, 3, k), du[run].reshape(m, a, 3 * k), ds[run].reshape(m, a, 1, k)
+            for dh, keep, slope, g, flat, wide in zip(*(v[::-1] for v in views)):
+                dh += b
+                np.multiply(wide, slope, out=g)
+                np.multiply(dh, keep, out=b)
+                b += np.dot(flat, rec)
+        du = du.reshape(n, 3 * k)
+        self._move("rec", np.dot(before.T, du))
+        np.multiply(ds, of_c, out=du[:, 2 * k :])
+        dx = np.dot(du, self.inp.T)
+        self._move("inp", np.dot(x.T, du))
+        self._move("gate", np.dot(np.ones(n, np.float32), du))
+        by = _order(prev, len(self.words))
+        prev = prev.take(by)
+        ones = np.flatnonzero(np.diff(prev, prepend=-1))
+        self._move("emb", np.add.reduceat(dx.take(by, axis=0), ones), prev.take(ones))
 
     def train(self, texts: pa.Array, passes: int = 1) -> int:
         """Truncated backpropagation over whole texts; the number of tokens."""
-        ids, start, n, _, _ = self.ids(texts)
+        ids, start, n, _, _ = self.ids(texts, False)
         order = np.argsort(-n, kind="stable")
         with np.errstate(over="ignore"):
             for _ in range(passes if self.words else 0):
@@ -241,8 +329,10 @@ class Model:
                     part = order[a : a + BATCH]
                     h = np.zeros((len(part), self.hidden), np.float32)
                     for at, sizes, t0 in self._windows(start[part], n[part], STEPS, 8 * STEPS, BATCH * STEPS // 2):
-                        prev = np.where(np.repeat(np.arange(t0, t0 + len(sizes)), sizes) == 0, self.end, ids[np.maximum(at - 1, 0)])
-                        self._learn(prev, ids[at], sizes, h)
+                        prev = ids.take(at - 1, mode="clip")
+                        if not t0:
+                            prev[: sizes[0]] = self.end
+                        self._learn(prev, ids.take(at), sizes, h)
         return len(ids)
 
 
@@ -281,6 +371,21 @@ def _averaged(rows: DataFrame, size: int) -> np.ndarray | None:
     return sum(np.frombuffer(r["state"], np.float32) * (r["n"] / n) for r in got).astype(np.float32) if n else None
 
 
+def _long() -> F.Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0)) >= LONG
+
+
+def _eighth() -> F.Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(8))
+
+
+def _dealt(docs: DataFrame, long: int, tasks: int | None = None) -> DataFrame:
+    """All rows: the ``long`` long ones by the batch, the others where they stand, in ``tasks`` tasks at most."""
+    short = docs.where(~_long())
+    short = short.coalesce(tasks) if tasks else short
+    return short.union(docs.where(_long()).repartition(-(-long // BATCH))) if long else short
+
+
 def fitted(train: DataFrame, counts: DataFrame, kept: int = WORDS_KEPT, hidden: int = HIDDEN) -> Model:
     """A model of the training documents (doc_id, text) and their counts."""
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -292,6 +397,7 @@ def fitted(train: DataFrame, counts: DataFrame, kept: int = WORDS_KEPT, hidden:
         return model
     passes = max(1, min(MOST_PASSES, LEAST_TOKENS // sums["n"]))
     tasks = max(train.sparkSession.sparkContext.defaultParallelism, sums["n"] // TASK_TOKENS)
+    long = {r["eighth"]: r["n"] for r in train.where(_long()).groupBy(_eighth().alias("eighth")).agg(F.count("*").alias("n")).collect()}
     for eighths in ROUNDS:
         def run(batches: Iterator[pa.RecordBatch], model: Model = model) -> Iterator[pa.RecordBatch]:
             n = sum(model.train(text_of(table), passes) for table in gathered(batches))
@@ -299,7 +405,8 @@ def fitted(train: DataFrame, counts: DataFrame, kept: int = WORDS_KEPT, hidden:
                 yield pa.RecordBatch.from_arrays([pa.array([model.state.tobytes()]), pa.array([n], pa.int64())], names=["state", "n"])
             pa.default_memory_pool().release_unused()
 
-        part = small_batches(train).where(F.pmod(F.xxhash64("doc_id"), F.lit(8)).isin(*eighths)).select("text").coalesce(tasks)
+        own = small_batches(train).where(_eighth().isin(*eighths)).select("text")
+        part = _dealt(own, sum(long.get(x, 0) for x in eighths), tasks)
         state = _averaged(part.mapInArrow(run, "state binary, n long"), len(model.state))
         if state is not None:
             model.state[:] = state
@@ -346,7 +453,7 @@ def scored(docs: DataFrame, train: DataFrame, kept: int = WORDS_KEPT, hidden: in
 
     added = {f.name for f in _ADDED} | {"rare_"}
     own = [c for c in docs.columns if c.lower() not in added and c != "text"]
-    table = sliced(docs, kernel, _SLICE, T.StringType())
+    table = sliced(_dealt(docs, docs.where(_long()).count()), kernel, _SLICE, T.StringType())
     return looked_up(table, counts, finish, _ADDED, own)
 
 

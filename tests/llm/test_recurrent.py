@@ -118,3 +118,36 @@ def test_learns_more_than_frequencies(spark):
     assert got.columns == ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     r = got.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
     assert (r["s"] - r["b"]) / r["n"] > 0.04
+
+
+def test_long_texts_of_all_tasks_stand_side_by_side(spark):
+    """A step costs as much for one text as for a batch: each task had its own long text alone in its last windows."""
+    rows = [(k, None if k == 3 else "long " * 4000 if k % 10 == 0 else "a short one") for k in range(80)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
+    long = docs.where(recurrent._long()).count()
+    assert long == 16
+    for tasks in (None, 4):
+        got = recurrent._dealt(docs, long, tasks).select("doc_id", F.octet_length("text").alias("n"), F.spark_partition_id().alias("task")).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(k for k, _ in rows)
+        assert len({r["task"] for r in got if (r["n"] or 0) >= recurrent.LONG}) == 1
+    assert recurrent._dealt(docs.where("doc_id % 10 > 0"), 0).count() == 144
+
+
+def test_weights_that_exponentials_do_not_hold():
+    counts = Counter(w for t in TEXTS for w in words(t))
+    model = small(counts, 8)
+    model.out[:] *= 0
+    model.out_bias[:] = np.linspace(-300, 300, len(model.out_bias))
+    model.cls_bias[:] = np.linspace(200, -200, len(model.cls_bias))
+    assert any(model._outputs()[2])
+    ids, start, n, _, _ = model.ids(pa.array(TEXTS[:2]))
+    got = model.log10(ids, start, n)
+    assert np.isfinite(got).all() and (got < 0).all()
+    model.train(pa.array(TEXTS), 2)
+    assert np.isfinite(model.state).all()
+
+
+def test_tokens_for_training_equal_those_for_scores():
+    model = small(Counter(w for t in TEXTS for w in words(t)), 8)
+    for a, b in zip(model.ids(pa.array(TEXTS), False)[:3], model.ids(pa.array(TEXTS))[:3]):
+        assert a.tolist() == b.tolist()

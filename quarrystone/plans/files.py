@@ -62,7 +62,7 @@ def _tri(df):
 
 @query("s13_obj", _TRI.format(".obj"))
 def obj(t):
-    return _tri(S.obj_triangles(K.obj_text(t.triangles)))
+    return _tri(S.obj_triangles(K.obj_parts(t.triangles)).withColumn("path", F.regexp_replace("path", "-[0-9]+[.]obj$", ".obj")))
 
 
 @query("s14_glb", _TRI.format(".glb"))
@@ -185,7 +185,8 @@ def quantized(t):
 
 @query("k12_export_obj", "SELECT mesh_id || '.obj' AS path, CAST(4 * count(*) AS BIGINT) AS lines FROM triangles GROUP BY 1")
 def export_obj(t):
-    return K.obj_text(t.triangles).select("path", F.size(F.split("text", "\n")).cast("long").alias("lines"))
+    path = F.regexp_replace("path", "-[0-9]+[.]obj$", ".obj").alias("path")
+    return K.obj_parts(t.triangles).groupBy(path).agg(F.sum(F.size(F.split("text", "\n")).cast("long")).alias("lines"))
 
 
 @query("k13_las_scale", "SELECT cls, round(greatest(max(x) - min(x), 1) / 2e9 * 1e9, 6) AS scale, min(x) AS low FROM points GROUP BY 1")

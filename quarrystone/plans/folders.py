@@ -77,9 +77,9 @@ def dem_wgs84(t):
 
 @query("s12_read_mesh", "SELECT kind, mesh_id, count(*) AS n, round(sum(ux + vx + wx), 1) AS sx, round(sum(uz + vz + wz), 1) AS sz FROM triangles, (VALUES ('glb'), ('obj')) k(kind) GROUP BY 1, 2")
 def mesh(t):
-    text = K.obj_text(t.triangles).select("path", F.encode("text", "UTF-8").alias("content"))
+    text = K.obj_parts(t.triangles).select("path", F.encode("text", "UTF-8").alias("content"))
     rows = S.read_mesh(t.spark, K.put(K.glb_files(t.triangles).union(text), shared_folder(t.spark)))
-    name = F.url_decode(F.regexp_extract("path", "([^/]+)[.][a-z]+$", 1)).alias("mesh_id")
+    name = F.url_decode(F.regexp_extract("path", "([^/]+?)(-[0-9]+)?[.][a-z]+$", 1)).alias("mesh_id")
     return rows.groupBy(_extension().alias("kind"), name).agg(F.count("*").alias("n"), *[F.round(F.sum(sum((F.col(c + a) for c in "vw"), F.col("u" + a))), 1).alias("s" + a) for a in "xz"])
 
 

@@ -257,15 +257,16 @@ def _numbers(line: Column) -> Column:
 def obj_triangles(files: DataFrame) -> DataFrame:
     """OBJ texts (path, text): triangles with corners; faces of more corners become fans; negative indices count back."""
     lines = files.select("path", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    v = lines.where(F.col("line").startswith("v ")).select("path", "at", _numbers(F.substring("line", 3, 1_000_000)).alias("p"))
     from pyspark.sql import Window
 
-    v = v.withColumn("number", F.row_number().over(Window.partitionBy("path").orderBy("at")))
-    faces = lines.where(F.col("line").startswith("f ")).select("path", "at", F.filter(F.split(F.substring("line", 3, 1_000_000), r"\s+"), lambda x: x != "").alias("c"))
-    corners = faces.select("path", "at", F.transform("c", lambda x: F.split(x, "/")[0].cast("int")).alias("c"))
-    fans = corners.select("path", "at", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda k: F.array(F.col("c")[0], F.get("c", k), F.get("c", k + 1)))).alias("k", "t"))
-    before = v.groupBy("path").agg(F.array_sort(F.collect_list("at")).alias("v_at"))
-    fans = fans.join(before, "path").withColumn("t", F.transform("t", lambda i: F.when(i < 0, F.size(F.filter("v_at", lambda a: a < F.col("at"))) + i + 1).otherwise(i))).drop("v_at")
+    # vertices up to each line: a vertex's number, and what negative indices of a face count back from
+    corner, running = F.col("line").startswith("v "), Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.where(corner | F.col("line").startswith("f ")).withColumn("number", F.sum(corner.cast("int")).over(running).cast("int"))
+    v = lines.where(corner).select("path", "number", _numbers(F.substring("line", 3, 1_000_000)).alias("p"))
+    faces = lines.where(~corner).select("path", "at", "number", F.filter(F.split(F.substring("line", 3, 1_000_000), r"\s+"), lambda x: x != "").alias("c"))
+    corners = faces.select("path", "at", "number", F.transform("c", lambda x: F.split(x, "/")[0].cast("int")).alias("c"))
+    fans = corners.select("path", "at", "number", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda k: F.array(F.col("c")[0], F.get("c", k), F.get("c", k + 1)))).alias("k", "t"))
+    fans = fans.withColumn("t", F.transform("t", lambda i: F.when(i < 0, F.col("number") + i + 1).otherwise(i))).drop("number")
     rows = fans.select("path", "at", "k", F.posexplode("t").alias("j", "number")).join(v.select("path", "number", "p"), ["path", "number"])
     pick = lambda j, a: F.max(F.when(F.col("j") == j, F.col("p")[a]))
     return rows.groupBy("path", "at", "k").agg(*[pick(j, a).alias(c + n) for j, c in enumerate("uvw") for a, n in enumerate("xyz")])

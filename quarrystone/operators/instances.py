@@ -7,11 +7,16 @@ so vertices that are equally far cannot be mistaken for each other. A mesh belon
 every vertex. As heads that match an earlier head are none themselves, this is what holding the meshes one after the other against all
 before them gives. Heads double from round to round, so a key with many different shapes needs few rounds.
 
+Most copies repeat a mesh to the last bit but for its place. Meshes of one form, that is of one key whose vertices (and normals) seen from their
+first vertex are the same numbers, match the same heads with the same rotation, and each other. So only the earliest of a form takes part
+in the rounds, and the others get its answer; forms are told apart by a hash of 128 bits. The vertices of all meshes are read once, to
+describe them: a caller that deals them by mesh_id spares their shuffle.
+
 Vertices stay rows: a mesh is never one array, and a head's vertices are dealt in as many shares as its key has meshes for, so that
 neither a large mesh nor a shape that a third of all meshes repeat lands in one task. Only "is a mesh open" reaches the driver.
 
 Defined cases: meshes with a null coordinate, and those without two directions (a point, a line), match nothing and have a null
-``first``; rows without mesh_id or n are no vertices; an empty table gives an empty result.
+``first``; those with a normal that isn't finite or an n that occurs twice match nothing and are their own ``first``; rows without mesh_id or n are no vertices; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,12 +26,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.operators.lineage import settled, spread
+from quarrystone.operators.lineage import settled, spread, written
 
 #: Metres of a vertex beside its place, of a normal's component, and of a step of the mean distances.
 TOLERANCE, NORMAL_TOLERANCE, KEY_STEP = 1e-3, 1e-2, 0.01
 #: Meshes that share a copy of a head's vertices, and the most heads of a key in a round.
 SHARE, MOST_HEADS = 4096, 64
+#: Meshes that are named one by one to read their vertices; more are joined.
+MOST_NAMED = 1024
 
 Vector = list[Column]
 
@@ -89,8 +96,25 @@ def with_quaternion(rows: DataFrame, name: str, rotation: str) -> DataFrame:
     return steps.withColumn(name, F.struct(*[(r * F.col("scale_")).alias(a) for a, r in zip("xyzw", row)])).drop("row_", "scale_")
 
 
+def _form(vertices: DataFrame, origin: Column) -> Column:
+    """A hash of a mesh's vertices as seen from its first one, whatever their order: sums of the halves of two hashes a vertex."""
+    seen = [F.col("n"), *_minus([F.col(a) for a in "xyz"], _of(origin))]
+    for a in ("nx", "ny", "nz"):
+        # hashes skip nulls
+        seen += [F.col(a).isNull(), F.col(a)] if a in vertices.columns else []
+    hashes = [F.xxhash64(F.lit(seed), *seen) for seed in (1, 2)]
+    return F.struct(*[F.sum(part).alias(f"f{k}") for k, part in enumerate(half for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright(h, 32)))])
+
+
+def _sound(vertices: DataFrame, meshes: DataFrame) -> DataFrame:
+    """Which meshes (mesh_id, p0) match themselves: mesh_id and ``sound``."""
+    numbers = [*_minus([F.col(a) for a in "xyz"], _of(F.col("p0"))), *[F.col(a) for a in ("nx", "ny", "nz") if a in vertices.columns]]
+    finite = reduce(Column.__and__, [F.coalesce(v - v, F.lit(0.0)) == 0 for v in numbers])
+    return vertices.join(spread(meshes.select("mesh_id", "p0")), "mesh_id").groupBy("mesh_id").agg((F.bool_and(finite) & (F.count_distinct("n") == F.count("*"))).alias("sound"))
+
+
 def _described(vertices: DataFrame) -> DataFrame:
-    """A row a mesh: key, first place, box centre, and the numbers and places of the vertex farthest from the first one and of that
+    """A row a mesh: key, form, first place, box centre, and the numbers and places of the vertex farthest from the first one and of that
     farthest from the line of both; ``framed`` tells whether there are two directions."""
     at = F.struct("x", "y", "z")
     bare = F.count_if(F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()) > 0
@@ -102,13 +126,13 @@ def _described(vertices: DataFrame) -> DataFrame:
     from_first, from_mean = _length(_minus(_of(at), _of(F.col("p0")))), _length(_minus(_of(at), _of(F.col("mean"))))
     steps = lambda d: F.round(F.avg(d) / KEY_STEP).cast("long")
     place = F.struct("n", "x", "y", "z")
-    far = vertices.join(spread(base), "mesh_id").groupBy("mesh_id").agg(steps(from_first).alias("k1"), steps(from_mean).alias("k2"), F.max_by(place, F.struct(from_first, -F.col("n"))).alias("far"), F.max(from_first).alias("reach"))
+    far = vertices.join(spread(base), "mesh_id").groupBy("mesh_id").agg(steps(from_first).alias("k1"), steps(from_mean).alias("k2"), F.max_by(place, F.struct(from_first, -F.col("n"))).alias("far"), F.max(from_first).alias("reach"), _form(vertices, F.col("p0")).alias("form"))
     line = base.join(spread(far), "mesh_id")
     arm = _minus(_of(at), _of(F.col("p0")))
     off = _length(_cross(_unit(_minus(_of(F.col("far")), _of(F.col("p0")))), arm))
     side = vertices.join(spread(line.select("mesh_id", "p0", "far")), "mesh_id").groupBy("mesh_id").agg(F.max_by(place, F.struct(off, -F.col("n"))).alias("side"), F.max(off).alias("width"))
     framed = ~F.col("bare") & (F.col("reach") > TOLERANCE) & (F.coalesce("width", F.lit(0.0)) > TOLERANCE)
-    return line.join(spread(side), "mesh_id").select("mesh_id", F.struct("size", "colour", "k1", "k2").alias("key"), "p0", "centre", "far", "side", framed.alias("framed"))
+    return line.join(spread(side), "mesh_id").select("mesh_id", F.struct("size", "colour", "k1", "k2").alias("key"), "form", "p0", "centre", "far", "side", framed.alias("framed"))
 
 
 def _matches(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -148,10 +172,30 @@ def repeated_geometry(vertices: DataFrame) -> DataFrame:
     must agree, and nx, ny, nz, which turn along. Meshes are ordered by mesh_id.
     """
     vertices = vertices.where("mesh_id is not null and n is not null")
-    meshes = settled(_described(vertices))
+    meshes = written(_described(vertices).select("mesh_id", "key", "form", "p0", "centre", "framed"))
     still = F.struct(*[F.lit(v).alias(a) for a, v in zip("xyzw", (0.0, 0.0, 0.0, 1.0))])
-    found = [meshes.where(~F.col("framed")).select("mesh_id", F.lit(None).cast(meshes.schema["mesh_id"].dataType).alias("first"), still.alias("rotation"), F.col("centre").alias("move"))]
-    open_, most = meshes.where("framed"), 1
+    bare = meshes.where(~F.col("framed")).select("mesh_id", F.lit(None).cast(meshes.schema["mesh_id"].dataType).alias("first"), still.alias("rotation"), F.col("centre").alias("move"))
+    forms = written(meshes.where("framed").groupBy("key", "form").agg(F.min("mesh_id").alias("mesh_id")))
+    named = [r["mesh_id"] for r in forms.select("mesh_id").limit(MOST_NAMED + 1).collect()]
+    known = F.col("mesh_id").isin(named)
+    vertices = vertices.where(known) if len(named) <= MOST_NAMED else written(vertices.join(spread(forms.select("mesh_id")), "mesh_id", "left_semi"))
+    earliest = _described(vertices).drop("key", "form").join(spread(forms), "mesh_id")
+    earliest = settled(earliest.join(spread(_sound(vertices, earliest)), "mesh_id").where("sound").drop("sound", "framed"))
+    like = _repeated(earliest, vertices, still)
+    like = settled(forms.join(spread(like), "mesh_id").drop("mesh_id"))
+    # what matches nothing is its own first
+    own = F.col("first").isNull() | (F.col("first") == F.col("mesh_id"))
+    away = F.struct(*[(p + d).alias(a) for a, p, d in zip("xyz", _of(F.col("p0")), _of(F.col("away")))])
+    all_ = meshes.where("framed").drop("framed").join(spread(like), ["key", "form"], "left")
+    all_ = all_.select("mesh_id", F.coalesce("first", "mesh_id").alias("first"), F.coalesce("rotation", still).alias("rotation"), F.when(own, F.col("centre")).otherwise(away).alias("move"))
+    return bare.unionByName(all_)
+
+
+def _repeated(open_: DataFrame, vertices: DataFrame, still: Column) -> DataFrame:
+    """Of described meshes: mesh_id, first, rotation, and ``away``, where the centre of first's box lies as seen from the mesh's first place."""
+    found, most = [], 1
+    seen = lambda turn, centre, p0: F.struct(*[d.alias(a) for a, d in zip("xyz", turned(turn, _minus(_of(centre), _of(p0))))])
+    upright = F.array(*[F.lit(float(i == j)) for i in range(3) for j in range(3)])
     while not open_.isEmpty():
         order = F.row_number().over(Window.partitionBy("key").orderBy("mesh_id"))
         sizes = open_.groupBy("key").agg(F.ceil(F.count("*") / SHARE).alias("shares"))
@@ -165,12 +209,11 @@ def repeated_geometry(vertices: DataFrame) -> DataFrame:
         true = F.aggregate("all", F.array().cast("array<int>"), lambda got, h: F.when(F.arrays_overlap(got, h["like"]), got).otherwise(F.array_append(got, h["rank"])))
         firsts = settled(ranked.withColumn("true", true).select(F.explode(F.filter("all", lambda h: F.array_contains("true", h["rank"]))).alias("h")).select(F.col("h.mesh_id").alias("first")))
         best = matched.join(spread(firsts), "first", "left_semi").groupBy("mesh_id").agg(F.min_by(F.struct("first", "rotation", "p0", "first_p0", "first_centre"), "rank").alias("m"))
-        best = best.withColumn("turn", F.coalesce(F.col("m.rotation"), F.array(*[F.lit(float(i == j)) for i in range(3) for j in range(3)])))
-        best = with_quaternion(best, "spin", "turn")
-        away = turned(F.col("turn"), _minus(_of(F.col("m.first_centre")), _of(F.col("m.first_p0"))))
-        copies = settled(best.select("mesh_id", "m.first", F.when(F.col("m.rotation").isNull(), still).otherwise(F.col("spin")).alias("rotation"), F.struct(*[(p + d).alias(a) for a, p, d in zip("xyz", _of(F.col("m.p0")), away)]).alias("move")))
+        best = with_quaternion(best.withColumn("turn", F.coalesce(F.col("m.rotation"), upright)), "spin", "turn")
+        away = seen(F.col("turn"), F.col("m.first_centre"), F.col("m.first_p0"))
+        copies = settled(best.select("mesh_id", "m.first", F.when(F.col("m.rotation").isNull(), still).otherwise(F.col("spin")).alias("rotation"), away.alias("away")))
         own = open_.join(spread(firsts.select(F.col("first").alias("mesh_id"))), "mesh_id", "left_semi")
-        found += [copies, own.select("mesh_id", F.col("mesh_id").alias("first"), still.alias("rotation"), F.col("centre").alias("move"))]
+        found += [copies, own.select("mesh_id", F.col("mesh_id").alias("first"), still.alias("rotation"), seen(upright, F.col("centre"), F.col("p0")).alias("away"))]
         open_ = settled(open_.join(spread(copies.select("mesh_id").union(firsts)), "mesh_id", "left_anti"))
         most = min(2 * most, MOST_HEADS)
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found) if found else open_.select("mesh_id", F.col("mesh_id").alias("first"), still.alias("rotation"), seen(upright, F.col("centre"), F.col("p0")).alias("away"))

@@ -15,6 +15,22 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As ``settled``, for tables that grow with the input: columns of a Parquet table take a fraction of a checkpoint's disk, and the
+    shuffles of the run that wrote it are freed at once."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        return df.persist()
+    folder, key = f"{shared_folder(spark)}.parquet", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(folder)
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows for a join of two tables that both grow with the input: it shuffles both. Spark guesses sizes from compressed bytes, and
     would collect the smaller one at the driver to broadcast it though it is many times larger there."""
